@@ -114,9 +114,10 @@ def host_verdicts(measured: DataFrame, limits: dict[str, float] = HOST_LIMITS) -
     prior = per_host.agg(
         *[x for r in rules for rate in [F.col(f"k_{r}") / F.col("n")] for x in (F.avg(rate).alias(f"m_{r}"), F.var_pop(rate).alias(f"v_{r}"))]
     )
-    out = per_host.join(F.broadcast(prior))  # one row
+    of_all = prior.first()  # one row of two numbers for each rule
+    out = per_host
     for r in rules:
-        m, v = F.col(f"m_{r}"), F.col(f"v_{r}")
+        m, v = F.lit(of_all[f"m_{r}"]).cast("double"), F.lit(of_all[f"v_{r}"]).cast("double")
         strength = F.greatest(F.lit(1.0), F.least(F.lit(1000.0), F.coalesce(F.try_divide(m * (1 - m), v) - 1, F.lit(1000.0))))
         shrunk = (F.col(f"k_{r}") + strength * m) / (F.col("n") + strength)
         out = out.withColumn(f"bad_{r}", shrunk > limits[r])

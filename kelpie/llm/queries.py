@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: In each module the functions named op<N>_... are queries; SQL has their twins.
-MODULES = ("exact_dedup", "quality", "mixing")
+MODULES = ("token_files", "quality", "exact_dedup", "mixing")
 
 
 def _modules():
