@@ -22,7 +22,7 @@ from . import common
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-BUCKET_ROWS = 5000
+BUCKET_ROWS = 500
 SEED = "mix-1"
 
 

@@ -29,7 +29,7 @@ from . import common, tokens
 
 MAGIC = b"KFR1"
 HEAD = struct.Struct("<4sIQQ")  # magic, documents, tokens, bytes of data
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 20
 SHARD_BYTES = 64 << 20
 NULL_ID = np.iinfo(np.int64).min
 
@@ -84,7 +84,7 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_i
     )
 
     def blocks(batches):
-        enc, part, no, n = tokens.encoder(vocabulary, tokens.BYTE_PATTERN, False), TaskContext.get().partitionId(), 0, 0
+        enc, part, no, n = tokens.encoder(vocabulary, True), TaskContext.get().partitionId(), 0, 0
         size = np.dtype("<u2" if enc.tok.get_vocab_size() <= 1 << 16 else "<u4")
         keys, lens, ids = [], [], []
 
@@ -96,7 +96,7 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_i
         for b in batches:
             given = b["doc_id"].to_list()
             for key, raw in zip(given, enc.ids(b["text"].to_list()), strict=True):
-                own = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)).astype(size)
+                own = np.append(raw, np.uint32(end_id)).astype(size)
                 keys.append(NULL_ID if key is None or key != key else int(key))
                 lens.append(len(own))
                 ids.append(own.tobytes())

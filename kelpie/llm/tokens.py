@@ -1,9 +1,11 @@
 """Encoding with the tokenizers library inside tasks, with a memo of words.
 
-Most words of a corpus come up again and again, and splitting is cheap next to merging. For texts of common characters
-the split pattern runs here, each new word is encoded once by the library, and a text's ids are the joined ids of its
-words. Any other text (characters outside SAFE, or a possible special token) goes to the library whole. Either way the
-ids are those of the library on the whole text.
+Most words of a corpus come up again and again, and merging is most of the work. No token of the two vocabularies
+reaches across a single space or line end between other characters, so a text of common characters is cut there, each
+new word is encoded once by the library (many in one call, the end-of-text token between them), and a text's ids are
+the ids of its words. Words are found, hashed to 64 bits, looked up and put together in numpy. Any other text
+(characters outside the set below, longer runs of white space, a possible special token) goes to the library whole.
+Either way the ids are those of the library on the whole text.
 """
 
 from __future__ import annotations
@@ -12,14 +14,15 @@ import os
 import re
 
 import numpy as np
-import regex
 
-#: The split patterns of the two vocabularies.
-BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
-#: Anything but tab, line ends, printable ASCII and Latin letters up to U+024F, whose classes all Unicode versions share.
-UNSAFE = re.compile("[^\t\n\r\x20-\x7e¡-¬®-įı-ɏ]|<\\|")
-MEMO_WORDS = 300_000
+from . import spans
+
+#: What a text may not have if it is to be cut: anything but single spaces, single line ends, printable ASCII and the
+#: Latin letters and signs up to U+024F (whose classes all Unicode versions share, and which have no other normal form).
+UNSAFE = re.compile("[^\n\x20-\x7e¡-¬®-įı-ɏ]|[ \n][ \n]|<\\||\\A[ \n]|[ \n]\\Z")
+MEMO_WORDS = 2_000_000
+CHUNK = 1 << 20
+END_OF_TEXT = "<|endoftext|>"
 
 
 def load(path: str):
@@ -32,58 +35,104 @@ def load(path: str):
     return tok
 
 
+class Memo:
+    """Word hash -> ids. Sorted runs, each more than half as long again as the next, over one pool of ids."""
+
+    def __init__(self):
+        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.pool, self.used = np.zeros(1 << 16, "<u4"), 0
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the pool (-1: unknown) and number of ids of each key."""
+        at, n = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+        for have, places, sizes in self.runs:
+            i = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+            hit = have[i] == keys
+            at[hit], n[hit] = places[i[hit]], sizes[i[hit]]
+        return at, n
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """keys sorted and unknown so far."""
+        if sum(len(r[0]) for r in self.runs) + len(keys) > MEMO_WORDS:
+            self.runs, self.used = [], 0
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.append(self.pool, np.zeros(len(self.pool), "<u4"))
+        self.pool[self.used : self.used + len(ids)] = ids
+        run = (keys, (self.used + np.cumsum(sizes) - sizes).astype(np.int32), sizes.astype(np.int32))
+        self.used += len(ids)
+        while self.runs and len(self.runs[-1][0]) < 2 * len(run[0]):
+            old = self.runs.pop()
+            order = np.argsort(np.concatenate([old[0], run[0]]), kind="stable")
+            run = tuple(np.concatenate([a, b])[order] for a, b in zip(old, run, strict=True))
+        self.runs.append(run)
+
+
 class Encoder:
-    """ids(texts) -> one little-endian byte string of 32-bit ids for each text."""
-
-    def __init__(self, path: str, pattern: str, lower: bool):
-        self.tok, self.find, self.lower = load(path), regex.compile(pattern).findall, lower
-        self.memo: dict[str, bytes] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.memo) + len(words) > MEMO_WORDS:
-            self.memo.clear()
-        new = list(words - self.memo.keys())
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[w] = np.asarray(e.ids, "<u4").tobytes()
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        at, held = 0, 0
-        split: list[tuple[int, list[str]]] = []
-
-        def flush() -> None:
-            words = set().union(*(w for _, w in split))
-            if not words <= self.memo.keys():
-                self._learn(words)
-            for i, w in split:
-                try:
-                    out[i] = b"".join(map(self.memo.__getitem__, w))
-                except KeyError:  # the memo was emptied meanwhile
-                    self._learn(set(w))
-                    out[i] = b"".join(map(self.memo.__getitem__, w))
-            split.clear()
-
-        for at, text in enumerate(texts):
-            if UNSAFE.search(text):
-                out[at] = np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    """ids(texts) -> an array of 32-bit ids for each text. spaced: a byte-level vocabulary, whose tokens have the space
+    before a word; else one that lower-cases and drops white space."""
+
+    def __init__(self, path: str, spaced: bool):
+        self.tok, self.spaced, self.memo = load(path), spaced, Memo()
+        self.end = self.tok.token_to_id(END_OF_TEXT)
+
+    def _learn(self, keys: np.ndarray, found: list[bytes]) -> None:
+        for i in range(0, len(found), 5000):
+            text = END_OF_TEXT.join(w.decode() for w in found[i : i + 5000])
+            ids = np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            is_end = ids == self.end
+            cuts = np.concatenate([[-1], np.flatnonzero(is_end), [len(ids)]])
+            self.memo.add(keys[i : i + 5000], ids[~is_end], np.diff(cuts) - 1)
+
+    def _cut_and_join(self, raw: list[bytes]) -> list[np.ndarray]:
+        buf, bounds = spans.joined(raw)
+        if not self.spaced:
+            buf = spans.lower(buf)
+        gap = (buf == 32) | (buf == 10)
+        mark = gap.copy()
+        mark[bounds[:-1]] = True
+        begins = np.flatnonzero(mark)
+        ends = np.append(begins[1:], len(buf))
+        first_word = np.searchsorted(begins, bounds)
+        if not self.spaced:
+            begins = begins + gap[begins]
+        keys, index, inverse = np.unique(spans.hashes(spans.prefix(buf), begins, ends), return_index=True, return_inverse=True)
+        at, n = self.memo.find(keys)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            whole = buf.tobytes()
+            self._learn(keys[new], [whole[a:z] for a, z in zip(begins[index[new]].tolist(), ends[index[new]].tolist(), strict=True)])
+            at, n = self.memo.find(keys)
+            if (at < 0).any():  # the memo was emptied meanwhile
+                self._learn(keys[at < 0], [whole[begins[i] : ends[i]] for i in index[at < 0]])
+                at, n = self.memo.find(keys)
+        sizes = n[inverse]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.memo.pool[np.repeat(at[inverse] - upto[:-1], sizes) + np.arange(upto[-1])]
+        return np.split(ids, upto[first_word[1:-1]])
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
+        plain: list[int] = []
+        for i, text in enumerate(texts):
+            if not text:
                 continue
-            split.append((at, self.find(text.lower() if self.lower else text)))
-            held += len(text)
-            if held > 1_000_000:
-                flush()
-                held = 0
-        flush()
+            if UNSAFE.search(text):
+                out[i] = np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
+            else:
+                plain.append(i)
+        raw = [texts[i].encode() for i in plain]
+        for a, z in spans.chunks(list(map(len, raw)), CHUNK):
+            for i, got in zip(plain[a:z], self._cut_and_join(raw[a:z]), strict=True):
+                out[i] = got
         return out
 
 
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, pattern: str, lower: bool) -> Encoder:
+def encoder(path: str, spaced: bool) -> Encoder:
     """One for each worker process and vocabulary."""
-    key = (path, pattern, lower)
+    key = (path, spaced)
     if key not in _encoders:
         _encoders[key] = Encoder(*key)
     return _encoders[key]

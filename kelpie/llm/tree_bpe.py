@@ -87,9 +87,9 @@ def join_tree(tok, texts: list[str], parts: list[Part]) -> list[int]:
     return level[0][0][0]
 
 
-def _results(rows, tok, raw: list[bytes]):
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 from little-endian ids."""
-    arrays = [np.frombuffer(x, "<u4").tolist() for x in raw]
+def _results(rows, tok, ids: list[np.ndarray]):
+    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    arrays = [x.tolist() for x in ids]
     decoded = tok.decode_batch(arrays, skip_special_tokens=False)
     return pd.DataFrame({
         "doc_id": rows, "n_tokens": [len(x) for x in arrays],
@@ -108,7 +108,7 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def whole(batches):
-        enc = tokens.encoder(vocabulary, tokens.WORD_PATTERN, True)
+        enc = tokens.encoder(vocabulary, False)
         for b in batches:
             yield _results(b["doc_id"].astype("Int64"), enc.tok, enc.ids(b["text"].to_list()))
 
@@ -123,7 +123,7 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
     leaves = long.select("doc_id", "row_no", "i", F.substring(F.col("text"), begin + 1, end - begin).alias("text"))
 
     def encode_leaves(batches):
-        tok = tokens.encoder(vocabulary, tokens.WORD_PATTERN, True).tok
+        tok = tokens.encoder(vocabulary, False).tok
         for b in batches:
             out = [encode_part(tok, t, 0) for t in b["text"]]
             b["ids"] = [np.asarray(x, "<u4").tobytes() for x, _ in out]
@@ -131,13 +131,13 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
             yield b
 
     def join_leaves(b):
-        enc, b = tokens.encoder(vocabulary, tokens.WORD_PATTERN, True), b.sort_values("i")
+        enc, b = tokens.encoder(vocabulary, False), b.sort_values("i")
         read = [
             (np.frombuffer(i, "<u4").tolist(), list(map(tuple, np.frombuffer(s, "<i4").reshape(-1, 2).tolist())))
             for i, s in zip(b["ids"], b["spans"], strict=True)
         ]
         ids = join_tree(enc.tok, b["text"].to_list(), read)
-        return _results(b["doc_id"].astype("Int64").iloc[:1], enc.tok, [np.asarray(ids, "<u4").tobytes()])
+        return _results(b["doc_id"].astype("Int64").iloc[:1], enc.tok, [np.asarray(ids, "<u4")])
 
     encoded = leaves.repartition("row_no", "i").mapInPandas(
         encode_leaves, "doc_id bigint, row_no bigint, i int, text string, ids binary, spans binary"
