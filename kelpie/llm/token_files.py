@@ -137,6 +137,7 @@ def write(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
     common.small_batches(spark, 64)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = common.written(_encoded(docs, id_col, text_col, vocabulary, end_id, block_tokens, max(1, size // SHARD_BYTES + 1)), "token-blocks")
+    common.small_batches(spark, 2)  # a row is a block from here on
     ranked = [r["id"] for r in frequencies(blocks).orderBy(F.desc("n"), "id").select("id").collect()]  # bounded by the vocabulary
     folder = common.scratch_path(spark, "token-files")
     order = np.asarray(ranked, "<u4")
@@ -153,7 +154,6 @@ def write(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
                 _put(folder, name, block_bytes(keys, lens, rank[_item(ids, lens)]))
                 yield pd.DataFrame({"file": [name], "n_docs": [len(keys)], "n_tokens": [int(lens.sum())]})
 
-    common.small_batches(spark, 4)
     manifest = common.written(blocks.mapInPandas(store, "file string, n_docs bigint, n_tokens bigint"), "token-manifest")
     common.forget(blocks)
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
@@ -176,7 +176,7 @@ def _put(folder: str, name: str, raw: bytes) -> None:
 
 def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files."""
-    common.small_batches(spark, 4)
+    common.small_batches(spark, 2)
     ranks = spark.read.format("binaryFile").option("pathGlobFilter", "ranks.u4").load(folder).select("content").first()
     order = np.frombuffer(bytes(ranks[0]), "<u4")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.kfr").load(folder)
