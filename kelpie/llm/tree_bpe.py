@@ -14,6 +14,7 @@ rows of their own. An empty table gives an empty table. Extra columns are ignore
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,43 +28,80 @@ LEAF = 16_384
 WINDOW = 32  # tokens on either side at first
 AGREE = 4
 
-#: A part: ids, and the first and last character of each token in the whole text.
-Part = tuple[list[int], list[tuple[int, int]]]
+#: Characters at either end of a part whose tokens' places are kept.
+EDGE = 1024
 
 
-def encode_part(tok, text: str, at: int) -> Part:
+@dataclass
+class Part:
+    """ids of text[low:high], with the first and last character of each of the first and last tokens (in the text)."""
+
+    ids: np.ndarray
+    head: list[tuple[int, int]]
+    tail: list[tuple[int, int]]
+    low: int
+    high: int
+
+
+def _placed(tok, text: str, at: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
     e = tok.encode(text, add_special_tokens=False)
-    return e.ids, [(a + at, b + at) for a, b in e.offsets]
-
-
-def _shared(part: Part, span: range, window: Part, last: bool) -> tuple[int, int] | None:
-    """Where AGREE tokens in a row are the same in part (within span) and window: index in each; the first or last run."""
-    ids, offs = part
-    w_ids, w_offs = window
-    place = {(ids[i], *offs[i]): i for i in span}
-    starts = range(len(w_ids) - AGREE, -1, -1) if last else range(len(w_ids) - AGREE + 1)
-    for j in starts:
-        i = place.get((w_ids[j], *w_offs[j]))
-        if i is not None and i + AGREE <= span.stop and all(ids[i + k] == w_ids[j + k] and offs[i + k] == w_offs[j + k] for k in range(1, AGREE)):
-            return i, j
+    return np.asarray(e.ids, "<u4"), [(a + at, z + at) for a, z in e.offsets]
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    n = min(len(a), len(b))
+    other = np.flatnonzero(a[:n] != b[:n])
+    return int(other[0]) if len(other) else n
+
+
+def edges(tok, text: str, ids: np.ndarray, edge: int = EDGE) -> tuple[list, list]:
+    """Places of the first and last tokens of text, whose ids are given: from encoding its ends alone, as far as that
+    gives the same ids, less AGREE tokens at the cut."""
+    if len(text) <= 2 * edge:
+        _, places = _placed(tok, text, 0)
+        return places, places
+    first, head = _placed(tok, text[:edge], 0)
+    last, tail = _placed(tok, text[-edge:], len(text) - edge)
+    n, m = (max(0, _common(x, y) - AGREE) for x, y in ((first, ids), (last[::-1], ids[::-1])))
+    return head[:n], tail[len(tail) - m :]
+
+
+def _shared(ids, places, window, w_places, last: bool) -> tuple[int, int] | None:
+    """Where AGREE tokens in a row are the same: index in ids and in window; the first or the last such run."""
+    at = {(int(i), *p): k for k, (i, p) in enumerate(zip(ids, places, strict=True))}
+    starts = range(len(window) - AGREE + 1)
+    for j in reversed(starts) if last else starts:
+        k = at.get((int(window[j]), *w_places[j]))
+        if k is not None and k + AGREE <= len(ids) and places[k : k + AGREE] == w_places[j : j + AGREE] and (ids[k : k + AGREE] == window[j : j + AGREE]).all():
+            return k, j
     return None
 
 
-def join_parts(tok, text: str, left: Part, right: Part, low: int, high: int, width: int = WINDOW) -> Part:
-    """The part of text[low:high], from the parts of its two pieces."""
-    n, m = len(left[0]), len(right[0])
+def join_parts(tok, text: str, left: Part, right: Part, width: int = WINDOW) -> Part:
+    """The part of both parts' text."""
+    n, m = len(left.ids), len(right.ids)
     while True:
-        a, z = max(0, n - width), min(m, width)
-        begin, end = (left[1][a][0] if a else low), (right[1][z - 1][1] if z < m else high)
-        window = encode_part(tok, text[begin:end], begin)
-        if a == 0 and z == m:
-            return window
-        on_left = (0, 0) if a == 0 else _shared(left, range(a, n), window, False)
-        on_right = (m, len(window[0])) if z == m else _shared(right, range(z), window, True)
+        a, z = min(width, len(left.tail)), min(width, len(right.head))
+        all_left, all_right = a == n, z == m
+        if width > max(a, z) and not (all_left and all_right):
+            break  # the window would need tokens whose places aren't kept
+        begin = left.low if all_left else left.tail[-a][0]
+        end = right.high if all_right else right.head[z - 1][1]
+        window, places = _placed(tok, text[begin:end], begin)
+        if all_left and all_right:
+            return Part(window, places, places, left.low, right.high)
+        on_left = (n - a, 0) if all_left else _shared(left.ids[n - a :], left.tail[len(left.tail) - a :], window, places, False) if a else None
+        on_right = (m, len(window)) if all_right else _shared(right.ids[:z], right.head[:z], window, places, True) if z else None
         if on_left and on_right and on_left[1] <= on_right[1]:
-            (i, j), (k, x) = on_left, on_right
-            return left[0][:i] + window[0][j:x] + right[0][k:], left[1][:i] + window[1][j:x] + right[1][k:]
+            i, j, k, x = (0 if all_left else n - a + on_left[0]), on_left[1], on_right[0], on_right[1]
+            ids = np.concatenate([left.ids[:i], window[j:x], right.ids[k:]])
+            # Places up to the first, and from the last, token whose place isn't known.
+            head = left.head[:i] + (places[j:x] + right.head[k:] if len(left.head) >= i else [])
+            tail = (left.tail[: len(left.tail) - (n - i)] + places[j:x] if len(right.tail) >= m - k else []) + (right.tail[len(right.tail) - (m - k) :] if len(right.tail) > m - k else right.tail)
+            return Part(ids, head, tail, left.low, right.high)
         width *= 2
+    ids, places = _placed(tok, text[left.low : right.high], left.low)
+    return Part(ids, places, places, left.low, right.high)
 
 
 def cuts(n: int, leaf: int = LEAF) -> int:
@@ -74,26 +112,29 @@ def cuts(n: int, leaf: int = LEAF) -> int:
     return k
 
 
-def join_tree(tok, texts: list[str], parts: list[Part]) -> list[int]:
-    """parts: of consecutive pieces of one text, offsets counted from each piece's own start."""
+def join_tree(tok, texts: list[str], parts: list[tuple[np.ndarray, list, list]]) -> np.ndarray:
+    """parts: (ids, head, tail) of consecutive pieces of one text, places counted from each piece's own start."""
     text = "".join(texts)
     bounds = np.cumsum([0, *map(len, texts)]).tolist()
-    level = [((i, [(a + s, b + s) for a, b in o]), s, e) for (i, o), s, e in zip(parts, bounds, bounds[1:], strict=False)]
+    moved = lambda places, s: [(a + s, z + s) for a, z in places]
+    level = [Part(i, moved(h, s), moved(t, s), s, e) for (i, h, t), s, e in zip(parts, bounds, bounds[1:], strict=False)]
     while len(level) > 1:
-        pairs = [
-            (join_parts(tok, text, x[0], y[0], x[1], y[2]), x[1], y[2]) for x, y in zip(level[::2], level[1::2], strict=False)
-        ]
+        pairs = [join_parts(tok, text, x, y) for x, y in zip(level[::2], level[1::2], strict=False)]
         level = pairs + level[len(level) // 2 * 2 :]
-    return level[0][0][0]
+    return level[0].ids
+
+
+_spellings: dict[int, list[str]] = {}
 
 
 def _results(rows, tok, ids: list[np.ndarray]):
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    spelled = _spellings.setdefault(0, list(map(str, range(tok.get_vocab_size()))))
     arrays = [x.tolist() for x in ids]
     decoded = tok.decode_batch(arrays, skip_special_tokens=False)
     return pd.DataFrame({
         "doc_id": rows, "n_tokens": [len(x) for x in arrays],
-        "ids_sha256": [hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in arrays],
+        "ids_sha256": [hashlib.sha256(" ".join(map(spelled.__getitem__, x)).encode()).hexdigest() for x in arrays],
         "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in decoded],
     })
 
@@ -123,24 +164,22 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
     leaves = long.select("doc_id", "row_no", "i", F.substring(F.col("text"), begin + 1, end - begin).alias("text"))
 
     def encode_leaves(batches):
-        tok = tokens.encoder(vocabulary, False).tok
+        enc = tokens.encoder(vocabulary, False)
         for b in batches:
-            out = [encode_part(tok, t, 0) for t in b["text"]]
-            b["ids"] = [np.asarray(x, "<u4").tobytes() for x, _ in out]
-            b["spans"] = [np.asarray(x, "<i4").tobytes() for _, x in out]
+            ids = enc.ids(b["text"].to_list())
+            ends = [edges(enc.tok, t, i) for t, i in zip(b["text"], ids, strict=True)]
+            b["ids"] = [i.tobytes() for i in ids]
+            b["head"], b["tail"] = ([np.asarray(e[k], "<i4").tobytes() for e in ends] for k in (0, 1))
             yield b
 
     def join_leaves(b):
         enc, b = tokens.encoder(vocabulary, False), b.sort_values("i")
-        read = [
-            (np.frombuffer(i, "<u4").tolist(), list(map(tuple, np.frombuffer(s, "<i4").reshape(-1, 2).tolist())))
-            for i, s in zip(b["ids"], b["spans"], strict=True)
-        ]
-        ids = join_tree(enc.tok, b["text"].to_list(), read)
-        return _results(b["doc_id"].astype("Int64").iloc[:1], enc.tok, [np.asarray(ids, "<u4")])
+        places = lambda raw: list(map(tuple, np.frombuffer(raw, "<i4").reshape(-1, 2).tolist()))
+        read = [(np.frombuffer(i, "<u4"), places(h), places(t)) for i, h, t in zip(b["ids"], b["head"], b["tail"], strict=True)]
+        return _results(b["doc_id"].astype("Int64").iloc[:1], enc.tok, [join_tree(enc.tok, b["text"].to_list(), read)])
 
     encoded = leaves.repartition("row_no", "i").mapInPandas(
-        encode_leaves, "doc_id bigint, row_no bigint, i int, text string, ids binary, spans binary"
+        encode_leaves, "doc_id bigint, row_no bigint, i int, text string, ids binary, head binary, tail binary"
     )
     joined = encoded.groupBy("row_no").applyInPandas(join_leaves, RESULT)
     return short.unionByName(joined)

@@ -40,14 +40,16 @@ def _long_texts():
 
 
 @pytest.mark.parametrize("leaf", [7, 64, 301])
-def test_tree_is_the_library(leaf):
+@pytest.mark.parametrize("edge", [5, 40, 1024])
+def test_tree_is_the_library(leaf, edge):
     tok = tokens.load(WORDS)
     for text in _long_texts():
         k = tree_bpe.cuts(len(text), leaf)
         at = [i * len(text) // k for i in range(k + 1)]
         pieces = [text[a:z] for a, z in zip(at, at[1:])]
-        got = tree_bpe.join_tree(tok, pieces, [tree_bpe.encode_part(tok, p, 0) for p in pieces])
-        assert got == tok.encode(text, add_special_tokens=False).ids
+        ids = tokens.encoder(WORDS, False).ids(pieces)
+        got = tree_bpe.join_tree(tok, pieces, [(i, *tree_bpe.edges(tok, p, i, edge)) for p, i in zip(pieces, ids)])
+        assert got.tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
 ROWS = [(3, "Hello there friend " * 30), (None, "null id"), (1, None), (1, ""), (2, "dup"), (2, "dup"), (9, "z" * 5000 + " tail"), (4, "don't <|endoftext|> stop")]
