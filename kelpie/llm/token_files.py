@@ -1,7 +1,7 @@
 """Token-id files: ids ranked by corpus frequency in a byte-aligned variable-length code.
 
 Writing. Documents are ordered by range partitioning on doc_id, encoded, and gathered in blocks; the ids of all blocks
-are counted and ranked (the vocabulary bounds that table), and each block becomes one file: a header, the documents'
+are counted and ranked (the vocabulary bounds that table), and each run of blocks up to FILE_TOKENS becomes one file: a header, the documents'
 ids and lengths, control bytes (two bits for each token: bytes of its rank less 1, four tokens in a byte) and, apart
 from them, the ranks' bytes. Frequent ids have small ranks, so most take one byte. A file's name has its place in the
 order. A task writes under a name of its own and renames, so a retry or a twin leaves one whole file.
@@ -29,8 +29,9 @@ from . import common, tokens
 
 MAGIC = b"KFR1"
 HEAD = struct.Struct("<4sIQQ")  # magic, documents, tokens, bytes of data
-BLOCK_TOKENS = 1 << 20
-SHARD_BYTES = 64 << 20
+BLOCK_TOKENS = 1 << 18
+FILE_TOKENS = 1 << 22
+SHARD_BYTES = 16 << 20
 NULL_ID = np.iinfo(np.int64).min
 
 #: Lengths of the four ranks of each control byte.
@@ -147,12 +148,24 @@ def write(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
     def store(batches):
         rank = np.zeros(int(order.max(initial=0)) + 1, "<u4")
         rank[order] = np.arange(len(order), dtype="<u4")
+        held: list[tuple] = []
+
+        def put():
+            keys, lens, ranks = (np.concatenate(x) for x in zip(*(h[1:] for h in held), strict=True))
+            name = f"{held[0][0][0]:08d}-{held[0][0][1]:06d}.kfr"
+            _put(folder, name, block_bytes(keys, lens, ranks))
+            return pd.DataFrame({"file": [name], "n_docs": [len(keys)], "n_tokens": [len(ranks)]})
+
         for b in batches:
             for part, no, doc_ids, lens, ids in b.itertuples(index=False):
                 keys, lens = np.frombuffer(doc_ids, "<i8"), np.frombuffer(lens, "<i8")
-                name = f"{part:08d}-{no:06d}.kfr"
-                _put(folder, name, block_bytes(keys, lens, rank[_item(ids, lens)]))
-                yield pd.DataFrame({"file": [name], "n_docs": [len(keys)], "n_tokens": [int(lens.sum())]})
+                # Only neighbours in the order share a file.
+                if held and (held[-1][0] != (part, no - 1) or sum(len(h[3]) for h in held) >= FILE_TOKENS):
+                    yield put()
+                    held.clear()
+                held.append(((part, no), keys, lens, rank[_item(ids, lens)]))
+        if held:
+            yield put()
 
     manifest = common.written(blocks.mapInPandas(store, "file string, n_docs bigint, n_tokens bigint"), "token-manifest")
     common.forget(blocks)

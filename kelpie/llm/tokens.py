@@ -1,28 +1,46 @@
 """Encoding with the tokenizers library inside tasks, with a memo of words.
 
 Most words of a corpus come up again and again, and merging is most of the work. No token of the two vocabularies
-reaches across a single space or line end between other characters, so a text of common characters is cut there, each
-new word is encoded once by the library (many in one call, the end-of-text token between them), and a text's ids are
-the ids of its words. Words are found, hashed to 64 bits, looked up and put together in numpy. Any other text
-(characters outside the set below, longer runs of white space, a possible special token) goes to the library whole.
+reaches across a single space or line end between other characters, or from a letter or digit into punctuation, so a
+text of common characters is cut there, each new piece is encoded once by the library (many in one call, with a
+separator between them), and a text's ids are the ids of its pieces. Pieces are found, hashed to 64 bits, looked up and put together in numpy. Any other text
+(rarer characters, longer runs of white space, a possible special token) goes to the library whole.
 Either way the ids are those of the library on the whole text.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
 from . import spans
 
-#: What a text may not have if it is to be cut: anything but single spaces, single line ends, printable ASCII and the
-#: Latin letters and signs up to U+024F (whose classes all Unicode versions share, and which have no other normal form).
-UNSAFE = re.compile("[^\n\x20-\x7e¡-¬®-įı-ɏ]|[ \n][ \n]|<\\||\\A[ \n]|[ \n]\\Z")
-MEMO_WORDS = 2_000_000
+#: ASCII punctuation that always begins a new piece after an ASCII letter or digit (not the apostrophe).
+BREAKS = np.zeros(256, bool)
+BREAKS[np.frombuffer(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8)] = True
+ALNUM = np.zeros(256, bool)
+ALNUM[np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", np.uint8)] = True
+
+
+def unsafe(buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which texts may not be cut: those with anything but single spaces, single line ends, printable ASCII and the
+    Latin letters and signs up to U+024F (whose classes all Unicode versions share, and which have no other normal
+    form), with white space at an end, or with what may be a special token. buf: UTF-8 of all texts; none is empty."""
+    gap = (buf == 32) | (buf == 10)
+    then = np.append(buf[1:], np.uint8(0))
+    bad = ((buf < 32) & (buf != 10)) | (buf == 127) | (buf >= 0xCA)
+    bad |= (buf == 0xC2) & ((then <= 0xA0) | (then == 0xAD))
+    bad |= (buf == 0xC4) & (then == 0xB0)
+    bad |= (buf == 60) & (then == 124)
+    bad[:-1] |= gap[1:] & gap[:-1]  # over a text's end too: one of them has white space there
+    bad[bounds[:-1]] |= gap[bounds[:-1]]
+    bad[bounds[1:] - 1] |= gap[bounds[1:] - 1]
+    return np.logical_or.reduceat(bad, bounds[:-1])
+
+
+MEMO_WORDS = 1_200_000
 CHUNK = 1 << 20
-END_OF_TEXT = "<|endoftext|>"
 
 
 def load(path: str):
@@ -45,10 +63,12 @@ class Memo:
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the pool (-1: unknown) and number of ids of each key."""
         at, n = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+        left = np.arange(len(keys))
         for have, places, sizes in self.runs:
-            i = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-            hit = have[i] == keys
-            at[hit], n[hit] = places[i[hit]], sizes[i[hit]]
+            i = np.minimum(np.searchsorted(have, keys[left]), len(have) - 1)
+            hit = have[i] == keys[left]
+            at[left[hit]], n[left[hit]] = places[i[hit]], sizes[i[hit]]
+            left = left[~hit]
         return at, n
 
     def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
@@ -73,56 +93,68 @@ class Encoder:
 
     def __init__(self, path: str, spaced: bool):
         self.tok, self.spaced, self.memo = load(path), spaced, Memo()
-        self.end = self.tok.token_to_id(END_OF_TEXT)
+        self.between = "\n" if spaced else " あ "
+        ids = self.tok.encode(self.between, add_special_tokens=False).ids
+        self.mark = np.asarray(ids, "<u4")
 
     def _learn(self, keys: np.ndarray, found: list[bytes]) -> None:
         for i in range(0, len(found), 5000):
-            text = END_OF_TEXT.join(w.decode() for w in found[i : i + 5000])
+            part = [w.decode() for w in found[i : i + 5000]]
+            # A line end stands before each piece as it is, so a piece that begins with one is sent without it.
+            text = self.between.join(["", *(w[1:] if w[0] == "\n" else w for w in part), ""])
             ids = np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            is_end = ids == self.end
-            cuts = np.concatenate([[-1], np.flatnonzero(is_end), [len(ids)]])
-            self.memo.add(keys[i : i + 5000], ids[~is_end], np.diff(cuts) - 1)
+            k = len(self.mark)
+            marks = np.flatnonzero(ids == self.mark[0]) if k == 1 else np.flatnonzero((np.lib.stride_tricks.sliding_window_view(ids, k) == self.mark).all(axis=1))
+            if len(marks) != len(part) + 1:
+                raise ValueError("a piece has the separator's ids")
+            lead = np.array([w[0] == "\n" for w in part])
+            own = np.ones(len(ids), bool)
+            for j in range(k):
+                own[marks + j] = False
+            own[marks[:-1][lead]] = True  # there the separator is the piece's own line end
+            self.memo.add(keys[i : i + 5000], ids[own], np.diff(marks) - k + lead)
 
     def _cut_and_join(self, raw: list[bytes]) -> list[np.ndarray]:
+        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(raw)
         buf, bounds = spans.joined(raw)
+        odd = unsafe(buf, bounds)
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = np.asarray(self.tok.encode(raw[i].decode(), add_special_tokens=False).ids, "<u4")
+        if odd.any():
+            raw = [x for x, o in zip(raw, odd.tolist(), strict=True) if not o]
+            if not raw:
+                return out
+            buf, bounds = spans.joined(raw)
         if not self.spaced:
             buf = spans.lower(buf)
         gap = (buf == 32) | (buf == 10)
         mark = gap.copy()
+        mark[1:] |= BREAKS[buf[1:]] & ALNUM[buf[:-1]]
         mark[bounds[:-1]] = True
         begins = np.flatnonzero(mark)
         ends = np.append(begins[1:], len(buf))
-        first_word = np.searchsorted(begins, bounds)
+        first = np.searchsorted(begins, bounds)
         if not self.spaced:
             begins = begins + gap[begins]
         keys, index, inverse = np.unique(spans.hashes(spans.prefix(buf), begins, ends), return_index=True, return_inverse=True)
         at, n = self.memo.find(keys)
-        new = np.flatnonzero(at < 0)
-        if len(new):
+        while len(new := np.flatnonzero(at < 0)):  # again where the memo was emptied meanwhile
             whole = buf.tobytes()
             self._learn(keys[new], [whole[a:z] for a, z in zip(begins[index[new]].tolist(), ends[index[new]].tolist(), strict=True)])
             at, n = self.memo.find(keys)
-            if (at < 0).any():  # the memo was emptied meanwhile
-                self._learn(keys[at < 0], [whole[begins[i] : ends[i]] for i in index[at < 0]])
-                at, n = self.memo.find(keys)
         sizes = n[inverse]
         upto = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.memo.pool[np.repeat(at[inverse] - upto[:-1], sizes) + np.arange(upto[-1])]
-        return np.split(ids, upto[first_word[1:-1]])
+        for i, got in zip(np.flatnonzero(~odd).tolist(), np.split(ids, upto[first[1:-1]]), strict=True):
+            out[i] = got
+        return out
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
-        plain: list[int] = []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if UNSAFE.search(text):
-                out[i] = np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
-            else:
-                plain.append(i)
-        raw = [texts[i].encode() for i in plain]
+        filled = [i for i, t in enumerate(texts) if t]
+        raw = [texts[i].encode() for i in filled]
         for a, z in spans.chunks(list(map(len, raw)), CHUNK):
-            for i, got in zip(plain[a:z], self._cut_and_join(raw[a:z]), strict=True):
+            for i, got in zip(filled[a:z], self._cut_and_join(raw[a:z]), strict=True):
                 out[i] = got
         return out
 
