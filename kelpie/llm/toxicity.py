@@ -173,14 +173,16 @@ def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[bytes], list[bytes]]:
     """Texts of labelled rows (toxic, ordinary) whose crc32 of the id modulo 5 is not 0, within the bounds above."""
+    i = F.col("__label_id")
     marks = labels.filter("toxic is not null").groupBy(F.col("doc_id").alias("__label_id")).agg(F.max("toxic").alias("__toxic"))
+    marks = marks.filter(common.crc_remainder(i) != 0)
+    firsts = [marks.filter(F.col("__toxic") == kind).orderBy(F.xxhash64(i), i).limit(n) for kind, n in SAMPLE.items()]
+    chosen = firsts[0].unionByName(firsts[1])  # SAMPLE rows at most, so a broadcast; no text is shuffled
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).filter(F.octet_length("__text") <= SAMPLE_BYTES)
-    rows = rows.filter(common.crc_remainder(F.col("__id")) != 0).join(marks, F.col("__id") == F.col("__label_id"))
-    out = []
-    for kind in (1, 0):
-        first = rows.filter(F.col("__toxic") == kind).orderBy(F.xxhash64("__id"), "__text").limit(SAMPLE[kind])
-        out.append([r["__text"].encode() for r in first.select("__text").collect()])
-    return out[0], out[1]
+    got = rows.join(F.broadcast(chosen), F.col("__id") == i).select("__toxic", F.xxhash64(i).alias("h"), "__text").collect()
+    got.sort(key=lambda r: (r["h"], r["__text"]))
+    out = {kind: [r["__text"].encode() for r in got if r["__toxic"] == kind][: SAMPLE[kind]] for kind in SAMPLE}
+    return out[1], out[0]
 
 
 def _scores(model: Model, pair, texts: list) -> np.ndarray:
