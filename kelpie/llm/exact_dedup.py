@@ -119,9 +119,9 @@ def filtered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bi
         .agg(F.max(F.struct(F.col(id_col).alias("i"))).alias("best"))
         .select("w_sha", F.col("best.i").alias("w_id"))
     )
-    # The join is on text and id together, so a hot group is spread over its ids; one row of each group remains.
+    # The join is on text and id together, so a hot group is spread over its ids; of rows that repeat text and id one remains.
     held = rows.join(winners, (F.col(sha) == F.col("w_sha")) & F.col(id_col).eqNullSafe(F.col("w_id")), "left_semi")
-    return alone.unionByName(held.dropDuplicates([sha]).select(*docs.columns))
+    return alone.unionByName(held.dropDuplicates([id_col, sha]).select(*docs.columns))
 
 
 def op5_bloom_exact_dedup(spark, sf_dir: str) -> DataFrame:
