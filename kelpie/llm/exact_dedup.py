@@ -43,10 +43,10 @@ def filter_bits(n_rows: int, bits_per_row: int = 16, max_bits: int = 1 << 28) ->
     return bits
 
 
-def repeated_slots(hashes: DataFrame, bits: int, k: int) -> DataFrame:
-    """hashes (h) -> (bucket, bitmap) of the slots that two or more rows hit; at most bits / 8 bytes in all."""
+def repeated_slots(hashes: DataFrame, bits: int, k: int, least: int = 2) -> DataFrame:
+    """hashes (h) -> (bucket, bitmap) of the slots that `least` or more rows hit; at most bits / 8 bytes in all."""
     slot = F.explode(F.array(*_slots(F.col("h"), bits, k))).alias("slot")
-    twice = hashes.select(slot).groupBy("slot").count().filter("count > 1")
+    twice = hashes.select(slot).groupBy("slot").count().filter(F.col("count") >= least)
     return twice.groupBy(F.expr(f"slot div {BUCKET}").alias("bucket")).agg(
         F.bitmap_construct_agg(F.col("slot") % BUCKET).alias("bitmap")
     )
