@@ -36,7 +36,7 @@ from . import common, exact_dedup, spans
 
 LENGTH = 200
 GRAM = 40
-INDEX_BYTES = 1 << 21
+INDEX_BYTES = 1 << 18
 FILTER_BITS = 1 << 27  # 16 MB
 CHUNK = 1 << 20
 
