@@ -33,7 +33,7 @@ def camera_name(name: Column) -> Column:
 def rgb_to_bytes(value: Column, eight_bit: bool) -> Column:
     """0 to 255 from 8-bit values in 16-bit fields, or from full 16-bit ones; 180 for missing."""
     scaled = value if eight_bit else F.rint(value / 257.0)
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(255), scaled)).cast("int"), F.lit(180))
+    return F.when(value.isNull(), 180).otherwise(F.greatest(F.lit(0), F.least(F.lit(255), scaled)).cast("int"))
 
 
 def size_text(n: Column) -> Column:

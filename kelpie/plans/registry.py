@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import clouds, series
+from . import audits, clouds, series
 
-MODULES = [clouds, series]
+MODULES = [clouds, series, audits]
 
 
 def queries() -> dict:
