@@ -1,0 +1,267 @@
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from kelpie.llm import common, exact_dedup, mixing, near_dedup, ngram_lm, quality, secrets, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, h long, key int"
+WORDS = ["alpha", "beta", "gamma", "delta", "the", "of", "and", "to", "in", "it"]
+
+
+def make(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, None, "x", 7, 1) for i, t, s in rows], SCHEMA)
+
+
+def sentence(rng, n):
+    return " ".join(rng.choice(WORDS) + str(rng.randrange(400)) for _ in range(n))
+
+
+def edge_rows():
+    rng = random.Random(1)
+    rows = [(1, None, "a"), (2, "", None), (None, "Null id", "b"), (3, "same Text", "a"), (4, "SAME text", "a"), (4, "SAME text", "a"), (5, "ÄB äb", "c"), (6, "äB äb", "c")]
+    rows += [(10 + i, sentence(rng, rng.randrange(1, 120)), rng.choice("abc")) for i in range(60)]
+    rows += [(200 + i, rows[20][1], "hot") for i in range(40)]  # a hot group
+    rows += [(300, sentence(rng, 6000), "b"), (301, "x" * 20000, "b"), (None, "Null id", "b")]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return make(spark, edge_rows())
+
+
+def normal(t):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+
+
+def test_exact(spark, docs):
+    groups = defaultdict(list)
+    for i, t, _ in edge_rows():
+        groups[normal(t)].append(i)
+    got = exact_dedup.decisions(docs).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["text_sha256"]].append(r)
+    assert len(got) == len(edge_rows())
+    for t, ids in groups.items():
+        rows = by[hashlib.sha256(t.encode()).hexdigest()]
+        best = max((i for i in ids if i is not None), default=None)
+        assert sorted(map(str, ids)) == sorted(str(r["doc_id"]) for r in rows)
+        assert {(r["keep_id"], r["group_size"]) for r in rows} == {(best, len(ids))}
+        assert [r["doc_id"] for r in rows if r["kept"]] == [best]
+    held = exact_dedup.filtered(docs)
+    assert held.columns == docs.columns
+    assert sorted(normal(r["text"]) for r in held.collect()) == sorted(groups)
+    # A tiny filter lets every row through to the shuffle and changes nothing.
+    assert exact_dedup.filter_bits(10**9, 16, 1 << 20) == 1 << 20
+    assert exact_dedup.decisions(docs.limit(0)).count() == exact_dedup.filtered(docs.limit(0)).count() == 0
+
+
+def test_quality_measures(spark, docs):
+    rows = edge_rows() + [(900, "a b c a b c a b", "a"), (901, "x x x x", "a"), (902, "l1\nl1\n \n#l2 $\nl1", "a"), (903, "a b c d", "a")]
+    got = {(r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in quality.measures(make(spark, rows)).collect()}
+    want = set()
+    for i, t, _ in rows:
+        t = t or ""
+        w = [x for x in __import__("re").findall(r"[^\x20\x09-\x0D]+", t)]
+        grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        c = Counter(grams)
+        cover = {k + d for k, g in enumerate(grams) if c[g] > 1 for d in range(3)}
+        lines = [x for x in t.split("\n") if __import__("re").search(r"[^\x20\x09-\x0D]", x)]
+        want.add((i, len(w), sum(map(len, w)), sum(ch in "#*$%&|<>" for ch in t), len(lines) - len(set(lines)), len(cover)))
+    assert got == want
+
+
+def test_quality_hosts(spark):
+    rng = random.Random(2)
+    bad = [(i, " ".join(["#x%d" % k for k in range(60)]), "bad") for i in range(50)]
+    good = [(100 + i, sentence(rng, 80), h) for i, h in enumerate(["good", "bad", None] * 20)]
+    out = {r["doc_id"]: r for r in quality.judged(make(spark, bad + good)).collect()}
+    assert all(not out[i]["kept"] and not out[i]["base_failed"] for i, _, _ in bad)
+    assert all(out[i]["kept"] for i, _, _ in good)
+    assert quality.judged(make(spark, [])).count() == 0
+
+
+def test_mixing(spark, docs):
+    out = mixing.plan(docs).collect()
+    assert len(out) == len(edge_rows())
+    by = defaultdict(lambda: [0, 0, 0.0])
+    for r in out:
+        by[r["source_size"]][0] += r["taken"]
+        by[r["source_size"]][2] = r["target"]
+        assert r["taken"] <= 3 * r["size"] and r["taken"] == r["copies"] * r["size"]
+        assert r["target"] <= 3 * r["source_size"] + 1e-9
+    biggest = max(r["size"] for r in out)
+    assert all(abs(taken - target) <= 2 * biggest for taken, _, target in by.values())
+    again = mixing.plan(docs).collect()
+    key = lambda rs: sorted(map(str, rs))
+    assert key(out) == key(again)
+    rows = mixing.mixed(docs)
+    assert rows.columns == docs.columns and rows.count() == sum(r["copies"] for r in out)
+    assert mixing.plan(docs.limit(0)).count() == mixing.mixed(docs.limit(0)).count() == 0
+    assert mixing.plan(make(spark, [(1, None, "a"), (2, "", "b")])).agg({"taken": "sum"}).first()[0] == 0
+
+
+def test_toxicity(spark):
+    rng = random.Random(4)
+    texts, labels = [], []
+    for i in range(900):
+        w = sentence(rng, rng.randrange(20, 200)).split()
+        toxic = i % 5 == 0
+        if toxic:
+            for _ in range(3):
+                w[rng.randrange(len(w))] = rng.choice(["zorgblatt", "quixnoth", "vrumpelsk"])
+        texts.append((i, " ".join(w), "a"))
+        labels.append((i, 1, int(toxic)))
+    docs, marks = make(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fitted(docs, marks)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.scored(docs, model).collect()}
+    held = [i for i in range(900) if zlib.crc32(str(i).encode()) % 5 == 0]
+    right = sum(got[i] == int(i % 5 == 0) for i in held) / len(held)
+    assert right > 0.95
+    odd = make(spark, [(1, None, "a"), (None, "", "b"), (3, "zorgblatt " * 30, None)])
+    out = toxicity.scored(odd, model).collect()
+    assert all(0 <= r["score"] <= 1 for r in out) and len(out) == 3
+    assert toxicity.kept(odd, model).columns == odd.columns
+    none = toxicity.fitted(docs, marks.limit(0))
+    assert {r["predicted"] for r in toxicity.scored(odd, none).collect()} == {0}
+    assert toxicity.scored(docs.limit(0), model).count() == 0
+
+
+def test_language_model(spark, docs):
+    """Against the same formulas over plain dictionaries."""
+    rows = edge_rows()
+    low = lambda t: [*__import__("re").findall(r"[^\x20\x09-\x0D]+", normal(t)), "</s>"]
+    train = [low(t) for i, t, _ in rows if i is None or i % 3]
+    model = ngram_lm.train(docs.filter("doc_id is null or doc_id % 3 <> 0"))
+    uni, pair, follow, ends = Counter(), Counter(), defaultdict(Counter), defaultdict(set)
+    for s in train:
+        for v, w in zip(["<s>", *s], s):
+            uni[w] += 1
+            pair[v, w] += 1
+            follow[v][w] += 1
+            ends[w].add(v)
+    assert (model.n, model.v, model.types) == (sum(uni.values()), len(uni), len(pair))
+    counts = lambda c: [sum(1 for x in c if x == k) for k in (1, 2, 3, 4)]
+    d2, n_ends = ngram_lm._discounts(counts(pair.values())), {w: len(x) for w, x in ends.items()}
+    d1 = ngram_lm._discounts(counts(n_ends.values()))
+    cut = lambda d, c: d[min(c, 3) - 1] if c else 0
+    free = sum(cut(d1, c) for c in n_ends.values()) / len(pair)
+    p1 = lambda w: (n_ends.get(w, 0) - cut(d1, n_ends.get(w, 0))) / len(pair) + free / (len(uni) + 1)
+
+    def p2(v, w):
+        total = sum(follow[v].values())
+        if not total:
+            return p1(w)
+        c = follow[v][w]
+        return (c - cut(d2, c)) / total + sum(cut(d2, x) for x in follow[v].values()) / total * p1(w)
+
+    vocab = [*uni, "never"]
+    assert math.isclose(sum(p2("the", w) for w in vocab[:-1]) + p2("the", "never"), 1, abs_tol=1e-9)
+    want = []
+    for i, t, _ in rows:
+        s = low(t)
+        base = sum(math.log10((uni[w] + 0.5) / (model.n + 0.5 * (model.v + 1))) for w in s)
+        want.append((i, len(s), sum(uni[w] > 0 for w in s), base, sum(math.log10(p2(v, w)) for v, w in zip(["<s>", *s], s))))
+    got = sorted(map(tuple, ngram_lm.scored(docs, model).collect()), key=str)
+    for g, w in zip(got, sorted(want, key=lambda r: str(r))):
+        assert g[:3] == w[:3] and math.isclose(g[3], w[3], rel_tol=1e-9) and math.isclose(g[4], w[4], rel_tol=1e-6)
+    empty = ngram_lm.train(docs.limit(0))
+    assert ngram_lm.scored(docs.limit(3), empty).count() == 3 and ngram_lm.scored(docs.limit(0), model).count() == 0
+
+
+def near_rows():
+    rng = random.Random(6)
+    rows = []
+    for g in range(12):
+        base = sentence(rng, rng.randrange(60, 200)).split()
+        for c in range(rng.choice([1, 2, 5, 30])):
+            w = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                w[rng.randrange(len(w))] = "edit%d" % rng.randrange(99999)
+            rows.append((1000 * g + c, " ".join(w), "a"))
+    return rows + [(90001, None, "a"), (90002, "", "a"), (90003, "one two", "b"), (90004, "one two", "b"), (90006, "one two", "b"), (90005, "one", "b")]
+
+
+def test_near(spark):
+    rows = near_rows()
+    docs = make(spark, rows)
+    order = {(i, t or ""): k for k, (i, t, _) in enumerate(rows)}
+    tids = {r["tid"]: r["t"] for r in docs.selectExpr("xxhash64(coalesce(text, ''), 1) as tid", "coalesce(text, '') as t").collect()}
+    got = [r.asDict() for r in near_dedup.classes(docs).collect()]
+    for r in got:
+        r["row"] = order[r["doc_id"], tids[r["tid"]]]
+    idf = near_dedup.document_frequencies(docs.selectExpr("coalesce(text, '') as text"))
+    key, w, at = near_dedup.weighted_shingles([(t or "").encode() for _, t, _ in rows], idf)
+    one = lambda k: (key[at[k] : at[k + 1]], w[at[k] : at[k + 1]])
+    root, sure, near, lost = list(range(len(rows))), 0, 0, 0
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = [r["class_id"] for r in sorted(got, key=lambda r: r["row"])]
+    for a in range(len(rows)):
+        for b in range(a):
+            s = near_dedup.similarity(one(a), one(b))
+            if s >= 0.8:
+                root[find(a)] = find(b)
+                near += 1
+                lost += ids[a] != ids[b]
+                assert s < 0.84 or ids[a] == ids[b]
+    assert near > 150 and lost <= 0.005 * near
+    # Nothing is joined that brute force doesn't join.
+    joined = defaultdict(set)
+    for k, c in enumerate(ids):
+        joined[c].add(find(k))
+    assert all(len(x) == 1 for x in joined.values())
+    want, have = set(map(find, range(len(rows)))), Counter(ids)
+    assert all(r["class_size"] == have[r["class_id"]] for r in got) and Counter(r["class_id"] for r in got if r["kept"]) == Counter(have.keys())
+    assert len(want) <= len(have) <= len(want) + 2
+    held = near_dedup.kept(docs)
+    assert held.columns == docs.columns and held.count() == len(have)
+    assert near_dedup.classes(docs.limit(0)).count() == 0
+
+
+def test_consistent_samples():
+    """Samples agree about as often as texts are similar."""
+    rng = np.random.default_rng(0)
+    key, weight = rng.integers(0, 2**63, 300).astype(np.uint64), rng.uniform(0.5, 3, 300).astype(np.float32)
+    a, b = (np.sort(key[:200]), weight[np.argsort(key[:200])]), (np.sort(key[50:230]), weight[50:230][np.argsort(key[50:230])])
+    s = near_dedup.samples(np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]), np.array([0, 200, 380]), 600)
+    assert abs((s[:, 0] == s[:, 1]).mean() - near_dedup.similarity(a, b)) < 0.07
+
+
+def test_secrets(spark):
+    rng = random.Random(8)
+    rows, real = [], set()
+    for i in range(400):
+        w = sentence(rng, 30).split()
+        if i % 4 == 0:
+            w.insert(9, 'token = "%040x"' % rng.getrandbits(160))
+            real.add(i)
+        elif i % 4 == 1:
+            w.insert(9, "%016d" % rng.randrange(10**16))
+        elif i % 4 == 2:
+            w.insert(9, "https://host.example/%x/%d" % (rng.getrandbits(60), i))
+        rows.append((i, " ".join(w), "a"))
+    rows += [(900, None, None), (901, "", "b"), (None, "password=a8f5f167f44f4964e6c998dee827110c", "b")]
+    out = secrets.scan(make(spark, rows)).collect()
+    assert {r["doc_id"] for r in out if r["is_secret"]} == real | {None}
+    assert {r["doc_id"] for r in out if not r["is_secret"]} >= {i for i in range(400) if i % 4 == 1}
+    assert secrets.scan(make(spark, [])).count() == 0
+    labelled = secrets.described(secrets.candidates(make(spark, rows)), []).selectExpr("*", "if(doc_id % 4 = 1, 1, 0) as label")
+    turned = secrets.scan(make(spark, rows), labelled).collect()
+    assert {r["doc_id"] for r in turned if r["is_secret"]} == {i for i in range(400) if i % 4 == 1}
+
+
+def test_common(spark):
+    df = spark.createDataFrame([(1,)], "__x int")
+    assert common.fresh(df, "x") == "__x_"
+    assert common.local_path("file:///a/b") == common.local_path("file:/a/b") == "/a/b"
