@@ -36,7 +36,7 @@ from . import common, spans
 FLUSH = 1 << 21
 SHARD_BYTES = 16 << 20
 MOST_BITS = 16
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 #: Hashes of the marks before and after a text; no word hashes to them but by chance.
 BEGIN, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC6A4A7935BD1E995)
 PAIR = np.uint64(0x9FB21C651E98DF25)

@@ -15,7 +15,7 @@ _powers: dict[str, np.ndarray] = {}
 def _table(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i for i < n, at least."""
     if "up" not in _powers or len(_powers["up"]) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
+        size = 1 << max(18, int(n - 1).bit_length())
         for name, b in (("up", BASE), ("down", INVERSE)):
             t = np.full(size, b, np.uint64)
             t[0] = 1

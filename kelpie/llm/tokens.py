@@ -40,7 +40,7 @@ def unsafe(buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 MEMO_WORDS = 1_200_000
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def load(path: str):

@@ -87,7 +87,7 @@ def distances(pair, buf: np.ndarray, segments: np.ndarray) -> np.ndarray:
 def features(pair, raw: list[bytes]) -> np.ndarray:
     """For each text: its largest distance, the sum of its three largest, how many are 5 and more, log of its windows."""
     out = np.zeros((len(raw), 4))
-    for a, z in spans.chunks(list(map(len, raw)), 1 << 20):
+    for a, z in spans.chunks(list(map(len, raw)), 1 << 18):
         buf, segments, upto = windows(raw[a:z])
         d = distances(pair, buf, segments)
         for i in range(z - a):
