@@ -11,7 +11,8 @@ calibrated on labelled documents which the dictionaries have not seen.
 held-out documents, the ranked words 0.98. The ordinary base comes from it.)
 
 The fit uses at most SAMPLE labelled documents of each kind, the first by a hash of their id, and none with a text of
-over SAMPLE_BYTES. Scoring takes every window of every text.
+over SAMPLE_BYTES. The logistic curve weights each kind by the labelled rows that its sample stands for, so a score is a
+probability at the table's own share of toxic documents, whatever the sample's. Scoring takes every window of every text.
 
 Defined results. A null or empty text has no window, and the score of distances of 0. A null doc_id is not held out.
 Without labelled documents of both kinds every score is the share of toxic ones (0 where there are none). Repeated rows
@@ -98,14 +99,14 @@ def features(pair, raw: list[bytes]) -> np.ndarray:
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Newton's method; the constant is last."""
+def _logistic(x: np.ndarray, y: np.ndarray, rows: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Newton's method; the constant is last. rows: how many each row counts as."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        h = (x * (rows * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (rows * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -116,7 +117,8 @@ def _spelled(raw: bytes) -> list[bytes]:
     return spans.lower(np.frombuffer(raw, np.uint8)).tobytes().translate(bytes.maketrans(b"\t\n\v\f\r", b"     ")).split(b" ")
 
 
-def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
+def fit(toxic: list[bytes], ordinary: list[bytes], stands_for: tuple[float, float] | None = None) -> Model:
+    """stands_for: how many toxic and ordinary documents the lists are samples of; themselves where it isn't given."""
     if not toxic or not ordinary:
         share = len(toxic) / max(1, len(toxic) + len(ordinary))
         return Model(b"", b"", [0, 0, 0, 0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))])
@@ -166,23 +168,28 @@ def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
         hard = (hard + b"".join(w for w, _ in near.most_common(2500)[::-1]))[-HARD_BYTES:]
     model = Model(hard + base, hard + base + own, [])
     x = features(model.compressors(), cal_t + cal_o)
-    # Weights are for the labelled documents' own shares, which the sample may have changed.
-    model.weights = _logistic(x, np.r_[np.ones(len(cal_t)), np.zeros(len(cal_o))]).tolist()
+    # Rows count as the documents they stand for, scaled to the rows at hand so that the ridge keeps its strength.
+    total_t, total_o = stands_for or (len(toxic), len(ordinary))
+    rows = np.r_[np.full(len(cal_t), total_t / len(cal_t)), np.full(len(cal_o), total_o / len(cal_o))]
+    model.weights = _logistic(x, np.r_[np.ones(len(cal_t)), np.zeros(len(cal_o))], rows * (len(rows) / rows.sum())).tolist()
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[bytes], list[bytes]]:
-    """Texts of labelled rows (toxic, ordinary) whose crc32 of the id modulo 5 is not 0, within the bounds above."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[bytes], list[bytes], tuple[float, float]]:
+    """Texts of labelled rows (toxic, ordinary) whose crc32 of the id modulo 5 is not 0, within the bounds above, and how
+    many such rows the texts of either kind stand for: a label is drawn with the share of its kind that the bound leaves."""
     i = F.col("__label_id")
     marks = labels.filter("toxic is not null").groupBy(F.col("doc_id").alias("__label_id")).agg(F.max("toxic").alias("__toxic"))
     marks = marks.filter(common.crc_remainder(i) != 0)
+    labelled = {r["__toxic"]: r["count"] for r in marks.groupBy("__toxic").count().collect()}  # two numbers
     firsts = [marks.filter(F.col("__toxic") == kind).orderBy(F.xxhash64(i), i).limit(n) for kind, n in SAMPLE.items()]
     chosen = firsts[0].unionByName(firsts[1])  # SAMPLE rows at most, so a broadcast; no text is shuffled
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).filter(F.octet_length("__text") <= SAMPLE_BYTES)
     got = rows.join(F.broadcast(chosen), F.col("__id") == i).select("__toxic", F.xxhash64(i).alias("h"), "__text").collect()
     got.sort(key=lambda r: (r["h"], r["__text"]))
-    out = {kind: [r["__text"].encode() for r in got if r["__toxic"] == kind][: SAMPLE[kind]] for kind in SAMPLE}
-    return out[1], out[0]
+    out = {kind: [r["__text"].encode() for r in got if r["__toxic"] == kind] for kind in SAMPLE}
+    stands_for = {kind: len(out[kind]) * max(1.0, labelled.get(kind, 0) / SAMPLE[kind]) for kind in SAMPLE}
+    return out[1][: SAMPLE[1]], out[0][: SAMPLE[0]], (stands_for[1], stands_for[0])
 
 
 def _scores(model: Model, pair, texts: list) -> np.ndarray:

@@ -133,6 +133,20 @@ def test_toxicity(spark):
     assert toxicity.scored(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_threshold_keeps_with_size(spark, monkeypatch):
+    """Where texts tell nothing, scores average the table's share of toxic documents, not the capped sample's."""
+    rng = random.Random(5)
+    texts = [(i, sentence(rng, 20), "a") for i in range(2000)]
+    docs, marks = make(spark, texts), spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(2000)], "doc_id long, toxic int")
+
+    def mean():
+        return toxicity.scored(docs, toxicity.fitted(docs, marks)).agg({"score": "avg"}).first()[0]
+
+    assert abs(mean() - 0.1) < 0.04
+    monkeypatch.setattr(toxicity, "SAMPLE", {1: 60, 0: 60})
+    assert abs(mean() - 0.1) < 0.04  # half of the sample is toxic
+
+
 def test_language_model(spark, docs):
     """Against the same formulas over plain dictionaries."""
     rows = edge_rows()
