@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 
 def intervals(df: DataFrame, by: Sequence[str], time: Column, order: Sequence[str], out: str = "interval") -> DataFrame:
     """df with the time since the group's row before; null for the first."""
@@ -29,12 +31,14 @@ def step_jumps(df: DataFrame, by: Sequence[str], value: Column, order: Sequence[
 
 def numbered(df: DataFrame, order: Sequence, out: str = "pos", by: Sequence[str] = ()) -> DataFrame:
     """df with positions from 0 in order, whole groups or the whole table. Without groups the table is range-partitioned
-    and each part is numbered from the count of those before it, so no task takes more than its range."""
+    and each part is numbered from the count of those before it, so no task takes more than its range. The parts are
+    written once: range bounds are sampled anew whenever a plan is run, and counts must be those of the numbered parts."""
     if by:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
     parts = df.sparkSession.sparkContext.defaultParallelism
     part = "__part"
     ranged = df.repartitionByRange(parts, *[F.col(o) if isinstance(o, str) else o for o in order]).withColumn(part, F.spark_partition_id())
+    ranged = written(ranged, "numbered-parts")
     local = ranged.withColumn("__n", F.row_number().over(Window.partitionBy(part).orderBy(*order)))
     counts = ranged.groupBy(part).count()
     before = counts.withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -75,3 +75,10 @@ def test_masks_and_planes(spark):
         integrity.require_none(plane, "rows")
     paths = spark.createDataFrame([("a/b.png", False), ("/a", True), ("a/../b", True), ("a\\b", True), ("C:/x", True), ("", True), (None, True)], "p string, bad boolean")
     assert paths.filter(integrity.unsafe_path(F.col("p")) != F.col("bad")).count() == 0
+
+
+def test_numbered_positions_are_whole(spark):
+    """More rows than the sampling of range bounds takes, and plans that need different columns."""
+    df = spark.range(0, 40_000, 1, 4).select(F.xxhash64("id").alias("t"), F.col("id").alias("x"))
+    got = windows.numbered(df, ["t"]).select("pos", "x").toPandas()
+    assert sorted(got["pos"]) == list(range(40_000))
