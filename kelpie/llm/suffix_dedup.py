@@ -19,8 +19,12 @@ Defined results. Null and empty texts have 0 bytes and no spans. Texts shorter t
 doc_id, and rows equal in all columns, are documents of their own (equal rows of LENGTH bytes and more lose everything
 they share). An empty table gives an empty table. Extra columns are ignored.
 
-A very common short string (GRAM bytes) between ever different neighbours is one anchor with as many contexts as it has
-occurrences; they meet in one index. Below LENGTH bytes nothing of it is removed.
+A very common short string (GRAM bytes and more) between ever different neighbours is one anchor with as many contexts as
+it has occurrences. Where the contexts of a key exceed an index, their windows get finer keys: the set of the DEPTHS[0]
+smallest different hashes of the window's substrings, then DEPTHS[1], and so on up to all of them. Equal windows have equal
+keys at every depth, so they still meet; runs of windows of one key are cut out, those whose key is alone are dropped,
+and equal ones are put together with their number as above. What stays beyond an index after that is windows with exactly
+the same substrings: periodic text of very many different lengths.
 """
 
 from __future__ import annotations
@@ -39,6 +43,9 @@ GRAM = 40
 INDEX_BYTES = 1 << 18
 FILTER_BITS = 1 << 27  # 16 MB
 CHUNK = 1 << 20
+#: How many of a window's smallest hashes are its key, where contexts of one key exceed an index. The last is all of them.
+DEPTHS = (4, 16, 64, 1 << 30)
+WINDOW_ROWS = 2048
 
 
 def contexts(text: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -210,6 +217,81 @@ def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInPandas(cut, "h bigint, content bigint, doc_id bigint, th bigint, s bigint, n bigint, again boolean")
 
 
+def finer(raw: bytes, depth: int, length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int, int, int, bool]]:
+    """(key, content hash, first window, windows, again) of each run of windows of raw with one key, which is a hash of the
+    set of the depth smallest different hashes of the window's substrings. again: the run may repeat a window of its own."""
+    text = np.frombuffer(raw, np.uint8)
+    sums = spans.prefix(text)
+    h = spans.hashes(sums, np.arange(len(text) - gram + 1), np.arange(gram, len(text) + 1))
+    n = len(text) - length + 1
+    every = np.lib.stride_tricks.sliding_window_view(h, length - gram + 1)
+    key = np.empty(n, np.uint64)
+    for a in range(0, n, WINDOW_ROWS):
+        x = np.sort(every[a : a + WINDOW_ROWS], axis=1)
+        new = np.ones(x.shape, bool)
+        new[:, 1:] = x[:, 1:] != x[:, :-1]
+        new &= np.cumsum(new, axis=1) <= depth
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
+        key[a : a + WINDOW_ROWS] = np.where(new, x, np.uint64(0)).sum(axis=1, dtype=np.uint64)
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.append(first, n))
+    whole = spans.hashes(sums, np.arange(n), np.arange(length, len(text) + 1))
+    _, at, times = np.unique(whole, return_inverse=True, return_counts=True)
+    again = np.logical_or.reduceat(times[at] > 1, first)
+    content = spans.hashes(sums, first, first + size - 1 + length)
+    return list(zip(key[first].astype(np.int64).tolist(), content.astype(np.int64).tolist(), first.tolist(), size.tolist(), again.tolist(), strict=True))
+
+
+def _alive(groups: DataFrame, length: int, index_bytes: int) -> DataFrame:
+    """groups (h, content, k, again, at) -> h and heavy of keys that may hold a repeated window. heavy: beyond an index."""
+    size = F.sum(F.col("at.n") + (length - 1)) > index_bytes
+    return groups.groupBy("h").agg(F.sum("k").alias("k"), F.max("again").alias("again"), size.alias("heavy")).filter("k > 1 or again").select("h", "heavy")
+
+
+def _indexed(fetched: DataFrame, depths: tuple[int, ...], length: int, gram: int, index_bytes: int) -> DataFrame:
+    """fetched (h, content, k, heavy, bytes), as written -> h, content, runs; a context may have several rows."""
+    n_bytes, heavy = F.octet_length("bytes"), F.col("heavy") & F.lit(bool(depths))
+    size, deep = fetched.agg(F.sum(F.when(~heavy, n_bytes)), F.sum(F.when(heavy, n_bytes))).first()
+    dealt = fetched.filter(~heavy).withColumn("part", F.pmod(F.xxhash64("h"), F.lit(max(1, (size or 0) // index_bytes + 1))))
+
+    def index(b):
+        b = b.drop_duplicates(["h", "content"])
+        runs = repeated_windows(b["bytes"].tolist(), b["k"].to_numpy(), length)
+        out = [(h, c, r.tolist()) for h, c, r in zip(b["h"], b["content"], runs, strict=True) if len(r)]
+        return pd.DataFrame(out, columns=["h", "content", "runs"])
+
+    found = dealt.select("part", "h", "content", "k", "bytes").groupBy("part").applyInPandas(index, "h bigint, content bigint, runs array<bigint>")
+    if not deep:
+        return common.written(found, "suffix-marks")
+    return common.written(found, "suffix-marks").unionByName(_rekeyed(fetched.filter(heavy), depths, length, gram, index_bytes))
+
+
+def _rekeyed(fetched: DataFrame, depths: tuple[int, ...], length: int, gram: int, index_bytes: int) -> DataFrame:
+    """The marks of contexts by finer keys of their windows."""
+    # Equal rows of the corpus hold a context once each.
+    rows = common.written(fetched.dropDuplicates(["h", "content"]).select("h", "content", "k", "bytes"), "suffix-heavy")
+
+    def cut(batches):
+        for b in batches:
+            out = [(h, c, k, *x) for h, c, k, raw in zip(b["h"], b["content"], b["k"], b["bytes"], strict=True) for x in finer(raw, depths[0], length, gram)]
+            yield pd.DataFrame(out, columns=["h0", "content0", "k", "h", "content", "s", "n", "again"])
+
+    pieces = rows.mapInPandas(cut, "h0 bigint, content0 bigint, k bigint, h bigint, content bigint, s bigint, n bigint, again boolean")
+    pieces = common.written(pieces, "suffix-pieces")
+    groups = pieces.groupBy("h", "content").agg(F.sum("k").alias("k"), F.max("again").alias("again"), F.min(F.struct("h0", "content0", "s", "n")).alias("at"))
+    groups = common.written(groups, "suffix-piece-groups")
+    shown = groups.join(_alive(groups, length, index_bytes), "h").select("h", "content", "k", "heavy", "at.*")
+    own = rows.select(F.col("h").alias("h0"), F.col("content").alias("content0"), "bytes")
+    part = F.col("bytes").substr(F.col("s").cast("int") + 1, F.col("n").cast("int") + F.lit(length - 1))
+    again = common.written(shown.join(own, ["h0", "content0"]).select("h", "content", "k", "heavy", part.alias("bytes")), "suffix-contexts")
+    found = _indexed(again, depths[1:], length, gram, index_bytes)
+    common.forget(again)
+    moved = F.transform(F.col("runs"), lambda x: x + F.col("s"))
+    back = pieces.join(found, ["h", "content"]).select(F.col("h0").alias("h"), F.col("content0").alias("content"), moved.alias("runs"))
+    return common.written(back, "suffix-marks")
+
+
 def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """docs (doc_id, th, text) -> doc_id, th, runs: an array of (first window, end) of windows that repeat."""
     anchors = common.written(_anchors(docs, length, gram), "suffix-anchors")
@@ -219,9 +301,8 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, index_bytes:
     some = common.written(some, "suffix-candidates")
     common.forget(anchors)
     groups = common.written(some.groupBy("h", "content").agg(F.count("*").alias("k"), F.max("again").alias("again"), F.min(F.struct("doc_id", "th", "s", "n")).alias("at")), "suffix-groups")
-    twice = groups.groupBy("h").agg(F.sum("k").alias("k"), F.max("again").alias("again")).filter("k > 1 or again").select("h")
-    shown = groups.join(twice, "h").select("h", "content", "k", "at.*")
-    wanted = shown.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "content", "k", "s", "n")).alias("wanted"))
+    shown = groups.join(_alive(groups, length, index_bytes), "h").select("h", "content", "k", "heavy", "at.*")
+    wanted = shown.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "content", "k", "heavy", "s", "n")).alias("wanted"))
     wanted = common.written(wanted, "suffix-wanted").withColumnRenamed("doc_id", "w_id").withColumnRenamed("th", "w_th")
     once = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["w_id"]) & (docs["th"] == wanted["w_th"])).select("text", "wanted")
 
@@ -230,22 +311,13 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, index_bytes:
             out = []
             for t, w in zip(b["text"], b["wanted"], strict=True):
                 raw = t.encode()
-                out += [(x["h"], x["content"], x["k"], raw[x["s"] : x["s"] + x["n"] - 1 + length]) for x in w]
-            yield pd.DataFrame(out, columns=["h", "content", "k", "bytes"])
+                out += [(x["h"], x["content"], x["k"], x["heavy"], raw[x["s"] : x["s"] + x["n"] - 1 + length]) for x in w]
+            yield pd.DataFrame(out, columns=["h", "content", "k", "heavy", "bytes"])
 
-    fetched = once.mapInPandas(fetch, "h bigint, content bigint, k bigint, bytes binary")
+    fetched = once.mapInPandas(fetch, "h bigint, content bigint, k bigint, heavy boolean, bytes binary")
     # Equal rows hold the same context once each; a context's share of an index is known from its group.
     fetched = common.written(fetched, "suffix-contexts")
-    size = fetched.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    dealt = fetched.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(max(1, size // index_bytes + 1))))
-
-    def index(b):
-        b = b.drop_duplicates(["h", "content"])
-        runs = repeated_windows(b["bytes"].tolist(), b["k"].to_numpy(), length)
-        out = [(h, c, r.tolist()) for h, c, r in zip(b["h"], b["content"], runs, strict=True) if len(r)]
-        return pd.DataFrame(out, columns=["h", "content", "runs"])
-
-    found = common.written(dealt.groupBy("part").applyInPandas(index, "h bigint, content bigint, runs array<bigint>"), "suffix-marks")
+    found = _indexed(fetched, DEPTHS, length, gram, index_bytes)
     common.forget(fetched)
     moved = F.transform(F.col("runs"), lambda x: x + F.col("s"))
     back = some.join(found, ["h", "content"]).select("doc_id", "th", moved.alias("runs"))

@@ -61,3 +61,29 @@ def test_query_is_brute_force(spark):
         want = brute([(t or "").encode() for _, t in rows], length)
         assert got == sorted(str((i, *w)) for (i, _), w in zip(rows, want))
     assert suffix_dedup.removed(docs.limit(0)).count() == 0
+
+
+def test_common_string_between_different_neighbours(spark, monkeypatch):
+    """Its contexts exceed an index; they are spread over keys that don't, and nothing is lost."""
+    rng = random.Random(6)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    common_one, long_one = some(150), some(230)
+    texts = [some(rng.randrange(150, 300)) + common_one + some(rng.randrange(150, 300)) for _ in range(300)]
+    texts += [some(rng.randrange(100, 200)) + long_one + some(rng.randrange(100, 200)) for _ in range(60)]
+    texts += [texts[5][100:] + some(50), texts[7], texts[7], common_one + "=" * 700, "-" * 300 + common_one + "=" * 650]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, texts[7])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    limit, sizes, tables = 1 << 14, [], suffix_dedup.common.written
+
+    def watched(df, name):
+        out = tables(df, name)
+        if name == "suffix-contexts":
+            indexed = out.filter("not heavy") if "heavy" in out.columns else out
+            sizes.append(indexed.groupBy("h").agg({"bytes": "count"}).agg({"count(bytes)": "max"}).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(suffix_dedup.common, "written", watched)
+    got = sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in suffix_dedup.removed(docs, index_bytes=limit).collect())
+    want = brute([t.encode() for _, t in rows], suffix_dedup.LENGTH)
+    assert got == sorted(str((i, *w)) for (i, _), w in zip(rows, want))
+    assert max(sizes) <= limit // suffix_dedup.LENGTH
