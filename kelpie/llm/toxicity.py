@@ -94,7 +94,7 @@ def features(pair, raw: list[bytes]) -> np.ndarray:
         for i in range(z - a):
             own = d[upto[i] : upto[i + 1]]
             if len(own):
-                top = np.sort(own[own >= own.max() - 8] if len(own) > 64 else own)[::-1][:3]
+                top = np.sort(np.partition(own, -3)[-3:] if len(own) > 3 else own)[::-1]
                 out[a + i] = max(0, top[0]), np.maximum(top, 0).sum(), np.log1p((own >= 5).sum()), np.log1p(len(own))
     return out
 

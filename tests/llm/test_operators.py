@@ -147,6 +147,15 @@ def test_toxicity_threshold_keeps_with_size(spark, monkeypatch):
     assert abs(mean() - 0.1) < 0.04  # half of the sample is toxic
 
 
+def test_toxicity_features_are_the_same_at_every_length(monkeypatch):
+    for n in (3, 64, 70):
+        found = np.zeros(n, np.int64)
+        found[:3] = 10, 20, 9
+        monkeypatch.setattr(toxicity, "distances", lambda pair, buf, segments: found)  # noqa: B023
+        got = toxicity.features(None, [b"word " * (toxicity.WINDOW * n)])
+        assert got[0, 0] == 20 and got[0, 1] == 39
+
+
 def test_language_model(spark, docs):
     """Against the same formulas over plain dictionaries."""
     rows = edge_rows()
