@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def percentile(value: Column, q: float, accuracy: int | None = None) -> Column:
@@ -102,10 +103,47 @@ def residual_audit(obs: DataFrame, image: str, error: str, flag: str, high: floa
 
 
 def hash_of_rows(df: DataFrame, path: str, content: str, by: Sequence[str] = ()) -> DataFrame:
-    """SHA-256 over path NUL content LF in path order: one digest for each group, whose paths it gathers."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(path).alias("p"), F.col(content).alias("c"))))
-    text = F.array_join(F.transform(pairs, lambda x: F.concat(x["p"], F.lit("\0"), x["c"], F.lit("\n"))), "")
-    return df.groupBy(*by).agg(F.sha2(text, 256).alias("digest"), F.count("*").alias("n"))
+    """SHA-256 over path NUL content LF in path order: one digest for each group. A group is sorted (on disk where it must
+    be) and streamed through the hash, so no row or task holds it; the hash itself has no parallel form, so a group is one
+    task's. Rows with a null path or content count, but add nothing to the digest."""
+    import hashlib
+
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")  # texts may be long
+    line = F.concat(F.col(path), F.lit("\0"), F.col(content), F.lit("\n"))
+    keys = [f"__k{i}" for i in range(len(by))]
+    rows = df.select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], F.col(path).alias("__path"), F.col(content).alias("__content"), line.alias("__line"))
+    dealt = rows.repartition(*keys) if keys else rows.repartition(1)
+    # Groups of one partition are told apart by their keys, in sorted order.
+    ordered = dealt.sortWithinPartitions(*keys, "__path", "__content").select(*keys, "__line")
+
+    def digests(batches):
+        import pyarrow as pa
+
+        now, head, digest, n = None, None, hashlib.sha256(), 0
+        same = lambda a, b: all(x == y or (x != x and y != y) for x, y in zip(a, b, strict=True))  # noqa: E731  NaN is one group
+
+        def row():
+            return pa.RecordBatch.from_arrays([*head, pa.array([digest.hexdigest()]), pa.array([n], pa.int64())], names=[*keys, "digest", "n"])
+
+        for b in batches:
+            own = [b.column(i).to_pylist() for i in range(len(keys))]
+            lines = b.column(len(keys))
+            for i in range(b.num_rows):
+                key = tuple(c[i] for c in own)
+                if now is None or not same(key, now):
+                    if now is not None:
+                        yield row()
+                    now, head, digest, n = key, [b.column(j).slice(i, 1) for j in range(len(keys))], hashlib.sha256(), 0
+                digest.update((lines[i].as_py() or "").encode())
+                n += 1
+        if now is not None:
+            yield row()
+
+    schema = T.StructType([*rows.select(*keys).schema.fields, T.StructField("digest", T.StringType()), T.StructField("n", T.LongType())])
+    out = ordered.mapInArrow(digests, schema)
+    if not keys:  # a row for an empty table, too
+        return out.agg(F.coalesce(F.max("digest"), F.lit(hashlib.sha256().hexdigest())).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return out.select(*[F.col(k).alias(b) for b, k in zip(by, keys, strict=True)], "digest", "n")
 
 
 def first_seen_ids(df: DataFrame, key: Sequence[str], order: str, out: str = "dense_id") -> DataFrame:

@@ -82,3 +82,18 @@ def test_numbered_positions_are_whole(spark):
     df = spark.range(0, 40_000, 1, 4).select(F.xxhash64("id").alias("t"), F.col("id").alias("x"))
     got = windows.numbered(df, ["t"]).select("pos", "x").toPandas()
     assert sorted(got["pos"]) == list(range(40_000))
+
+
+def test_row_hashes_stream(spark):
+    """The digest of the whole text, with no row that gathers a group."""
+    import hashlib
+
+    rows = [(g, str(i), None if i == 7 else "x" * i) for g in ("a", "b", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, p string, c string").repartition(5)
+    text = "".join(f"{p}\0{c}\n" for g, p, c in sorted(rows[:40], key=lambda r: r[1]) if c is not None)
+    want = (hashlib.sha256(text.encode()).hexdigest(), 40)
+    out = stats.hash_of_rows(df, "p", "c", ["g"])
+    assert {r["g"]: (r["digest"], r["n"]) for r in out.collect()} == dict.fromkeys(["a", "b", None], want)
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+    assert tuple(stats.hash_of_rows(df.filter("g = 'a'"), "p", "c").first()) == want
+    assert tuple(stats.hash_of_rows(df.limit(0), "p", "c").first()) == (hashlib.sha256().hexdigest(), 0)
