@@ -77,14 +77,17 @@ def schedule(sizes: DataFrame, weights=WEIGHTS, epochs: int = MAX_EPOCHS) -> Dat
     finish = F.coalesce(F.try_divide(F.col("upto").cast("double"), F.col("target")), F.lit(0.0))
     copies = (
         copies.withColumn("finish", finish)
-        .withColumn("v", F.when(F.col("eligible"), F.col("size")).otherwise(F.lit(0).cast("bigint")))
         .withColumn("f", F.least(F.floor(F.col("finish") * buckets), F.lit(2 * buckets)))
     )
-    ordered = running_total(copies, [], "f", ["finish", "sid", "epoch", "key", "doc_id", "size", "row_no"], "v", "total")
-    is_taken = F.col("eligible") & (F.col("total") <= F.col("budget"))
+    ordered = running_total(copies.filter("eligible"), [], "f", ["finish", "sid", "epoch", "key", "doc_id", "size", "row_no"], "size", "total")
+    # Others add nothing to the running total, and most of them would share the last bucket.
+    out = ["row_no", "doc_id", "size", "source_size", "target"]
+    taken = ordered.select(*out, F.when(F.col("total") <= F.col("budget"), 1).otherwise(0).alias("is_taken"))
+    others = copies.filter("not eligible").select(*out, F.lit(0).alias("is_taken"))
     return (
-        ordered.groupBy("row_no", "doc_id", "size", "source_size", "target")
-        .agg(F.sum(F.when(is_taken, 1).otherwise(0)).alias("copies"))
+        taken.unionByName(others)
+        .groupBy(*out)
+        .agg(F.sum("is_taken").alias("copies"))
         .withColumn("taken", F.col("copies") * F.col("size"))
     )
 

@@ -107,6 +107,19 @@ def test_mixing(spark, docs):
     assert mixing.plan(make(spark, [(1, None, "a"), (2, "", "b")])).agg({"taken": "sum"}).first()[0] == 0
 
 
+def test_mixing_totals_eligible_copies_only(spark, docs, monkeypatch):
+    """Copies beyond their target don't gather in the last bucket of the global order."""
+    beyond, total = [], mixing.running_total
+
+    def watched(rows, groups, *rest):
+        if not groups:
+            beyond.append(rows.filter("not eligible").count())
+        return total(rows, groups, *rest)
+
+    monkeypatch.setattr(mixing, "running_total", watched)
+    assert mixing.plan(docs).count() == len(edge_rows()) and beyond == [0]
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     texts, labels = [], []
