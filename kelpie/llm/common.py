@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import spans
 from ..operators.scratch import scratch_path, shared_root, written  # noqa: F401
 
 #: Fixed value: runs of characters that are not ASCII white space.
@@ -19,8 +22,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forget(df: DataFrame) -> None:
     """Deletes a table that written() made, once nothing reads it any more."""
     spark = df.sparkSession
+    root = shared_root(spark)
     for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
+        table = file[file.index(root.removeprefix("file://")) :].removeprefix(root.removeprefix("file://")).lstrip("/").split("/")[0]
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}")
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -32,9 +37,24 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of few rows: with long texts the default of 10,000 rows would not fit a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def text_slices(batches, most: int, column: str = "text"):
+    """Arrow batches cut to about `most` bytes of the texts in column, so that a task works on few very long ones at a
+    time. Spark itself bounds a batch by spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless set)."""
+    for b in batches:
+        if b.num_rows:
+            sizes = pc.binary_length(b.column(column)).fill_null(0).to_pylist()
+            for a, z in spans.chunks(sizes, most):
+                yield b.slice(a, z - a)
+
+
+def raw_texts(batch, column: str = "text") -> list[bytes]:
+    """The texts as UTF-8."""
+    return batch.column(column).cast(pa.binary()).to_pylist()
+
+
+def batch(**columns) -> pa.RecordBatch:
+    """An Arrow batch of numpy arrays, lists or Arrow arrays."""
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], list(columns))
 
 
 def ascii_lower(text):

@@ -1,9 +1,10 @@
 """Exact duplicates by two-pass Bloom filtering, in DataFrame functions only.
 
-Pass 1 turns the hash of each normalised text into K slots of a bit array, counts the rows of each slot (partial sums
-first; only slot numbers move, never a text), and sets the bits of slots that two or more rows hit. Pass 2 looks each
-row's slots up: a row with a slot that only it hit cannot have a copy and passes straight through; the others, the
-possibly repeated ones, shuffle by SHA-256, which decides.
+Pass 1 turns the hash of each normalised text into a slot of a bit array (or K slots), counts the rows of each slot (partial
+sums first; only slot numbers move, never a text), and sets the bits of slots that two or more rows hit. Pass 2 looks each
+row's slot up: a row with a slot that only it hit cannot have a copy and passes straight through; the others, the
+possibly repeated ones, shuffle by SHA-256, which decides. A filter is broadcast, so it is bounded by MAX_BITS; where more
+rows come, the hashes are cut into ranges, and each range has a filter of its own, one after another.
 
 Defined results. Texts: null counts as empty, so null and empty texts are copies of one another. Of equal texts the
 row with the largest doc_id stays; a null doc_id is smaller than any other; among rows with equal text and equal doc_id
@@ -34,9 +35,12 @@ def _slots(h: Column, bits: int, k: int) -> list[Column]:
     return [F.pmod(F.xxhash64(h, F.lit(i)), F.lit(part)) + F.lit(i * part) for i in range(k)]
 
 
-def filter_bits(n_rows: int, bits_per_row: int = 16, max_bits: int = 1 << 28) -> int:
-    """A power of two. max_bits bounds the broadcast (2^28 bits are 32 MB); beyond max_bits / bits_per_row rows more
-    rows count as possibly repeated and shuffle, and the result stays the same."""
+BITS_PER_ROW, MAX_BITS = 32, 1 << 30  # 128 MB
+
+
+def filter_bits(n_rows: int, bits_per_row: int = 16, max_bits: int = MAX_BITS) -> int:
+    """A power of two, at most max_bits. With fewer bits for each row more rows count as possibly repeated, and the result
+    stays the same."""
     bits = BUCKET
     while bits < min(n_rows * bits_per_row, max_bits):
         bits *= 2
@@ -70,21 +74,35 @@ def possibly_repeated(rows: DataFrame, h: str, bitmaps: DataFrame, bits: int, k:
     return out.withColumn(flag, both).drop(*drop)
 
 
-def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, k: int = 2) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
-    sig = common.written(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.monotonically_increasing_id().alias("row_no"),
-            _hash_of(F.col(text_col)).alias("h"),
-            _sha_of(F.col(text_col)).alias("text_sha256"),
-        ),
-        "exact-signatures",
-    )
-    bits = filter_bits(sig.count(), bits_per_row)
-    bitmaps = common.written(repeated_slots(sig.select("h"), bits, k), "exact-bitmaps")
-    flagged = possibly_repeated(sig, "h", bitmaps, bits, k, "maybe")
-    maybe = flagged.filter("maybe").select("doc_id", "row_no", "text_sha256")
+def flagged_among(rows: DataFrame, h: str, hashes: DataFrame, flag: str, name: str) -> DataFrame:
+    """rows with the boolean column flag: column h is perhaps one of hashes (h); certainly not where flag is false."""
+    hashes = common.written(hashes.distinct(), name)
+    bits = filter_bits(hashes.count())
+    bitmaps = common.written(repeated_slots(hashes, bits, 2, 1), name)
+    return possibly_repeated(rows, h, bitmaps, bits, 2, flag)
+
+
+def only_among(rows: DataFrame, h: str, hashes: DataFrame, name: str) -> DataFrame:
+    flag = common.fresh(rows, "maybe")
+    return flagged_among(rows, h, hashes, flag, name).filter(F.col(flag)).drop(flag)
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, bits_per_row: int, k: int, max_bits: int) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 and h (the hash that the filters know) of every row."""
+    n = docs.count()
+    ranges = max(1, -(-n * bits_per_row // max_bits))
+    h = _hash_of(F.col(text_col))
+    sig = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), h.alias("h"), _sha_of(F.col(text_col)).alias("text_sha256"))
+    if ranges > 1:
+        sig = sig.withColumn("in_range", F.pmod(F.xxhash64("h", F.lit(11)), F.lit(ranges)))
+    sig, flagged = common.written(sig, "exact-signatures", ["in_range"] if ranges > 1 else []), None
+    for i in range(ranges):
+        own = sig.filter(F.col("in_range") == i).drop("in_range") if ranges > 1 else sig
+        bits = filter_bits(n // ranges, bits_per_row, max_bits)
+        bitmaps = common.written(repeated_slots(own.select("h"), bits, k), "exact-bitmaps")
+        own = possibly_repeated(own, "h", bitmaps, bits, k, "maybe")
+        flagged = own if flagged is None else flagged.unionByName(own)
+    maybe = flagged.filter("maybe").select("doc_id", "row_no", "text_sha256", "h")
     # Written: a join of two plain exchanges is one that adaptive execution can split where a group is hot.
     groups = common.written(
         maybe.groupBy("text_sha256")
@@ -98,30 +116,32 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
         F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
         F.coalesce(F.col("best.row_no") == F.col("row_no"), F.lit(True)).alias("kept"),
         "text_sha256",
+        "h",
     )
     alone = flagged.filter("not maybe").select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "h"
     )
     return alone.unionByName(judged)
 
 
-def filtered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, k: int = 2) -> DataFrame:
-    """The rows that stay, with all their columns. Rows that can't have a copy don't shuffle."""
-    h, sha, maybe = common.fresh(docs, "h"), common.fresh(docs, "sha"), common.fresh(docs, "maybe")
-    hashes = common.written(docs.select(_hash_of(F.col(text_col)).alias("h")), "exact-hashes")
-    bits = filter_bits(hashes.count(), bits_per_row)
-    bitmaps = common.written(repeated_slots(hashes, bits, k), "exact-bitmaps")
-    flagged = possibly_repeated(docs.withColumn(h, _hash_of(F.col(text_col))), h, bitmaps, bits, k, maybe)
-    alone = flagged.filter(~F.col(maybe)).select(*docs.columns)
-    rows = flagged.filter(F.col(maybe)).withColumn(sha, _sha_of(F.col(text_col)))
-    winners = (
-        rows.groupBy(F.col(sha).alias("w_sha"))
-        .agg(F.max(F.struct(F.col(id_col).alias("i"))).alias("best"))
-        .select("w_sha", F.col("best.i").alias("w_id"))
-    )
+def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = BITS_PER_ROW, k: int = 1, max_bits: int = MAX_BITS) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
+    return _judged(docs, id_col, text_col, bits_per_row, k, max_bits).drop("h")
+
+
+def filtered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = BITS_PER_ROW, k: int = 1, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows that stay, with all their columns. Texts without a copy don't shuffle."""
+    judged = _judged(docs, id_col, text_col, bits_per_row, k, max_bits)
+    repeated = common.written(judged.filter("group_size > 1 and kept").select("h", "doc_id", "text_sha256"), "exact-repeated")
+    h, sha, some, w_sha, w_id = (common.fresh(docs, x) for x in ("h", "sha", "some", "w_sha", "w_id"))
+    flagged = flagged_among(docs.withColumn(h, _hash_of(F.col(text_col))), h, repeated.select("h"), some, "exact-bitmaps")
+    winners = repeated.select(F.col("text_sha256").alias(w_sha), F.col("doc_id").alias(w_id))
+    rows = flagged.filter(F.col(some)).withColumn(sha, _sha_of(F.col(text_col)))
     # The join is on text and id together, so a hot group is spread over its ids; of rows that repeat text and id one remains.
-    held = rows.join(winners, (F.col(sha) == F.col("w_sha")) & F.col(id_col).eqNullSafe(F.col("w_id")), "left_semi")
-    return alone.unionByName(held.dropDuplicates([id_col, sha]).select(*docs.columns))
+    held = rows.join(winners, (F.col(sha) == F.col(w_sha)) & F.col(id_col).eqNullSafe(F.col(w_id)), "left_semi").dropDuplicates([id_col, sha])
+    # The filter lets some texts through that are alone.
+    others = rows.join(winners.select(w_sha).distinct(), F.col(sha) == F.col(w_sha), "left_anti")
+    return flagged.filter(~F.col(some)).select(*docs.columns).unionByName(held.select(*docs.columns)).unionByName(others.select(*docs.columns))
 
 
 def op5_bloom_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ shuffle hash (within a source) or by finish time (globally), the buckets' sums a
 its own rows from there.
 
 Defined results. A null text has size 0; a null source is a source of its own, after all others; sizes of 0 take
-nothing. Rows that repeat a doc_id are separate documents, ordered by size within their tie; rows equal in id, source
+nothing and stay once. Rows that repeat a doc_id are separate documents, ordered by size within their tie; rows equal in id, source
 and size are interchangeable. All sizes 0, or an empty table: targets 0, nothing taken.
 """
 
@@ -63,7 +63,8 @@ def schedule(sizes: DataFrame, weights=WEIGHTS, epochs: int = MAX_EPOCHS) -> Dat
     buckets = max(1, min(1 << 24, n // BUCKET_ROWS))
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     t = common.written(targets(per_source, weights, epochs), "mix-targets").withColumnRenamed("source", "t_source")
-    key = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    # The size parts rows that share an id, or have none.
+    key = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("size").cast("string")))
     in_hash = F.expr(f"cast(conv(substring(key, 1, 6), 16, 10) as bigint) * {buckets} div 16777216")
     rows = (
         sizes.join(t, F.col("source").eqNullSafe(F.col("t_source")))
@@ -79,11 +80,12 @@ def schedule(sizes: DataFrame, weights=WEIGHTS, epochs: int = MAX_EPOCHS) -> Dat
         copies.withColumn("finish", finish)
         .withColumn("f", F.least(F.floor(F.col("finish") * buckets), F.lit(2 * buckets)))
     )
-    ordered = running_total(copies.filter("eligible"), [], "f", ["finish", "sid", "epoch", "key", "doc_id", "size", "row_no"], "size", "total")
-    # Others add nothing to the running total, and most of them would share the last bucket.
+    ordered = running_total(copies.filter("eligible and size > 0"), [], "f", ["finish", "sid", "epoch", "key", "doc_id", "size", "row_no"], "size", "total")
+    # Others add nothing to the running total, and most of them would share the first or the last bucket. An empty document
+    # takes nothing and stays once.
     out = ["row_no", "doc_id", "size", "source_size", "target"]
     taken = ordered.select(*out, F.when(F.col("total") <= F.col("budget"), 1).otherwise(0).alias("is_taken"))
-    others = copies.filter("not eligible").select(*out, F.lit(0).alias("is_taken"))
+    others = copies.filter("(not eligible and size > 0) or (size = 0 and epoch = 0)").select(*out, F.when(F.col("size") > 0, 0).otherwise(1).alias("is_taken"))
     return (
         taken.unionByName(others)
         .groupBy(*out)
@@ -109,9 +111,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     no = common.fresh(docs, "row_no")
     rows = common.written(docs.withColumn(no, F.monotonically_increasing_id()), "mix-rows")
     sizes = rows.select(F.col(no).alias("row_no"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), _size_of(F.col(text_col)).alias("size"))
-    chosen = schedule(common.written(sizes, "mix-sizes")).filter("copies > 0").select(F.col("row_no").alias("__no"), F.col("copies").alias("__copies"))
-    out = rows.join(chosen, F.col(no) == F.col("__no"))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    c_no, copies, nth = (common.fresh(rows, x) for x in ("chosen_no", "copies", "nth"))
+    chosen = schedule(common.written(sizes, "mix-sizes")).filter("copies > 0").select(F.col("row_no").alias(c_no), F.col("copies").alias(copies))
+    out = rows.join(chosen, F.col(no) == F.col(c_no))
+    return out.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
 
 
 def op6_fair_queue_mix(spark, sf_dir: str) -> DataFrame:
@@ -128,7 +131,7 @@ l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / w, sid ROWS BET
         / sum(w) OVER (ORDER BY cap / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
 t AS (SELECT source, source_size, sid, budget, CASE WHEN level * w >= cap THEN cap::double
         ELSE (SELECT arg_min(level, row(cap / w, sid)) FROM l WHERE NOT level * w >= cap) * w END AS target FROM l),
-o AS (SELECT d.row_no, d.doc_id, d.size, t.*, md5('{SEED}:' || coalesce(d.doc_id::varchar, '')) AS key FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+o AS (SELECT d.row_no, d.doc_id, d.size, t.*, md5('{SEED}:' || coalesce(d.doc_id::varchar, '') || ':' || d.size::varchar) AS key FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 k AS (SELECT *, sum(size) OVER (PARTITION BY sid ORDER BY key, doc_id, size, row_no ROWS UNBOUNDED PRECEDING) AS cum FROM o),
 e AS (SELECT *, epoch * source_size + cum AS upto FROM k, (SELECT unnest([0, 1, 2]) AS epoch)),
 f AS (SELECT *, upto - size < target AS eligible, coalesce(CASE WHEN target <> 0 THEN upto::double / target END, 0) AS finish FROM e),

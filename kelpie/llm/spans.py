@@ -43,6 +43,30 @@ def hashes(sums: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64))
 
 
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def blocks(buf: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each (not empty) span as 8-byte numbers, the last one padded with zeros; where each span's begin."""
+    n = (ends - begins + 7) >> 3
+    first = np.cumsum(n) - n
+    at = np.repeat(begins - 8 * first, n) + 8 * np.arange(n.sum())
+    every = np.ndarray((len(buf) + 1,), "<u8", buf.tobytes() + bytes(8), strides=(1,))
+    return every[at] & _MASKS[np.minimum(np.repeat(ends, n) - at, 8)], first
+
+
+def block_hashes(values: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The hash of each span from its blocks(): each block is mixed with its place, so it isn't a polynomial."""
+    n = np.diff(np.append(first, len(values)))
+    place = np.arange(len(values)) - np.repeat(first, n)
+    total = np.add.reduceat(mix(values ^ (place.astype(np.uint64) + np.uint64(1)) * np.uint64(BASE)), first) if len(first) else np.zeros(0, np.uint64)
+    return mix(total + sizes.astype(np.uint64))
+
+
+def word_hashes(buf: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return block_hashes(*blocks(buf, begins, ends), ends - begins)
+
+
 def lower(buf: np.ndarray) -> np.ndarray:
     """A-Z to a-z; other bytes, those of longer UTF-8 characters included, stay."""
     return buf + ((buf >= 65) & (buf <= 90)).astype(np.uint8) * np.uint8(32)

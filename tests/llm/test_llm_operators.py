@@ -57,11 +57,33 @@ def test_exact(spark, docs):
     held = exact_dedup.filtered(docs)
     assert held.columns == docs.columns
     assert sorted(normal(r["text"]) for r in held.collect()) == sorted(groups)
-    # A tiny filter lets every row through to the shuffle and changes nothing.
+    # Small filters, in ranges, change nothing.
     assert exact_dedup.filter_bits(10**9, 16, 1 << 20) == 1 << 20
+    key = lambda rows: sorted(map(str, rows))
+    assert key(exact_dedup.decisions(docs, max_bits=1 << 10).collect()) == key(exact_dedup.decisions(docs, k=2).collect())
+    assert sorted(normal(r["text"]) for r in exact_dedup.filtered(docs, max_bits=1 << 10).collect()) == sorted(groups)
     assert exact_dedup.decisions(docs.limit(0)).count() == exact_dedup.filtered(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("stage", [exact_dedup.filtered, mixing.mixed, near_dedup.kept])
+def test_clashing_names_and_large_ids(spark, stage):
+    names = ["w_sha", "w_id", "k", "__no", "__copies", "__h", "__some", "__sha", "__stay1", "h1", "row_no", "class_size"]
+    rows = [(i, "some words that are all unlike number %s" % i, "s") for i in ((1 << 60) + 1, (1 << 60) + 2, None, 7)] + [(9, "some words that are all unlike number 7", "s")]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], ", ".join(["doc_id long, text string, source string", *(f"`{x}` int" for x in names)]))
+    out = stage(docs)
+    assert out.columns == docs.columns
+    ids = {r["doc_id"] for r in out.collect()}
+    assert ids >= {(1 << 60) + 1, (1 << 60) + 2, None} and len(ids & {7, 9}) == (2 if stage is mixing.mixed else 1)
+
+
+def test_large_ids_beside_null(spark):
+    ids = [(1 << 60) + 1, (1 << 53) + 1, None]
+    docs = make(spark, [(i, "a few words", "s") for i in ids])
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    for out in (toxicity.scored(docs, toxicity.fitted(docs, labels)), ngram_lm.scored(docs, ngram_lm.train(docs)), near_dedup.classes(docs), mixing.plan(docs), exact_dedup.decisions(docs)):
+        assert {r["doc_id"] for r in out.collect()} == set(ids)
+
+
 def test_quality_measures(spark, docs):
     rows = edge_rows() + [(900, "a b c a b c a b", "a"), (901, "x x x x", "a"), (902, "l1\nl1\n \n#l2 $\nl1", "a"), (903, "a b c d", "a")]
     got = {(r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in quality.measures(make(spark, rows)).collect()}
@@ -113,7 +135,7 @@ def test_mixing_totals_eligible_copies_only(spark, docs, monkeypatch):
 
     def watched(rows, groups, *rest):
         if not groups:
-            beyond.append(rows.filter("not eligible").count())
+            beyond.append(rows.filter("not eligible or size = 0").count())
         return total(rows, groups, *rest)
 
     monkeypatch.setattr(mixing, "running_total", watched)
@@ -228,13 +250,13 @@ def test_near(spark):
     rows = near_rows()
     docs = make(spark, rows)
     order = {(i, t or ""): k for k, (i, t, _) in enumerate(rows)}
-    tids = {r["tid"]: r["t"] for r in docs.selectExpr("xxhash64(coalesce(text, ''), 1) as tid", "coalesce(text, '') as t").collect()}
+    tids = {r["h1"]: r["t"] for r in docs.selectExpr("xxhash64(coalesce(text, '')) as h1", "coalesce(text, '') as t").collect()}
     got = [r.asDict() for r in near_dedup.classes(docs).collect()]
     for r in got:
-        r["row"] = order[r["doc_id"], tids[r["tid"]]]
+        r["row"] = order[r["doc_id"], tids[r["h1"]]]
     idf = near_dedup.document_frequencies(docs.selectExpr("coalesce(text, '') as text"))
-    key, w, at = near_dedup.weighted_shingles([(t or "").encode() for _, t, _ in rows], idf)
-    one = lambda k: (key[at[k] : at[k + 1]], w[at[k] : at[k + 1]])
+    key, w, count, at = near_dedup.shingles([(t or "").encode() for _, t, _ in rows], idf)
+    one = lambda k: (key[at[k] : at[k + 1]], (w.astype(float) * count)[at[k] : at[k + 1]])
     root, sure, near, lost = list(range(len(rows))), 0, 0, 0
 
     def find(x):
@@ -265,6 +287,30 @@ def test_near(spark):
     assert near_dedup.classes(docs.limit(0)).count() == 0
 
 
+def test_near_large_groups(spark, monkeypatch):
+    """Groups beyond a window are compared in sorted passes; hardly a link is lost, and none is invented."""
+    rng = random.Random(12)
+    base = sentence(rng, 120).split()
+    texts = []
+    for _ in range(400):
+        w = list(base)
+        for _ in range(rng.randrange(0, 14)):
+            w[rng.randrange(len(w))] = "edit%d" % rng.randrange(99999)
+        texts.append(" ".join(w))
+    docs = make(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    monkeypatch.setattr(near_dedup, "WINDOW", 40)
+    monkeypatch.setattr(near_dedup, "BUCKET", 60)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()}
+    idf = near_dedup.document_frequencies(docs.select("text"))
+    sim = near_dedup.similarities(*near_dedup.shingles([t.encode() for t in texts], idf))
+    link = sim >= near_dedup.THRESHOLD - near_dedup.ROUNDING
+    want = near_dedup.classes_of(link)
+    a, b = np.nonzero(np.triu(link, 1))
+    same = np.array([got[i] == got[j] for i, j in zip(a.tolist(), b.tolist())])
+    assert len(a) > 1000 and same.mean() > 0.97
+    assert all(len({want[i] for i in got if got[i] == c}) == 1 for c in set(got.values()))
+
+
 def test_consistent_samples():
     """Samples agree about as often as texts are similar."""
     rng = np.random.default_rng(0)

@@ -63,6 +63,28 @@ def test_query_is_brute_force(spark):
     assert suffix_dedup.removed(docs.limit(0)).count() == 0
 
 
+def test_many_equal_rows_and_filters_in_ranges(spark, monkeypatch):
+    """Equal rows make one set of marks, not one for each of them; filters in ranges change nothing; ids beyond 2^53 stay."""
+    rng = random.Random(9)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    hot, passage = some(700), some(260)
+    rows = [(5, hot)] * 1000 + [((1 << 60) + 1, some(100) + passage + some(90)), (None, passage + some(300)), (8, some(400)), ((1 << 60) + 2, hot + some(40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = sorted(str((i, *w)) for (i, _), w in zip(rows, brute([t.encode() for _, t in rows], suffix_dedup.LENGTH)))
+    tables, sizes = suffix_dedup.common.written, {}
+
+    def watched(df, name, *rest):
+        out = tables(df, name, *rest)
+        sizes[name] = out.count() + (out.selectExpr("sum(size(runs))").first()[0] or 0 if name == "suffix-runs" else 0)
+        return out
+
+    monkeypatch.setattr(suffix_dedup.common, "written", watched)
+    for bits in (suffix_dedup.FILTER_BITS, 1 << 15):
+        got = suffix_dedup.removed(docs, filter_bits=bits).collect()
+        assert sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got) == want
+        assert max(sizes[x] for x in ("suffix-candidates", "suffix-contexts", "suffix-runs")) < 400
+
+
 def test_common_string_between_different_neighbours(spark, monkeypatch):
     """Its contexts exceed an index; they are spread over keys that don't, and nothing is lost."""
     rng = random.Random(6)
@@ -75,8 +97,8 @@ def test_common_string_between_different_neighbours(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     limit, sizes, tables = 1 << 14, [], suffix_dedup.common.written
 
-    def watched(df, name):
-        out = tables(df, name)
+    def watched(df, name, *rest):
+        out = tables(df, name, *rest)
         if name == "suffix-contexts":
             indexed = out.filter("not heavy") if "heavy" in out.columns else out
             sizes.append(indexed.groupBy("h").agg({"bytes": "count"}).agg({"count(bytes)": "max"}).first()[0] or 0)
