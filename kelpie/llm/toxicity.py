@@ -1,18 +1,17 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are built from labelled text. The ordinary one is trained on windows of ordinary documents
-and grows, over a few rounds, by the ordinary words that compress best with the toxic one (those that share its pieces).
-The toxic one has the same content and, after it, the words of toxic documents with 5-character pieces that toxic
-documents have far more often than ordinary ones. Each window of WINDOW words is compressed with both; the bytes that
-the toxic dictionary saves are its distance. A document's largest distances go through a logistic curve that is
+Two zstandard dictionaries are trained, one on ordinary and one on toxic text. The ordinary one is trained on windows of
+ordinary documents and, over a few rounds, on the ordinary words that compress best with the toxic one. The toxic one is
+trained on the words of toxic documents that have 5-character pieces which toxic documents have far more often than
+ordinary ones. zstd's trainer leaves out some short ones of these words; those that its dictionary doesn't compress are put
+before its content. The toxic compressor has the ordinary content, too, so that the bytes it saves on a window of WINDOW
+words, its distance, come from the toxic content alone. A document's largest distances go through a logistic curve that is
 calibrated on labelled documents which the dictionaries have not seen.
 
-(zstd's own trainer picks the toxic content worse: from so few and short words it gave an AUC of 0.93 to 0.95 on
-held-out documents, the ranked words 0.98. The ordinary base comes from it.)
-
-The fit uses at most SAMPLE labelled documents of each kind, the first by a hash of their id, and none with a text of
-over SAMPLE_BYTES. The logistic curve weights each kind by the labelled rows that its sample stands for, so a score is a
-probability at the table's own share of toxic documents, whatever the sample's. Scoring takes every window of every text.
+The fit takes place in one task. It uses at most SAMPLE labelled documents of each kind, the first by a hash of their id,
+as far as SAMPLE_BYTES of text in all. The logistic curve weights each kind by the labelled rows that its sample stands for, so a
+score is a probability at the table's own share of toxic documents, whatever the sample's. Scoring takes every window of
+every text.
 
 Defined results. A null or empty text has no window, and the score of distances of 0. A null doc_id is not held out.
 Without labelled documents of both kinds every score is the share of toxic ones (0 where there are none). Repeated rows
@@ -25,7 +24,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,10 +33,13 @@ from . import common, spans
 
 WINDOW = 8
 SAMPLE = {1: 2500, 0: 5000}
-SAMPLE_BYTES = 1 << 18
+SAMPLE_BYTES = 48 << 20
 PIECE = 5
 ROUNDS = 4
-ORDINARY_BYTES, HARD_BYTES, TOXIC_BYTES = 16_384, 60_000, 8_192
+ORDINARY_BYTES, HARD_BYTES, TOXIC_BYTES = 16_384, 60_000, 1_024
+#: What the trainer is given and how it cuts: windows (evenly spaced ones), and the lengths of segments and of their pieces.
+TRAINING_WINDOWS, SEGMENT, MER = 60_000, 16, 6
+CHUNK = 1 << 18
 LEVEL = 3
 #: Of three labelled documents two make the dictionaries and one calibrates.
 CALIBRATE = 3
@@ -117,6 +119,21 @@ def _spelled(raw: bytes) -> list[bytes]:
     return spans.lower(np.frombuffer(raw, np.uint8)).tobytes().translate(bytes.maketrans(b"\t\n\v\f\r", b"     ")).split(b" ")
 
 
+def trained(samples: list[bytes], size: int, segment: int | None = None) -> bytes:
+    """The content of a dictionary that zstd trains on samples; their own bytes where they are too few to train on."""
+    cut = {} if segment is None else {"k": segment, "d": MER}
+    try:
+        return zstandard.train_dictionary(size, [x for x in samples if len(x) >= 8], level=LEVEL, **cut).as_bytes()[-size:]
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(dict.fromkeys(samples))[-size:]
+
+
+def _laid_out(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The parts end to end; begin and length of each."""
+    at = np.cumsum([0, *map(len, parts)])
+    return np.frombuffer(b"".join(parts), np.uint8), np.stack([at[:-1], np.diff(at)], axis=1)
+
+
 def fit(toxic: list[bytes], ordinary: list[bytes], stands_for: tuple[float, float] | None = None) -> Model:
     """stands_for: how many toxic and ordinary documents the lists are samples of; themselves where it isn't given."""
     if not toxic or not ordinary:
@@ -134,38 +151,35 @@ def fit(toxic: list[bytes], ordinary: list[bytes], stands_for: tuple[float, floa
     for x in fit_o:
         in_o.update(pieces(x) & in_t.keys())
     rich = {p for p, k in in_t.items() if k >= max(3, 0.004 * len(fit_t)) and k / len(fit_t) >= 30 * (in_o[p] + 0.5) / len(fit_o)}
-    found: Counter = Counter()
+    found: list[bytes] = []
     for x in fit_t:
-        for w in _spelled(x):
-            w = b" " + w + b" "
-            if any(w[i : i + PIECE] in rich for i in range(len(w) - PIECE + 1)):
-                found[w] += 1
-    own = b"".join(w for w, _ in found.most_common()[::-1])[-TOXIC_BYTES:]  # the most frequent last, where a match costs least
+        spelled = (b" " + w + b" " for w in _spelled(x))
+        found += [w for w in spelled if any(w[i : i + PIECE] in rich for i in range(len(w) - PIECE + 1))]
 
     plain = []
     for a, z in spans.chunks(list(map(len, fit_o)), 1 << 20):
         buf, segments, _ = windows(fit_o[a:z])
         whole = buf.tobytes()
         plain += [whole[b : b + n] for b, n in segments.tolist()]
-    try:
-        base = zstandard.train_dictionary(ORDINARY_BYTES, [x for x in plain[:60_000] if len(x) >= 8], level=LEVEL).as_bytes()[-ORDINARY_BYTES:]
-    except zstandard.ZstdError:  # too few windows to train on
-        base = b"".join(plain)[-ORDINARY_BYTES:]
-    shared, hard = {own[i : i + 4] for i in range(len(own) - 3)}, b""
-    offsets = np.cumsum([0, *map(len, plain)])
-    every = np.frombuffer(b"".join(plain), np.uint8)
-    segments = np.stack([offsets[:-1], np.diff(offsets)], axis=1)
+    every, segments = _laid_out(plain)
+    base = trained(plain[:: len(plain) // TRAINING_WINDOWS + 1], ORDINARY_BYTES)
+    own = trained(found, TOXIC_BYTES, SEGMENT)
+    words = [w for w, _ in Counter(found).most_common()]
+    saved = distances((_compressor(base), _compressor(base + own)), *_laid_out(words))
+    missed = b"".join(w for w, d in zip(words, saved.tolist(), strict=True) if 2 * d < len(w) - 2)[:TOXIC_BYTES]
+    own = missed + own
+
+    shared, hard, near = {own[i : i + 4] for i in range(len(own) - 3)}, b"", []
     for _ in range(ROUNDS):
         d = distances((_compressor(hard + base), _compressor(hard + base + own)), every, segments)
-        near: Counter = Counter()
-        for i in np.flatnonzero(d >= 2).tolist():
-            for w in plain[i].split():
-                w = b" " + w + b" "
-                if any(w[j : j + 4] in shared for j in range(len(w) - 3)):
-                    near[w] += 1
-        if not near:
+        more = (b" " + w + b" " for i in np.flatnonzero(d >= 2).tolist() for w in plain[i].split())
+        more = [w for w in more if any(w[j : j + 4] in shared for j in range(len(w) - 3))]
+        if not more:
             break
-        hard = (hard + b"".join(w for w, _ in near.most_common(2500)[::-1]))[-HARD_BYTES:]
+        near += more
+        # Of one word, what the trainer leaves out stays hard; later rounds show it again.
+        counted = Counter(near)
+        hard = (trained(near, HARD_BYTES // 6, SEGMENT) + b"".join(w for w, _ in counted.most_common(2500)[::-1]))[-HARD_BYTES:]
     model = Model(hard + base, hard + base + own, [])
     x = features(model.compressors(), cal_t + cal_o)
     # Rows count as the documents they stand for, scaled to the rows at hand so that the ridge keeps its strength.
@@ -175,57 +189,66 @@ def fit(toxic: list[bytes], ordinary: list[bytes], stands_for: tuple[float, floa
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[bytes], list[bytes], tuple[float, float]]:
-    """Texts of labelled rows (toxic, ordinary) whose crc32 of the id modulo 5 is not 0, within the bounds above, and how
-    many such rows the texts of either kind stand for: a label is drawn with the share of its kind that the bound leaves."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict]:
+    """(toxic, h, text) of labelled rows whose crc32 of the id modulo 5 is not 0, within the bounds above, and how many such
+    labels there are of either kind."""
     i = F.col("__label_id")
     marks = labels.filter("toxic is not null").groupBy(F.col("doc_id").alias("__label_id")).agg(F.max("toxic").alias("__toxic"))
     marks = marks.filter(common.crc_remainder(i) != 0)
     labelled = {r["__toxic"]: r["count"] for r in marks.groupBy("__toxic").count().collect()}  # two numbers
     firsts = [marks.filter(F.col("__toxic") == kind).orderBy(F.xxhash64(i), i).limit(n) for kind, n in SAMPLE.items()]
-    chosen = firsts[0].unionByName(firsts[1])  # SAMPLE rows at most, so a broadcast; no text is shuffled
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).filter(F.octet_length("__text") <= SAMPLE_BYTES)
-    got = rows.join(F.broadcast(chosen), F.col("__id") == i).select("__toxic", F.xxhash64(i).alias("h"), "__text").collect()
-    got.sort(key=lambda r: (r["h"], r["__text"]))
-    out = {kind: [r["__text"].encode() for r in got if r["__toxic"] == kind] for kind in SAMPLE}
-    stands_for = {kind: len(out[kind]) * max(1.0, labelled.get(kind, 0) / SAMPLE[kind]) for kind in SAMPLE}
-    return out[1][: SAMPLE[1]], out[0][: SAMPLE[0]], (stands_for[1], stands_for[0])
+    chosen = firsts[0].unionByName(firsts[1])  # SAMPLE rows at most, so a broadcast; no text is shuffled but theirs
+    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.join(F.broadcast(chosen), F.col("__id") == i).select(F.col("__toxic").cast("int").alias("toxic"), F.xxhash64(i).alias("h"), "text"), labelled
 
 
-def _scores(model: Model, pair, texts: list) -> np.ndarray:
-    x = features(pair, [(t or "").encode() for t in texts])
+def _scores(model: Model, pair, raw: list[bytes]) -> np.ndarray:
+    x = features(pair, raw)
     w = np.asarray(model.weights)
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    return fit(*sample(docs, labels, id_col, text_col))
+    rows, labelled = sample(docs, labels, id_col, text_col)
+    most, n_bytes = dict(SAMPLE), SAMPLE_BYTES
+
+    def in_one_task(batches):
+        got, size = {0: [], 1: []}, 0
+        for b in batches:
+            for kind, raw in zip(b.column("toxic").to_pylist(), common.raw_texts(b), strict=True):
+                if kind in got and len(got[kind]) < most[kind] and size < n_bytes:
+                    got[kind].append(raw)
+                    size += len(raw)
+        # A label is drawn with the share of its kind that the bound leaves.
+        stands_for = {kind: len(got[kind]) * max(1.0, labelled.get(kind, 0) / most[kind]) for kind in got}
+        m = fit(got[1], got[0], (stands_for[1], stands_for[0]))
+        yield common.batch(ordinary=[m.ordinary], toxic=[m.toxic], weights=pa.array([[float(x) for x in m.weights]]))
+
+    ordered = rows.repartition(1).sortWithinPartitions("h", "text")
+    row = ordered.mapInArrow(in_one_task, "ordinary binary, toxic binary, weights array<double>").first()
+    return Model(bytes(row["ordinary"]), bytes(row["toxic"]), list(row["weights"])) if row else fit([], [])
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted of every row."""
-    common.small_batches(docs.sparkSession)
 
     def score(batches):
         pair = model.compressors()
-        for b in batches:
-            s = _scores(model, pair, b["text"].to_list())
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": s, "predicted": (s >= 0.5).astype(np.int32)})
+        for b in common.text_slices(batches, CHUNK):
+            s = _scores(model, pair, common.raw_texts(b))
+            yield common.batch(doc_id=b.column("doc_id"), score=s, predicted=(s >= 0.5).astype(np.int32))
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(score, "doc_id bigint, score double, predicted int")
+    return rows.mapInArrow(score, "doc_id bigint, score double, predicted int")
 
 
 def kept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows that are not predicted toxic, with all their columns."""
-    common.small_batches(docs.sparkSession)
 
     def keep(batches):
-        import pyarrow as pa
-
         pair = model.compressors()
-        for b in batches:
-            yield b.filter(pa.array(_scores(model, pair, b.column(text_col).to_pylist()) < 0.5))
+        for b in common.text_slices(batches, CHUNK, text_col):
+            yield b.filter(pa.array(_scores(model, pair, [x or b"" for x in common.raw_texts(b, text_col)]) < 0.5))
 
     return docs.mapInArrow(keep, docs.schema)
 
