@@ -19,7 +19,7 @@ import struct
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -78,10 +78,12 @@ def read_block(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _encoded(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: int, block_tokens: int, shards: int) -> DataFrame:
     """(part, block, doc_ids, lens, ids): blocks in ascending doc_id order."""
+    # The hash parts rows that share an id, and null ids, among tasks.
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()
     ordered = (
         docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        .repartitionByRange(shards, F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+        .repartitionByRange(shards, *order)
+        .sortWithinPartitions(*order)
     )
 
     def blocks(batches):
@@ -90,15 +92,13 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_i
         keys, lens, ids = [], [], []
 
         def out():
-            return pd.DataFrame({
-                "part": [part], "block": [no], "doc_ids": [np.asarray(keys, "<i8").tobytes()], "lens": [np.asarray(lens, "<i8").tobytes()], "ids": [b"".join(ids)]
-            })
+            doc_ids, sizes = (np.asarray(x, "<i8").tobytes() for x in (keys, lens))
+            return common.batch(part=np.array([part], "i4"), block=np.array([no], "i4"), doc_ids=[doc_ids], lens=[sizes], ids=[b"".join(ids)])
 
-        for b in batches:
-            given = b["doc_id"].to_list()
-            for key, raw in zip(given, enc.ids(b["text"].to_list()), strict=True):
+        for b in common.text_slices(batches, tokens.CHUNK):
+            for key, raw in zip(b.column("doc_id").to_pylist(), enc.ids(b.column("text").to_pylist()), strict=True):
                 own = np.append(raw, np.uint32(end_id)).astype(size)
-                keys.append(NULL_ID if key is None or key != key else int(key))
+                keys.append(NULL_ID if key is None else key)
                 lens.append(len(own))
                 ids.append(own.tobytes())
                 n += len(own)
@@ -108,7 +108,7 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_i
         if keys:
             yield out()
 
-    return ordered.mapInPandas(blocks, "part int, block int, doc_ids binary, lens binary, ids binary")
+    return ordered.mapInArrow(blocks, "part int, block int, doc_ids binary, lens binary, ids binary")
 
 
 def _item(ids: bytes, lens: np.ndarray) -> np.ndarray:
@@ -121,24 +121,22 @@ def frequencies(blocks: DataFrame) -> DataFrame:
     def count(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            for ids, lens in zip(b["ids"], b["lens"], strict=True):
+            for ids, lens in zip(b.column("ids").to_pylist(), b.column("lens").to_pylist(), strict=True):
                 own = np.bincount(_item(ids, np.frombuffer(lens, "<i8")))
                 if len(own) > len(total):
                     total = np.append(total, np.zeros(len(own) - len(total), np.int64))
                 total[: len(own)] += own
         found = np.flatnonzero(total)
-        yield pd.DataFrame({"id": found, "n": total[found]})
+        yield common.batch(id=found, n=total[found])
 
-    return blocks.select("ids", "lens").mapInPandas(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return blocks.select("ids", "lens").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, block_tokens: int = BLOCK_TOKENS) -> tuple[str, DataFrame]:
     """Writes the files; returns their folder and the manifest (file, start, n_docs, n_tokens)."""
     spark = docs.sparkSession
-    common.small_batches(spark, 64)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = common.written(_encoded(docs, id_col, text_col, vocabulary, end_id, block_tokens, max(1, size // SHARD_BYTES + 1)), "token-blocks")
-    common.small_batches(spark, 2)  # a row is a block from here on
     ranked = [r["id"] for r in frequencies(blocks).orderBy(F.desc("n"), "id").select("id").collect()]  # bounded by the vocabulary
     folder = common.scratch_path(spark, "token-files")
     order = np.asarray(ranked, "<u4")
@@ -154,20 +152,21 @@ def write(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
             keys, lens, ranks = (np.concatenate(x) for x in zip(*(h[1:] for h in held), strict=True))
             name = f"{held[0][0][0]:08d}-{held[0][0][1]:06d}.kfr"
             _put(folder, name, block_bytes(keys, lens, ranks))
-            return pd.DataFrame({"file": [name], "n_docs": [len(keys)], "n_tokens": [len(ranks)]})
-
-        for b in batches:
-            for part, no, doc_ids, lens, ids in b.itertuples(index=False):
-                keys, lens = np.frombuffer(doc_ids, "<i8"), np.frombuffer(lens, "<i8")
-                # Only neighbours in the order share a file.
-                if held and (held[-1][0] != (part, no - 1) or sum(len(h[3]) for h in held) >= FILE_TOKENS):
-                    yield put()
-                    held.clear()
-                held.append(((part, no), keys, lens, rank[_item(ids, lens)]))
+            return common.batch(file=[name], n_docs=[len(keys)], n_tokens=[len(ranks)])
+
+        rows = (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist())  # a row is a block
+        for r in rows:
+            part, no, doc_ids, lens, ids = r["part"], r["block"], r["doc_ids"], r["lens"], r["ids"]
+            keys, lens = np.frombuffer(doc_ids, "<i8"), np.frombuffer(lens, "<i8")
+            # Only neighbours in the order share a file.
+            if held and (held[-1][0] != (part, no - 1) or sum(len(h[3]) for h in held) >= FILE_TOKENS):
+                yield put()
+                held.clear()
+            held.append(((part, no), keys, lens, rank[_item(ids, lens)]))
         if held:
             yield put()
 
-    manifest = common.written(blocks.mapInPandas(store, "file string, n_docs bigint, n_tokens bigint"), "token-manifest")
+    manifest = common.written(blocks.mapInArrow(store, "file string, n_docs bigint, n_tokens bigint"), "token-manifest")
     common.forget(blocks)
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     return folder, manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
@@ -189,26 +188,22 @@ def _put(folder: str, name: str, raw: bytes) -> None:
 
 def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files."""
-    common.small_batches(spark, 2)
     ranks = spark.read.format("binaryFile").option("pathGlobFilter", "ranks.u4").load(folder).select("content").first()
-    order = np.frombuffer(bytes(ranks[0]), "<u4")
+    order = np.frombuffer(bytes(ranks[0]) if ranks else b"", "<u4")  # an empty file isn't read
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.kfr").load(folder)
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").join(manifest.select("file", "start"), "file")
 
     def decode(batches):
         for b in batches:
-            for raw, start in zip(b["content"], b["start"], strict=True):
-                keys, lens, ranks = read_block(bytes(raw))
+            for i, start in enumerate(b.column("start").to_pylist()):
+                keys, lens, ranks = read_block(b.column("content")[i].as_py())
                 ids, ends = order[ranks], np.cumsum(lens)
                 firsts = ends - lens
                 view = memoryview(ids).cast("B")
-                yield pd.DataFrame({
-                    "doc_id": pd.arrays.IntegerArray(keys.copy(), keys == NULL_ID),
-                    "start": firsts + start, "n_tokens": lens,
-                    "ids_crc32": [zlib.crc32(view[4 * a : 4 * z]) for a, z in zip(firsts.tolist(), ends.tolist(), strict=True)],
-                })
+                crc = np.array([zlib.crc32(view[4 * a : 4 * z]) for a, z in zip(firsts.tolist(), ends.tolist(), strict=True)], np.int64)
+                yield common.batch(doc_id=pa.array(keys, mask=keys == NULL_ID), start=firsts + start, n_tokens=lens, ids_crc32=crc)
 
-    return named.select("content", "start").mapInPandas(decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return named.select("content", "start").mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def op1_frequency_coded_tokens(spark, sf_dir: str) -> DataFrame:

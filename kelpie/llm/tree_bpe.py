@@ -17,7 +17,7 @@ import hashlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -127,16 +127,16 @@ def join_tree(tok, texts: list[str], parts: list[tuple[np.ndarray, list, list]])
 _spellings: dict[int, list[str]] = {}
 
 
-def _results(rows, tok, ids: list[np.ndarray]):
+def _results(doc_ids: pa.Array, tok, ids: list[np.ndarray]) -> pa.RecordBatch:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
     spelled = _spellings.setdefault(0, list(map(str, range(tok.get_vocab_size()))))
     arrays = [x.tolist() for x in ids]
     decoded = tok.decode_batch(arrays, skip_special_tokens=False)
-    return pd.DataFrame({
-        "doc_id": rows, "n_tokens": [len(x) for x in arrays],
-        "ids_sha256": [hashlib.sha256(" ".join(map(spelled.__getitem__, x)).encode()).hexdigest() for x in arrays],
-        "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in decoded],
-    })
+    return common.batch(
+        doc_id=doc_ids, n_tokens=np.array([len(x) for x in arrays], np.int64),
+        ids_sha256=[hashlib.sha256(" ".join(map(spelled.__getitem__, x)).encode()).hexdigest() for x in arrays],
+        decoded_sha256=[hashlib.sha256(x.encode()).hexdigest() for x in decoded],
+    )
 
 
 RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -144,16 +144,14 @@ RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 stri
 
 def encode_and_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row."""
-    spark = docs.sparkSession
-    common.small_batches(spark, 128)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def whole(batches):
         enc = tokens.encoder(vocabulary, False)
-        for b in batches:
-            yield _results(b["doc_id"].astype("Int64"), enc.tok, enc.ids(b["text"].to_list()))
+        for b in common.text_slices(batches, tokens.CHUNK):
+            yield _results(b.column("doc_id"), enc.tok, enc.ids(b.column("text").to_pylist()))
 
-    short = rows.filter(F.length("text") <= leaf).mapInPandas(whole, RESULT)
+    short = rows.filter(F.length("text") <= leaf).mapInArrow(whole, RESULT)
 
     n = F.length("text")
     long = rows.filter(n > leaf).withColumn("row_no", F.monotonically_increasing_id()).withColumn("n", n.cast("bigint"))
@@ -165,23 +163,25 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
 
     def encode_leaves(batches):
         enc = tokens.encoder(vocabulary, False)
-        for b in batches:
-            ids = enc.ids(b["text"].to_list())
-            ends = [edges(enc.tok, t, i) for t, i in zip(b["text"], ids, strict=True)]
-            b["ids"] = [i.tobytes() for i in ids]
-            b["head"], b["tail"] = ([np.asarray(e[k], "<i4").tobytes() for e in ends] for k in (0, 1))
-            yield b
-
-    def join_leaves(b):
-        enc, b = tokens.encoder(vocabulary, False), b.sort_values("i")
+        for b in common.text_slices(batches, tokens.CHUNK):
+            texts = b.column("text").to_pylist()
+            ids = enc.ids(texts)
+            ends = [edges(enc.tok, t, i) for t, i in zip(texts, ids, strict=True)]
+            head, tail = ([np.asarray(e[k], "<i4").tobytes() for e in ends] for k in (0, 1))
+            yield common.batch(**{x: b.column(x) for x in ("doc_id", "row_no", "i", "text")}, ids=[i.tobytes() for i in ids], head=head, tail=tail)
+
+    def join_leaves(t):
+        enc, t = tokens.encoder(vocabulary, False), t.sort_by("i")
         places = lambda raw: list(map(tuple, np.frombuffer(raw, "<i4").reshape(-1, 2).tolist()))
-        read = [(np.frombuffer(i, "<u4"), places(h), places(t)) for i, h, t in zip(b["ids"], b["head"], b["tail"], strict=True)]
-        return _results(b["doc_id"].astype("Int64").iloc[:1], enc.tok, [join_tree(enc.tok, b["text"].to_list(), read)])
+        got = (t.column(x).to_pylist() for x in ("ids", "head", "tail"))
+        read = [(np.frombuffer(i, "<u4"), places(h), places(e)) for i, h, e in zip(*got, strict=True)]
+        own = _results(t.column("doc_id").slice(0, 1).combine_chunks(), enc.tok, [join_tree(enc.tok, t.column("text").to_pylist(), read)])
+        return pa.Table.from_batches([own])
 
-    encoded = leaves.repartition("row_no", "i").mapInPandas(
+    encoded = leaves.repartition("row_no", "i").mapInArrow(
         encode_leaves, "doc_id bigint, row_no bigint, i int, text string, ids binary, head binary, tail binary"
     )
-    joined = encoded.groupBy("row_no").applyInPandas(join_leaves, RESULT)
+    joined = encoded.groupBy("row_no").applyInArrow(join_leaves, RESULT)
     return short.unionByName(joined)
 
 
