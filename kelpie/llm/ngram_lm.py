@@ -28,6 +28,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ from . import common, spans
 
 FLUSH = 1 << 21
 SHARD_BYTES = 16 << 20
-MOST_BITS = 16
+MOST_BITS = 20
 CHUNK = 1 << 19
 #: Hashes of the marks before and after a text; no word hashes to them but by chance.
 BEGIN, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC6A4A7935BD1E995)
@@ -58,7 +59,7 @@ def tokens(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token before, token, where each text's tokens begin and the last end)."""
     buf, bounds = spans.joined(raw)
     begins, ends = spans.words(buf, bounds[:-1])
-    h = spans.hashes(spans.prefix(spans.lower(buf)), begins, ends)
+    h = spans.word_hashes(spans.lower(buf), begins, ends)
     first = np.searchsorted(begins, bounds)
     at = first + np.arange(len(bounds))
     t = np.full(at[-1], END, np.uint64)
@@ -90,13 +91,14 @@ def _heavy(train: DataFrame, text_col: str) -> np.ndarray:
     """Hashes of words with over a 2000th of the tokens of a fiftieth of the texts: at most 2000."""
 
     def count(batches):
-        for b in batches:
-            _, t, _ = tokens([x.encode() for x in b["text"]])
+        for b in common.text_slices(batches, 1 << 22):
+            _, t, _ = tokens(common.raw_texts(b))
             keys, n = np.unique(t, return_counts=True)
-            yield pd.DataFrame({"h": keys.astype(np.int64), "n": n, "m": len(t) if len(keys) else 0})[n * 4000 > len(t)]
+            often = n * 4000 > len(t)
+            yield common.batch(h=keys[often].astype(np.int64), n=n[often], m=np.full(int(often.sum()), len(t), np.int64))
 
     some = train.filter(F.pmod(F.xxhash64("text"), F.lit(50)) == 0)
-    found = some.mapInPandas(count, "h bigint, n bigint, m bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    found = some.mapInArrow(count, "h bigint, n bigint, m bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     return np.array([r["h"] for r in found.filter("n * 2000 > m").orderBy(F.desc("n")).limit(2000).collect()], np.int64).astype(np.uint64)
 
 
@@ -150,7 +152,7 @@ class Model:
         return self.__dict__ | {"files": {}}
 
     def _file(self, kind: str, shard: int) -> list[np.ndarray]:
-        name = f"{kind}-{shard:05d}"
+        name = f"{kind}-{shard:07d}"
         if name not in self.files:
             self.files[name] = _map(self.folder, name, BIGRAM_FILE if kind == "bigrams" else WORD_FILE)
         return self.files[name]
@@ -212,7 +214,6 @@ def _discounts(n: list[int]) -> list[float]:
 def train(docs: DataFrame, text_col: str = "text") -> Model:
     """A model of all rows' texts, its files in the shared folder."""
     spark = docs.sparkSession
-    common.small_batches(spark)
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = 4
@@ -228,19 +229,19 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
             order = np.argsort(v[a:z], kind="stable")
             firsts, runs = np.unique(v[a:z], return_counts=True)
             out.append((shard, firsts.tobytes(), runs.astype("<u4").tobytes(), w[a:z][order].tobytes(), n[a:z][order].astype("<u4").tobytes()))
-        return pd.DataFrame(out, columns=["shard", "v", "runs", "w", "n"])
+        return pa.RecordBatch.from_pylist([dict(zip(blocks_schema.names, x, strict=True)) for x in out], blocks_schema)
+
+    blocks_schema = pa.schema([("shard", pa.int32()), *((x, pa.binary()) for x in ("v", "runs", "w", "n"))])
 
     def count(batches):
         held, n = [], 0
-        for b in batches:
-            raw = [x.encode() for x in b["text"]]
-            for a, z in spans.chunks(list(map(len, raw)), CHUNK):
-                v, w, _ = tokens(raw[a:z])
-                held.append((v, w))
-                n += len(w)
-                if n >= FLUSH:
-                    yield flush(held)
-                    held, n = [], 0
+        for b in common.text_slices(batches, CHUNK):
+            v, w, _ = tokens(common.raw_texts(b))
+            held.append((v, w))
+            n += len(w)
+            if n >= FLUSH:
+                yield flush(held)
+                held, n = [], 0
         if n:
             yield flush(held)
 
@@ -253,7 +254,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         c, keys, v, w = np.add.reduceat(n[order], first), keys[first], v[order][first], w[order][first]
         over = np.flatnonzero(c >= 255)
-        _save(folder, f"bigrams-{b['shard'].iloc[0]:05d}", [keys.astype("<u8"), over.astype("<u8"), c[over].astype("<u8"), np.minimum(c, 255).astype("u1")])
+        _save(folder, f"bigrams-{b['shard'].iloc[0]:07d}", [keys.astype("<u8"), over.astype("<u8"), c[over].astype("<u8"), np.minimum(c, 255).astype("u1")])
         one = np.ones(len(c), np.int64)
         zero = np.zeros(len(c), np.int64)
         of_first = [zero, c, (c == 1) * one, (c == 2) * one, (c >= 3) * one, zero]
@@ -277,12 +278,12 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
             shorts.append(np.frombuffer(y, "<u4").reshape(4, -1))
         longs, shorts = np.concatenate(longs, axis=1).astype(np.int64), np.concatenate(shorts, axis=1).astype(np.int64)
         words, sums = _sums(np.concatenate(keys), [*longs, *shorts])
-        _save(folder, f"words-{b['shard'].iloc[0]:05d}", [words.astype("<u8"), *(x.astype(k) for x, k in zip(sums, WORD_FILE[1:], strict=True))])
+        _save(folder, f"words-{b['shard'].iloc[0]:07d}", [words.astype("<u8"), *(x.astype(k) for x, k in zip(sums, WORD_FILE[1:], strict=True))])
         ends = sums[5]
         return pd.DataFrame([(b["shard"].iloc[0], int(sums[0].sum()), int((sums[0] > 0).sum()), int(ends.sum()), *(int((ends == k).sum()) for k in (1, 2, 3, 4)), int((ends >= 3).sum()))],
                             columns=["shard", "n", "v", "types", "n1", "n2", "n3", "n4", "n3_up"])
 
-    blocks = rows.mapInPandas(count, "shard int, v binary, runs binary, w binary, n binary")
+    blocks = rows.mapInArrow(count, "shard int, v binary, runs binary, w binary, n binary")
     shards = common.written(
         blocks.groupBy("shard").applyInPandas(add_up, "shard int, words binary, long binary, short binary, counts array<bigint>"), "lm-sums"
     )
@@ -310,17 +311,13 @@ def _shards(spark, folder: str) -> dict[str, set[int]]:
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of every row."""
-    common.small_batches(docs.sparkSession)
-
     def score(batches):
-        for b in batches:
-            raw = [x.encode() for x in b["text"]]
-            parts = [model.scores(raw[a:z]) for a, z in spans.chunks([len(x) + 1 for x in raw], CHUNK)]
-            n, known, base, own = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_tokens": n, "n_known": known, "base_score": base, "score": own})
+        for b in common.text_slices(batches, CHUNK):
+            n, known, base, own = model.scores(common.raw_texts(b))
+            yield common.batch(doc_id=b.column("doc_id"), n_tokens=n, n_known=known, base_score=base, score=own)
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(score, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    return rows.mapInArrow(score, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
 
 
 def op8_kneser_ney(spark, sf_dir: str) -> DataFrame:
