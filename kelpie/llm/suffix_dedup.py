@@ -5,9 +5,10 @@ whole corpus could be built or held anywhere, so the corpus is first cut so that
 
 1. Every LENGTH-byte window has an anchor, the smallest hash of its GRAM-byte substrings. Runs of windows with one anchor
    are a context, so each window lies in exactly one context, and equal windows have equal anchors. Anchors that a Bloom
-   filter (built from counts over all anchors, bounded in size) shows to be alone are dropped: about 1 % of the text's
-   length in rows takes part, whatever the text.
-2. Equal contexts are put together with their number; one of each is fetched from its document.
+   filter (built from counts over all anchors) shows to be alone are dropped: about 1 % of the text's length in rows takes
+   part, whatever the text. Where one filter would be too large, hashes are cut into ranges with a filter each.
+2. Equal contexts (by the anchor and a 64-bit hash of their bytes) are put together with their number; one of each is fetched from
+   its document. Equal texts, by two hashes, are one document with its number from here on, however often they occur.
 3. Contexts are dealt by anchor to indexes of about INDEX_BYTES. An index is the run-length Burrows-Wheeler transform of
    its contexts, with the suffix-array samples at run ends and the common-prefix length across each run boundary. These
    samples are enough to stream matching statistics over the contexts: within a run, the match of the next position is
@@ -33,6 +34,8 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +44,8 @@ from . import common, exact_dedup, spans
 LENGTH = 200
 GRAM = 40
 INDEX_BYTES = 1 << 18
-FILTER_BITS = 1 << 27  # 16 MB
+#: Bits for each anchor in the filter, and in one filter at most (128 MB); more anchors are filtered in ranges of their hash.
+ANCHOR_BITS, FILTER_BITS = 8, 1 << 30
 CHUNK = 1 << 20
 #: How many of a window's smallest hashes are its key, where contexts of one key exceed an index. The last is all of them.
 DEPTHS = (4, 16, 64, 1 << 30)
@@ -60,7 +64,12 @@ def contexts(text: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[
     twice = np.unique(places[1:][places[1:] == places[:-1]])
     first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
     n = np.diff(np.append(first, len(least)))
-    return least[first], spans.hashes(sums, first, first + n - 1 + length), first, n, np.isin(least[first], twice)
+    return least[first], _digests(text, first, n - 1 + length), first, n, np.isin(least[first], twice)
+
+
+def _digests(text: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    raw = memoryview(text)
+    return np.array([xxhash.xxh3_64_intdigest(raw[a : a + n]) for a, n in zip(first.tolist(), size.tolist(), strict=True)], np.uint64)
 
 
 def _sliding(f, x: np.ndarray, w: int) -> np.ndarray:
@@ -199,22 +208,19 @@ def repeated_windows(strings: list[bytes], counts: np.ndarray, length: int = LEN
 
 
 def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    names, kinds = ("h", "content", "t1", "t2", "s", "n", "again"), "h bigint, content bigint, t1 bigint, t2 bigint, s bigint, n bigint, again boolean"
+
     def cut(batches):
-        for b in batches:
+        for b in common.text_slices(batches, CHUNK):
             out = []
-            for i, th, t in zip(b["doc_id"].tolist(), b["th"].tolist(), b["text"], strict=True):
-                raw = t.encode()
+            for t1, t2, raw in zip(b.column("t1").to_pylist(), b.column("t2").to_pylist(), common.raw_texts(b), strict=True):
                 if len(raw) >= length:
-                    out.append((i, th, *contexts(np.frombuffer(raw, np.uint8), length, gram)))
+                    h, content, first, n, again = contexts(np.frombuffer(raw, np.uint8), length, gram)
+                    out.append((h.astype(np.int64), content.astype(np.int64), np.full(len(h), t1), np.full(len(h), t2), first, n, again))
             if out:
-                sizes = [len(x[2]) for x in out]
-                col = lambda k: np.concatenate([x[k] for x in out])
-                yield pd.DataFrame({
-                    "h": col(2).astype(np.int64), "content": col(3).astype(np.int64), "doc_id": pd.arrays.IntegerArray(np.repeat([0 if x[0] != x[0] or x[0] is None else int(x[0]) for x in out], sizes), np.repeat([x[0] != x[0] or x[0] is None for x in out], sizes)),
-                    "th": np.repeat([x[1] for x in out], sizes), "s": col(4), "n": col(5), "again": col(6),
-                })
+                yield common.batch(**{k: np.concatenate(x) for k, x in zip(names, zip(*out, strict=True), strict=True)})
 
-    return docs.mapInPandas(cut, "h bigint, content bigint, doc_id bigint, th bigint, s bigint, n bigint, again boolean")
+    return docs.select("t1", "t2", "text").mapInArrow(cut, kinds)
 
 
 def finer(raw: bytes, depth: int, length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int, int, int, bool]]:
@@ -239,7 +245,7 @@ def finer(raw: bytes, depth: int, length: int = LENGTH, gram: int = GRAM) -> lis
     whole = spans.hashes(sums, np.arange(n), np.arange(length, len(text) + 1))
     _, at, times = np.unique(whole, return_inverse=True, return_counts=True)
     again = np.logical_or.reduceat(times[at] > 1, first)
-    content = spans.hashes(sums, first, first + size - 1 + length)
+    content = _digests(text, first, size - 1 + length)
     return list(zip(key[first].astype(np.int64).tolist(), content.astype(np.int64).tolist(), first.tolist(), size.tolist(), again.tolist(), strict=True))
 
 
@@ -292,36 +298,62 @@ def _rekeyed(fetched: DataFrame, depths: tuple[int, ...], length: int, gram: int
     return common.written(back, "suffix-marks")
 
 
-def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """docs (doc_id, th, text) -> doc_id, th, runs: an array of (first window, end) of windows that repeat."""
-    anchors = common.written(_anchors(docs, length, gram), "suffix-anchors")
-    bits = exact_dedup.filter_bits(anchors.count(), 8, FILTER_BITS)
-    bitmaps = common.written(exact_dedup.repeated_slots(anchors.select("h"), bits, 2), "suffix-bitmaps")
-    some = exact_dedup.possibly_repeated(anchors, "h", bitmaps, bits, 2, "maybe").filter("maybe or again").drop("maybe")
-    some = common.written(some, "suffix-candidates")
+def _candidates(docs: DataFrame, length: int, gram: int, filter_bits: int) -> DataFrame:
+    """The contexts (as _anchors() gives them) whose anchor perhaps comes twice."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = ANCHOR_BITS * 2 * size // (length - gram + 2) // filter_bits + 1  # two anchors a window's length, about
+    anchors = _anchors(docs, length, gram)
+    if ranges > 1:
+        anchors = anchors.withColumn("in_range", F.pmod(F.xxhash64("h", F.lit(11)), F.lit(ranges)))
+    anchors, out = common.written(anchors, "suffix-anchors", ["in_range"] if ranges > 1 else []), None
+    for k in range(ranges):
+        own = anchors.filter(F.col("in_range") == k).drop("in_range") if ranges > 1 else anchors
+        bits = exact_dedup.filter_bits(own.count(), ANCHOR_BITS, filter_bits)
+        bitmaps = common.written(exact_dedup.repeated_slots(own.select("h"), bits, 2), "suffix-bitmaps")
+        some = exact_dedup.possibly_repeated(own, "h", bitmaps, bits, 2, "maybe").filter("maybe or again").drop("maybe")
+        # A place of one text is one row, however many rows have the text.
+        some = some.groupBy("h", "content", "t1", "t2", "s").agg(F.count("*").alias("k"), F.max("n").alias("n"), F.max("again").alias("again"))
+        some = common.written(some, "suffix-candidates")
+        out = some if out is None else out.unionByName(some)
     common.forget(anchors)
-    groups = common.written(some.groupBy("h", "content").agg(F.count("*").alias("k"), F.max("again").alias("again"), F.min(F.struct("doc_id", "th", "s", "n")).alias("at")), "suffix-groups")
+    return out
+
+
+#: Contexts that a fetching task remembers to have fetched.
+FETCHED = 1 << 20
+
+
+def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, index_bytes: int = INDEX_BYTES, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """docs (t1, t2, text) -> t1, t2, runs: an array of (first window, end) of windows that repeat. t1, t2: the text's hashes."""
+    some = _candidates(docs, length, gram, filter_bits)
+    groups = some.groupBy("h", "content").agg(F.sum("k").alias("k"), F.max("again").alias("again"), F.min(F.struct("t1", "t2", "s", "n")).alias("at"))
+    groups = common.written(groups, "suffix-groups")
     shown = groups.join(_alive(groups, length, index_bytes), "h").select("h", "content", "k", "heavy", "at.*")
-    wanted = shown.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "content", "k", "heavy", "s", "n")).alias("wanted"))
-    wanted = common.written(wanted, "suffix-wanted").withColumnRenamed("doc_id", "w_id").withColumnRenamed("th", "w_th")
-    once = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["w_id"]) & (docs["th"] == wanted["w_th"])).select("text", "wanted")
+    wanted = shown.groupBy("t1", "t2").agg(F.collect_list(F.struct("h", "content", "k", "heavy", "s", "n")).alias("wanted"))
+    wanted = common.written(wanted, "suffix-wanted")
+    having = exact_dedup.only_among(docs, "t1", wanted.select(F.col("t1").alias("h")), "suffix-bitmaps")
+    once = having.join(wanted, ["t1", "t2"]).select("text", "wanted")
 
     def fetch(batches):
-        for b in batches:
+        seen: set[tuple[int, int]] = set()
+        for b in common.text_slices(batches, CHUNK):
             out = []
-            for t, w in zip(b["text"], b["wanted"], strict=True):
-                raw = t.encode()
-                out += [(x["h"], x["content"], x["k"], x["heavy"], raw[x["s"] : x["s"] + x["n"] - 1 + length]) for x in w]
-            yield pd.DataFrame(out, columns=["h", "content", "k", "heavy", "bytes"])
-
-    fetched = once.mapInPandas(fetch, "h bigint, content bigint, k bigint, heavy boolean, bytes binary")
-    # Equal rows hold the same context once each; a context's share of an index is known from its group.
-    fetched = common.written(fetched, "suffix-contexts")
+            for raw, w in zip(common.raw_texts(b), b.column("wanted").to_pylist(), strict=True):
+                if (w[0]["h"], w[0]["content"]) not in seen:  # an equal text was here
+                    seen.add((w[0]["h"], w[0]["content"]))
+                    out += [(x["h"], x["content"], x["k"], x["heavy"], raw[x["s"] : x["s"] + x["n"] - 1 + length]) for x in w]
+            if len(seen) > FETCHED:
+                seen.clear()
+            if out:
+                h, content, k, heavy, raw = zip(*out, strict=True)
+                yield common.batch(h=h, content=content, k=k, heavy=heavy, bytes=raw)
+
+    fetched = common.written(once.mapInArrow(fetch, "h bigint, content bigint, k bigint, heavy boolean, bytes binary"), "suffix-contexts")
     found = _indexed(fetched, DEPTHS, length, gram, index_bytes)
     common.forget(fetched)
     moved = F.transform(F.col("runs"), lambda x: x + F.col("s"))
-    back = some.join(found, ["h", "content"]).select("doc_id", "th", moved.alias("runs"))
-    return common.written(back.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("runs")).alias("runs")), "suffix-runs")
+    back = some.join(found, ["h", "content"]).select("t1", "t2", moved.alias("runs"))
+    return common.written(back.groupBy("t1", "t2").agg(F.flatten(F.collect_list("runs")).alias("runs")), "suffix-runs")
 
 
 def _removed(n: int, runs, length: int) -> np.ndarray:
@@ -334,27 +366,27 @@ def _removed(n: int, runs, length: int) -> np.ndarray:
     return np.cumsum(cover)[:n] > 0
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, index_bytes: int = INDEX_BYTES) -> DataFrame:
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, index_bytes: int = INDEX_BYTES, filter_bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and kept_sha256 of every row."""
-    common.small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    found = marks(rows, length, gram, index_bytes).withColumnRenamed("doc_id", "m_id").withColumnRenamed("th", "m_th")
-    joined = rows.join(found, rows["doc_id"].eqNullSafe(found["m_id"]) & (rows["th"] == found["m_th"]), "left").select("doc_id", "text", "runs")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
+    found = marks(rows.drop("doc_id"), length, gram, index_bytes, filter_bits)
+    # Only texts that lose something shuffle.
+    flagged = exact_dedup.flagged_among(rows, "t1", found.select(F.col("t1").alias("h")), "marked", "suffix-bitmaps")
+    whole = flagged.filter("not marked").select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("runs"))
+    joined = flagged.filter("marked").join(found, ["t1", "t2"], "left").select("doc_id", "text", "runs")
 
     def cut(batches):
-        for b in batches:
+        for b in common.text_slices(batches, CHUNK):
             out = []
-            for t, r in zip(b["text"], b["runs"], strict=True):
-                raw = t.encode()
+            for raw, r in zip(common.raw_texts(b), b.column("runs").to_pylist(), strict=True):
                 gone = _removed(len(raw), r, length)
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                 out.append((len(raw), int(gone.sum()), int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1)), kept, hashlib.sha256(kept).hexdigest()))
-            d = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
-            d.insert(0, "doc_id", b["doc_id"].astype("Int64").to_numpy())
-            yield d
+            n, removed, runs, kept, sha = zip(*out, strict=True)
+            yield common.batch(doc_id=b.column("doc_id"), n_bytes=pa.array(n, pa.int64()), n_removed=pa.array(removed, pa.int64()), n_spans=pa.array(runs, pa.int64()), kept=pa.array(kept, pa.binary()), kept_sha256=sha)
 
-    return joined.mapInPandas(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
+    return whole.unionByName(joined).mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
 
 
 def op2_run_index_dedup(spark, sf_dir: str) -> DataFrame:
