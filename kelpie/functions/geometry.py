@@ -145,6 +145,15 @@ def slerp(a: Column, b: Column, f: Column) -> Column:
     return F.struct(*[(wa * a[k] + wb * sign * b[k]).alias(k) for k in keys])
 
 
+def quaternion_angle(a: Column, b: Column) -> Column:
+    """The angle of the turn from one unit quaternion to another."""
+    dot = a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"] + a["w"] * b["w"]
+    i = a["w"] * b["x"] - a["x"] * b["w"] - a["y"] * b["z"] + a["z"] * b["y"]
+    j = a["w"] * b["y"] + a["x"] * b["z"] - a["y"] * b["w"] - a["z"] * b["x"]
+    k = a["w"] * b["z"] - a["x"] * b["y"] + a["y"] * b["x"] - a["z"] * b["w"]
+    return 2 * F.atan2(F.sqrt(i * i + j * j + k * k), F.abs(dot))
+
+
 def mean_quaternion(a: Column, b: Column) -> Column:
     """Of two: the second with the first's sign, added and scaled to length 1."""
     dot = a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"] + a["w"] * b["w"]

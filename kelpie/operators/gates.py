@@ -41,14 +41,28 @@ def measured(value: Column) -> Column:
     return F.struct(F.when(value.isNull(), "NOT_RUN").otherwise("MEASURED").alias("status"), value.alias("value"))
 
 
-def accepted(gated: DataFrame, candidate: str, fallback: str, by: Sequence[str] = (), strict: bool = True) -> DataFrame:
-    """What is published: the candidate if every gate passed (a gate without a value blocks a strict decision, and is left
-    out of a lenient one), else the fallback."""
-    rows = gated if strict else gated.filter(F.col("value").isNotNull())
-    out = rows.groupBy(*by).agg(F.bool_and("passed").alias("accepted"))
+def accepted(gated: DataFrame, candidate: str, fallback: str, by: Sequence[str] = ()) -> DataFrame:
+    """What is published: the candidate if every gate passed (one without a value didn't), else the fallback."""
+    out = gated.groupBy(*by).agg(F.bool_and("passed").alias("accepted"))
     return out.withColumn("published", F.when(F.col("accepted"), candidate).otherwise(fallback))
 
 
+def against_baseline(metrics: DataFrame, strict: Sequence[str], lenient: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """metrics (name, baseline, candidate) -> a row for each name of strict, whose candidate must be under the baseline, and
+    of lenient, whose may equal it: status PASS, FAIL or, without a value, NOT_RUN, which doesn't pass."""
+    from .integrity import require_none
+
+    odd = lambda c: F.isnan(c) | (F.abs(c) == float("inf")) | (F.col(c) < 0)
+    require_none(metrics.filter(odd("baseline") | odd("candidate")).select(*by, "name"), "metrics must be finite and not negative")
+    wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(n in strict).alias("strict")) for n in [*strict, *lenient]])).alias("w")
+    groups = metrics.select(*by).distinct() if by else metrics.sparkSession.range(1).select()
+    table = groups.select(*by, wanted).select(*by, "w.*")
+    both = table.join(metrics.select(*by, "name", "baseline", "candidate"), [*by, "name"], "left")
+    better = F.when(F.col("strict"), F.col("candidate") < F.col("baseline")).otherwise(F.col("candidate") <= F.col("baseline"))
+    status = F.when(better.isNull(), "NOT_RUN").when(better, "PASS").otherwise("FAIL")
+    return both.select(*by, "name", "baseline", "candidate", status.alias("status"), F.coalesce(better, F.lit(False)).alias("passed"))
+
+
 def improvement(before: Column, after: Column) -> Column:
     return F.try_divide(before - after, before)
 

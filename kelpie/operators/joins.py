@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry
+
 
 def tolerance_candidates(left: DataFrame, right: DataFrame, tolerance: int, by: Sequence[str] = ()) -> DataFrame:
     """left and right (id, t, *by) -> pairs with |t_left - t_right| <= tolerance: both sides in bins of the tolerance, one
@@ -261,3 +263,42 @@ def dilated(mask: DataFrame, image: str, radius: int, width: int, height: int) -
     near = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in steps])).alias("s")
     moved = mask.select(image, "px", "py", near).select(image, (F.col("px") + F.col("s.dx")).alias("px"), (F.col("py") + F.col("s.dy")).alias("py"))
     return moved.filter(F.col("px").between(0, width - 1) & F.col("py").between(0, height - 1)).distinct()
+
+
+def instance_mask(pixels: DataFrame, image: str, score: str, value: str, least_score: float, least_value: float) -> DataFrame:
+    """pixels of instances (image, px, py, score, value) -> the pixels (image, px, py) of any instance whose score, and whose
+    value there, reach the thresholds."""
+    return pixels.filter((F.col(score) >= least_score) & (F.col(value) >= least_value)).select(image, "px", "py").distinct()
+
+
+def masked_buffer(nearest: DataFrame, mask: DataFrame, pixel: Sequence[str]) -> DataFrame:
+    """A z-buffer's pixels that mask has. The mask comes after the selection: a point behind a masked one stays hidden."""
+    return nearest.join(mask.select(*pixel).distinct(), list(pixel), "left_semi")
+
+
+def depth_edges(points: DataFrame, u: str, v: str, distance: str, limit: float, jump: float, k: int = 5, ident: str = "id") -> DataFrame:
+    """points with edge: whether one of the k nearest points in the image (itself among them), no further than limit pixels,
+    has a range whose logarithm differs by jump or more."""
+    near = nearest(points, points, [u, v], k, ident).filter(F.col("distance") <= limit).select("q_id", "b_id")
+    log = F.log(F.greatest(F.col(distance), F.lit(1e-6)))
+    of = points.select(F.col(ident).alias("b_id"), log.alias("b_log"))
+    q = points.select(F.col(ident).alias("q_id"), log.alias("q_log"))
+    edges = near.join(of, "b_id").join(q, "q_id").groupBy("q_id").agg(F.max(F.abs(F.col("q_log") - F.col("b_log")) >= jump).alias("edge"))
+    return points.join(edges.withColumnRenamed("q_id", ident), ident, "left").withColumn("edge", F.coalesce("edge", F.lit(False)))
+
+
+def bracketed_poses(anchors: DataFrame, queries: DataFrame, time: str, axes: Sequence[str], q: str, by: Sequence[str] = ()) -> DataFrame:
+    """queries with the pose between the anchors before and after: axes on the line, q (unit quaternion) on the arc (SLERP);
+    the nearest anchor's pose outside."""
+    a = anchors.select(*by, time, *axes, q, F.lit(True).alias("is_anchor"))
+    both = a.unionByName(queries.select(*by, *[c for c in queries.columns if c not in by], F.lit(False).alias("is_anchor")), allowMissingColumns=True)
+    at = F.when(F.col("is_anchor"), F.struct(F.col(time).alias("t"), *axes, F.col(q).alias("q")))
+    w = Window.partitionBy(*by).orderBy(F.col(time))
+    low = F.last(at, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    high = F.first(at, ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    rows = both.withColumn("lo", low).withColumn("hi", high).filter(~F.col("is_anchor")).drop("is_anchor", *axes, q)
+    rows = rows.withColumn("lo", F.coalesce("lo", "hi")).withColumn("hi", F.coalesce("hi", "lo"))
+    span = (F.col("hi.t") - F.col("lo.t")).cast("double")
+    part = F.when(span > 0, (F.col(time) - F.col("lo.t")).cast("double") / span).otherwise(F.lit(0.0))
+    line = {x: F.col(f"lo.{x}") + part * (F.col(f"hi.{x}") - F.col(f"lo.{x}")) for x in axes}
+    return rows.withColumns(line).withColumn(q, geometry.slerp(F.col("lo.q"), F.col("hi.q"), part)).drop("lo", "hi")

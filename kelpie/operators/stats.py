@@ -167,3 +167,19 @@ def radial_profile(pixels: DataFrame, x: Column, y: Column, value: str, cx: floa
 
 def first_dark_radius(profile: DataFrame, threshold: float, least: int = 0) -> DataFrame:
     return profile.filter((F.col("mean") < threshold) & (F.col("radius") >= least)).agg(F.min("radius").alias("radius"))
+
+
+def centres(df: DataFrame, by: Sequence[str], axes: Sequence[str]) -> DataFrame:
+    """The mean place of each group's rows (a rig's cameras), and how many there are."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), *[F.avg(a).alias(a) for a in axes])
+
+
+def coverage_summary(mask: DataFrame, instances: DataFrame, images: DataFrame, image: str, instance: str, pixels: int) -> DataFrame:
+    """One row over all images: how many, those with a mask, instances, and min, p50, p95 and max of the masked fraction."""
+    counts = instances.select(image, instance).distinct().groupBy(image).agg(F.count("*").alias("instances"))
+    per = images.select(image).join(mask.groupBy(image).count(), image, "left").join(counts, image, "left")
+    share = per.select((F.coalesce("count", F.lit(0)) / pixels).alias("fraction"), F.coalesce("instances", F.lit(0)).alias("instances"))
+    return share.agg(
+        F.count("*").alias("images"), F.count_if(F.col("fraction") > 0).alias("with_mask"), F.sum("instances").alias("instances"), F.min("fraction").alias("min"),
+        F.percentile("fraction", 0.5).alias("p50"), F.percentile("fraction", 0.95).alias("p95"), F.max("fraction").alias("max"),
+    )

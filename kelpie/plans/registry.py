@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audits, clouds, series
+from . import audits, clouds, scenes, series
 
-MODULES = [clouds, series, audits]
+MODULES = [clouds, series, audits, scenes]
 
 
 def queries() -> dict:

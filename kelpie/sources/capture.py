@@ -32,12 +32,15 @@ def cameras(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     return out.orderBy("side")
 
 
-def poses(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """A pose file (white space between POSE_COLUMNS, the first line its header) -> image_id, path, side, timestamp_ns (from
-    the image's name), q, m (camera to world, 16 numbers). index holds the image's path, which may have blanks."""
-    lines = spark.read.text(path).select(F.trim("value").alias("line")).filter("line <> ''")
-    if strict and lines.filter(F.regexp_replace("line", r"\s+", " ") == " ".join(POSE_COLUMNS)).limit(1).count() == 0:
+def poses(spark: SparkSession, path: str, strict: bool = True, images: DataFrame | None = None) -> DataFrame:
+    """A pose file (white space between POSE_COLUMNS, the first line its header) -> image_id, path, side (the path's first
+    part), timestamp_ns (from the image's name), q, m (camera to world, 16 numbers), by path. index holds the image's path,
+    which may have blanks; strict: it begins with left/ or right/. images (path): the image files that there must be."""
+    raw = spark.read.text(path)
+    first = raw.first()
+    if strict and (first is None or first[0].split() != POSE_COLUMNS):
         raise ValueError("the header differs")
+    lines = raw.select(F.trim("value").alias("line")).filter("line <> ''")
     rows = lines.filter(~F.rlike("line", F.lit(r"^index\s+x\s")))
     part = rows.select("line", F.regexp_extract("line", r"^(.*?)((?:\s+[-+0-9.eE]+){11})$", 1).alias("path"), F.split(F.trim(F.regexp_extract("line", r"^(.*?)((?:\s+[-+0-9.eE]+){11})$", 2)), r"\s+").alias("f"))
     if strict:
@@ -52,8 +55,13 @@ def poses(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     if strict:
         require_none(out.filter("path is null or m is null").select("path"), "paths or rotations are invalid")
         require_none(duplicates(out, ["path"]), "paths repeat")
-    side = F.when(F.contains(F.lower("path"), F.lit("left")), "left").when(F.contains(F.lower("path"), F.lit("right")), "right")
-    return out.select(scalar.stable_id("img_", F.col("path")).alias("image_id"), "path", side.alias("side"), "timestamp_ns", "q", "m")
+    part = F.substring_index("path", "/", 1)
+    side = F.when(part.isin("left", "right"), part)
+    if strict:
+        require_none(out.filter(side.isNull()).select("path"), "paths don't begin with left/ or right/")
+    if images is not None:
+        require_none(out.join(images.select("path"), "path", "left_anti").select("path"), "images are missing")
+    return out.orderBy("path").select(scalar.stable_id("img_", F.col("path")).alias("image_id"), "path", side.alias("side"), "timestamp_ns", "q", "m")
 
 
 def transforms(spark: SparkSession, path: str) -> DataFrame:
@@ -90,12 +98,14 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
 
 
 #: Names a point cloud is looked for by, best first; then any colorised, then any uncolorised file.
-CLOUD_NAMES = ["colorized.las", "colorized_filtered.las", "uncolorized.las"]
+CLOUD_NAMES = ["colorized.las", "colorized.laz", "uncolorized.las"]
 
 
-def find_cloud(files: DataFrame) -> str | None:
-    """The path of the best local-frame LAS file of an inventory."""
-    name = F.lower(F.substring_index("path", "/", -1))
-    order = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, CLOUD_NAMES)), name), F.lit(0).cast("bigint")), F.when(F.endswith(name, F.lit("_colorized.las")), 10).when(F.endswith(name, F.lit("_uncolorized.las")), 11).cast("bigint"))
-    best = files.filter(~F.contains(name, F.lit("ecef"))).select("path", order.alias("o")).filter("o is not null").orderBy("o", "path").first()
+def find_cloud(files: DataFrame, folder: str) -> str | None:
+    """The path of the best local-frame point cloud of an inventory that lies in folder itself."""
+    name, parent = F.substring_index("path", "/", -1), F.regexp_replace(F.regexp_replace("path", "/[^/]*$", ""), "^file:/+", "/")
+    fixed = F.nullif(F.array_position(F.array(*map(F.lit, CLOUD_NAMES)), name), F.lit(0).cast("bigint"))
+    other = F.when(F.contains(F.lower(name), F.lit("ecef")), None).when(F.endswith(name, F.lit("_colorized.las")), 10).when(F.endswith(name, F.lit("_uncolorized.las")), 11)
+    here = files.filter(parent == "/" + folder.removeprefix("file:").strip("/"))
+    best = here.select("path", F.coalesce(fixed, other.cast("bigint")).alias("o")).filter("o is not null").orderBy("o", "path").first()
     return best["path"] if best else None

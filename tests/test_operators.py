@@ -97,3 +97,12 @@ def test_row_hashes_stream(spark):
     assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
     assert tuple(stats.hash_of_rows(df.filter("g = 'a'"), "p", "c").first()) == want
     assert tuple(stats.hash_of_rows(df.limit(0), "p", "c").first()) == (hashlib.sha256().hexdigest(), 0)
+
+
+def test_baseline_gates(spark):
+    rows = [("edge", 2.0, 2.0), ("score", 2.0, 2.0)]
+    m = spark.createDataFrame(rows, "name string, baseline double, candidate double")
+    got = {r["name"]: (r["status"], r["passed"]) for r in gates.against_baseline(m, ["edge", "unknown"], ["score"]).collect()}
+    assert got == {"edge": ("FAIL", False), "unknown": ("NOT_RUN", False), "score": ("PASS", True)}
+    with pytest.raises(ValueError):
+        gates.against_baseline(spark.createDataFrame([("edge", -1.0, 2.0)], m.schema), ["edge"], [])

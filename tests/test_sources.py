@@ -47,7 +47,7 @@ def test_search_and_merge(spark):
     p = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(rng.normal(size=(4000, 3)))], "idx long, x double, y double, z double")
     size, passes = voxel.search_size(p, 300)
     cells = voxel.occupied(p, size, [voxel.bounds(p).first()[f"min_{a}"] for a in "xyz"])
-    assert cells <= 300 and (cells >= 270 or len(passes) >= 8)
+    assert cells <= 300 and (cells >= 270 or len(passes) > 32)
     voxel.check_budget(cells, 300, 350)
     with pytest.raises(ValueError):
         voxel.check_budget(301, 300, 350)
@@ -71,7 +71,7 @@ def test_capture_files(spark, tmp_path):
     assert sorted(map(tuple, capture.pair_list(spark, str(tmp_path / "pairs")).collect())) == [("a", "b"), ("b", "c")]
     las_file(tmp_path / "x_colorized.las", np.zeros((1, 3)), np.zeros((1, 3)))
     las_file(tmp_path / "x_ecef_colorized.las", np.zeros((1, 3)), np.zeros((1, 3)))
-    assert capture.find_cloud(capture.inventory(spark, str(tmp_path))).endswith("/x_colorized.las")
+    assert capture.find_cloud(capture.inventory(spark, str(tmp_path)), str(tmp_path)).endswith("/x_colorized.las")
     m = [[1.0, 0, 0, 7], [0, 1, 0, 8], [0, 0, 1, 9], [0, 0, 0, 1]]
     (tmp_path / "t.json").write_text(json.dumps({"frames": [{"file_path": "a.png", "transform_matrix": m}]}))
     r = capture.transforms(spark, str(tmp_path / "t.json")).first()
@@ -103,3 +103,28 @@ def test_stream(spark, tmp_path):
     q = voxels.stream_representatives(s, 0.25, (0.0, 0.0, 0.0)).writeStream.outputMode("complete").format("memory").queryName("cells").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(map(tuple, spark.table("cells").collect())) == sorted(map(tuple, voxel.representatives(p, 0.25, (0.0, 0.0, 0.0)).collect()))
+
+
+def test_pose_files_are_strict(spark, tmp_path):
+    line = lambda p: f"{p} 1 2 3 0 0 0 0 0 0 1 5"
+    head = " ".join(capture.POSE_COLUMNS)
+
+    def read(lines, **more):
+        (tmp_path / "p.txt").write_text("\n".join(lines))
+        return capture.poses(spark, str(tmp_path / "p.txt"), **more).collect()
+
+    assert [(r["path"], r["side"]) for r in read([head, line("right/7.jpg"), line("left/9.jpg")])] == [("left/9.jpg", "left"), ("right/7.jpg", "right")]
+    for bad in ([line("left/9.jpg"), head], [head, line("leftover/right/9.jpg")]):
+        with pytest.raises(ValueError):
+            read(bad)
+    have = spark.createDataFrame([("left/9.jpg",)], "path string")
+    assert len(read([head, line("left/9.jpg")], images=have)) == 1
+    with pytest.raises(ValueError, match="missing"):
+        read([head, line("right/7.jpg")], images=have)
+
+
+def test_cloud_names(spark):
+    files = lambda *names: spark.createDataFrame([(f"file:/run/{n}",) for n in names], "path string")
+    assert capture.find_cloud(files("a_colorized.las", "colorized.laz", "uncolorized.las"), "/run") == "file:/run/colorized.laz"
+    assert capture.find_cloud(files("colorized_filtered.las", "b_uncolorized.las", "x_ecef_colorized.las"), "/run") == "file:/run/b_uncolorized.las"
+    assert capture.find_cloud(files("sub/colorized.las"), "/run") is None
