@@ -25,10 +25,10 @@ def supervised(valid: Column, static: Column, dynamic: Column, depth: Column, co
     return F.coalesce(valid & static & ~dynamic & ok, F.lit(False))
 
 
-def gaussian_ssim(pixels: DataFrame, image: str, a: str, b: str, mask: str, sigma: float = 1.5, c1: float = 0.01**2, c2: float = 0.03**2) -> DataFrame:
+def gaussian_ssim(pixels: DataFrame, image: str, a: str, b: str, mask: str, sigma: float = 1.5, c1: float = 0.01**2, c2: float = 0.03**2, size: tuple[int, int] | None = None) -> DataFrame:
     """Mean structural similarity over the masked pixels of each image; local moments are Gaussian means over masked
-    neighbours (weights that fall outside the mask are left out), images reflected at their edges. An image is one group:
-    its pixels fit a task."""
+    neighbours (weights that fall outside the mask are left out), images reflected at their edges: those of size (width, height),
+    or without it the largest pixel's. An image is one group: its pixels fit a task."""
     import numpy as np
     import pandas as pd
 
@@ -40,7 +40,7 @@ def gaussian_ssim(pixels: DataFrame, image: str, a: str, b: str, mask: str, sigm
         return v
 
     def one(d):
-        h, w = int(d["py"].max()) + 1, int(d["px"].max()) + 1
+        w, h = size or (int(d["px"].max()) + 1, int(d["py"].max()) + 1)
         x, y, m = np.zeros((h, w)), np.zeros((h, w)), np.zeros((h, w))
         at = d["py"].to_numpy(), d["px"].to_numpy()
         x[at], y[at], m[at] = d["a"], d["b"], d["m"].astype(float)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .windows import numbered
 
 def percentile(value: Column, q: float, accuracy: int | None = None) -> Column:
     """Exact with linear interpolation, or approximate with the given accuracy (bounded memory for a huge group)."""
@@ -24,13 +25,13 @@ def distribution(df: DataFrame, value: str, by: Sequence[str] = (), accuracy: in
     )
 
 
-def finite_summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+def finite_summary(df: DataFrame, value: str, by: Sequence[str] = (), accuracy: int | None = None) -> DataFrame:
     """Counts of finite and other values (NaN counts as infinite), and figures of the finite ones: null without any."""
     v = F.col(value).cast("double")
     finite = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
     return df.groupBy(*by).agg(
         F.count(v).alias("n"), F.count(finite).alias("finite_count"), (F.count(v) - F.count(finite)).alias("infinite_count"), F.avg(finite).alias("mean"),
-        F.percentile(finite, 0.5).alias("p50"), F.percentile(finite, 0.95).alias("p95"), F.min(finite).alias("min"), F.max(finite).alias("max"),
+        percentile(finite, 0.5, accuracy).alias("p50"), percentile(finite, 0.95, accuracy).alias("p95"), F.min(finite).alias("min"), F.max(finite).alias("max"),
     )
 
 
@@ -46,11 +47,11 @@ def histogram_quantile(hist: DataFrame, value: str, q: float, by: Sequence[str]
     return run.filter(F.col("run") >= F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("total")))).groupBy(*by).agg(F.min(value).alias("quantile"))
 
 
-def robust_limit(df: DataFrame, value: str, floor: float, multiplier: float, by: Sequence[str] = ()) -> DataFrame:
+def robust_limit(df: DataFrame, value: str, floor: float, multiplier: float, by: Sequence[str] = (), accuracy: int | None = None) -> DataFrame:
     """median, mad and max(floor, median + multiplier * 1.4826 * mad)."""
-    med = df.groupBy(*by).agg(F.percentile(value, 0.5).alias("median"))
+    med = df.groupBy(*by).agg(percentile(F.col(value), 0.5, accuracy).alias("median"))
     joined = df.join(med, list(by)) if by else df.withColumn("median", F.lit(med.first()[0]))
-    out = joined.groupBy(*by).agg(F.first("median").alias("median"), F.percentile(F.abs(F.col(value) - F.col("median")), 0.5).alias("mad"))
+    out = joined.groupBy(*by).agg(F.first("median").alias("median"), percentile(F.abs(F.col(value) - F.col("median")), 0.5, accuracy).alias("mad"))
     return out.withColumn("upper", F.greatest(F.lit(float(floor)), F.col("median") + multiplier * 1.4826 * F.col("mad")))
 
 
@@ -72,12 +73,12 @@ def global_ssim(df: DataFrame, a: str, b: str, mask: Column, by: Sequence[str] =
     return m.select(*by, (top / ((c("mx") ** 2 + c("my") ** 2 + c1) * (c("vx") + c("vy") + c2))).alias("ssim"))
 
 
-def depth_metrics(df: DataFrame, target: str, predicted: str, weight: str, valid: Column, by: Sequence[str] = ()) -> DataFrame:
+def depth_metrics(df: DataFrame, target: str, predicted: str, weight: str, valid: Column, by: Sequence[str] = (), accuracy: int | None = None) -> DataFrame:
     """Weighted mean absolute and root mean square error, and the plain 95th percentile of the absolute error."""
     ok = valid & (F.col(weight) > 0) & ~F.isnan(target) & ~F.isnan(predicted)
     e, w = F.when(ok, F.abs(F.col(predicted) - F.col(target))), F.when(ok, F.col(weight))
     return df.groupBy(*by).agg(
-        F.count(e).alias("n"), (F.sum(w * e) / F.sum(w)).alias("mae"), F.sqrt(F.sum(w * e * e) / F.sum(w)).alias("rmse"), F.percentile(e, 0.95).alias("abs_p95")
+        F.count(e).alias("n"), (F.sum(w * e) / F.sum(w)).alias("mae"), F.sqrt(F.sum(w * e * e) / F.sum(w)).alias("rmse"), percentile(e, 0.95, accuracy).alias("abs_p95")
     )
 
 
@@ -85,7 +86,7 @@ def supervision_loss(losses: DataFrame, l1: str, ssim: str, range_l1: str, weigh
     return losses.withColumn("loss", weights[0] * F.col(l1) + weights[1] * (1 - F.col(ssim)) + weights[2] * F.coalesce(F.col(range_l1), F.lit(0.0)))
 
 
-def residual_audit(obs: DataFrame, image: str, error: str, flag: str, high: float = 5.0, minimum: int = 20, overlap: float = 0.3) -> DataFrame:
+def residual_audit(obs: DataFrame, image: str, error: str, flag: str, high: float = 5.0, minimum: int = 20, overlap: float = 0.3, accuracy: int | None = None) -> DataFrame:
     """For each image and for all (image null): observations, those flagged, high ones, high flagged ones, their share, and
     the decision of the whole. Image rows are sums that the total adds up, except percentiles."""
     bad = obs.filter(F.col(image).isNull() | F.col(error).isNull() | F.isnan(F.col(error).cast("double")) | (F.col(error) < 0)).limit(1).count()
@@ -94,7 +95,7 @@ def residual_audit(obs: DataFrame, image: str, error: str, flag: str, high: floa
     is_high, on = F.col(error) >= high, F.coalesce(F.col(flag).cast("boolean"), F.lit(False))
     out = obs.groupingSets([[F.col(image)], []], F.col(image)).agg(
         F.grouping(image).alias("is_total"), F.count("*").alias("observations"), F.count_if(on).alias("flagged"), F.count_if(is_high).alias("high"), F.count_if(is_high & on).alias("high_flagged"),
-        F.percentile(error, 0.5).alias("p50"), F.percentile(error, 0.95).alias("p95"), F.max(error).cast("double").alias("max"),
+        percentile(F.col(error), 0.5, accuracy).alias("p50"), percentile(F.col(error), 0.95, accuracy).alias("p95"), F.max(error).cast("double").alias("max"),
     )
     share = F.coalesce(F.try_divide(F.col("high_flagged").cast("double"), F.col("high")), F.lit(0.0))
     out = out.withColumn("overlap_fraction", share)
@@ -105,10 +106,10 @@ def residual_audit(obs: DataFrame, image: str, error: str, flag: str, high: floa
 def hash_of_rows(df: DataFrame, path: str, content: str, by: Sequence[str] = ()) -> DataFrame:
     """SHA-256 over path NUL content LF in path order: one digest for each group. A group is sorted (on disk where it must
     be) and streamed through the hash, so no row or task holds it; the hash itself has no parallel form, so a group is one
-    task's. Rows with a null path or content count, but add nothing to the digest."""
+    task's: pass the hash of each content where contents are long, so that tasks hash them and the stream is short. Rows
+    with a null path or content count, but add nothing to the digest."""
     import hashlib
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")  # texts may be long
     line = F.concat(F.col(path), F.lit("\0"), F.col(content), F.lit("\n"))
     keys = [f"__k{i}" for i in range(len(by))]
     rows = df.select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], F.col(path).alias("__path"), F.col(content).alias("__content"), line.alias("__line"))
@@ -147,9 +148,8 @@ def hash_of_rows(df: DataFrame, path: str, content: str, by: Sequence[str] = ())
 
 
 def first_seen_ids(df: DataFrame, key: Sequence[str], order: str, out: str = "dense_id") -> DataFrame:
-    """key, first and a dense id from 0 in the order in which keys first appear. The window is over distinct keys."""
-    firsts = df.groupBy(*key).agg(F.min(order).alias("first_seen"))
-    return firsts.withColumn(out, F.row_number().over(Window.orderBy("first_seen", *key)) - 1)
+    """key, first and a dense id from 0 in the order in which keys first appear; distinct keys are numbered by ranges."""
+    return numbered(df.groupBy(*key).agg(F.min(order).alias("first_seen")), ["first_seen", *key], out)
 
 
 def signed_differences(a: DataFrame, b: DataFrame, key: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -183,3 +183,29 @@ def coverage_summary(mask: DataFrame, instances: DataFrame, images: DataFrame, i
         F.count("*").alias("images"), F.count_if(F.col("fraction") > 0).alias("with_mask"), F.sum("instances").alias("instances"), F.min("fraction").alias("min"),
         F.percentile("fraction", 0.5).alias("p50"), F.percentile("fraction", 0.95).alias("p95"), F.max("fraction").alias("max"),
     )
+
+
+def array_digest(points: DataFrame, order: str = "idx") -> str:
+    """SHA-256 of all coordinates (x, y, z as little-endian doubles) in order, then of all colours (red, green, blue as
+    bytes): coordinates and colours are two sorted runs that one task streams through the hash."""
+    import hashlib
+
+    import numpy as np
+
+    xyz = points.select(F.lit(0).alias("part"), F.col(order).alias("at"), *[F.col(a).cast("double").alias(a) for a in "xyz"])
+    rgb = points.select(F.lit(1).alias("part"), F.col(order).alias("at"), *[F.col(c).cast("double").alias(a) for a, c in zip("xyz", ("red", "green", "blue"), strict=True)])
+
+    def stream(batches):
+        import pyarrow as pa
+
+        digest = hashlib.sha256()
+        for b in batches:
+            part = b.column(0).to_numpy(zero_copy_only=False)
+            v = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3)], axis=1)
+            digest.update(v[part == 0].astype("<f8").tobytes())
+            digest.update(v[part == 1].astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_pydict({"digest": [digest.hexdigest()]})
+
+    ordered = xyz.unionByName(rgb).repartition(1).sortWithinPartitions("part", "at").select("part", "x", "y", "z")
+    row = ordered.mapInArrow(stream, "digest string").first()
+    return row["digest"] if row else hashlib.sha256().hexdigest()

@@ -54,6 +54,18 @@ def numbered(df: DataFrame, order: Sequence, out: str = "pos", by: Sequence[str]
     return joined.withColumn(out, F.col("__before") + F.col("__n") - 1).drop(part, "__n", "__before")
 
 
+def running_before(df: DataFrame, order: Sequence[str], value: str, out: str = "before") -> DataFrame:
+    """df with the sum of value over all rows before in order, and __total over all rows: parts in ranges, like numbered."""
+    part = "__part"
+    ranged = df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism, *order).withColumn(part, F.spark_partition_id())
+    ranged = written(ranged, "running-parts")
+    until = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(part).agg(F.sum(value).alias("__sum"))  # a row for each partition
+    before = sums.select(part, F.coalesce(F.sum("__sum").over(until(Window.orderBy(part))), F.lit(0)).alias("__before"), F.sum("__sum").over(Window.partitionBy()).alias("__total"))
+    local = ranged.withColumn("__own", F.coalesce(F.sum(value).over(until(Window.partitionBy(part).orderBy(*order))), F.lit(0)))
+    return local.join(F.broadcast(before), part).withColumn(out, F.col("__before") + F.col("__own")).drop(part, "__own", "__before")
+
+
 def _bounded(df: DataFrame, order: Sequence) -> tuple[DataFrame, int]:
     return numbered(df, order), df.count()
 
@@ -83,9 +95,8 @@ def spatial_split(df: DataFrame, axes: Sequence[Column], cell: float, fraction:
     name = F.concat_ws(":", *[k.cast("string") for k in keys])
     rows = df.withColumn("cell", name)
     sizes = rows.groupBy("cell").agg(F.count("*").alias("n")).withColumn("h", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("cell")), 256))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    target = F.greatest(F.lit(1), F.bround(F.sum("n").over(Window.partitionBy()) * F.lit(float(fraction)), 0))
-    labelled = sizes.select("cell", F.when(before < target, "val").otherwise("train").alias("split"))
+    target = F.greatest(F.lit(1), F.bround(F.col("__total") * F.lit(float(fraction)), 0))
+    labelled = running_before(sizes, ["h"], "n").select("cell", F.when(F.col("before") < target, "val").otherwise("train").alias("split"))
     return rows.join(labelled, "cell")
 
 

@@ -77,7 +77,9 @@ def residual_audit(spark, d):
 
 
 def ordered_digest(spark, d):
-    return stats.hash_of_rows(table(spark, d, "documents").withColumn("path", F.col("doc_id").cast("string")), "path", "text", ["lang"])
+    """Each text is hashed where it is; a language's digest is over the hashes in path order."""
+    docs = table(spark, d, "documents").select("lang", F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("hash"))
+    return stats.hash_of_rows(docs, "path", "hash", ["lang"])
 
 
 def dense_ids(spark, d):
@@ -217,7 +219,7 @@ SQL = {
     "depth_errors": "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity * abs(l_tax - l_discount)) / sum(l_quantity), 6) AS mae, round(sqrt(sum(l_quantity * pow(l_tax - l_discount, 2)) / sum(l_quantity)), 6) AS rmse, round(quantile_cont(abs(l_tax - l_discount), 0.95), 6) AS abs_p95 FROM lineitem WHERE l_linenumber < 5 AND l_quantity > 0 GROUP BY 1",
     "training_loss": f"WITH m AS (SELECT l_returnflag, {_MOM}, avg(abs(l_discount - l_tax)) AS l1, sum(l_quantity * abs(l_tax - l_discount)) / sum(l_quantity) AS mae FROM lineitem GROUP BY 1) SELECT l_returnflag, round(0.8::double * l1 + 0.2::double * (1 - {_SSIM}) + 0.05::double * mae, 6) AS loss FROM m",
     "residual_audit": f"WITH o AS (SELECT * FROM documents JOIN labels USING (doc_id)), a AS (SELECT source, grouping(source) AS t, {_AUDIT} FROM o GROUP BY GROUPING SETS ((source), ())) SELECT source, observations, flagged, high, high_flagged, p50, p95, max, round(CASE WHEN high = 0 THEN 0 ELSE high_flagged / high END, 6) AS overlap_fraction, CASE WHEN t = 0 THEN NULL WHEN high < 20 THEN 'INSUFFICIENT_HIGH_RESIDUAL_OBSERVATIONS' WHEN high_flagged / high >= 0.3 THEN 'RERUN_MASKED_BA_RECOMMENDED' ELSE 'RETAIN_CURRENT_BA' END AS decision FROM a",
-    "ordered_digest": "SELECT lang, sha256(string_agg(doc_id::varchar || chr(0) || text || chr(10), '' ORDER BY doc_id::varchar)) AS digest, count(*) AS n FROM documents GROUP BY lang",
+    "ordered_digest": "SELECT lang, sha256(string_agg(doc_id::varchar || chr(0) || sha256(text) || chr(10), '' ORDER BY doc_id::varchar)) AS digest, count(*) AS n FROM documents GROUP BY lang",
     "dense_ids": "WITH f AS (SELECT l_suppkey, min(l_orderkey) AS first_seen FROM lineitem GROUP BY 1) SELECT *, row_number() OVER (ORDER BY first_seen, l_suppkey) - 1 AS dense_id FROM f",
     "radial_profile": "SELECT floor(sqrt(pow(i % 64 - 31.5::double, 2) + pow(i // 64 - 31.5::double, 2)))::int AS radius, round(avg((i % 97)::double), 6) AS mean, count(*) AS n FROM range(4096) t(i) GROUP BY 1",
     "image_circle": "SELECT min(radius) AS radius FROM (SELECT floor(r)::int AS radius, avg(CASE WHEN r < 25 THEN 200.0 ELSE 5.0 END) AS mean FROM (SELECT sqrt(pow(i % 64 - 31.5::double, 2) + pow(i // 64 - 31.5::double, 2)) AS r FROM range(4096) t(i)) GROUP BY 1) WHERE mean < 40",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audits, clouds, scenes, series
+from . import audits, clouds, records, scenes, series
 
-MODULES = [clouds, series, audits, scenes]
+MODULES = [clouds, series, audits, scenes, records]
 
 
 def queries() -> dict:
