@@ -23,7 +23,7 @@ def metrics_long(wide: DataFrame, names: Sequence[str], by: Sequence[str] = ())
 
 def evaluated(metrics: DataFrame, gates: Sequence[tuple[str, str, float]], by: Sequence[str] = ()) -> DataFrame:
     """metrics (name, value) joined to their gates: operator, threshold, passed. A missing value never passes."""
-    table = metrics.sparkSession.createDataFrame(list(gates), "name string, operator string, threshold double")
+    table = metrics.sparkSession.createDataFrame([(n, o, float(t)) for n, o, t in gates], "name string, operator string, threshold double")
     v, t = F.col("value"), F.col("threshold")
     ok = F.coalesce(F.when(F.col("operator") == ">=", v >= t).when(F.col("operator") == "<=", v <= t).when(F.col("operator") == ">", v > t).when(F.col("operator") == "<", v < t), F.lit(False))
     return metrics.join(F.broadcast(table), "name").select(*by, "name", "value", "operator", "threshold", (ok & ~F.isnan(F.coalesce(v, F.lit(0.0)))).alias("passed"))

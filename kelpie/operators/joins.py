@@ -64,6 +64,19 @@ def rig_frames(left: DataFrame, right: DataFrame, tolerance: int) -> tuple[DataF
     return framed, alone
 
 
+def rig_errors(frames: DataFrame, poses: DataFrame, expected: Sequence[float]) -> DataFrame:
+    """frames (rig_id, l_id, r_id), poses (id, m: camera to world), the calibrated right-to-left pose (16 numbers) -> rig_id,
+    tx, ty, tz (right to left as posed), and how far it is from the calibrated one: translation_error, rotation_error (radians)."""
+    both = frames.join(poses.select(F.col("id").alias("l_id"), F.col("m").alias("l_m")), "l_id").join(poses.select(F.col("id").alias("r_id"), F.col("m").alias("r_m")), "r_id")
+    back = geometry.transposed(geometry.rotation_of(F.col("l_m")))
+    apart = F.zip_with(geometry.translation_of(F.col("r_m")), geometry.translation_of(F.col("l_m")), lambda r, l: r - l)
+    posed = both.select("rig_id", geometry.applied(back, apart).alias("t"), geometry.times(back, geometry.rotation_of(F.col("r_m"))).alias("r"))
+    wanted = F.array(*[F.lit(float(v)) for v in expected])
+    far = F.sqrt(sum((F.pow(F.col("t")[i] - float(expected[4 * i + 3]), 2) for i in range(3)), F.lit(0.0)))
+    angle = geometry.rotation_angle(geometry.rotation_of(wanted), F.col("r"))
+    return posed.select("rig_id", *[F.col("t")[i].alias(n) for i, n in enumerate(("tx", "ty", "tz"))], far.alias("translation_error"), angle.alias("rotation_error"))
+
+
 def neighbour_edges(df: DataFrame, ident: str, order: Sequence[str], n: int, keep: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
     """(a, b, gap) for rows at most n places apart in order; gaps count all rows, edges only those where keep holds."""
     from .windows import numbered

@@ -51,6 +51,36 @@ def pose_set_violations(images: DataFrame) -> DataFrame:
     return empty.unionByName(twice).unionByName(skewed).unionByName(odd).unionByName(partial)
 
 
+def verify_decision(report: dict, signature: str, decision: str, published: str, names: tuple[str, str]) -> None:
+    """A signed report whose decision must be what its gates say: names are what is published if all pass, and if not."""
+    scalar.verify(report, signature)
+    passed = all(g.get("status") == "PASS" for g in report.get("gates", {}).values())
+    if report.get(decision) is not passed or report.get(published) != names[0 if passed else 1]:
+        raise ValueError("the decision differs from the gates")
+
+
+def verify_pose_set(images: DataFrame, counts: dict, curve: DataFrame, preserved: bool) -> None:
+    """images as in pose_set_violations, the counts that the manifest states (image_count, rig_count), curve (rig_id) of
+    corrections: no violation, the counts are right, the curve has each rig once, and the baseline was preserved."""
+    require_none(pose_set_violations(images), "poses are invalid")
+    found = images.agg(F.count("*").alias("image_count"), F.count_distinct("rig_id").alias("rig_count")).first().asDict()
+    if not found["image_count"] or counts != found:
+        raise ValueError(f"the counts are {found}")
+    require_none(duplicates(curve, ["rig_id"]), "corrections repeat")
+    require_none(key_set_difference(images.select("rig_id").distinct(), curve.select("rig_id"), ["rig_id"]), "corrections don't cover the rigs")
+    if preserved is not True:
+        raise ValueError("the baseline wasn't preserved")
+
+
+def image_masks(images: DataFrame, templates: DataFrame) -> DataFrame:
+    """images (image_id, camera), templates (camera, path, sha256): each image with its camera's one mask, and by how many
+    images that is shared. Cameras without a template, or with two, are errors."""
+    require_none(duplicates(templates, ["camera"]), "templates repeat")
+    uses = images.groupBy("camera").agg(F.count("*").alias("shared_by"))
+    require_none(uses.join(templates, "camera", "left_anti").select("camera"), "cameras lack a template")
+    return images.select("image_id", "camera").join(templates.select("camera", "path", "sha256").join(uses, "camera"), "camera")
+
+
 def decided(images: DataFrame, decisions: DataFrame, key: str, allowed: list[str]) -> DataFrame:
     """images with their decision; raises where the keys of both sides differ, repeat or a decision isn't an allowed one."""
     require_none(duplicates(decisions, [key]), "decisions repeat")

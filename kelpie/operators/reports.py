@@ -24,18 +24,24 @@ def _p50(errors: DataFrame) -> float:
     return value
 
 
+def _rig_drift(before: DataFrame, after: DataFrame) -> dict:
+    """The largest change of the right-to-left poses (id, m) in metres and degrees."""
+    m = before.select("id", F.col("m").alias("b")).join(after.select("id", F.col("m").alias("a")), "id")
+    move = F.sqrt(sum((F.pow(F.element_at("a", i) - F.element_at("b", i), 2) for i in (4, 8, 12)), F.lit(0.0)))
+    turn = F.degrees(geometry.rotation_angle(geometry.rotation_of(F.col("a")), geometry.rotation_of(F.col("b"))))
+    drift = m.agg(F.max(move).alias("t"), F.max(turn).alias("r")).first()
+    if drift["t"] is None:
+        raise ValueError("no rigs")
+    return drift.asDict()
+
+
 def bundle_report(before: dict[str, DataFrame], after: dict[str, DataFrame], solved: bool, limits: dict[str, tuple[float, bool]]) -> DataFrame:
     """before and after: errors (error), rigs (id, m: right to left, x, y, z: centre), cameras (key, parameters of limits).
     -> the gates with value, threshold and passed; accepted if all pass."""
     spark = before["errors"].sparkSession
     gain = (_p50(before["errors"]) - _p50(after["errors"])) / _p50(before["errors"])
     integrity.require_none(integrity.key_set_difference(before["rigs"], after["rigs"], ["id"]), "rigs differ")
-    m = before["rigs"].select("id", F.col("m").alias("b")).join(after["rigs"].select("id", F.col("m").alias("a")), "id")
-    move = F.sqrt(sum((F.pow(F.element_at("a", i) - F.element_at("b", i), 2) for i in (4, 8, 12)), F.lit(0.0)))
-    turn = F.degrees(geometry.rotation_angle(geometry.rotation_of(F.col("a")), geometry.rotation_of(F.col("b"))))
-    drift = m.agg(F.max(move).alias("t"), F.max(turn).alias("r")).first()
-    if drift["t"] is None:
-        raise ValueError("no rigs")
+    drift = _rig_drift(before["rigs"], after["rigs"])
     scale = [joins.median_pair_distance(s["rigs"], ["x", "y", "z"]).first()[0] for s in (before, after)]
     worst = gates.parameter_bounds(before["cameras"], after["cameras"], ["key"], limits).agg(F.bool_and("passed")).first()[0]
     metrics = [
@@ -49,13 +55,24 @@ def bundle_report(before: dict[str, DataFrame], after: dict[str, DataFrame], sol
     return gates.evaluated(spark.createDataFrame(metrics, "name string, value double"), thresholds)
 
 
-def refinement_gates(losses: DataFrame, moves: DataFrame, most_metres: float = 0.25, most_degrees: float = 2.0, gain: float = 0.01) -> DataFrame:
-    """losses (before, after) of pose candidates, moves (metres, degrees): bounds held, and a mean gain of `gain` and more."""
+def refinement_gates(losses: DataFrame, moves: DataFrame, most_metres: float = 0.25, most_degrees: float = 2.0, gain: float = 0.01, rigs: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """losses (before, after) of pose candidates, moves (metres, degrees) of rigs: bounds held, and a mean gain of `gain` and
+    more that is over 0. rigs (id, m: right to left), before and after: their baseline must stay as well. Losses that are
+    negative, of 0 before or not finite, moves that aren't finite, and tables without a row are errors."""
+    odd = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    integrity.require_none(losses.filter(odd("before") | odd("after") | (F.col("before") <= 0) | (F.col("after") < 0)), "losses must be finite and not negative")
+    integrity.require_none(moves.filter(odd("metres") | odd("degrees")), "moves must be finite")
     l = losses.agg(F.avg("before").alias("b"), F.avg("after").alias("a")).first()  # noqa: E741
     m = moves.agg(F.max("metres").alias("t"), F.max("degrees").alias("r")).first()
-    share = (l["b"] - l["a"]) / l["b"] if l["b"] else None
-    rows = [("translation_m", m["t"]), ("rotation_deg", m["r"]), ("loss_gain", share)]
-    limits = [("translation_m", "<=", most_metres), ("rotation_deg", "<=", most_degrees), ("loss_gain", ">=", gain)]
+    if l["b"] is None or m["t"] is None:
+        raise ValueError("no losses or no moves")
+    rows = [("translation_m", m["t"]), ("rotation_deg", m["r"]), ("loss_gain", (l["b"] - l["a"]) / l["b"])]
+    limits = [("translation_m", "<=", most_metres), ("rotation_deg", "<=", most_degrees), ("loss_gain", ">=" if gain > 0 else ">", max(gain, 0.0))]
+    if rigs:
+        integrity.require_none(integrity.key_set_difference(*rigs, ["id"]), "rigs differ")
+        drift = _rig_drift(*rigs)
+        rows += [("rig_translation_drift_m", drift["t"]), ("rig_rotation_drift_deg", drift["r"])]
+        limits += [("rig_translation_drift_m", "<=", RIG_METRES), ("rig_rotation_drift_deg", "<=", RIG_DEGREES)]
     return gates.evaluated(losses.sparkSession.createDataFrame(rows, "name string, value double"), limits)
 
 

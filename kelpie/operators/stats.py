@@ -47,6 +47,19 @@ def histogram_quantile(hist: DataFrame, value: str, q: float, by: Sequence[str]
     return run.filter(F.col("run") >= F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("total")))).groupBy(*by).agg(F.min(value).alias("quantile"))
 
 
+def scatter(df: DataFrame, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """The population standard deviation of each value, 0.0 for none."""
+    return df.groupBy(*by).agg(*[F.coalesce(F.stddev_pop(F.col(v).cast("double")), F.lit(0.0)).alias(f"{v}_scatter") for v in values])
+
+
+def quantiles_of_histogram(hist: DataFrame, value: str, quantiles: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """*by, n and a column for each name of quantiles, by one pass over the bins of a histogram (value, n)."""
+    group = Window.partitionBy(*by)
+    run = hist.withColumn("run", F.sum("n").over(group.orderBy(value))).withColumn("total", F.sum("n").over(group))
+    at = {name: F.min(F.when(F.col("run") >= F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("total"))), F.col(value))) for name, q in quantiles.items()}
+    return run.groupBy(*by).agg(F.sum("n").alias("n"), *[c.alias(name) for name, c in at.items()])
+
+
 def robust_limit(df: DataFrame, value: str, floor: float, multiplier: float, by: Sequence[str] = (), accuracy: int | None = None) -> DataFrame:
     """median, mad and max(floor, median + multiplier * 1.4826 * mad)."""
     med = df.groupBy(*by).agg(percentile(F.col(value), 0.5, accuracy).alias("median"))

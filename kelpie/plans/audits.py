@@ -194,7 +194,7 @@ def url_paths(spark, d):
 def size_texts(spark, d):
     n = F.col("n_chars") * 37
     text = F.regexp_replace(scalar.size_text(n), ",", "")
-    return table(spark, d, "documents").select("doc_id", F.substring_index(text, " ", -1).alias("unit"))
+    return table(spark, d, "documents").select("doc_id", text.alias("size"))
 
 
 def colour_bytes(spark, d):
@@ -238,7 +238,7 @@ SQL = {
     "split_violations": "WITH e AS (SELECT DISTINCT user_id, CASE WHEN event_id % 10 = 0 THEN 'val' WHEN event_id % 97 = 0 THEN 'odd' ELSE 'train' END AS split FROM events) SELECT user_id, 'several_splits' AS problem FROM e GROUP BY 1 HAVING count(DISTINCT split) > 1 UNION ALL SELECT user_id, 'unknown_split' FROM e WHERE split = 'odd' UNION ALL SELECT DISTINCT user_id, 'golden_not_val' FROM e WHERE user_id < 20 AND user_id NOT IN (SELECT user_id FROM e WHERE split = 'val')",
     "merged_reasons": "SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), '+') AS reasons FROM events WHERE event_type IN ('click', 'view', 'error') GROUP BY 1",
     "url_paths": r"WITH p AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(url, '^https?://[^/]+/', ''), '/{2,}', '/', 'g'), '^(\./)+', '') AS p FROM pages) SELECT page_id, CASE WHEN p = '' OR regexp_matches(p, '(^|/)\.\.(/|$)') OR regexp_matches(p, '^(/|[A-Za-z]:)') THEN NULL ELSE p END AS path, 'page_' || substr(sha256(page_id::varchar || chr(0) || url), 1, 24) AS stable_id FROM p",
-    "size_texts": "SELECT doc_id, CASE WHEN n_chars * 37 < 1024 THEN 'B' WHEN n_chars * 37 < 1048576 THEN 'KB' WHEN n_chars * 37 < 1073741824 THEN 'MB' ELSE 'GB' END AS unit FROM documents",
+    "size_texts": "WITH s AS (SELECT doc_id, n_chars * 37 AS n FROM documents) SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN round_even(n / 1024.0::double, 1) || ' KB' WHEN n < 1073741824 THEN round_even(n / 1048576.0::double, 1) || ' MB' ELSE round_even(n / 1073741824.0::double, 1) || ' GB' END AS size FROM s",
     "colour_bytes": "SELECT CASE WHEN l_linenumber < 7 THEN greatest(0, least(255, round_even((floor(l_extendedprice)::bigint % 65536) / 257.0::double, 0)))::int ELSE 180 END AS v, count(*) AS n FROM lineitem GROUP BY 1",
 }
 QUERIES = [

@@ -5,14 +5,24 @@ from __future__ import annotations
 import os
 import struct
 import tempfile
+import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame
 
 from ..functions.scalar import canonical_json, signed
 
 
 def atomic_bytes(path: str, data: bytes) -> None:
-    """A temporary file in the same folder, flushed to disk, then renamed."""
+    """A temporary file in the same folder, flushed to disk, then renamed. path may be a URI of any file system."""
+    if "://" in path and not path.startswith("file://"):
+        there, at = fs.FileSystem.from_uri(path)
+        own = f"{at.rpartition('/')[0]}/.tmp-{uuid.uuid4().hex}"
+        with there.open_output_stream(own) as f:
+            f.write(data)
+        there.move(own, at)
+        return
+    path = path.removeprefix("file://")
     folder = os.path.dirname(os.path.abspath(path))
     os.makedirs(folder, exist_ok=True)
     fd, own = tempfile.mkstemp(dir=folder, prefix=".tmp-")

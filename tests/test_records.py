@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kelpie.functions import scalar
 from kelpie.operators import manifests, stats, windows
 from kelpie.sources import capture, exports
 
@@ -70,6 +71,29 @@ def test_pose_set(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_decisions_and_masks(spark):
+    gates = {"a": {"status": "PASS"}, "b": {"status": "NOT_RUN"}}
+    good = scalar.signed({"gates": gates, "accepted": False, "published": "before"}, "sha")
+    manifests.verify_decision(good, "sha", "accepted", "published", ("after", "before"))
+    for bad in (good | {"published": "after"}, scalar.signed(good | {"accepted": True}, "sha"), scalar.signed(good | {"published": "after"}, "sha")):
+        with pytest.raises(ValueError):
+            manifests.verify_decision(bad, "sha", "accepted", "published", ("after", "before"))
+    eye = [1.0 if i % 5 == 0 else 0.0 for i in range(16)]
+    images = spark.createDataFrame([("a", "r", "left", eye), ("b", "r", "right", eye)], "image_id string, rig_id string, side string, m array<double>")
+    curve, counts = spark.createDataFrame([("r",)], "rig_id string"), {"image_count": 2, "rig_count": 1}
+    manifests.verify_pose_set(images, counts, curve, True)
+    for args in ((images, counts | {"rig_count": 2}, curve, True), (images, counts, curve.limit(0), True), (images, counts, curve, False), (images.limit(1), counts, curve, True)):
+        with pytest.raises(ValueError):
+            manifests.verify_pose_set(*args)
+    shots = spark.createDataFrame([("1", "l"), ("2", "l"), ("3", "r")], "image_id string, camera string")
+    masks = spark.createDataFrame([("l", "l.png", "x"), ("r", "r.png", "y"), ("t", "t.png", "z")], "camera string, path string, sha256 string")
+    got = manifests.image_masks(shots, masks).orderBy("image_id").collect()
+    assert [(r["path"], r["shared_by"]) for r in got] == [("l.png", 2), ("l.png", 2), ("r.png", 1)]
+    for bad in (masks.limit(1), masks.unionByName(masks)):
+        with pytest.raises(ValueError):
+            manifests.image_masks(shots, bad)
+
+
 def test_digest_and_running_sums(spark):
     rng = np.random.default_rng(4)
     xyz, rgb = rng.normal(size=(500, 3)), rng.integers(0, 256, (500, 3))

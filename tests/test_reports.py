@@ -38,6 +38,14 @@ def test_refinement_and_repair(spark):
     losses = spark.createDataFrame([(1.0, 0.9)], "before double, after double")
     moves = spark.createDataFrame([(0.1, 3.0)], "metres double, degrees double")
     assert [r["name"] for r in reports.refinement_gates(losses, moves).filter("not passed").collect()] == ["rotation_deg"]
+    still, moved = snapshot(spark, [1], 1.0)["rigs"], snapshot(spark, [1], 1.0, 0.01)["rigs"]
+    assert reports.refinement_gates(losses, moves, 1, 9, rigs=(still, still)).filter("not passed").count() == 0
+    assert [r["name"] for r in reports.refinement_gates(losses, moves, 1, 9, rigs=(still, moved)).filter("not passed").collect()] == ["rig_translation_drift_m"]
+    same = spark.createDataFrame([(1.0, 1.0)], "before double, after double")
+    assert [r["name"] for r in reports.refinement_gates(same, moves, 1, 9, 0.0).filter("not passed").collect()] == ["loss_gain"]
+    for bad in ([(0.0, 0.0)], [(1.0, -0.1)], [(1.0, float("nan"))], []):
+        with pytest.raises(ValueError):
+            reports.refinement_gates(spark.createDataFrame(bad, "before double, after double"), moves)
     r = spark.createDataFrame([("c", f"p{i}", f"i{i}", i / 10) for i in range(9)], "camera string, path string, id string, fraction double")
     have, lack = reports.review_repair(r, r.filter("id in ('i8', 'i0')").select("id"), "camera", "path", "fraction", "id", 6)
     assert have.count() == 2 and have.count() + lack.count() == 6

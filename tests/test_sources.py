@@ -42,6 +42,45 @@ def test_las_and_ply(spark, tmp_path):
         clouds.ply(spark, str(tmp_path / "c.ply")).count()
 
 
+def test_scans_and_loader(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    xyz, rgb = rng.uniform(-2, 2, (500, 3)).round(3), rng.integers(0, 200, (500, 3))
+    rgb[:20] = 0
+    at = tmp_path / "a.las"
+    las_file(at, xyz, rgb)
+    raw = bytearray(at.read_bytes())
+    struct.pack_into("<6d", raw, 179, *(v for a in range(3) for v in (xyz[:, a].max(), xyz[:, a].min())))
+    at.write_bytes(raw)
+    got, pooled = clouds.las_scan(spark, str(at)), np.sort(rgb.ravel())
+    figures = {"n": 1500, "min": 0, "median": pooled[749], "p99": pooled[1484], "max": pooled[-1], "mode": "uint8"}
+    assert got["n_points"] == 500 and np.allclose(got["bounds_min"], xyz.min(0)) and got["colours"] == figures
+    p = clouds.las(spark, str(at))
+    by = {r["channel"]: r for r in clouds.channel_colours(p).collect()}
+    assert all((by[c]["median"], by[c]["max"]) == (np.sort(rgb[:, i])[249], rgb[:, i].max()) for i, c in enumerate(clouds.CHANNELS))
+    s = clouds.scan_summary(p).first()
+    assert s["black_fraction"] == 0.04 and np.isclose(s["extent_x"], np.ptp(xyz[:, 0]))
+    assert clouds.scan_summary(p.limit(0)).first()["black_fraction"] == 0.0
+    assert clouds.pooled_colours(p.limit(0)).first().asDict() == {"n": 0, "min": 180, "median": 180, "p99": 180, "max": 180, "mode": "none"}
+    at.write_bytes(bytes(raw[:-1]))
+    with pytest.raises(ValueError, match="room for 499"):
+        clouds.las_scan(spark, str(at))
+    struct.pack_into("<d", raw, 179, 0.0)
+    at.write_bytes(bytes(raw))
+    with pytest.raises(ValueError, match="bounds"):
+        clouds.las_scan(spark, str(at))
+
+    np.save(tmp_path / "a.npy", xyz)
+    np.savez(tmp_path / "a.npz", xyz=xyz, other=rgb)
+    for name in ("a.npy", "a.npz"):
+        rows = clouds.load_xyz(spark, str(tmp_path / name), 100).orderBy("idx").collect()
+        assert np.array_equal([[r[a] for a in "xyz"] for r in rows], xyz[::5])
+    np.save(tmp_path / "flat.npy", xyz.ravel())
+    np.save(tmp_path / "none.npy", xyz[:0])
+    for name, said in (("flat.npy", "shape"), ("none.npy", "empty"), ("a.laz", "laz")):
+        with pytest.raises(Exception, match=said):
+            clouds.load_xyz(spark, str(tmp_path / name))
+
+
 def test_search_and_merge(spark):
     rng = np.random.default_rng(5)
     p = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(rng.normal(size=(4000, 3)))], "idx long, x double, y double, z double")
