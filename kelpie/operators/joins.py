@@ -232,17 +232,25 @@ def anchors_accepted(df: DataFrame, limit: Column, own: dict[str, Column]) -> Da
     return df.withColumn("reasons", F.filter(F.array(*named), lambda x: x.isNotNull())).withColumn("accepted", F.size("reasons") == 0)
 
 
-def median_pair_distance(df: DataFrame, axes: Sequence[str], ident: str = "id", blocks: int = 16, least: float = 1e-9) -> DataFrame:
-    """The median distance of all pairs further apart than `least`. All pairs are what is asked for (of rig centres, some
-    hundreds), so rows are dealt into blocks, block pairs are the join keys, and each task joins one pair of blocks."""
-    b = F.pmod(F.xxhash64(ident), F.lit(blocks)).cast("int")
-    rows = df.select(F.col(ident).alias("id"), *axes, b.alias("b"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select(*[F.col(c).alias(f"l_{c}") for c in ("id", *axes)], F.col("b").alias("p"), every.alias("q"))
-    right = rows.select(*[F.col(c).alias(f"r_{c}") for c in ("id", *axes)], every.alias("p"), F.col("b").alias("q"))
+def median_pair_distance(df: DataFrame, axes: Sequence[str], ident: str = "id", block: int = 4096, least: float = 1e-9) -> DataFrame:
+    """The median distance of all pairs further apart than `least`, of rows whose axes are finite. All pairs are what is asked
+    for (of rig centres, some hundreds), so rows are dealt into blocks of about `block`, each task joins one pair of blocks
+    once, and distances are counted by bin, never gathered or written."""
+    from .stats import narrowed_percentile
+
+    finite = ~F.exists(F.array(*[F.col(x).cast("double") for x in axes]), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = df.filter(finite).select(F.col(ident).alias("id"), *axes)
+    seen = rows.agg(F.count("*").alias("n"), *[(F.max(x) - F.min(x)).cast("double").alias(x) for x in axes]).first()
+    blocks = max(4, -(-seen["n"] // block))
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    left = rows.select(*[F.col(c).alias(f"l_{c}") for c in ("id", *axes)], F.col("b").alias("p"), F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))).alias("q"))
+    right = rows.select(*[F.col(c).alias(f"r_{c}") for c in ("id", *axes)], F.explode(F.sequence(F.lit(0), F.col("b"))).alias("p"), F.col("b").alias("q"))
     d = F.sqrt(sum((F.pow(F.col(f"l_{x}") - F.col(f"r_{x}"), 2) for x in axes), F.lit(0.0)))
-    pairs = left.join(right, ["p", "q"]).filter("l_id < r_id").select(d.alias("d")).filter(F.col("d") > least)
-    return pairs.agg(F.percentile("d", 0.5).alias("median_distance"), F.count("*").alias("pairs"))
+    once = (F.col("p") < F.col("q")) | (F.col("l_id") < F.col("r_id"))
+    pairs = left.join(right, ["p", "q"]).filter(once).select(d.alias("d")).filter(F.col("d") > least)
+    widest = math.sqrt(sum((seen[x] or 0.0) ** 2 for x in axes)) * (1 + 1e-9)
+    median, n = narrowed_percentile(pairs, "d", 0.5, (0.0, widest))
+    return df.sparkSession.createDataFrame([(median, n)], "median_distance double, pairs bigint")
 
 
 def flagged_by_mask(obs: DataFrame, mask: DataFrame, image: str, x: str, y: str, width: int, height: int) -> DataFrame:

@@ -16,6 +16,47 @@ def percentile(value: Column, q: float, accuracy: int | None = None) -> Column:
     return F.percentile(value, q) if accuracy is None else F.percentile_approx(value, q, accuracy).cast("double")
 
 
+def narrowed_percentile(df: DataFrame, value: str, q: float, bounds: tuple[float, float] | None = None, bins: int = 1 << 16, few: int = 100_000) -> tuple[float | None, int]:
+    """(the exact percentile with linear interpolation, the number of values) of all finite values, however many. Values are
+    counted by bin; the bin that holds the rank is counted anew by finer bins, until it has at most `few` distinct values or
+    one. The driver sees bins and those values only, no task gathers a group. bounds, where known, save a pass; they must
+    hold all values. (None, 0) without values."""
+    v = df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
+    low, high = bounds or v.agg(F.min("v"), F.max("v")).first()
+    if low is None:
+        return None, 0
+    known: dict[tuple, list] = {}
+
+    def counted(low: float, high: float, key: str) -> list:
+        """Rows (least, greatest, n) by ascending bin (key bin) or value (key v) of the range."""
+        if (low, high, key) not in known:
+            width = max((high - low) / bins, 5e-324)
+            place = F.least(F.floor((F.col("v") - low) / width), F.lit(bins - 1)) if key == "bin" else F.col("v")
+            rows = v.filter(F.col("v").between(low, high)).groupBy(place.alias("place")).agg(F.min("v").alias("least"), F.max("v").alias("greatest"), F.count("*").alias("n"))
+            known[low, high, key] = sorted((r["least"], r["greatest"], r["n"]) for r in rows.collect())
+        return known[low, high, key]
+
+    def at(rank: int) -> float:
+        a, z, below, n = low, high, 0, None
+        while True:
+            last = n is not None and n <= few
+            for least, greatest, n in counted(a, z, "v" if last else "bin"):
+                if below + n > rank:
+                    break
+                below += n
+            if least == greatest:
+                return least
+            a, z = least, greatest
+
+    n = sum(r[2] for r in counted(low, high, "bin"))
+    if not n:
+        return None, 0
+    place = q * (n - 1)
+    lower = at(int(place))
+    upper = at(min(int(place) + 1, n - 1))
+    return lower + (upper - lower) * (place - int(place)), n
+
+
 def distribution(df: DataFrame, value: str, by: Sequence[str] = (), accuracy: int | None = None) -> DataFrame:
     """n, min, p50, p95, max; 0.0 for none."""
     v = F.col(value).cast("double")

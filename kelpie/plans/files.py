@@ -40,7 +40,7 @@ def pooled_colours(spark, d):
 def written_cloud(spark, d):
     """The representatives of cells, whose number the cells' size bounds, written as a PLY file and read back."""
     p = _coloured(spark, d).withColumns({c: F.col(c) % 256 for c in clouds.CHANNELS})
-    cells = voxel.representatives(p.select("idx", "x", "y", "z"), 0.5, (-8.0, -8.0, -8.0)).select("idx", "x", "y", "z")
+    cells = voxel.representatives(p.select("idx", "x", "y", "z"), 0.05, (-8.0, -8.0, -8.0)).select("idx", "x", "y", "z")
     path = scratch_path(spark, "cells") + ".ply"
     clouds.write_ply(cells.join(p.select("idx", *clouds.CHANNELS), "idx"), path)
     return clouds.ply(spark, path).select("idx", *[r6(F.col(a).cast("double")).alias(a) for a in "xyz"], *clouds.CHANNELS)
@@ -107,8 +107,8 @@ g(n, l, r, l_id, r_id, l_t, r_t, ok) AS (SELECT 0::bigint, []::bigint[], []::big
     CASE WHEN list_contains(g.l, o.l_id) OR list_contains(g.r, o.r_id) THEN g.r ELSE list_append(g.r, o.r_id) END, o.l_id, o.r_id, o.l_t, o.r_t,
     NOT (list_contains(g.l, o.l_id) OR list_contains(g.r, o.r_id)) FROM g JOIN o ON o.n = g.n + 1)"""
 _RIGS = "e AS (SELECT vec_id AS rig_id, 0.1::double AS tx, (vec_id % 5) / 100.0::double AS tz, (vec_id % 7) / 1000.0::double AS rotation_error FROM embeddings)"
-_CELL = "floor(({0} + 8) / 0.5::double)"
-_FAR = " + ".join(f"pow({a} - (-8 + (floor(({a} + 8) / 0.5::double) + 0.5::double) * 0.5::double), 2)" for a in "xyz")
+_CELL = "floor(({0} + 8) / 0.05::double)"
+_FAR = " + ".join(f"pow({a} - (-8 + (floor(({a} + 8) / 0.05::double) + 0.5::double) * 0.05::double), 2)" for a in "xyz")
 
 SQL = {
     "cloud_bounds": f"WITH {_COLOURED} SELECT count(*) AS n_points, "

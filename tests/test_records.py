@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kelpie.functions import scalar
-from kelpie.operators import manifests, stats, windows
+from kelpie.operators import joins, manifests, stats, windows
 from kelpie.sources import capture, exports
 
 
@@ -71,6 +71,22 @@ def test_pose_set(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_narrowed_percentile(spark):
+    rng = np.random.default_rng(9)
+    for values in (rng.normal(size=4001), np.repeat([1.0, 2.0, 5.0], [700, 1, 699]), np.array([3.0]), np.r_[np.full(900, 7.0), rng.exponential(size=900) * 1e9]):
+        rows = [(float(x),) for x in values] + [(None,), (float("nan"),), (float("inf"),)]
+        df = spark.createDataFrame(rows, "v double")
+        for q in (0.0, 0.5, 0.95, 1.0):
+            got, n = stats.narrowed_percentile(df, "v", q, bins=16, few=5)
+            assert n == len(values) and math.isclose(got, np.percentile(values, 100 * q), rel_tol=1e-12)
+    assert stats.narrowed_percentile(df.limit(0), "v", 0.5) == (None, 0)
+    rows = [(i, *map(float, p)) for i, p in enumerate(rng.normal(size=(60, 2)))] + [(98, None, 0.0), (99, 0.0, float("nan"))]
+    want = [math.dist(a[1:], b[1:]) for i, a in enumerate(rows[:60]) for b in rows[:i]]
+    got = joins.median_pair_distance(spark.createDataFrame(rows, "id int, x double, y double"), ["x", "y"], block=9).first()
+    assert got["pairs"] == len(want) and math.isclose(got["median_distance"], np.median(want), rel_tol=1e-12)
+    assert tuple(joins.median_pair_distance(spark.createDataFrame(rows[:1], "id int, x double, y double"), ["x", "y"]).first()) == (None, 0)
+
+
 def test_decisions_and_masks(spark):
     gates = {"a": {"status": "PASS"}, "b": {"status": "NOT_RUN"}}
     good = scalar.signed({"gates": gates, "accepted": False, "published": "before"}, "sha")
