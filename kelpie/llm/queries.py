@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: In each module the functions named op<N>_... are queries; SQL has their twins.
-MODULES = ("token_files", "suffix_dedup", "quality", "toxicity", "exact_dedup", "mixing", "tree_bpe", "ngram_lm", "near_dedup", "secrets")
+MODULES = ("token_files", "suffix_dedup", "quality", "toxicity", "exact_dedup", "mixing", "tree_bpe", "ngram_lm", "near_dedup", "secrets", "periodic_runs", "importance", "packing")
 
 
 def _modules():
