@@ -16,16 +16,25 @@ def quaternion_norm(q: Column) -> Column:
     return F.sqrt(q["x"] * q["x"] + q["y"] * q["y"] + q["z"] * q["z"] + q["w"] * q["w"])
 
 
+def unit_quaternion(q: Column) -> Column:
+    """q at length 1; nulls for the zero quaternion."""
+    n = quaternion_norm(q)
+    return F.struct(*[F.when(n > 0, q[k] / n).alias(k) for k in ("x", "y", "z", "w")])
+
+
 def quaternion_to_rotation(q: Column) -> Column:
     """Nine doubles; null for the zero quaternion."""
-    n = quaternion_norm(q)
-    x, y, z, w = (F.when(n > 0, q[k] / n) for k in ("x", "y", "z", "w"))
+    return let(q, lambda q: let(unit_quaternion(q), _to_rotation))
+
+
+def _to_rotation(q: Column) -> Column:
+    x, y, z, w = (q[k] for k in ("x", "y", "z", "w"))
     rows = [
         1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w),
         2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w),
         2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y),
     ]
-    return F.when(n > 0, F.array(*rows))
+    return F.when(x.isNotNull(), F.array(*rows))
 
 
 def rotation_to_quaternion(r: Column) -> Column:
@@ -48,6 +57,10 @@ def _rotation_to_quaternion(r: Column) -> Column:
 
 def transform(r: Column, t: Column) -> Column:
     """Sixteen doubles from a rotation and a translation."""
+    return let(r, lambda r: let(t, lambda t: _transform(r, t)))
+
+
+def _transform(r: Column, t: Column) -> Column:
     e = F.element_at
     return F.array(e(r, 1), e(r, 2), e(r, 3), e(t, 1), e(r, 4), e(r, 5), e(r, 6), e(t, 2), e(r, 7), e(r, 8), e(r, 9), e(t, 3), *map(F.lit, (0.0, 0.0, 0.0, 1.0)))
 
@@ -94,6 +107,17 @@ def _inverse(m: Column) -> Column:
     return transform(r, F.array(*[-F.element_at(t, i) for i in (1, 2, 3)]))
 
 
+def composed(a: Column, b: Column) -> Column:
+    """Product of two rigid transforms: b first, then a."""
+    return let(a, lambda a: let(b, lambda b: _composed(a, b)))
+
+
+def _composed(a: Column, b: Column) -> Column:
+    moved = applied(rotation_of(a), translation_of(b))
+    at = F.array(*[F.element_at(moved, i) + F.element_at(translation_of(a), i) for i in (1, 2, 3)])
+    return transform(times(rotation_of(a), rotation_of(b)), at)
+
+
 def gl_to_cv(m: Column) -> Column:
     """A camera-to-world pose with y up and z back as one with y down and z forward, and the other way round."""
     return let(m, lambda m: _gl_to_cv(m))

@@ -245,19 +245,9 @@ def camera_views(spark, d):
     return seen.groupBy("c.camera").agg(F.count("*").alias("n"), r6(F.percentile("v.range", 0.5)).alias("p50"))
 
 
-def reprojection_errors(spark, d):
-    """Observations (the pixel of the point moved by 0.001) against projections."""
-    p = points(spark, d)
-    at = lambda dx: geometry.project(F.col("x") + dx, F.col("y"), F.abs("z") + 0.05, FOCAL, CENTRE, K4, RANGE, THETA)
-    both = p.select("label", at(0.0).alias("a"), at(0.001).alias("b"))
-    error = F.hypot(F.col("a.u") - F.col("b.u"), F.col("a.v") - F.col("b.v"))
-    return both.groupBy("label").agg(F.count("*").alias("n"), F.round(F.percentile(error, 0.5), 5).alias("p50"))
-
-
 _UV = f"""c AS (SELECT *, sqrt(x*x + y*y) AS radial FROM s), t AS (SELECT *, atan2(radial, z) AS theta, sqrt(x*x + y*y + z*z) AS rng FROM c),
 k AS (SELECT *, CASE WHEN radial > 1e-12 THEN ({_TD}) / radial ELSE 0 END AS scale FROM t), u AS (SELECT *, 20 * x * scale + 31.5::double AS u, 20 * y * scale + 31.5::double AS v FROM k)"""
 SQL |= {
     "camera_views": f"WITH {POINTS}, s AS (SELECT idx, i::int AS camera, x - 0.1::double * i AS x, y, abs(z) + 0.05::double AS z FROM pts, range(3) r(i)), {_UV} SELECT camera, count(*) AS n, round(quantile_cont(rng, 0.5), 6) AS p50 FROM u WHERE rng >= 0.05 AND rng <= 60 AND theta <= 1.5 AND u >= 0 AND u < 64 AND v >= 0 AND v < 64 GROUP BY camera",
-    "reprojection_errors": f"WITH {POINTS}, s AS (SELECT idx, label, i, x + 0.001::double * i AS x, y, abs(z) + 0.05::double AS z FROM pts, range(2) r(i)), {_UV} SELECT a.label, count(*) AS n, round(quantile_cont(sqrt(pow(a.u - b.u, 2) + pow(a.v - b.v, 2)), 0.5), 5) AS p50 FROM u a JOIN u b USING (idx) WHERE a.i = 0 AND b.i = 1 GROUP BY a.label",
 }
-QUERIES += [camera_views, reprojection_errors]
+QUERIES += [camera_views]

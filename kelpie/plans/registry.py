@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audits, clouds, files, records, scenes, series
+from . import audits, cameras, clouds, files, records, scenes, series
 
-MODULES = [clouds, series, audits, scenes, records, files]
+MODULES = [clouds, series, audits, scenes, records, files, cameras]
 
 
 def queries() -> dict:
