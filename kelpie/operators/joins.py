@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geometry
+from ..functions import eigen, geometry
 
 
 def tolerance_candidates(left: DataFrame, right: DataFrame, tolerance: int, by: Sequence[str] = ()) -> DataFrame:
@@ -163,49 +163,38 @@ def leakage(val: DataFrame, train: DataFrame, axes: Sequence[str], threshold: fl
 
 
 def local_moments(points: DataFrame, axes: Sequence[str], k: int, ident: str = "id") -> DataFrame:
-    """Mean and covariance (population) of each row's k nearest rows, itself included; covariances as m_ij."""
+    """Mean and covariance (by n - 1) of each row's k nearest rows, itself included; covariances as m_ij, 0 for one row."""
     near = nearest(points, points, axes, k, ident)
     joined = near.join(points.select(F.col(ident).alias("b_id"), *axes), "b_id")
     pairs = [(a, b) for i, a in enumerate(axes) for b in axes[i:]]
     return joined.groupBy(F.col("q_id").alias(ident)).agg(
-        F.count("*").alias("n"), *[F.avg(a).alias(f"mean_{a}") for a in axes], *[F.covar_pop(a, b).alias(f"m_{a}{b}") for a, b in pairs]
+        F.count("*").alias("n"), *[F.avg(a).alias(f"mean_{a}") for a in axes], *[F.coalesce(F.covar_samp(a, b), F.lit(0.0)).alias(f"m_{a}{b}") for a, b in pairs]
     )
 
 
 def local_geometry(points: DataFrame, k: int = 16, ident: str = "id") -> DataFrame:
     """Normal (nx, ny, nz: the direction of least spread, its largest component positive) and the eigenvalues e0 <= e1 <=
-    e2 of each point's neighbourhood. The neighbour search and the moments are Spark's; 3 x 3 eigenvectors are numpy's."""
-    import numpy as np
-    import pandas as pd
-
-    def solve(batches):
-        for b in batches:
-            m = np.zeros((len(b), 3, 3))
-            for i, a in enumerate("xyz"):
-                for j, c in enumerate("xyz"):
-                    m[:, i, j] = b[f"m_{min(a, c)}{max(a, c)}"]
-            values, vectors = np.linalg.eigh(m)
-            n = vectors[:, :, 0]
-            lead = n[np.arange(len(n)), np.abs(n).argmax(axis=1)] if len(n) else np.zeros(0)
-            n = n * np.where(lead < 0, -1.0, 1.0)[:, None]
-            yield pd.DataFrame({ident: b[ident], "nx": n[:, 0], "ny": n[:, 1], "nz": n[:, 2], "e0": values[:, 0], "e1": values[:, 1], "e2": values[:, 2]})
-
+    e2 of each point's neighbourhood, at least three points by at least three neighbours."""
+    if k < 3 or points.limit(3).count() < 3:
+        raise ValueError("at least three points and neighbours are needed")
     m = local_moments(points, ["x", "y", "z"], k, ident)
-    kind = dict(points.dtypes)[ident]
-    return m.mapInPandas(solve, f"{ident} {kind}, nx double, ny double, nz double, e0 double, e1 double, e2 double")
+    entries = {(i, j): F.col(f"m_{'xyz'[i]}{'xyz'[j]}") for i in range(3) for j in range(i, 3)}
+    solved = m.select(ident, eigen.symmetric(entries, 3).alias("e"))
+    normal = eigen.led_positive(F.col("e")[0]["vector"], 3)
+    return solved.select(ident, normal.alias("v"), *[F.col("e")[i]["value"].alias(f"e{i}") for i in range(3)]).select(ident, *[F.col("v")[i].alias(f"n{a}") for i, a in enumerate("xyz")], "e0", "e1", "e2")
 
 
-def bracketed(anchors: DataFrame, queries: DataFrame, time: str, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def bracketed(anchors: DataFrame, queries: DataFrame, time: str, values: Sequence[str], by: Sequence[str] = (), spread: bool | None = None) -> DataFrame:
     """queries with each value interpolated between the anchors before and after, clamped outside; label is anchor,
-    interpolated or extrapolated_constant, null without any anchor. One union and two windows in time order."""
+    interpolated or extrapolated_constant, null without any anchor. One union and two windows in time order, which take
+    many parts of one group or table where spread says so (see windows.beside)."""
+    from .windows import known_around
+
     a = anchors.select(*by, time, *values, F.lit(True).alias("is_anchor"))
     q = queries.withColumns({v: F.lit(None).cast(dict(anchors.dtypes)[v]) for v in values}).withColumn("is_anchor", F.lit(False))
     both = a.unionByName(q, allowMissingColumns=True)
     at = F.when(F.col("is_anchor"), F.struct(F.col(time).alias("t"), *[F.col(v).alias(v) for v in values]))
-    w = Window.partitionBy(*by).orderBy(F.col(time))
-    low = F.last(at, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    high = F.first(at, ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    rows = both.withColumn("lo", low).withColumn("hi", high).filter(~F.col("is_anchor")).drop("is_anchor", *values)
+    rows = known_around(both, by, time, at, "lo", "hi", spread).filter(~F.col("is_anchor")).drop("is_anchor", *values)
     span = (F.col("hi.t") - F.col("lo.t")).cast("double")
     part = F.when(span > 0, (F.col(time) - F.col("lo.t")).cast("double") / span).otherwise(F.lit(0.0))
     filled = {v: F.when(F.col("lo").isNull(), F.col(f"hi.{v}")).when(F.col("hi").isNull(), F.col(f"lo.{v}")).otherwise(F.col(f"lo.{v}") + part * (F.col(f"hi.{v}") - F.col(f"lo.{v}"))) for v in values}
@@ -218,12 +207,15 @@ def bracketed(anchors: DataFrame, queries: DataFrame, time: str, values: Sequenc
     return rows.withColumns(filled).withColumn("label", label).drop("lo", "hi")
 
 
-def leave_one_out(df: DataFrame, by: Sequence[str], time: str, value: str) -> DataFrame:
+def leave_one_out(df: DataFrame, by: Sequence[str], time: str, value: str, spread: bool | None = None) -> DataFrame:
     """df with residual: value less the line between the rows before and after; 0 at a group's ends."""
-    w = Window.partitionBy(*by).orderBy(time)
-    t0, t1, v0, v1 = F.lag(time).over(w), F.lead(time).over(w), F.lag(value).over(w), F.lead(value).over(w)
-    part = (F.col(time) - t0).cast("double") / (t1 - t0).cast("double")
-    return df.withColumn("residual", F.when(t0.isNull() | t1.isNull(), 0.0).otherwise(F.abs(F.col(value) - (v0 + part * (v1 - v0)))))
+    from .windows import beside
+
+    rows = beside(df, by, [time], F.struct(F.col(time).alias("t"), F.col(value).alias("v")), "__lo", "__hi", spread)
+    c = F.col
+    part = (c(time) - c("__lo.t")).cast("double") / (c("__hi.t") - c("__lo.t")).cast("double")
+    off = F.abs(c(value) - (c("__lo.v") + part * (c("__hi.v") - c("__lo.v"))))
+    return rows.withColumn("residual", F.when(c("__lo.t").isNull() | c("__hi.t").isNull(), 0.0).otherwise(off)).drop("__lo", "__hi")
 
 
 def anchors_accepted(df: DataFrame, limit: Column, own: dict[str, Column]) -> DataFrame:
@@ -279,11 +271,21 @@ def dense_grid(sparse: DataFrame, image: str, width: int, height: int, values: S
 
 
 def dilated(mask: DataFrame, image: str, radius: int, width: int, height: int) -> DataFrame:
-    """mask (image, px, py) with all pixels of the image within radius."""
-    steps = [(dx, dy) for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1) if dx * dx + dy * dy <= radius * radius]
-    near = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in steps])).alias("s")
-    moved = mask.select(image, "px", "py", near).select(image, (F.col("px") + F.col("s.dx")).alias("px"), (F.col("py") + F.col("s.dy")).alias("py"))
-    return moved.filter(F.col("px").between(0, width - 1) & F.col("py").between(0, height - 1)).distinct()
+    """mask (image, px, py) with all pixels of the image within radius (Euclidean), each once. Distances part by axis: a run
+    of mask pixels in a row reaches, dy rows further, as far to both sides as sqrt(radius^2 - dy^2); a row's reaches are
+    merged before they become pixels. So rows grow with runs times 2 radius + 1 and with the result."""
+    c = F.col
+    row = Window.partitionBy(image, "py").orderBy("px")
+    runs = mask.select(image, "px", "py").distinct().withColumn("__run", c("px") - F.row_number().over(row))
+    runs = runs.groupBy(image, "py", "__run").agg(F.min("px").alias("a"), F.max("px").alias("z"))
+    wide = [int(math.isqrt(radius * radius - dy * dy)) for dy in range(-radius, radius + 1)]
+    reach = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(w).alias("w")) for dy, w in zip(range(-radius, radius + 1), wide, strict=True)])).alias("s")
+    near = runs.select(image, "py", "a", "z", reach).select(image, (c("py") + c("s.dy")).alias("py"), F.greatest(c("a") - c("s.w"), F.lit(0)).alias("a"), F.least(c("z") + c("s.w"), F.lit(width - 1)).alias("z"))
+    near = near.filter(c("py").between(0, height - 1) & (c("a") <= c("z"))).groupBy(image, "py", "a").agg(F.max("z").alias("z"))
+    by_start = Window.partitionBy(image, "py").orderBy("a")
+    fresh = F.coalesce(c("a") > F.max("z").over(by_start.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    parts = near.withColumn("__n", fresh.cast("int")).withColumn("__n", F.sum("__n").over(by_start)).groupBy(image, "py", "__n").agg(F.min("a").alias("a"), F.max("z").alias("z"))
+    return parts.select(image, F.explode(F.sequence("a", "z")).alias("px"), "py")
 
 
 def instance_mask(pixels: DataFrame, image: str, score: str, value: str, least_score: float, least_value: float) -> DataFrame:
@@ -308,16 +310,15 @@ def depth_edges(points: DataFrame, u: str, v: str, distance: str, limit: float,
     return points.join(edges.withColumnRenamed("q_id", ident), ident, "left").withColumn("edge", F.coalesce("edge", F.lit(False)))
 
 
-def bracketed_poses(anchors: DataFrame, queries: DataFrame, time: str, axes: Sequence[str], q: str, by: Sequence[str] = ()) -> DataFrame:
+def bracketed_poses(anchors: DataFrame, queries: DataFrame, time: str, axes: Sequence[str], q: str, by: Sequence[str] = (), spread: bool | None = None) -> DataFrame:
     """queries with the pose between the anchors before and after: axes on the line, q (unit quaternion) on the arc (SLERP);
-    the nearest anchor's pose outside."""
+    the nearest anchor's pose outside. spread as in windows.beside."""
+    from .windows import known_around
+
     a = anchors.select(*by, time, *axes, q, F.lit(True).alias("is_anchor"))
     both = a.unionByName(queries.select(*by, *[c for c in queries.columns if c not in by], F.lit(False).alias("is_anchor")), allowMissingColumns=True)
     at = F.when(F.col("is_anchor"), F.struct(F.col(time).alias("t"), *axes, F.col(q).alias("q")))
-    w = Window.partitionBy(*by).orderBy(F.col(time))
-    low = F.last(at, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    high = F.first(at, ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    rows = both.withColumn("lo", low).withColumn("hi", high).filter(~F.col("is_anchor")).drop("is_anchor", *axes, q)
+    rows = known_around(both, by, time, at, "lo", "hi", spread).filter(~F.col("is_anchor")).drop("is_anchor", *axes, q)
     rows = rows.withColumn("lo", F.coalesce("lo", "hi")).withColumn("hi", F.coalesce("hi", "lo"))
     span = (F.col("hi.t") - F.col("lo.t")).cast("double")
     part = F.when(span > 0, (F.col(time) - F.col("lo.t")).cast("double") / span).otherwise(F.lit(0.0))

@@ -11,30 +11,81 @@ from ..functions import geometry
 from .scratch import written
 
 
-def intervals(df: DataFrame, by: Sequence[str], time: Column, order: Sequence[str], out: str = "interval") -> DataFrame:
+def _in_ranges(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """df, written once in ranges of (by, order), with __part: a group, or the whole table, may take many parts."""
+    ranged = df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism, *by, *order)
+    return written(ranged.withColumn("__part", F.spark_partition_id()), "ranges")
+
+
+def _with_carried(ranged: DataFrame, by: Sequence[str], ends: Sequence[Column], carried: dict[str, Column]) -> DataFrame:
+    """ranged with columns that come from a group's other parts: ends are aggregates of each part of a group, carried are
+    windows over a group's parts in order. There is a row for each part and group only."""
+    own = ranged.groupBy("__part", *by).agg(*ends).withColumns(carried)
+    own = own.select(F.col("__part").alias("__o"), *[F.col(b).alias(f"__by{i}") for i, b in enumerate(by)], *carried)
+    same = F.col("__part") == F.col("__o")
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"__by{i}"))
+    return ranged.join(own, same, "left").drop("__o", *[f"__by{i}" for i in range(len(by))])
+
+
+def beside(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, before: str | None = None, after: str | None = None, spread: bool | None = None) -> DataFrame:
+    """df with value of the row before (column before) and after in order, in each group; null at the ends. spread (the
+    default without groups) parts even one group among tasks: ends of parts are carried to their neighbours."""
+    out, parts = df.withColumn("__v", value), []
+    if not by if spread is None else spread:
+        out, parts = _in_ranges(out, by, order), ["__part"]
+        key, over = F.struct(*order), Window.partitionBy(*by).orderBy("__part")
+        ends = [F.max_by("__v", key).alias("__last"), F.min_by("__v", key).alias("__first")]
+        out = _with_carried(out, by, ends, {"__before": F.lag("__last").over(over), "__after": F.lead("__first").over(over)})
+    w = Window.partitionBy(*parts, *by).orderBy(*order)
+    pick = lambda own, kept: F.when(own(F.lit(1)).over(w).isNull(), F.col(kept)).otherwise(own("__v").over(w)) if parts else own("__v").over(w)
+    out = out.withColumns({n: pick(f, kept) for n, f, kept in ((before, F.lag, "__before"), (after, F.lead, "__after")) if n})
+    return out.drop("__v", "__before", "__after", *parts)
+
+
+def known_around(df: DataFrame, by: Sequence[str], time: str, value: Column, low: str, high: str, spread: bool | None = None) -> DataFrame:
+    """df with the last value that isn't null up to the row's time (low) and the first one from it on (high), in each group.
+    spread as in beside()."""
+    out, parts = df.withColumn("__v", value), []
+    if not by if spread is None else spread:
+        out, parts = _in_ranges(out, by, [time]), ["__part"]
+        over, key = Window.partitionBy(*by).orderBy("__part"), F.when(F.col("__v").isNotNull(), F.col(time))
+        ends = [F.max_by("__v", key).alias("__last"), F.min_by("__v", key).alias("__first")]
+        carried = {
+            "__before": F.last("__last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)),
+            "__after": F.first("__first", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)),
+        }
+        out = _with_carried(out, by, ends, carried)
+    w = Window.partitionBy(*parts, *by).orderBy(F.col(time))
+    lo = F.last("__v", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    hi = F.first("__v", ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    out = out.withColumns({low: F.coalesce(lo, F.col("__before")) if parts else lo, high: F.coalesce(hi, F.col("__after")) if parts else hi})
+    return out.drop("__v", "__before", "__after", *parts)
+
+
+def intervals(df: DataFrame, by: Sequence[str], time: Column, order: Sequence[str], out: str = "interval", spread: bool | None = None) -> DataFrame:
     """df with the time since the group's row before; null for the first."""
-    return df.withColumn(out, time - F.lag(time).over(Window.partitionBy(*by).orderBy(*order)))
+    return beside(df, by, order, time, "__was", spread=spread).withColumn(out, time - F.col("__was")).drop("__was")
 
 
-def rates(df: DataFrame, by: Sequence[str], time: Column, value: Column, order: Sequence[str]) -> DataFrame:
+def rates(df: DataFrame, by: Sequence[str], time: Column, value: Column, order: Sequence[str], spread: bool | None = None) -> DataFrame:
     """df with dt, step (absolute change of value) and rate = step / dt; steps without time in between have none."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    out = df.withColumn("dt", time - F.lag(time).over(w)).withColumn("step", F.abs(value - F.lag(value).over(w)))
+    out = beside(df, by, order, F.struct(time.alias("t"), value.alias("v")), "__was", spread=spread)
+    out = out.withColumn("dt", time - F.col("__was.t")).withColumn("step", F.abs(value - F.col("__was.v"))).drop("__was")
     return out.withColumn("rate", F.when(F.col("dt") > 0, F.col("step") / F.col("dt")))
 
 
-def turn_rates(df: DataFrame, by: Sequence[str], time: Column, q: str, order: Sequence[str]) -> DataFrame:
+def turn_rates(df: DataFrame, by: Sequence[str], time: Column, q: str, order: Sequence[str], spread: bool | None = None) -> DataFrame:
     """df with dt, turn (the angle from the rotation before, by unit quaternions) and turn_rate = turn / dt where time passed."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    out = df.withColumn("dt", time - F.lag(time).over(w)).withColumn("turn", geometry.quaternion_angle(F.lag(q).over(w), F.col(q)))
+    out = beside(df, by, order, F.struct(time.alias("t"), F.col(q).alias("q")), "__was", spread=spread)
+    out = out.withColumn("dt", time - F.col("__was.t")).withColumn("turn", geometry.quaternion_angle(F.col("__was.q"), F.col(q))).drop("__was")
     return out.withColumn("turn_rate", F.when(F.col("dt") > 0, F.col("turn") / F.col("dt")))
 
 
-def step_jumps(df: DataFrame, by: Sequence[str], value: Column, order: Sequence[str], limit: float) -> DataFrame:
+def step_jumps(df: DataFrame, by: Sequence[str], value: Column, order: Sequence[str], limit: float, spread: bool | None = None) -> DataFrame:
     """df with step (0 for a group's first) and jump, true where a step other than the first is over the limit."""
-    before = F.lag(value).over(Window.partitionBy(*by).orderBy(*order))
-    step = F.abs(value - before)
-    return df.withColumn("step", F.coalesce(step, F.lit(0.0))).withColumn("jump", F.coalesce(step > limit, F.lit(False)))
+    out = beside(df, by, order, value, "__was", spread=spread).withColumn("__step", F.abs(value - F.col("__was"))).drop("__was")
+    return out.withColumn("step", F.coalesce("__step", F.lit(0.0))).withColumn("jump", F.coalesce(F.col("__step") > limit, F.lit(False))).drop("__step")
 
 
 def numbered(df: DataFrame, order: Sequence, out: str = "pos", by: Sequence[str] = ()) -> DataFrame:

@@ -126,7 +126,8 @@ def dense_depth(spark, d):
 
 
 def mask_dilation(spark, d):
-    p = points(spark, d).filter("label = 0").select("label", F.floor((F.col("x") + 1) * 16).cast("int").alias("px"), F.floor((F.col("y") + 1) * 16).cast("int").alias("py")).distinct()
+    """The pixels of every label, grown by 2."""
+    p = points(spark, d).select("label", F.floor((F.col("x") + 1) * 16).cast("int").alias("px"), F.floor((F.col("y") + 1) * 16).cast("int").alias("py"))
     return joins.dilated(p, "label", 2, 32, 32)
 
 
@@ -164,11 +165,13 @@ def nearest_five(spark, d):
 
 def local_covariance(spark, d):
     out = joins.local_moments(points(spark, d), ["x", "y", "z"], 16, "idx")
-    return out.select("idx", "n", r6("mean_x").alias("mean_x"), r6("m_xx").alias("m_xx"), r6("m_yz").alias("m_yz"))
+    return out.select("idx", "n", *[r6(c).alias(c) for c in ("mean_x", "mean_y", "mean_z", "m_xx", "m_xy", "m_xz", "m_yy", "m_yz", "m_zz")])
 
 
 def local_normals(spark, d):
-    return joins.local_geometry(points(spark, d), 16, "idx")
+    """Normals and spreads of neighbourhoods; the twin solves the characteristic polynomial."""
+    out = joins.local_geometry(points(spark, d), 16, "idx")
+    return out.select("idx", *[F.round(c, 5).alias(c) for c in ("nx", "ny", "nz")], *[F.round(c, 8).alias(c) for c in ("e0", "e1", "e2")])
 
 
 def pair_distance_median(spark, d):
@@ -192,6 +195,8 @@ e AS (SELECT a.idx AS a, b.idx AS b, 'temporal' AS reason, NULL::double AS dista
       UNION ALL SELECT a_id, b_id, 'loop', distance FROM ranked WHERE rank <= 4),
 g AS (SELECT least(a, b) AS a, greatest(a, b) AS b, array_to_string(list_sort(list(DISTINCT reason)), '+') AS reasons, round(min(distance), 6) AS distance FROM e GROUP BY 1, 2)"""
 
+_NEAR = f"n AS (SELECT a.idx AS q_id, b.*, row_number() OVER (PARTITION BY a.idx ORDER BY {_DIST}, b.idx) AS rank FROM pts a, pts b)"
+
 SQL = {
     "voxel_search": "SELECT 200::int AS target, true AS within, true AS near",
     "voxel_representative": f"WITH {POINTS}, {_KEYS}, s AS (SELECT *, {_D2} AS score FROM k) SELECT kx, ky, kz, arg_min(idx, row(score, idx)) AS idx, round(min(score), 6) AS score, round(arg_min(x, row(score, idx)), 6) AS x, count(*) AS n_points FROM s GROUP BY kx, ky, kz",
@@ -216,7 +221,7 @@ SELECT vec_id, true AS same, round((aw + g*bw) / sqrt(pow(ax + g*bx, 2) + pow(ay
 round(least(1.0::double, ln(1 + count(*)) / ln(4::double)), 6) AS confidence FROM lineitem GROUP BY 1, 2""",
     "dense_depth": f"""WITH {POINTS}, p AS (SELECT floor((x + 1) * 8)::int AS px, floor((y + 1) * 8)::int AS py, min(round(abs(z), 6)) AS distance, count(*) AS support FROM pts GROUP BY 1, 2), g AS (SELECT a.i AS px, b.i AS py FROM range(16) a(i), range(16) b(i))
 SELECT g.py::int AS py, count(p.support) AS valid, coalesce(sum(support), 0)::bigint AS support, round(coalesce(sum(distance), 0), 6) AS distance, count(*) AS pixels FROM g LEFT JOIN p ON g.px = p.px AND g.py = p.py GROUP BY g.py""",
-    "mask_dilation": f"""WITH {POINTS}, p AS (SELECT DISTINCT label, floor((x + 1) * 16)::int AS px, floor((y + 1) * 16)::int AS py FROM pts WHERE label = 0), s AS (SELECT a.i - 2 AS dx, b.i - 2 AS dy FROM range(5) a(i), range(5) b(i) WHERE pow(a.i - 2, 2) + pow(b.i - 2, 2) <= 4)
+    "mask_dilation": f"""WITH {POINTS}, p AS (SELECT DISTINCT label, floor((x + 1) * 16)::int AS px, floor((y + 1) * 16)::int AS py FROM pts), s AS (SELECT a.i - 2 AS dx, b.i - 2 AS dy FROM range(5) a(i), range(5) b(i) WHERE pow(a.i - 2, 2) + pow(b.i - 2, 2) <= 4)
 SELECT DISTINCT label, (px + dx)::int AS px, (py + dy)::int AS py FROM p, s WHERE px + dx BETWEEN 0 AND 31 AND py + dy BETWEEN 0 AND 31""",
     "radius_edges": f"WITH {POINTS}, p AS (SELECT * FROM pts), {_LOOP.format(gap=30)} SELECT a_id, b_id, round(distance, 6) AS distance, rank FROM ranked WHERE rank <= 4",
     "match_graph": f"{_GRAPH} SELECT * FROM g",
@@ -225,8 +230,17 @@ SELECT DISTINCT label, (px + dx)::int AS px, (py + dy)::int AS py FROM p, s WHER
 SELECT q_id, b_id, round(distance, 6) AS distance, distance < 0.08::double AS leak FROM n WHERE r = 1""",
     "nearest_five": f"""WITH {POINTS}, n AS (SELECT a.idx AS q_id, b.idx AS b_id, {_DIST} AS distance, row_number() OVER (PARTITION BY a.idx ORDER BY {_DIST}, b.idx) AS rank FROM pts a, pts b)
 SELECT q_id, b_id, round(distance, 6) AS distance, rank FROM n WHERE rank <= 5""",
-    "local_covariance": f"""WITH {POINTS}, n AS (SELECT a.idx AS q_id, b.*, row_number() OVER (PARTITION BY a.idx ORDER BY {_DIST}, b.idx) AS rank FROM pts a, pts b)
-SELECT q_id AS idx, count(*) AS n, round(avg(x), 6) AS mean_x, round(covar_pop(x, x), 6) AS m_xx, round(covar_pop(y, z), 6) AS m_yz FROM n WHERE rank <= 16 GROUP BY q_id""",
+    "local_covariance": f"""WITH {POINTS}, {_NEAR}
+SELECT q_id AS idx, count(*) AS n, {", ".join(f"round(avg({a}), 6) AS mean_{a}" for a in "xyz")}, {", ".join(f"round(covar_samp({a}, {b}), 6) AS m_{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))} FROM n WHERE rank <= 16 GROUP BY q_id""",
+    "local_normals": f"""WITH {POINTS}, {_NEAR}, m AS (SELECT q_id AS idx, {", ".join(f"covar_samp({a}, {b}) AS {a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))} FROM n WHERE rank <= 16 GROUP BY q_id),
+q AS (SELECT *, (xx + yy + zz) / 3 AS q FROM m), p AS (SELECT *, sqrt((pow(xx - q, 2) + pow(yy - q, 2) + pow(zz - q, 2) + 2 * (xy*xy + xz*xz + yz*yz)) / 6) AS p FROM q),
+r AS (SELECT *, ((xx - q) * ((yy - q) * (zz - q) - yz*yz) - xy * (xy * (zz - q) - yz*xz) + xz * (xy*yz - (yy - q) * xz)) / (2 * p * p * p) AS r FROM p),
+h AS (SELECT *, acos(greatest(-1.0::double, least(1.0::double, r))) / 3 AS phi FROM r), e AS (SELECT *, q + 2 * p * cos(phi) AS e2, q + 2 * p * cos(phi + 2 * pi() / 3) AS e0 FROM h),
+a AS (SELECT *, xx - e0 AS a, yy - e0 AS b, zz - e0 AS c FROM e),
+c AS (SELECT *, [[xy*yz - xz*b, xz*xy - a*yz, a*b - xy*xy], [xy*c - xz*yz, xz*xz - a*c, a*yz - xy*xz], [b*c - yz*yz, yz*xz - xy*c, xy*yz - b*xz]] AS s FROM a),
+l AS (SELECT *, list_transform(s, lambda v: sqrt(v[1]*v[1] + v[2]*v[2] + v[3]*v[3])) AS n FROM c), v AS (SELECT *, s[list_position(n, list_max(n))] AS w, list_max(n) AS len FROM l),
+g AS (SELECT *, CASE WHEN w[list_position(list_transform(w, lambda x: abs(x)), list_max(list_transform(w, lambda x: abs(x))))] < 0 THEN -len ELSE len END AS g FROM v)
+SELECT idx, round(w[1] / g, 5) AS nx, round(w[2] / g, 5) AS ny, round(w[3] / g, 5) AS nz, round(e0, 8) AS e0, round(3 * q - e0 - e2, 8) AS e1, round(e2, 8) AS e2 FROM g""",
     "pair_distance_median": f"WITH {POINTS}, d AS (SELECT {_DIST} AS d FROM pts a, pts b WHERE a.idx < b.idx) SELECT round(quantile_cont(d, 0.5), 6) AS median_distance, count(*) AS pairs FROM d WHERE d > 1e-9",
 }
 QUERIES = [

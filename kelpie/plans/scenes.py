@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..operators import gates, images, joins, reports, stats, windows
+from ..operators import gates, images, joins, poses, reports, stats, windows
 from .tables import POINTS, TIMED, points, table, timed
 
 r6 = lambda c: F.round(c, 6)
@@ -175,3 +175,53 @@ QUERIES = [
     instance_mask, mask_summary, masked_buffer, observations_on_mask, largest_masks, depth_edges, rig_centres, turn_rates, bracketed_poses,
     accepted_anchors, supervised_pixels, masked_map_mean, baseline_gates, measured_values, parameter_bounds, changed_rows,
 ]
+
+
+def _corrections(spark, d):
+    """Embeddings as pairs of corrections in time: the left one, and a right one a little off."""
+    e = lambda i: F.col("embedding")[i].cast("double")
+    raw = F.struct(*[e(i).alias(k) for i, k in enumerate("xyzw")])
+    # Small turns about the identity: the scalar part is large.
+    near = lambda f: F.struct(*[(raw[k] * f).alias(k) for k in "xyz"], F.lit(1.0).alias("w"))
+    at = {f"l_{a}": e(4 + i) * 0.01 for i, a in enumerate("xyz")} | {f"r_{a}": e(4 + i) * 0.01 + e(7) * 0.02 for i, a in enumerate("xyz")}
+    return table(spark, d, "embeddings").select(F.col("vec_id"), "label", *[c.alias(n) for n, c in at.items()], geometry.unit_quaternion(near(0.01)).alias("l_q"), geometry.unit_quaternion(near(0.012)).alias("r_q"))
+
+
+def filtered_anchors(spark, d):
+    """Mean corrections against those of their neighbours, with the reasons that rule them out."""
+    limits = poses.LIMITS | {"multiplier": 2.0, "pair_rotation": 0.06}
+    out = poses.filtered_anchors(poses.pair_anchors(_corrections(spark, d)), (), "vec_id", limits=limits)
+    return out.select("vec_id", F.round("translation_residual", 8).alias("moved"), r6("rotation_residual").alias("turned"), F.array_join("reasons", "+").alias("reasons"), "accepted")
+
+
+def mean_poses(spark, d):
+    """The mean pose of each label, signs by its first row."""
+    p = _poses(spark, d).withColumns({"x": F.col("tx"), "y": F.col("tx") * 2, "z": F.lit(0.0)})
+    out = poses.mean_poses(p, ["label"], "vec_id")
+    return out.select("label", "n", r6("x").alias("x"), r6("y").alias("y"), *[r6(F.col("q")[k]).alias(f"q{k}") for k in "xyzw"])
+
+
+SQL |= {
+    "mean_poses": f"""WITH {_POSES}, f AS (SELECT label, arg_min({{x: x, y: y, z: z, w: w}}, vec_id) AS f FROM pose GROUP BY label),
+s AS (SELECT p.*, CASE WHEN x*f.x + y*f.y + z*f.z + w*f.w < 0 THEN -1 ELSE 1 END AS g FROM pose p JOIN f USING (label)),
+m AS (SELECT label, count(*) AS n, avg(tx) AS tx, avg(g*x) AS x, avg(g*y) AS y, avg(g*z) AS z, avg(g*w) AS w FROM s GROUP BY label), u AS (SELECT *, sqrt(x*x + y*y + z*z + w*w) AS l FROM m)
+SELECT label, n, round(tx, 6) AS x, round(2 * tx, 6) AS y, round(x/l, 6) AS qx, round(y/l, 6) AS qy, round(z/l, 6) AS qz, round(w/l, 6) AS qw FROM u""",
+    "filtered_anchors": f"""WITH r AS (SELECT vec_id, {", ".join(f"embedding[{i + 1}]::double AS e{i}" for i in range(8))} FROM embeddings),
+q AS (SELECT *, sqrt(1 + 0.0001::double * (e0*e0 + e1*e1 + e2*e2)) AS ln, sqrt(1 + 0.000144::double * (e0*e0 + e1*e1 + e2*e2)) AS rn FROM r),
+m AS (SELECT vec_id, sqrt(3 * pow(e7 * 0.02::double, 2)) AS pt, {", ".join(f"e{4 + i} * 0.01::double + e7 * 0.01::double AS t{i}" for i in range(3))}, {", ".join(f"0.01::double*e{i}/ln + 0.012::double*e{i}/rn AS s{i}" for i in range(3))}, 1/ln + 1/rn AS s3,
+  sqrt(e0*e0 + e1*e1 + e2*e2) AS v, (1 + 0.00012::double * (e0*e0 + e1*e1 + e2*e2)) / (ln*rn) AS dot, ln, rn FROM q),
+p AS (SELECT *, sqrt(s0*s0 + s1*s1 + s2*s2 + s3*s3) AS sn, degrees(2 * atan2(0.002::double * v / (ln*rn), dot)) AS pr FROM m),
+u AS (SELECT vec_id, pt, pr, t0, t1, t2, s0/sn AS x, s1/sn AS y, s2/sn AS z, s3/sn AS w FROM p),
+b AS (SELECT *, {", ".join(f"lag({c}) OVER o AS l{c}, lead({c}) OVER o AS h{c}" for c in ("vec_id", "t0", "t1", "t2", "x", "y", "z", "w"))} FROM u WINDOW o AS (ORDER BY vec_id)),
+i AS (SELECT *, (vec_id - lvec_id)::double / (hvec_id - lvec_id) AS f, lx*hx + ly*hy + lz*hz + lw*hw AS d FROM b),
+a AS (SELECT *, acos(least(1.0::double, abs(d))) AS ang FROM i),
+k AS (SELECT *, CASE WHEN ang < 1e-9 THEN 1 - f ELSE sin((1 - f) * ang) / sin(ang) END AS wa, CASE WHEN ang < 1e-9 THEN f ELSE sin(f * ang) / sin(ang) END * CASE WHEN d < 0 THEN -1 ELSE 1 END AS wb FROM a),
+c AS (SELECT *, wa*lx + wb*hx AS px, wa*ly + wb*hy AS py, wa*lz + wb*hz AS pz, wa*lw + wb*hw AS pw FROM k),
+e AS (SELECT vec_id, pt, pr, f IS NOT NULL AS inner_, coalesce(sqrt(pow(t0 - (lt0 + f*(ht0-lt0)), 2) + pow(t1 - (lt1 + f*(ht1-lt1)), 2) + pow(t2 - (lt2 + f*(ht2-lt2)), 2)), 0) AS moved,
+  coalesce(degrees(2 * atan2(sqrt(pow(pw*x - px*w - py*z + pz*y, 2) + pow(pw*y + px*z - py*w - pz*x, 2) + pow(pw*z - px*y + py*x - pz*w, 2)), abs(px*x + py*y + pz*z + pw*w))), 0) AS turned FROM c),
+md AS (SELECT quantile_cont(moved, 0.5) AS mm, quantile_cont(turned, 0.5) AS mt FROM e WHERE inner_),
+l AS (SELECT greatest(0.002::double, any_value(mm) + 2 * 1.4826::double * quantile_cont(abs(moved - mm), 0.5)) AS lm, greatest(0.05::double, any_value(mt) + 2 * 1.4826::double * quantile_cont(abs(turned - mt), 0.5)) AS lt FROM e, md WHERE inner_),
+w AS (SELECT *, concat_ws('+', CASE WHEN pt > 0.01::double THEN 'pair_translation_disagreement' END, CASE WHEN pr > 0.06::double THEN 'pair_rotation_disagreement' END, CASE WHEN inner_ AND moved > lm THEN 'temporal_translation_outlier' END, CASE WHEN inner_ AND turned > lt THEN 'temporal_rotation_outlier' END) AS reasons FROM e, l)
+SELECT vec_id, round(moved, 8) AS moved, round(turned, 6) AS turned, reasons, reasons = '' AS accepted FROM w""",
+}
+QUERIES += [filtered_anchors, mean_poses]
