@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..operators import joins, manifests, reports, stats, voxel
+from ..operators import integrity, joins, manifests, reports, stats, voxel
 from ..operators.scratch import scratch_path
-from ..sources import clouds
+from ..sources import arrays, clouds, staged
 from .tables import POINTS, TIMED, points, table, timed
 
 r6 = lambda c: F.round(c, 6)
@@ -128,3 +128,59 @@ UNION ALL SELECT 'rotation_deg', round(r, 6), '<=', 2.0, r <= 2 FROM v UNION ALL
     "image_masks": "WITH i AS (SELECT o_orderkey AS image_id, c_nationkey AS camera FROM orders JOIN customer ON c_custkey = o_custkey) SELECT camera, image_id, 'masks/' || n_name || '.png' AS path, sha256(n_name) AS sha256, count(*) OVER (PARTITION BY camera) AS shared_by FROM i JOIN nation ON n_nationkey = camera",
 }
 QUERIES = [cloud_bounds, channel_colours, pooled_colours, written_cloud, rig_frame_rows, rig_errors, rig_scatter, refinement, image_masks]
+
+
+def _lines(spark, d):
+    """lineitem as points of 20 images: pixel (line number, quantity), range by price."""
+    return table(spark, d, "lineitem").select(
+        (F.col("l_suppkey") % 20).alias("image"), F.col("l_linenumber").cast("int").alias("px"), F.floor("l_quantity").cast("int").alias("py"),
+        (F.col("l_extendedprice") / 1000).alias("distance"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("idx"),
+    )
+
+
+def depth_files(spark, d):
+    """The nearest line of every pixel as an array file for each image, written in stages, read back and checked."""
+    near = joins.nearest_pixels(_lines(spark, d), "idx", ["image", "px", "py"], "distance")
+    pixel = F.struct((F.col("py") * 8 + F.col("px")).alias("pixel_index"), F.col("distance").alias("range_m"), "confidence", F.col("idx").alias("source_index"), F.col("support").alias("support_count"))
+    rows = near.groupBy("image").agg(F.array_sort(F.collect_list(pixel)).alias("p"))  # an image's pixels
+    rows = rows.select("image", F.array(F.lit(64), F.lit(8)).alias("shape"), *[F.col(f"p.{n}").alias(n) for n in list(arrays.SPARSE)[1:]])
+    path = scratch_path(spark, "depth")
+    coded = arrays.npz_files(rows, F.concat(F.lit("depth/"), F.col("image"), F.lit(".npz")), arrays.SPARSE, ["image"])
+    staged.write_files(coded, path)
+    back = arrays.sparse_depth(spark, path)
+    integrity.require_none(arrays.sparse_problems(back), "depth files")
+    image = F.regexp_extract("path", r"(\d+)\.npz$", 1).cast("bigint")
+    return arrays.sparse_pixels(back).select(image.alias("image"), "px", "py", F.round(F.col("distance").cast("double"), 3).alias("distance"), F.round(F.col("confidence").cast("double"), 5).alias("confidence"), "source", "support")
+
+
+def mask_files(spark, d):
+    """A mask of each of ten cameras, shared by the images of their points, as grey images that are written and read back."""
+    p = points(spark, d)
+    masks = p.select(F.col("label").alias("camera"), F.floor((F.col("x") + 1) * 16).cast("int").alias("px"), F.floor((F.col("y") + 1) * 16).cast("int").alias("py"))
+    path = scratch_path(spark, "masks")
+    manifest = staged.write_files(arrays.mask_files(masks, p.select(F.col("idx").alias("image"), F.col("label").alias("camera")), 32, 32), path)
+    fractions = spark.createDataFrame([(r["image"], r["valid_fraction"]) for r in manifest["files"]], "image bigint, valid_fraction double")
+    pixels = arrays.mask_pixels(spark, f"{path}/masks").groupBy(F.regexp_extract("name", r"\d+", 0).cast("bigint").alias("image"))
+    counts = pixels.agg(F.count("*").alias("pixels"), F.sum("px").alias("sum_px"), F.sum("py").alias("sum_py"))
+    return counts.join(fractions, "image").select("image", "pixels", "sum_px", "sum_py", r6("valid_fraction").alias("valid_fraction"))
+
+
+def file_digests(spark, d):
+    """The names of each nation's customers as a file; its size and SHA-256, streamed from the file."""
+    names = table(spark, d, "customer").groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_list("c_name")), "\n").alias("t"))
+    path = scratch_path(spark, "names")
+    rows = names.select(F.concat(F.lit("nation/"), F.col("c_nationkey"), F.lit(".txt")).alias("name"), F.col("t").cast("binary").alias("content"))
+    manifest = staged.write_files(rows, path)
+    digests = staged.file_digests(spark, path)
+    integrity.require_none(staged.changed_files(digests, manifest), "changed files")
+    return digests.filter(F.col("path").startswith("nation/"))
+
+
+SQL |= {
+    "depth_files": """WITH p AS (SELECT l_suppkey % 20 AS image, l_linenumber::int AS px, floor(l_quantity)::int AS py, l_extendedprice / 1000 AS distance, l_orderkey * 10 + l_linenumber AS idx FROM lineitem)
+SELECT image, px, py, round(min(distance)::float::double, 3) AS distance, round(least(1.0::double, ln(1 + count(*)) / ln(4::double))::float::double, 5) AS confidence, arg_min(idx, row(distance, idx)) AS source, count(*)::int AS support FROM p GROUP BY image, px, py""",
+    "mask_files": f"""WITH {POINTS}, m AS (SELECT DISTINCT label, floor((x + 1) * 16)::int AS px, floor((y + 1) * 16)::int AS py FROM pts), c AS (SELECT label, count(*) AS pixels, sum(px)::bigint AS sum_px, sum(py)::bigint AS sum_py FROM m GROUP BY label)
+SELECT idx AS image, pixels, sum_px, sum_py, round(pixels / 1024, 6) AS valid_fraction FROM pts JOIN c USING (label)""",
+    "file_digests": "WITH t AS (SELECT c_nationkey, string_agg(c_name, chr(10) ORDER BY c_name) AS t FROM customer GROUP BY c_nationkey) SELECT 'nation/' || c_nationkey || '.txt' AS path, strlen(t)::bigint AS bytes, sha256(t) AS sha256 FROM t",
+}
+QUERIES += [depth_files, mask_files, file_digests]
