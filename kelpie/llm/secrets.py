@@ -23,16 +23,18 @@ from pyspark.sql import functions as F
 
 from . import common
 
-RUN = r"[A-Za-z0-9+/_\-]{16,}"
-CANDIDATE = rf"(?=[A-Za-z+/_\-]*[0-9]){RUN}"
+#: Runs of key characters; those with a digit are candidates. Every pattern here goes over a text once: a name is looked for from
+#: the begin of its run of word characters only, and what was taken is never given back.
+RUN = r"[A-Za-z0-9+/_\-]{16,}+"
 #: Names that credentials go by.
 NAMES = r"(?i)(?:token|password|passwd|pwd|secret|api_?key|access_?key|auth|bearer|credential|private_?key)"
 KNOWN = r"^(-----BEGIN|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|xox[bap]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,})"
 UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-ASSIGNED = r"""[\w\-]*["'`]?\s*[:=]\s*["'`]?"""
+#: A run of word characters with such a name in it, and a sign after it.
+NAMED = rf"""(?<![\w\-])(?:(?!{NAMES})[\w\-])*+{NAMES}[\w\-]*+["'`]?+\s*+[:=]"""
 #: A value of 8 and more characters after a credential's name in the same word; a word that ends with such a name and a sign.
-VALUE = rf"""{NAMES}{ASSIGNED}([^\s"'`]{{8,}})"""
-NAME_ENDS = rf"{NAMES}{ASSIGNED}$"
+VALUE = rf"""{NAMED}\s*+["'`]?+([^\s"'`]{{8,}}+)"""
+NAME_ENDS = rf"""{NAMED}\s*+["'`]?+$"""
 PEM = r"^-----BEGIN$"
 NEIGHBOURS = 3
 #: Bounds of what is held as constants: the dictionary's words, and the findings a forest is trained on.
@@ -51,17 +53,19 @@ def dictionary(docs: DataFrame, text_col: str = "text", n: int = DICTIONARY_WORD
 
 
 def _pieces(w: Column) -> Column:
-    """The 3-character pieces of w."""
-    none = F.array().cast("array<string>")
-    return F.when(F.length(w) < 3, none).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substring(w, i, F.lit(3)))
-    )
+    """The pieces of w of three letters a-z."""
+    return F.regexp_extract_all(w, F.lit("(?=([a-z]{3}))"), F.lit(1))
+
+
+def _runs(text: Column) -> Column:
+    """The runs of key characters that have a digit."""
+    return F.filter(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda x: F.rlike(x, F.lit("[0-9]")))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, word_no, nth (in the word), candidate, word, before, after."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    may = F.rlike("text", F.lit(f"{CANDIDATE}|-----BEGIN")) | F.rlike("text", F.lit(rf"{NAMES}{ASSIGNED}"))
+    may = (F.size(_runs(F.col("text"))) > 0) | F.contains("text", F.lit("-----BEGIN")) | F.rlike("text", F.lit(NAMED))
     some = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).filter(may)
     words = some.select("doc_id", F.regexp_extract_all("text", F.lit(common.WORD), F.lit(0)).alias("ws"))
     none = F.array().cast("array<string>")
@@ -69,10 +73,10 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def found_in(w, i):
         """The candidates of a word."""
         last, two = F.get("ws", i - 1), F.concat_ws("", F.get("ws", i - 2), F.get("ws", i - 1))
-        runs = F.when((F.length(w) >= 16) & F.rlike(w, F.lit(CANDIDATE)), F.regexp_extract_all(w, F.lit(CANDIDATE), F.lit(0))).otherwise(none)
+        runs = F.when(F.length(w) >= 16, _runs(w)).otherwise(none)
         inside = F.when(F.contains(w, F.lit("=")) | F.contains(w, F.lit(":")), F.filter(F.array(F.regexp_extract(w, VALUE, 1)), lambda x: x != "")).otherwise(none)
         signed = F.coalesce(F.rlike(last, F.lit(r"""[:=]["'`]?$""")), F.lit(False))
-        bare = F.regexp_replace(w, F.lit(r"""^["'`]+|["'`,;]+$"""), F.lit(""))
+        bare = F.regexp_replace(F.regexp_replace(w, F.lit(r"""^["'`]++"""), F.lit("")), F.lit(r"""(?<!["'`,;])["'`,;]++$"""), F.lit(""))
         given = F.when(signed & (F.length(bare) >= 8) & F.coalesce(F.rlike(two, F.lit(NAME_ENDS)), F.lit(False)), F.array(bare)).otherwise(none)
         key = F.when(F.rlike(w, F.lit(PEM)), F.array(F.array_join(F.slice("ws", i + 1, F.lit(4)), " "))).otherwise(none)
         key = F.filter(key, lambda x: F.contains(x, F.lit("PRIVATE KEY-----")))
@@ -104,7 +108,7 @@ def described(found: DataFrame, pieces: list[str]) -> DataFrame:
     c, w, before, after = F.col("candidate"), F.col("word"), F.col("before"), F.col("after")
     n = F.length(c)
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[a-z]", "l"), "[A-Z]", "u"), "[0-9]", "d")
-    own = F.filter(_pieces(F.lower(c)), lambda p: F.rlike(p, F.lit("^[a-z]{3}$")))
+    own = _pieces(F.lower(c))
     known = F.array(*map(F.lit, pieces)) if pieces else F.array().cast("array<string>")
     lead = F.concat_ws(" ", before, F.expr("left(word, greatest(locate(candidate, word) - 1, 0))"))
     share = lambda x: x.cast("double") / n
