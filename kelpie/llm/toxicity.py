@@ -210,18 +210,18 @@ def _scores(model: Model, pair, raw: list[bytes]) -> np.ndarray:
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     rows, labelled = sample(docs, labels, id_col, text_col)
-    most, n_bytes = dict(SAMPLE), SAMPLE_BYTES
+    most = dict(SAMPLE)
+    room = {kind: SAMPLE_BYTES * n // sum(most.values()) for kind, n in most.items()}
 
     def in_one_task(batches):
-        got, size = {0: [], 1: []}, 0
+        got, size = {0: [], 1: []}, {0: 0, 1: 0}
         for b in batches:
             for kind, raw in zip(b.column("toxic").to_pylist(), common.raw_texts(b), strict=True):
-                if kind in got and len(got[kind]) < most[kind] and size < n_bytes:
+                if kind in got and len(got[kind]) < most[kind] and size[kind] < room[kind]:
                     got[kind].append(raw)
-                    size += len(raw)
-        # A label is drawn with the share of its kind that the bound leaves.
-        stands_for = {kind: len(got[kind]) * max(1.0, labelled.get(kind, 0) / most[kind]) for kind in got}
-        m = fit(got[1], got[0], (stands_for[1], stands_for[0]))
+                    size[kind] += len(raw)
+        # What was read of a kind, by either bound, stands for all labels of the kind.
+        m = fit(got[1], got[0], (labelled.get(1, 0), labelled.get(0, 0)))
         yield common.batch(ordinary=[m.ordinary], toxic=[m.toxic], weights=pa.array([[float(x) for x in m.weights]]))
 
     ordered = rows.repartition(1).sortWithinPartitions("h", "text")

@@ -181,6 +181,44 @@ def test_toxicity_threshold_keeps_with_size(spark, monkeypatch):
     assert abs(mean() - 0.1) < 0.04
     monkeypatch.setattr(toxicity, "SAMPLE", {1: 60, 0: 60})
     assert abs(mean() - 0.1) < 0.04  # half of the sample is toxic
+    bytes_of_text = sum(len(t) for _, t, _ in texts) / len(texts)
+    for rows in (80, 40):
+        monkeypatch.setattr(toxicity, "SAMPLE_BYTES", int(rows * bytes_of_text))
+        assert abs(mean() - 0.1) < 0.04  # the bytes bound the sample
+
+
+def test_toxicity_scores_window_by_window(spark):
+    """Against plain compressor calls for each window of eight words."""
+    import re
+
+    import zstandard
+
+    rng = random.Random(6)
+    texts = [(i, "\n".join(sentence(rng, rng.randrange(0, 40)) for _ in range(rng.randrange(1, 4))) + (" zorgblatt quixnoth" * (i % 3)), "a") for i in range(120)]
+    docs = make(spark, texts)
+    model = toxicity.fitted(docs, spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(120)], "doc_id long, toxic int"))
+
+    def size(content, window):
+        p = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, dict_size=len(content), source_size=80, write_content_size=0, write_checksum=0, write_dict_id=0)
+        d = zstandard.ZstdCompressionDict(content or b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=p)
+        return len(zstandard.ZstdCompressor(compression_params=p, dict_data=d).compress(window))
+
+    def score(text):
+        low = re.sub("[\t-\r]", " ", normal(text))
+        spans_of = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", low)]
+        found = []
+        for k in range(0, len(spans_of), 8):
+            own = spans_of[k : k + 8]
+            w = low[max(own[0][0] - 1, 0) : own[-1][1] + 1].encode()
+            found.append(size(model.ordinary, w) - size(model.toxic, w))
+        top = sorted((max(x, 0) for x in found), reverse=True)[:3]
+        x = [top[0], sum(top), math.log1p(sum(v >= 5 for v in found)), math.log1p(len(found))] if found else [0, 0, 0, 0]
+        z = sum(a * b for a, b in zip(x, model.weights)) + model.weights[-1]
+        return 1 / (1 + math.exp(-min(max(z, -30), 30)))
+
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, model).collect()}
+    assert all(abs(got[i] - score(t)) < 1e-12 for i, t, _ in texts)
 
 
 def test_toxicity_features_are_the_same_at_every_length(monkeypatch):
@@ -378,6 +416,63 @@ def test_secret_candidates(spark):
     assert got == {(1, "Hunter2!x"), (2, "correct#horse"), (3, "abcdefghijk"), (4, "-----BEGIN RSA PRIVATE KEY-----")}
 
 
+def test_secret_patterns_take_a_text_once(spark):
+    """A megabyte of what every pattern may begin with, in seconds."""
+    import time
+
+    n = 1_000_000
+    parts = ["a" * n, "7" * n, "token" * (n // 5), "=" * n, "token=" * (n // 6), "token " * (n // 6), "'" * n, "a," * (n // 2), "token" + " " * n, "-" * n, "password:'" * (n // 10), "ab " * (n // 3)]
+    docs = make(spark, [(i, t, "a") for i, t in enumerate(parts)]).repartition(1)
+    secrets.candidates(docs.limit(1)).count()
+    began = time.time()
+    found = secrets.described(secrets.candidates(docs), ["tok"])
+    got = found.groupBy("doc_id").agg(F.count("*").alias("n"), *[F.sum(f).alias(f) for f in secrets.FEATURES]).collect()
+    assert {r["doc_id"]: r["n"] for r in got}[1] == 1 and time.time() - began < 60
+
+
+def test_secret_features_row_by_row(spark):
+    """Candidates and features against a plain computation in Python."""
+    import re
+
+    rng = random.Random(12)
+    chars = "abcXYZ0189+/_-"
+    rows = []
+    for i in range(150):
+        w = sentence(rng, 12).split()
+        key = "".join(rng.choice(chars) for _ in range(rng.randrange(10, 30)))
+        w.insert(rng.randrange(len(w)), rng.choice(["{}", "token={}", "my_token-x:'{}'", "https://a.b/{}", "({})", "foo=token={}", "x={}", "`{}`,"]).format(key))
+        if i % 5 == 0:
+            w += ["password", "=", '"' + key[:9] + '"']
+        rows.append((i, " ".join(w), "a"))
+    names = "(?:token|password|passwd|pwd|secret|api_?key|access_?key|auth|bearer|credential|private_?key)"
+    assigned = r"""[\w\-]*["'`]?\s*[:=]\s*["'`]?"""
+    want = {}
+    for i, t, _ in rows:
+        ws = t.split(" ")
+        for k, w in enumerate(ws):
+            runs = [x for x in re.findall(r"[A-Za-z0-9+/_\-]{16,}", w) if re.search("[0-9]", x)]
+            m = re.search(rf"""(?i){names}{assigned}([^\s"'`]{{8,}})""", w, re.A)
+            values = [m[1]] if m else []
+            if k and re.search("[:=][\"'`]?$", ws[k - 1]) and re.search(f"(?i){names}{assigned}$", "".join(ws[max(k - 2, 0) : k]), re.A):
+                bare = re.sub("[\"'`,;]+$", "", re.sub("^[\"'`]+", "", w))
+                values += [bare] if len(bare) >= 8 else []
+            found = list(dict.fromkeys(values + [x for x in runs if not any(x in v for v in values)]))
+            for nth, c in enumerate(found):
+                lead = " ".join([*ws[max(k - 3, 0) : k], w[: max(w.index(c), 0)]])
+                classes = re.sub("[0-9]", "d", re.sub("[A-Z]", "u", re.sub("[a-z]", "l", c)))
+                own = {c.lower()[j : j + 3] for j in range(len(c) - 2) if re.fullmatch("[a-z]{3}", c.lower()[j : j + 3])}
+                want[i, k, nth] = (
+                    c, len(c), (len(re.sub(r"(.)\1*", r"\1", classes)) - 1) / len(c), len(re.findall("[0-9]", c)) / len(c), len(re.findall("[A-Z]", c)) / len(c), len(set(c)) / len(c),
+                    len(own & {"abc", "cab", "bca"}) / len(own) if own else 0.0, w.count("/"), w.count("."), float(bool(re.search(f"(?i){names}", lead))), float(bool(re.search(r"""[=:]\s*["'`]?\s*$""", lead))),
+                )
+    out = secrets.described(secrets.candidates(make(spark, rows)), ["abc", "bca", "cab"]).collect()
+    names_of = ["candidate", "f_length", "f_transitions", "f_digits", "f_upper", "f_distinct", "f_coverage", "f_slashes", "f_dots", "f_name_before", "f_assigned"]
+    got = {(r["doc_id"], r["word_no"], r["nth"]): tuple(r[n] for n in names_of) for r in out}
+    assert got.keys() == want.keys() and len(got) > 100
+    for k, v in want.items():
+        assert got[k][0] == v[0] and all(abs(a - b) < 1e-12 for a, b in zip(got[k][1:], v[1:])), (got[k], v)
+
+
 def test_common(spark):
     df = spark.createDataFrame([(1,)], "__x int")
     assert common.fresh(df, "x") == "__x_"
