@@ -37,14 +37,11 @@ def rgb_to_bytes(value: Column, eight_bit: bool) -> Column:
 
 
 def size_text(n: Column) -> Column:
-    """B, KB, MB, GB with one decimal."""
-    k = 1024.0
-    return (
-        F.when(n < k, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < k**2, F.concat(F.format_number(n / k, 1), F.lit(" KB")))
-        .when(n < k**3, F.concat(F.format_number(n / k**2, 1), F.lit(" MB")))
-        .otherwise(F.concat(F.format_number(n / k**3, 1), F.lit(" GB")))
-    )
+    """One decimal (halves to even) and the unit, B to TB, without a blank."""
+    k, out = 1024.0, F.format_string("%.1fTB", F.bround(n / 1024.0**4, 1))
+    for i, unit in reversed(list(enumerate(("B", "KB", "MB", "GB")))):
+        out = F.when(n < k ** (i + 1), F.format_string(f"%.1f{unit}", F.bround(n / k**i, 1))).otherwise(out)
+    return out
 
 
 def crop_valid(left: Column, top: Column, width: Column, height: Column, image_width: Column, image_height: Column, factor: int) -> Column:

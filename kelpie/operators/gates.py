@@ -82,12 +82,13 @@ def completeness(df: DataFrame, by: Sequence[str], required: Sequence[str]) -> D
     return df.select(*by, warnings.alias("warnings")).withColumn("status", F.when(F.size("warnings") == 0, "COMPLETE").otherwise("PARTIAL"))
 
 
-#: What a solver stage may change.
-STAGES = {
-    1: {"poses": True, "focal": False, "distortion": False},
-    2: {"poses": True, "focal": True, "distortion": False},
-    3: {"poses": True, "focal": True, "distortion": True},
-}
+def stage_options(stage: int) -> dict[str, bool]:
+    """What a solver stage (1, 2, 3) may refine: names and values are fixed."""
+    if stage not in (1, 2, 3):
+        raise ValueError("stages are 1, 2 and 3")
+    return {
+        "refine_rig_from_world": True, "refine_sensor_from_rig": False, "refine_focal_length": stage > 1, "refine_principal_point": False, "refine_extra_params": stage == 3,
+    }
 
 
 def parameter_bounds(before: DataFrame, after: DataFrame, key: Sequence[str], limits: dict[str, tuple[float, bool]]) -> DataFrame:

@@ -55,6 +55,23 @@ def split_violations(assigned: DataFrame, key: str, split: str, golden: DataFram
     return out
 
 
+def pair_leaks(pairs: DataFrame, assigned: DataFrame, a: str = "a", b: str = "b", key: str = "key", split: str = "split") -> DataFrame:
+    """(item, problem) of match pairs that a training run may not use, against the split of every item: pairs that aren't in
+    order (not_canonical), that repeat (repeated_pair), whose items have no split (unknown_item), are in several
+    (several_splits) or are held out (leaks), and training items without a pair (unpaired). Empty if the pairs use the training items exactly."""
+    named = lambda rows, problem: rows.select(F.col("item").cast("string").alias("item"), F.lit(problem).alias("problem"))
+    both = pairs.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    off = both.filter(F.col("a").isNull() | F.col("b").isNull() | (F.col("a") >= F.col("b"))).select(F.col("a").alias("item"))
+    twice = duplicates(both, ["a", "b"]).select(F.col("a").alias("item"))
+    used = both.select(F.explode(F.array("a", "b")).alias("item")).filter("item is not null").distinct()
+    sides = assigned.groupBy(F.col(key).alias("item")).agg(F.count_distinct(split).alias("n"), F.bool_or(F.col(split) != "train").alias("held"))
+    found = used.withColumn("used", F.lit(True)).join(sides, "item", "full")
+    problem = (
+        F.when(F.col("n").isNull(), "unknown_item").when(F.col("n") > 1, "several_splits").when(F.col("used") & F.col("held"), "leaks").when(F.col("used").isNull() & ~F.col("held"), "unpaired")
+    )
+    return named(off, "not_canonical").unionByName(named(twice, "repeated_pair")).unionByName(found.select(F.col("item").cast("string").alias("item"), problem.alias("problem")).filter("problem is not null"))
+
+
 def unsafe_path(path: Column) -> Column:
     """Absolute, drive or backslash paths, and those with a .. part."""
     return path.isNull() | F.contains(path, F.lit("\\")) | F.rlike(path, F.lit(r"^(/|[A-Za-z]:)")) | F.rlike(path, F.lit(r"(^|/)\.\.(/|$)")) | (path == "")

@@ -22,25 +22,64 @@ def tolerance_candidates(left: DataFrame, right: DataFrame, tolerance: int, by:
     return a.join(b, [*by, "bin"]).filter(F.abs(F.col("l_t") - F.col("r_t")) <= tolerance).drop("bin")
 
 
-def tolerance_pairs(left: DataFrame, right: DataFrame, tolerance: int, by: Sequence[str] = ()) -> DataFrame:
-    """One-to-one pairs within tolerance, as a greedy choice by (|dt|, left t, right t, left id, right id) makes them.
-    Rounds of mutual best candidates give the same pairs, as the order is total: a pair that is best for both its ends is
-    what the greedy choice would take before any other pair of either end. Candidates of taken ends go, and rounds end
-    when none is left; each is joins and aggregations on ids."""
-    rest = tolerance_candidates(left, right, tolerance, by).withColumn("dt", F.abs(F.col("l_t") - F.col("r_t")))
-    rest = rest.checkpoint() if _checkpointed(rest) else rest
-    taken = None
-    rank = F.struct("dt", "l_t", "r_t", "l_id", "r_id")
+#: Candidates of one chain of times that a task chooses from; a longer chain takes rounds.
+CHAIN = 1_000_000
+
+
+def tolerance_pairs(left: DataFrame, right: DataFrame, tolerance: int, by: Sequence[str] = (), chain: int = CHAIN) -> DataFrame:
+    """One-to-one pairs within tolerance, as a greedy choice by (|dt|, left t, right t, left id, right id) makes them. No
+    candidates cross a gap over the tolerance, so times between such gaps are a chain of their own: tasks take whole
+    chains and choose in order, in a constant number of jobs. Chains of more than `chain` candidates go by rounds
+    instead."""
+    from .scratch import written
+
+    rank = ["dt", "l_t", "r_t", "l_id", "r_id"]
+    chains = _chains(left, right, tolerance, by).withColumnRenamed("t", "l_t")
+    found = tolerance_candidates(left, right, tolerance, by).withColumn("dt", F.abs(F.col("l_t") - F.col("r_t"))).join(chains, [*by, "l_t"])
+    found = written(found.select(*by, "l_id", "r_id", "l_t", "r_t", "dt", "chain"), "tolerance-candidates")
+    long = found.groupBy("chain").count().filter(F.col("count") > chain).select("chain")
+    out = [*by, "l_id", "r_id", "l_t", "r_t", "dt"]
+
+    def choose(batches):
+        taken_l, taken_r = set(), set()
+        for b in batches:
+            groups, keep = (list(zip(*[b.column(c).to_pylist() for c in by], strict=True)) if by else [()] * b.num_rows), []
+            for i, (g, l, r) in enumerate(zip(groups, b.column("l_id").to_pylist(), b.column("r_id").to_pylist(), strict=True)):
+                if (g, l) not in taken_l and (g, r) not in taken_r:
+                    taken_l.add((g, l))
+                    taken_r.add((g, r))
+                    keep.append(i)
+            yield b.take(keep)
+
+    ordered = found.join(long, "chain", "left_anti").repartition("chain").sortWithinPartitions(*rank).select(*out)
+    pairs = ordered.mapInArrow(choose, ordered.schema)
+    return pairs.unionByName(_by_rounds(found.join(long, "chain", "left_semi").select(*out), by)) if long.limit(1).count() else pairs
+
+
+def _chains(left: DataFrame, right: DataFrame, tolerance: int, by: Sequence[str]) -> DataFrame:
+    """(*by, t, chain): times with no gap over the tolerance between them share a chain."""
+    from .windows import beside, running_before
+
+    times = left.select(*by, "t").union(right.select(*by, "t")).distinct()
+    fresh = beside(times, by, ["t"], F.col("t"), "__was", spread=True)
+    fresh = fresh.withColumn("__new", F.coalesce(F.col("t") - F.col("__was") > tolerance, F.lit(True)).cast("int"))
+    return running_before(fresh, [*by, "t"], "__new").select(*by, "t", (F.col("before") + F.col("__new")).alias("chain"))
+
+
+def _by_rounds(rest: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The greedy choice by rounds of mutual best candidates: the order is total, so a pair that is best for both its ends is
+    what it would take before any other pair of either. Each round is joins and aggregations on ids."""
+    from .scratch import written
+
+    taken, rank = None, F.struct("dt", "l_t", "r_t", "l_id", "r_id")
     while True:
         best_l = rest.groupBy(*by, "l_id").agg(F.min(rank).alias("m"))
         best_r = rest.groupBy(*by, "r_id").agg(F.min(rank).alias("m"))
-        now = best_l.select(*by, "m.*").join(best_r.select(*by, "m.*"), [*by, "dt", "l_t", "r_t", "l_id", "r_id"])
-        now = now.checkpoint() if _checkpointed(now) else now
+        now = written(best_l.select(*by, "m.*").join(best_r.select(*by, "m.*"), [*by, "dt", "l_t", "r_t", "l_id", "r_id"]), "tolerance-round")
         if not now.limit(1).count():
             break
         taken = now if taken is None else taken.unionByName(now)
-        rest = rest.join(now.select(*by, "l_id"), [*by, "l_id"], "left_anti").join(now.select(*by, "r_id"), [*by, "r_id"], "left_anti")
-        rest = rest.checkpoint() if _checkpointed(rest) else rest
+        rest = written(rest.join(now.select(*by, "l_id"), [*by, "l_id"], "left_anti").join(now.select(*by, "r_id"), [*by, "r_id"], "left_anti"), "tolerance-rest")
     out = now if taken is None else taken
     return out.select(*by, "l_id", "r_id", "l_t", "r_t", "dt")
 

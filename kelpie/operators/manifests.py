@@ -89,7 +89,13 @@ def decided(images: DataFrame, decisions: DataFrame, key: str, allowed: list[str
     return images.join(decisions.select(key, "decision"), key)
 
 
-def stage_audit(before: DataFrame, after: DataFrame, key: str, stage: int, tolerance: float = 1e-9, focal: float = 0.02, distortion: float = 0.02) -> DataFrame:
+#: How far a stage may move focal lengths (relative), k1 and k2, and what it leaves alone.
+FOCAL_CHANGE, DISTORTION_CHANGE, FIXED_TOLERANCE = 0.05, 0.02, 1e-10
+
+
+def stage_audit(
+    before: DataFrame, after: DataFrame, key: str, stage: int, tolerance: float = FIXED_TOLERANCE, focal: float = FOCAL_CHANGE, distortion: float = DISTORTION_CHANGE
+) -> DataFrame:
     """Cameras (key, PARAMETERS) before and after a solver stage -> focal (largest relative change), fixed (largest change of
     what the stage leaves alone) and passed. Both sides must have the same cameras and finite numbers."""
     require_none(key_set_difference(before, after, [key]), "cameras differ")

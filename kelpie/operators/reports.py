@@ -2,25 +2,42 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geometry
-from . import gates, integrity, joins
+from ..functions import geometry, scalar
+from . import gates, integrity, joins, manifests, stats
 from .windows import review_sample
 
 #: What a bundle adjustment may change at most, and what it must gain.
 IMPROVEMENT, SCALE_DRIFT, RIG_METRES, RIG_DEGREES = 0.30, 0.005, 1e-6, 1e-4
+#: The names of a bundle report's gates, and of the policy's limits.
+BUNDLE_GATES = ("solver_success", "reprojection_p50_improvement", "rig_baseline_fixed", "scene_scale_fixed", "camera_parameter_bounds")
+POLICY = {
+    "minimum_reprojection_p50_improvement_fraction": IMPROVEMENT, "maximum_scale_drift_fraction": SCALE_DRIFT, "maximum_rig_translation_drift_m": RIG_METRES,
+    "maximum_rig_rotation_drift_deg": RIG_DEGREES, "maximum_focal_relative_change": manifests.FOCAL_CHANGE, "maximum_k1_k2_absolute_change": manifests.DISTORTION_CHANGE,
+    "fixed_parameter_tolerance": manifests.FIXED_TOLERANCE,
+}
+
+
+def checked_policy(**own: float) -> dict[str, float]:
+    """POLICY with limits of one's own: known names, finite, not negative, an improvement between 0 and 1."""
+    policy = POLICY | own
+    if set(policy) != set(POLICY) or any(not math.isfinite(v) or v < 0 for v in policy.values()) or not 0 < policy["minimum_reprojection_p50_improvement_fraction"] < 1:
+        raise ValueError(f"a limit is unknown or out of range: {own}")
+    return policy
 
 
 def _p50(errors: DataFrame) -> float:
-    bad = F.col("error").isNull() | F.isnan("error") | (F.abs("error") == float("inf"))
-    integrity.require_none(errors.filter(bad), "errors must be finite")
-    value = errors.agg(F.percentile("error", 0.5)).first()[0]
-    if not value or value <= 0:
-        raise ValueError("the median error must be positive")
+    """Exact, from counts by bin: no task gathers the errors of a whole model."""
+    bad = F.col("error").isNull() | F.isnan("error") | (F.abs("error") == float("inf")) | (F.col("error") < 0)
+    integrity.require_none(errors.filter(bad), "errors must be finite and not negative")
+    value, n = stats.narrowed_percentile(errors, "error", 0.5)
+    if not n:
+        raise ValueError("there are no errors")
     return value
 
 
@@ -35,24 +52,55 @@ def _rig_drift(before: DataFrame, after: DataFrame) -> dict:
     return drift.asDict()
 
 
-def bundle_report(before: dict[str, DataFrame], after: dict[str, DataFrame], solved: bool, limits: dict[str, tuple[float, bool]]) -> DataFrame:
-    """before and after: errors (error), rigs (id, m: right to left, x, y, z: centre), cameras (key, parameters of limits).
-    -> the gates with value, threshold and passed; accepted if all pass."""
-    spark = before["errors"].sparkSession
-    gain = (_p50(before["errors"]) - _p50(after["errors"])) / _p50(before["errors"])
+def bundle_report(before: dict[str, DataFrame], after: dict[str, DataFrame], stage: int, solved: bool, **own: float) -> DataFrame:
+    """before and after: errors (error), rigs (id, m: right to left, x, y, z: centre), cameras (key, fl_x ... k4) of a solver
+    stage (1, 2, 3). -> name, value and passed of the five gates: the solver's success, the gain of the median error, the
+    rigs' baselines (the largest share of a limit that a drift takes), the scene's scale, and what the stage may change of the cameras (how
+    many break it). own: limits that replace those of POLICY."""
+    gates.stage_options(stage)
+    policy, spark = checked_policy(**own), before["errors"].sparkSession
+    old, new = _p50(before["errors"]), _p50(after["errors"])
+    if old <= 0:
+        raise ValueError("the median error before must be positive")
     integrity.require_none(integrity.key_set_difference(before["rigs"], after["rigs"], ["id"]), "rigs differ")
     drift = _rig_drift(before["rigs"], after["rigs"])
+    baseline = max(_share(drift["t"], policy["maximum_rig_translation_drift_m"]), _share(drift["r"], policy["maximum_rig_rotation_drift_deg"]))
     scale = [joins.median_pair_distance(s["rigs"], ["x", "y", "z"]).first()[0] for s in (before, after)]
-    worst = gates.parameter_bounds(before["cameras"], after["cameras"], ["key"], limits).agg(F.bool_and("passed")).first()[0]
-    metrics = [
-        ("solver_success", float(solved)), ("reprojection_p50_improvement", gain), ("rig_translation_drift_m", drift["t"]), ("rig_rotation_drift_deg", drift["r"]),
-        ("scale_drift", abs(scale[1] / scale[0] - 1) if scale[0] else None), ("camera_parameters_within_bounds", float(bool(worst))),
-    ]
-    thresholds = [
-        ("solver_success", ">=", 1.0), ("reprojection_p50_improvement", ">=", IMPROVEMENT), ("rig_translation_drift_m", "<=", RIG_METRES), ("rig_rotation_drift_deg", "<=", RIG_DEGREES),
-        ("scale_drift", "<=", SCALE_DRIFT), ("camera_parameters_within_bounds", ">=", 1.0),
+    if not all(scale):
+        raise ValueError("no two rigs are apart")
+    audit = manifests.stage_audit(
+        before["cameras"], after["cameras"], "key", stage, policy["fixed_parameter_tolerance"], policy["maximum_focal_relative_change"], policy["maximum_k1_k2_absolute_change"]
+    ).agg(F.count("*").alias("n"), F.count_if(~F.col("passed")).alias("bad")).first()
+    if not audit["n"]:
+        raise ValueError("there are no cameras")
+    gain, change = (old - new) / old, abs(scale[1] / scale[0] - 1)
+    rows = [
+        (float(solved), bool(solved)), (gain, gain >= policy["minimum_reprojection_p50_improvement_fraction"]), (baseline, baseline <= 1),
+        (change, change <= policy["maximum_scale_drift_fraction"]), (float(audit["bad"]), not audit["bad"]),
     ]
-    return gates.evaluated(spark.createDataFrame(metrics, "name string, value double"), thresholds)
+    return spark.createDataFrame([(n, *r) for n, r in zip(BUNDLE_GATES, rows, strict=True)], "name string, value double, passed boolean")
+
+
+def _share(value: float, limit: float) -> float:
+    return value / limit if limit else (0.0 if value == 0 else math.inf)
+
+
+def signed_bundle_report(gated: DataFrame, stage: int, before_hash: str, after_hash: str, **own: float) -> dict:
+    """The gates of bundle_report() as a signed report that says which model is published."""
+    found = {r["name"]: {"status": "PASS" if r["passed"] else "FAIL", "value": r["value"]} for r in gated.collect()}  # five rows
+    accepted = all(g["status"] == "PASS" for g in found.values())
+    report = {
+        "stage": stage, "stage_options": gates.stage_options(stage), "policy": checked_policy(**own), "before_model_sha256": before_hash, "after_model_sha256": after_hash,
+        "gates": found, "candidate_accepted": accepted, "published_model": "after" if accepted else "before",
+    }
+    return scalar.signed(report, "ba_report_sha256")
+
+
+def verify_bundle_report(report: dict) -> None:
+    """Signature, the five gates, and a decision that is what they say."""
+    if set(report.get("gates", {})) != set(BUNDLE_GATES):
+        raise ValueError("gates are missing or unknown")
+    manifests.verify_decision(report, "ba_report_sha256", "candidate_accepted", "published_model", ("after", "before"))
 
 
 def refinement_gates(losses: DataFrame, moves: DataFrame, most_metres: float = 0.25, most_degrees: float = 2.0, gain: float = 0.01, rigs: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:

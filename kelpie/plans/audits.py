@@ -86,16 +86,21 @@ def dense_ids(spark, d):
     return stats.first_seen_ids(table(spark, d, "lineitem"), ["l_suppkey"], "l_orderkey")
 
 
+def _brightness(spark, d):
+    """Lines as pixels of a 60 x 50 image whose brightness falls off with the distance from its middle."""
+    px, py = (F.col("l_suppkey") % 60).cast("double"), F.col("l_quantity").cast("double")
+    far = F.hypot(px - 29.5, py - 25.5)
+    return table(spark, d, "lineitem").select(px.alias("px"), py.alias("py"), F.greatest(220 - far * far / 4 + F.col("l_linenumber"), F.lit(3.0)).alias("v"))
+
+
 def radial_profile(spark, d):
-    pixels = spark.range(0, 64 * 64, 1, 4).select((F.col("id") % 64).alias("px"), F.floor(F.col("id") / 64).alias("py"), (F.col("id") % 97).cast("double").alias("v"))
-    out = stats.radial_profile(pixels, F.col("px"), F.col("py"), "v", 31.5, 31.5)
+    out = stats.radial_profile(_brightness(spark, d), F.col("px"), F.col("py"), "v", 29.5, 25.5)
     return out.select("radius", r6("mean").alias("mean"), "n")
 
 
 def image_circle(spark, d):
-    pixels = spark.range(0, 64 * 64, 1, 4).select((F.col("id") % 64).alias("px"), F.floor(F.col("id") / 64).alias("py"))
-    pixels = pixels.withColumn("v", F.when(F.hypot(F.col("px") - 31.5, F.col("py") - 31.5) < 25, 200.0).otherwise(5.0))
-    return stats.first_dark_radius(stats.radial_profile(pixels, F.col("px"), F.col("py"), "v", 31.5, 31.5), 40.0)
+    """The first radius where an image's mean brightness is under 40."""
+    return stats.first_dark_radius(stats.radial_profile(_brightness(spark, d), F.col("px"), F.col("py"), "v", 29.5, 25.5), 40.0)
 
 
 def calibration_difference(spark, d):
@@ -144,10 +149,20 @@ def completeness(spark, d):
 
 
 def customers_without_orders(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an order of over 200,000: every scale has some."""
+    o = table(spark, d, "orders").filter("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
     return integrity.missing(table(spark, d, "customer"), o, ["c_custkey"]).select("c_custkey")
 
 
+def pair_leaks(spark, d):
+    """Parts and suppliers of lines as match pairs of items; every seventh item is held out, and some have no split."""
+    line = table(spark, d, "lineitem")
+    pairs = line.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 150).alias("b")).filter("a % 3 = 0")
+    split = F.when(F.col("s_suppkey") % 7 == 0, "val").otherwise("train").alias("split")
+    assigned = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), split)
+    return integrity.pair_leaks(pairs, assigned).groupBy("problem").agg(F.count("*").alias("n"), F.count_distinct("item").alias("items"))
+
+
 def duplicate_keys(spark, d):
     return integrity.duplicates(table(spark, d, "lineitem"), ["l_orderkey", "l_suppkey"])
 
@@ -193,8 +208,7 @@ def url_paths(spark, d):
 
 def size_texts(spark, d):
     n = F.col("n_chars") * 37
-    text = F.regexp_replace(scalar.size_text(n), ",", "")
-    return table(spark, d, "documents").select("doc_id", text.alias("size"))
+    return table(spark, d, "documents").select("doc_id", scalar.size_text(n).alias("size"), scalar.size_text(n * n * n).alias("cube"))
 
 
 def colour_bytes(spark, d):
@@ -206,6 +220,8 @@ _NM = "c AS (SELECT c_nationkey, avg(c_acctbal) AS mean, max(c_acctbal) AS top,
 _SSIM = "(2*mx*my + 0.0001::double) * (2*c + 0.0009::double) / ((mx*mx + my*my + 0.0001::double) * (vx + vy + 0.0009::double))"
 _MOM = "avg(l_discount) AS mx, avg(l_tax) AS my, var_pop(l_discount) AS vx, var_pop(l_tax) AS vy, covar_pop(l_discount, l_tax) AS c"
 _AUDIT = "count(*) AS observations, count(*) FILTER (toxic = 1) AS flagged, count(*) FILTER (n_chars >= 5000) AS high, count(*) FILTER (n_chars >= 5000 AND toxic = 1) AS high_flagged, round(quantile_cont(n_chars, 0.5), 6) AS p50, round(quantile_cont(n_chars, 0.95), 6) AS p95, max(n_chars)::double AS max"
+_SIZE = " ".join(f"CASE WHEN {{n}} < {1024 ** (i + 1)} THEN printf('%.1f{u}', {{n}} / {1024**i}::double) ELSE" for i, u in enumerate(("B", "KB", "MB", "GB"))) + f" printf('%.1fTB', {{n}} / {1024**4}::double) END END END END"
+_BRIGHT = """f AS (SELECT l_linenumber, sqrt(pow((l_suppkey % 60) - 29.5::double, 2) + pow(l_quantity::double - 25.5::double, 2)) AS far FROM lineitem), v AS (SELECT far, greatest(220 - far * far / 4 + l_linenumber, 3.0::double) AS v FROM f)"""
 SQL = {
     "length_distribution": "SELECT lang, count(n_chars) AS n, min(n_chars)::double AS min, round(quantile_cont(n_chars, 0.5), 6) AS p50, round(quantile_cont(n_chars, 0.95), 6) AS p95, max(n_chars)::double AS max FROM documents GROUP BY lang",
     "price_summary": "WITH v AS (SELECT l_returnflag, l_linenumber, CASE WHEN l_linenumber <> 7 THEN l_extendedprice END AS f FROM lineitem) SELECT l_returnflag, count(*) AS n, count(f) AS finite_count, count(*) - count(f) AS infinite_count, round(quantile_cont(f, 0.5), 6) AS p50, round(quantile_cont(f, 0.95), 6) AS p95, min(f) AS min, max(f) AS max FROM v GROUP BY 1",
@@ -221,15 +237,19 @@ SQL = {
     "residual_audit": f"WITH o AS (SELECT * FROM documents JOIN labels USING (doc_id)), a AS (SELECT source, grouping(source) AS t, {_AUDIT} FROM o GROUP BY GROUPING SETS ((source), ())) SELECT source, observations, flagged, high, high_flagged, p50, p95, max, round(CASE WHEN high = 0 THEN 0 ELSE high_flagged / high END, 6) AS overlap_fraction, CASE WHEN t = 0 THEN NULL WHEN high < 20 THEN 'INSUFFICIENT_HIGH_RESIDUAL_OBSERVATIONS' WHEN high_flagged / high >= 0.3 THEN 'RERUN_MASKED_BA_RECOMMENDED' ELSE 'RETAIN_CURRENT_BA' END AS decision FROM a",
     "ordered_digest": "SELECT lang, sha256(string_agg(doc_id::varchar || chr(0) || sha256(text) || chr(10), '' ORDER BY doc_id::varchar)) AS digest, count(*) AS n FROM documents GROUP BY lang",
     "dense_ids": "WITH f AS (SELECT l_suppkey, min(l_orderkey) AS first_seen FROM lineitem GROUP BY 1) SELECT *, row_number() OVER (ORDER BY first_seen, l_suppkey) - 1 AS dense_id FROM f",
-    "radial_profile": "SELECT floor(sqrt(pow(i % 64 - 31.5::double, 2) + pow(i // 64 - 31.5::double, 2)))::int AS radius, round(avg((i % 97)::double), 6) AS mean, count(*) AS n FROM range(4096) t(i) GROUP BY 1",
-    "image_circle": "SELECT min(radius) AS radius FROM (SELECT floor(r)::int AS radius, avg(CASE WHEN r < 25 THEN 200.0 ELSE 5.0 END) AS mean FROM (SELECT sqrt(pow(i % 64 - 31.5::double, 2) + pow(i // 64 - 31.5::double, 2)) AS r FROM range(4096) t(i)) GROUP BY 1) WHERE mean < 40",
+    "radial_profile": f"WITH {_BRIGHT} SELECT floor(far)::int AS radius, round(avg(v), 6) AS mean, count(*) AS n FROM v GROUP BY 1",
+    "image_circle": f"WITH {_BRIGHT}, m AS (SELECT floor(far)::int AS radius, avg(v) AS mean FROM v GROUP BY 1) SELECT min(radius) AS radius FROM m WHERE mean < 40",
     "calibration_difference": "WITH a AS (SELECT c_nationkey AS k, round(avg(c_acctbal), 2) AS mean, max(c_acctbal) AS top FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS k, round(avg(s_acctbal), 2) AS mean, max(s_acctbal) AS top FROM supplier GROUP BY 1), d AS (SELECT k, a.mean - b.mean AS dm, a.top - b.top AS dt FROM a JOIN b USING (k)) SELECT k, unnest(['mean', 'top']) AS name, round(unnest([dm, dt]), 2) AS difference, round(greatest(abs(dm), abs(dt)), 2) AS max_abs FROM d",
     "gate_results": f"WITH {_NM} SELECT c_nationkey, name, round(value, 6) AS value, operator, threshold, passed FROM e",
     "gate_status": f"WITH {_NM} SELECT c_nationkey, bool_and(passed) AS all_passed, coalesce(string_agg(name, ',' ORDER BY name) FILTER (NOT passed), '') AS failed, CASE WHEN bool_and(passed) THEN 'PASS' ELSE 'FAIL' END AS status FROM e GROUP BY 1",
     "acceptance": f"WITH {_NM} SELECT c_nationkey, bool_and(passed) AS accepted, CASE WHEN bool_and(passed) THEN 'after' ELSE 'before' END AS published FROM e GROUP BY 1",
     "before_and_after": "WITH y AS (SELECT *, year(o_orderdate) AS y FROM orders), s AS (SELECT o_orderpriority, quantile_cont(o_totalprice, 0.5) FILTER (y = (SELECT min(y) FROM y)) AS b, quantile_cont(o_totalprice, 0.5) FILTER (y = (SELECT max(y) FROM y)) AS a FROM y GROUP BY 1) SELECT o_orderpriority, round(b, 4) AS before, round(a, 4) AS after, round((b - a) / b, 6) AS improvement FROM s",
     "completeness": "SELECT d.doc_id, ((quality IS NULL)::int + (toxic IS NULL)::int) AS warnings, CASE WHEN quality IS NULL OR toxic IS NULL THEN 'PARTIAL' ELSE 'COMPLETE' END AS status FROM documents d LEFT JOIN labels USING (doc_id)",
-    "customers_without_orders": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "customers_without_orders": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)",
+    "pair_leaks": """WITH p AS (SELECT l_suppkey AS a, l_partkey % 150 AS b FROM lineitem WHERE l_suppkey % 3 = 0), s AS (SELECT s_suppkey AS k, s_suppkey % 7 = 0 AS held FROM supplier),
+u AS (SELECT a AS i FROM p UNION SELECT b FROM p), r AS (SELECT 'not_canonical' AS problem, a AS item FROM p WHERE a >= b UNION ALL SELECT 'repeated_pair', a FROM (SELECT a, b FROM p GROUP BY ALL HAVING count(*) > 1)
+UNION ALL SELECT 'unknown_item', i FROM u WHERE i NOT IN (SELECT k FROM s) UNION ALL SELECT 'leaks', i FROM u JOIN s ON i = k WHERE held UNION ALL SELECT 'unpaired', k FROM s WHERE NOT held AND k NOT IN (SELECT i FROM u))
+SELECT problem, count(*) AS n, count(DISTINCT item) AS items FROM r GROUP BY problem""",
     "duplicate_keys": "SELECT l_orderkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "key_set_difference": "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'left' ELSE 'right' END AS side FROM documents d FULL JOIN labels l USING (doc_id) WHERE d.doc_id IS NULL OR l.doc_id IS NULL",
     "key_overlap": "SELECT c_nationkey AS k FROM customer WHERE c_acctbal < 0 INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal < 0",
@@ -238,12 +258,12 @@ SQL = {
     "split_violations": "WITH e AS (SELECT DISTINCT user_id, CASE WHEN event_id % 10 = 0 THEN 'val' WHEN event_id % 97 = 0 THEN 'odd' ELSE 'train' END AS split FROM events) SELECT user_id, 'several_splits' AS problem FROM e GROUP BY 1 HAVING count(DISTINCT split) > 1 UNION ALL SELECT user_id, 'unknown_split' FROM e WHERE split = 'odd' UNION ALL SELECT DISTINCT user_id, 'golden_not_val' FROM e WHERE user_id < 20 AND user_id NOT IN (SELECT user_id FROM e WHERE split = 'val')",
     "merged_reasons": "SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), '+') AS reasons FROM events WHERE event_type IN ('click', 'view', 'error') GROUP BY 1",
     "url_paths": r"WITH p AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(url, '^https?://[^/]+/', ''), '/{2,}', '/', 'g'), '^(\./)+', '') AS p FROM pages) SELECT page_id, CASE WHEN p = '' OR regexp_matches(p, '(^|/)\.\.(/|$)') OR regexp_matches(p, '^(/|[A-Za-z]:)') THEN NULL ELSE p END AS path, 'page_' || substr(sha256(page_id::varchar || chr(0) || url), 1, 24) AS stable_id FROM p",
-    "size_texts": "WITH s AS (SELECT doc_id, n_chars * 37 AS n FROM documents) SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN round_even(n / 1024.0::double, 1) || ' KB' WHEN n < 1073741824 THEN round_even(n / 1048576.0::double, 1) || ' MB' ELSE round_even(n / 1073741824.0::double, 1) || ' GB' END AS size FROM s",
+    "size_texts": f"WITH s AS (SELECT doc_id, n_chars * 37 AS n FROM documents) SELECT doc_id, {_SIZE.format(n='n')} AS size, {_SIZE.format(n='(n * n * n)')} AS cube FROM s",
     "colour_bytes": "SELECT CASE WHEN l_linenumber < 7 THEN greatest(0, least(255, round_even((floor(l_extendedprice)::bigint % 65536) / 257.0::double, 0)))::int ELSE 180 END AS v, count(*) AS n FROM lineitem GROUP BY 1",
 }
 QUERIES = [
     length_distribution, price_summary, quantity_histogram, histogram_quantile, robust_limits, axis_spread, black_fraction, masked_images,
     image_similarity, depth_errors, training_loss, residual_audit, ordered_digest, dense_ids, radial_profile, image_circle, calibration_difference,
-    gate_results, gate_status, acceptance, before_and_after, completeness, customers_without_orders, duplicate_keys, key_set_difference, key_overlap,
+    gate_results, gate_status, acceptance, before_and_after, completeness, customers_without_orders, pair_leaks, duplicate_keys, key_set_difference, key_overlap,
     orphans, incomplete_turns, split_violations, merged_reasons, url_paths, size_texts, colour_bytes,
 ]

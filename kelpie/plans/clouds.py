@@ -43,12 +43,11 @@ def voxel_coverage(spark, d):
 
 
 def voxel_search(spark, d):
-    """The search's verdict on its size, each cell counted once more: within the target, and no worse than the tolerance."""
+    """The cells of the first ladder of sizes, by size; the one that is chosen is the finest with at most 200."""
     p = points(spark, d)
-    size, _ = voxel.search_size(p, 200)
-    b = p.agg(*[F.min(a).alias(a) for a in "xyz"]).first()
-    cells = voxel.occupied(p, size, [b[a] for a in "xyz"])
-    return spark.createDataFrame([(200, cells <= 200, cells >= 180)], "target int, within boolean, near boolean")
+    _, counted = voxel.search_size(p, 200, jobs=1)
+    chosen = max(n for _, n in counted if n <= 200)
+    return spark.createDataFrame([(float(f"{s:.9g}"), n, n == chosen) for s, n in counted[1:]], "size double, cells bigint, chosen boolean").select(r6("size").alias("size"), "cells", "chosen")
 
 
 def point_bounds(spark, d):
@@ -61,19 +60,24 @@ def fisheye_projection(spark, d):
     return p.select("idx", r6("p.u").alias("u"), r6("p.v").alias("v"), r6("p.range").alias("distance"), (F.col("p.valid") & inside).alias("visible"))
 
 
+def _pixels(spark, d):
+    """Embeddings as pixels of a 64 x 64 image."""
+    return points(spark, d).select("idx", (F.col("x") * 60 + 31.5).alias("u"), (F.col("y") * 60 + 31.5).alias("v"))
+
+
 def fisheye_round_trip(spark, d):
-    """Pixels unprojected and projected again: the largest error is about 0."""
-    grid = spark.range(0, 64, 1, 4).select((F.col("id") % 8 * 8).cast("double").alias("u"), (F.floor(F.col("id") / 8) * 8).cast("double").alias("v"))
-    ray = grid.withColumn("r", geometry.unproject(F.col("u"), F.col("v"), FOCAL, CENTRE, K4))
+    """The rays of pixels, whose angle the twin finds by halving, and the pixels they project to."""
+    ray = _pixels(spark, d).withColumn("r", geometry.unproject(F.col("u"), F.col("v"), FOCAL, CENTRE, K4))
     back = ray.withColumn("p", geometry.project(F.col("r.x"), F.col("r.y"), F.col("r.z"), FOCAL, CENTRE, K4, (0.0, 2.0), math.pi))
-    return back.select("u", "v", (F.hypot(F.col("p.u") - F.col("u"), F.col("p.v") - F.col("v")) < 1e-6).alias("exact"))
+    return back.select("idx", *[r6(f"r.{a}").alias(a) for a in "xyz"], r6("p.u").alias("u"), r6("p.v").alias("v"))
 
 
 def fisheye_mask(spark, d):
-    """Rows of pixels in the image circle of 75 degrees: how many of each."""
-    grid = spark.range(0, 64 * 64, 1, 4).select((F.col("id") % 64).alias("px"), F.floor(F.col("id") / 64).alias("py"))
-    on = geometry.in_fisheye_circle(F.col("px"), F.col("py"), FOCAL, CENTRE, K4, math.radians(75))
-    return grid.filter(on).groupBy("py").agg(F.count("*").alias("n"), F.min("px").alias("first"), F.max("px").alias("last"))
+    """Lines as pixels: by row, how many lie in the image circle of 50 degrees, and its radius in pixels."""
+    line = table(spark, d, "lineitem").select((F.col("l_suppkey") % 64).alias("px"), F.floor("l_quantity").alias("py"))
+    on = geometry.in_fisheye_circle(F.col("px"), F.col("py"), FOCAL, CENTRE, K4, math.radians(50))
+    radius = geometry.radius_px(FOCAL, K4, F.lit(math.radians(50)))
+    return line.filter(on).groupBy("py").agg(F.count("*").alias("n"), F.min("px").alias("first"), F.max("px").alias("last")).withColumn("radius", r6(radius))
 
 
 def _poses(spark, d):
@@ -198,7 +202,10 @@ g AS (SELECT least(a, b) AS a, greatest(a, b) AS b, array_to_string(list_sort(li
 _NEAR = f"n AS (SELECT a.idx AS q_id, b.*, row_number() OVER (PARTITION BY a.idx ORDER BY {_DIST}, b.idx) AS rank FROM pts a, pts b)"
 
 SQL = {
-    "voxel_search": "SELECT 200::int AS target, true AS within, true AS near",
+    "voxel_search": f"""WITH {POINTS}, b AS (SELECT min(x) AS x0, min(y) AS y0, min(z) AS z0, 2 * greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS top FROM pts),
+r AS (SELECT top * pow(1.0::double / 402, i / 9.0::double) AS size, i FROM b, range(1, 9) t(i)),
+c AS (SELECT size, count(DISTINCT (floor((x - x0) / size), floor((y - y0) / size), floor((z - z0) / size))) AS cells FROM pts, b, r GROUP BY size)
+SELECT round(size, 6) AS size, cells, cells = max(CASE WHEN cells <= 200 THEN cells END) OVER () AS chosen FROM c""",
     "voxel_representative": f"WITH {POINTS}, {_KEYS}, s AS (SELECT *, {_D2} AS score FROM k) SELECT kx, ky, kz, arg_min(idx, row(score, idx)) AS idx, round(min(score), 6) AS score, round(arg_min(x, row(score, idx)), 6) AS x, count(*) AS n_points FROM s GROUP BY kx, ky, kz",
     "voxel_boundary": f"WITH {POINTS}, {_KEYS}, s AS (SELECT *, CASE WHEN {_EDGE} THEN -({_D2}) ELSE {_D2} END AS score FROM k) SELECT kx, ky, kz, arg_min(idx, row(score, idx)) AS idx, round(min(score), 6) AS score, count(*) AS n_points FROM s GROUP BY kx, ky, kz",
     "voxel_merge": f"WITH {POINTS}, {_KEYS}, s AS (SELECT *, {_D2} AS score FROM k) SELECT kx, ky, kz, arg_min(idx, row(score, idx)) AS idx, round(min(score), 6) AS score, count(*) AS n_points FROM s GROUP BY kx, ky, kz",
@@ -207,8 +214,11 @@ SQL = {
     "fisheye_projection": f"""WITH {POINTS}, c AS (SELECT idx, x, y, abs(z) + 0.05::double AS z, sqrt(x*x + y*y) AS radial FROM pts), t AS (SELECT *, atan2(radial, z) AS theta, sqrt(x*x + y*y + z*z) AS rng FROM c),
 s AS (SELECT *, CASE WHEN radial > 1e-12 THEN ({_TD}) / radial ELSE 0 END AS scale FROM t), u AS (SELECT *, 20 * x * scale + 31.5::double AS u, 20 * y * scale + 31.5::double AS v FROM s)
 SELECT idx, round(u, 6) AS u, round(v, 6) AS v, round(rng, 6) AS distance, rng >= 0.05::double AND rng <= 60 AND theta <= 1.5::double AND u >= 0 AND u < 64 AND v >= 0 AND v < 64 AS visible FROM u""",
-    "fisheye_round_trip": "SELECT (i % 8 * 8)::double AS u, (i // 8 * 8)::double AS v, true AS exact FROM range(64) t(i)",
-    "fisheye_mask": f"WITH g AS (SELECT i % 64 AS px, i // 64 AS py, {math.radians(75)}::double AS theta FROM range(4096) t(i)) SELECT py, count(*) AS n, min(px) AS first, max(px) AS last FROM g WHERE sqrt(pow((px - 31.5::double) / 20, 2) + pow((py - 31.5::double) / 20, 2)) <= {_TD} GROUP BY py",
+    "fisheye_round_trip": f"""WITH RECURSIVE {POINTS}, p AS (SELECT idx, x * 60 + 31.5::double AS u, y * 60 + 31.5::double AS v FROM pts), m AS (SELECT *, (u - 31.5::double) / 20 AS mx, (v - 31.5::double) / 20 AS my FROM p),
+h AS (SELECT idx, u, v, mx, my, sqrt(mx*mx + my*my) AS rd, 0.0::double AS lo, pi() AS hi, 0 AS i FROM m
+  UNION ALL SELECT idx, u, v, mx, my, rd, CASE WHEN td < rd THEN theta ELSE lo END, CASE WHEN td < rd THEN hi ELSE theta END, i + 1 FROM (SELECT *, {_TD} AS td FROM (SELECT *, (lo + hi) / 2 AS theta FROM h WHERE i < 60)))
+SELECT idx, round(mx * sin(lo) / rd, 6) AS x, round(my * sin(lo) / rd, 6) AS y, round(cos(lo), 6) AS z, round(u, 6) AS u, round(v, 6) AS v FROM h WHERE i = 60""",
+    "fisheye_mask": f"WITH g AS (SELECT l_suppkey % 64 AS px, floor(l_quantity)::bigint AS py, {math.radians(50)}::double AS theta FROM lineitem) SELECT py, count(*) AS n, min(px) AS first, max(px) AS last, round(any_value(20 * ({_TD})), 6) AS radius FROM g WHERE sqrt(pow((px - 31.5::double) / 20, 2) + pow((py - 31.5::double) / 20, 2)) <= {_TD} GROUP BY py",
     "pose_round_trip": """WITH q AS (SELECT vec_id, embedding[1]::double AS x, embedding[2]::double AS y, embedding[3]::double AS z, embedding[4]::double AS w FROM embeddings), n AS (SELECT *, sqrt(x*x + y*y + z*z + w*w) AS n FROM q)
 SELECT vec_id, true AS same, true AS rigid, true AS inverse_twice, round(1 - 2 * (y*y + z*z) / (n*n), 6) AS m00, round(-2 * (x*y - z*w) / (n*n), 6) AS cv01 FROM n""",
     "rotation_between": """WITH q AS (SELECT vec_id, embedding[1]::double AS x, embedding[2]::double AS y, embedding[3]::double AS z, embedding[4]::double AS w FROM embeddings), u AS (SELECT vec_id, x/n AS x, y/n AS y, z/n AS z, w/n AS w FROM (SELECT *, sqrt(x*x + y*y + z*z + w*w) AS n FROM q)),
