@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..operators import gates, images, joins, poses, reports, stats, windows
+from ..operators import gates, images, joins, poses, reports, segment, stats, windows
 from .tables import POINTS, TIMED, points, table, timed
 
 r6 = lambda c: F.round(c, 6)
@@ -225,3 +225,25 @@ w AS (SELECT *, concat_ws('+', CASE WHEN pt > 0.01::double THEN 'pair_translatio
 SELECT vec_id, round(moved, 8) AS moved, round(turned, 6) AS turned, reasons, reasons = '' AS accepted FROM w""",
 }
 QUERIES += [filtered_anchors, mean_poses]
+
+
+class Brighter:
+    """A segmenter: the pixels of half brightness and more for sure, the others perhaps."""
+
+    def segment(self, image):
+        return [{"mask": image >= 0.5, "score": 0.9}, {"mask": (image > 0) & (image < 0.5), "score": 0.3, "box": [0, 0, 8, 51]}]
+
+
+def segmented_pixels(spark, d):
+    """lineitem as grey images, a segmenter in tasks, thresholds and union, grown by 1."""
+    grids = segment.grids(_instances(spark, d), "image", "value", 8, 51)
+    out = segment.segmented(grids, Brighter, 0.65, 0.5, 8, 51, 1)
+    return out.groupBy("image").agg(F.count("*").alias("pixels"), F.sum("px").alias("sum_px"), F.sum("py").alias("sum_py"))
+
+
+SQL |= {
+    "segmented_pixels": f"""WITH {_INSTANCES}, m AS (SELECT image, px, py FROM px WHERE px < 8 AND py < 51 GROUP BY ALL HAVING max(value)::float >= 0.5),
+g AS (SELECT DISTINCT image, px + dx AS px, py + dy AS py FROM m, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) s(dx, dy) WHERE px + dx BETWEEN 0 AND 7 AND py + dy BETWEEN 0 AND 50)
+SELECT image, count(*) AS pixels, sum(px)::bigint AS sum_px, sum(py)::bigint AS sum_py FROM g GROUP BY image""",
+}
+QUERIES += [segmented_pixels]
