@@ -66,11 +66,11 @@ def _transform(r: Column, t: Column) -> Column:
 
 
 def rotation_of(m: Column) -> Column:
-    return F.array(*[F.element_at(m, i) for i in (1, 2, 3, 5, 6, 7, 9, 10, 11)])
+    return let(m, lambda m: F.array(*[F.element_at(m, i) for i in (1, 2, 3, 5, 6, 7, 9, 10, 11)]))
 
 
 def translation_of(m: Column) -> Column:
-    return F.array(*[F.element_at(m, i) for i in (4, 8, 12)])
+    return let(m, lambda m: F.array(*[F.element_at(m, i) for i in (4, 8, 12)]))
 
 
 def times(a: Column, b: Column) -> Column:
@@ -102,9 +102,8 @@ def inverse(m: Column) -> Column:
 
 
 def _inverse(m: Column) -> Column:
-    r = transposed(rotation_of(m))
-    t = applied(r, translation_of(m))
-    return transform(r, F.array(*[-F.element_at(t, i) for i in (1, 2, 3)]))
+    back = lambda r: let(applied(r, translation_of(m)), lambda t: transform(r, F.array(*[-F.element_at(t, i) for i in (1, 2, 3)])))
+    return let(transposed(rotation_of(m)), back)
 
 
 def composed(a: Column, b: Column) -> Column:
@@ -189,12 +188,20 @@ def mean_quaternion(a: Column, b: Column) -> Column:
 
 def axis_angle_rotation(v: Column) -> Column:
     """Rodrigues' formula, with the series near 0."""
-    x, y, z = (F.element_at(v, i) for i in (1, 2, 3))
-    a2 = x * x + y * y + z * z
-    a = F.sqrt(a2)
+    return let(v, lambda v: let(F.sqrt(sum((F.element_at(v, i) * F.element_at(v, i) for i in (2, 3)), F.element_at(v, 1) * F.element_at(v, 1))), lambda a: let(_sines(a), lambda k: _turned(v, k))))
+
+
+def _sines(a: Column) -> Column:
+    """sin(a) / a and (1 - cos(a)) / a^2."""
     small = a < 1e-6
-    s = F.when(small, 1 - a2 / 6).otherwise(F.sin(a) / a)
-    c = F.when(small, 0.5 - a2 / 24).otherwise((1 - F.cos(a)) / a2)
+    s = F.when(small, 1 - a * a / 6).otherwise(F.sin(a) / a)
+    c = F.when(small, 0.5 - a * a / 24).otherwise((1 - F.cos(a)) / (a * a))
+    return F.struct(s.alias("s"), c.alias("c"))
+
+
+def _turned(v: Column, k: Column) -> Column:
+    x, y, z = (F.element_at(v, i) for i in (1, 2, 3))
+    s, c = k["s"], k["c"]
     return F.array(
         1 - c * (y * y + z * z), c * x * y - s * z, c * x * z + s * y,
         c * x * y + s * z, 1 - c * (x * x + z * z), c * y * z - s * x,
@@ -204,15 +211,13 @@ def axis_angle_rotation(v: Column) -> Column:
 
 def about_pivot(v: Column, t: Column, pivot: Column) -> Column:
     """The transform that turns by axis-angle v about pivot and moves by t."""
-    r = axis_angle_rotation(v)
-    turned = applied(r, pivot)
-    return transform(r, F.array(*[F.element_at(pivot, i) - F.element_at(turned, i) + F.element_at(t, i) for i in (1, 2, 3)]))
+    moved = lambda turned: F.array(*[F.element_at(pivot, i) - F.element_at(turned, i) + F.element_at(t, i) for i in (1, 2, 3)])
+    return let(axis_angle_rotation(v), lambda r: let(applied(r, pivot), lambda turned: transform(r, moved(turned))))
 
 
 def to_camera(p: Column, m: Column) -> Column:
     """World point -> camera coordinates, by a camera-to-world pose."""
-    d = F.array(*[F.element_at(p, i) - F.element_at(translation_of(m), i) for i in (1, 2, 3)])
-    return applied(transposed(rotation_of(m)), d)
+    return let(m, lambda m: applied(transposed(rotation_of(m)), F.array(*[F.element_at(p, i) - F.element_at(translation_of(m), i) for i in (1, 2, 3)])))
 
 
 # --- fisheye -----------------------------------------------------------------------------------------------------------

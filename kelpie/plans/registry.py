@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audits, cameras, clouds, files, records, scenes, series
+from . import audits, cameras, captures, clouds, files, records, scenes, series
 
-MODULES = [clouds, series, audits, scenes, records, files, cameras]
+MODULES = [clouds, series, audits, scenes, records, files, cameras, captures]
 
 
 def queries() -> dict:

@@ -25,7 +25,7 @@ def model_tables(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = windows.numbered(frames, ["path"], "image_id").withColumn("image_id", F.col("image_id") + 1)
     ids = stats.first_seen_ids(placed, INTRINSICS, "image_id", "camera_id").withColumn("camera_id", F.col("camera_id") + 1)
     seen = [placed[c].eqNullSafe(ids[c]) for c in INTRINSICS]
-    w = geometry.inverse(F.col("m"))
+    placed, w = placed.withColumn("__inverse", geometry.inverse(F.col("m"))), F.col("__inverse")
     q = geometry.rotation_to_quaternion(geometry.rotation_of(w))
     posed = placed.join(ids, seen).select("image_id", "camera_id", F.replace("path", F.lit("/"), F.lit("_")).alias("name"), q.alias("q"), geometry.translation_of(w).alias("t"))
     images = posed.select("image_id", *[F.col("q")[k].alias(f"q{k}") for k in "wxyz"], *[F.col("t")[i].alias(n) for i, n in enumerate(("tx", "ty", "tz"))], "camera_id", "name")
