@@ -34,9 +34,9 @@ def tolerance_pairs(left: DataFrame, right: DataFrame, tolerance: int, by: Seque
     from .scratch import written
 
     rank = ["dt", "l_t", "r_t", "l_id", "r_id"]
+    found = tolerance_candidates(left, right, tolerance, by).withColumn("dt", F.abs(F.col("l_t") - F.col("r_t")))
     chains = _chains(left, right, tolerance, by).withColumnRenamed("t", "l_t")
-    found = tolerance_candidates(left, right, tolerance, by).withColumn("dt", F.abs(F.col("l_t") - F.col("r_t"))).join(chains, [*by, "l_t"])
-    found = written(found.select(*by, "l_id", "r_id", "l_t", "r_t", "dt", "chain"), "tolerance-candidates")
+    found = written(found.join(chains, [*by, "l_t"]).select(*by, "l_id", "r_id", "l_t", "r_t", "dt", "chain"), "tolerance-candidates")
     long = found.groupBy("chain").count().filter(F.col("count") > chain).select("chain")
     out = [*by, "l_id", "r_id", "l_t", "r_t", "dt"]
 
