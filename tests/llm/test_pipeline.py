@@ -36,16 +36,17 @@ def test_pipeline(spark, tmp_path):
 
 def test_queries_are_complete():
     names = queries.queries()
-    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11)) and set(queries.oracle_sql()) <= set(names)
+    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 14)) and set(queries.oracle_sql()) <= set(names)
 
 
-@pytest.mark.parametrize("name", ["op3_host_quality", "op5_bloom_exact_dedup", "op6_fair_queue_mix"])
+@pytest.mark.parametrize("name", ["op3_host_quality", "op5_bloom_exact_dedup", "op6_fair_queue_mix", "op12_word_id_importance"])
 def test_sql_twins(spark, name):
     import duckdb
 
     d = "/root/testdata/sf0.001"
     c = duckdb.connect()
-    c.execute(f"create view documents as select * from '{d}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        c.execute(f"create view {table} as select * from '{d}/{table}.parquet'")
     want = c.sql(queries.oracle_sql()[name])
     got = queries.queries()[name](spark, d)
     cols = sorted(got.columns)
