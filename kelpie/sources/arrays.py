@@ -20,22 +20,28 @@ from .staged import files_below, opened
 
 #: The arrays of a sparse depth file and their types.
 SPARSE = {"shape": "<i4", "pixel_index": "<i4", "range_m": "<f4", "confidence": "<f4", "source_index": "<i8", "support_count": "<i4"}
+#: What an archive's members say of their time, system and rights, and how hard they are compressed.
+MEMBER_TIME, MEMBER_SYSTEM, MEMBER_RIGHTS, MEMBER_LEVEL = (1980, 1, 1, 0, 0, 0), 3, 0o600, 6
 #: Bytes of files that one task reads.
 TASK_BYTES = 64 << 20
 
 
+def _npy(array: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.save(out, np.ascontiguousarray(array), allow_pickle=False)
+    return out.getvalue()
+
+
 def npz_bytes(arrays: Mapping[str, np.ndarray]) -> bytes:
     """A compressed archive with members by name, without times, so equal arrays are equal bytes."""
+    if odd := [n for n in arrays if not n or "/" in n or "\\" in n]:
+        raise ValueError(f"unsafe array name: {odd[0]!r}")
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=6) as z:
-        for name in sorted(arrays):
-            if not name or "/" in name or "\\" in name:
-                raise ValueError(f"unsafe array name: {name!r}")
-            info = zipfile.ZipInfo(f"{name}.npy", (1980, 1, 1, 0, 0, 0))
-            info.compress_type, info.create_system, info.external_attr = zipfile.ZIP_DEFLATED, 3, 0o600 << 16
-            member = io.BytesIO()
-            np.lib.format.write_array(member, np.ascontiguousarray(arrays[name]), allow_pickle=False)
-            z.writestr(info, member.getvalue(), zipfile.ZIP_DEFLATED, 6)
+    with zipfile.ZipFile(out, "w") as z:
+        for name, array in sorted(arrays.items()):
+            member = zipfile.ZipInfo(name + ".npy", MEMBER_TIME)
+            member.create_system, member.external_attr = MEMBER_SYSTEM, MEMBER_RIGHTS << 16
+            z.writestr(member, _npy(array), zipfile.ZIP_DEFLATED, MEMBER_LEVEL)
     return out.getvalue()
 
 
