@@ -348,6 +348,31 @@ def test_near_large_groups(spark, monkeypatch):
     same = np.array([got[i] == got[j] for i, j in zip(a.tolist(), b.tolist())])
     assert len(a) > 1000 and same.mean() > 0.97
     assert all(len({want[i] for i in got if got[i] == c}) == 1 for c in set(got.values()))
+    # In pairs of blocks none is lost.
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs, exact=True).collect()}
+    assert all(got[i] == got[j] for i, j in zip(a.tolist(), b.tolist(), strict=True))
+
+
+def test_near_groups_of_many_bytes(spark, monkeypatch):
+    """A group that is large by its bytes alone is compared whole, in blocks."""
+    monkeypatch.setattr(near_dedup, "WINDOW_BYTES", 4000)
+    monkeypatch.setattr(near_dedup, "PASSES", 1)  # so nothing else puts it into blocks
+    rng = random.Random(13)
+    rows = []
+    for g in range(3):
+        base = sentence(rng, 700).split()
+        for i in range(14):
+            w = list(base)
+            for k in rng.sample(range(700), rng.randrange(0, 15)):
+                w[k] = "edit%d" % rng.randrange(99999)
+            rows.append((100 * g + i, " ".join(w), "a"))
+    docs = make(spark, rows)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()}
+    idf = near_dedup.document_frequencies(docs.select("text"))
+    sim = near_dedup.similarities(*near_dedup.shingles([t.encode() for _, t, _ in rows], idf))
+    ids = np.array([i for i, _, _ in rows])
+    want = ids[near_dedup.classes_of(sim >= near_dedup.THRESHOLD - near_dedup.ROUNDING)]
+    assert len(set(want.tolist())) < 12 and got == dict(zip(ids.tolist(), want.tolist(), strict=True))
 
 
 def test_consistent_samples():
