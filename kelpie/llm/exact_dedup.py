@@ -1,10 +1,11 @@
 """Exact duplicates by two-pass Bloom filtering, in DataFrame functions only.
 
-Pass 1 turns the hash of each normalised text into a slot of a bit array (or K slots), counts the rows of each slot (partial
-sums first; only slot numbers move, never a text), and sets the bits of slots that two or more rows hit. Pass 2 looks each
-row's slot up: a row with a slot that only it hit cannot have a copy and passes straight through; the others, the
+Pass 1 turns the hash of each normalised text into K slots of a bit array, counts the rows of each slot (partial sums first;
+only slot numbers move, never a text, a hash or an id), and sets the bits of slots that two or more rows hit. Pass 2 looks
+each row's slots up: a row with a slot that only it hit cannot have a copy and passes straight through; the others, the
 possibly repeated ones, shuffle by SHA-256, which decides. A filter is broadcast, so it is bounded by MAX_BITS; where more
-rows come, the hashes are cut into ranges, and each range has a filter of its own, one after another.
+rows come, the hashes are cut into ranges, and each range has a filter of its own. A range's rows are written with the
+filter's verdict, and the filter deleted, before the next range's is made, so no two filters stand together.
 
 Defined results. Texts: null counts as empty, so null and empty texts are copies of one another. Of equal texts the
 row with the largest doc_id stays; a null doc_id is smaller than any other; among rows with equal text and equal doc_id
@@ -95,13 +96,19 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, bits_per_row: int, k: i
     sig = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), h.alias("h"), _sha_of(F.col(text_col)).alias("text_sha256"))
     if ranges > 1:
         sig = sig.withColumn("in_range", F.pmod(F.xxhash64("h", F.lit(11)), F.lit(ranges)))
-    sig, flagged = common.written(sig, "exact-signatures", ["in_range"] if ranges > 1 else []), None
+    sig = common.written(sig, "exact-signatures", ["in_range"] if ranges > 1 else [])
+    path = common.scratch_path(docs.sparkSession, "exact-flagged")
     for i in range(ranges):
         own = sig.filter(F.col("in_range") == i).drop("in_range") if ranges > 1 else sig
         bits = filter_bits(n // ranges, bits_per_row, max_bits)
         bitmaps = common.written(repeated_slots(own.select("h"), bits, k), "exact-bitmaps")
-        own = possibly_repeated(own, "h", bitmaps, bits, k, "maybe")
-        flagged = own if flagged is None else flagged.unionByName(own)
+        flagged = possibly_repeated(own, "h", bitmaps, bits, k, "maybe")
+        if ranges > 1:
+            flagged.write.mode("append").parquet(path)
+            common.forget(bitmaps)
+            flagged = docs.sparkSession.read.schema(flagged.schema).parquet(path)
+    if ranges > 1:
+        common.forget(sig)
     maybe = flagged.filter("maybe").select("doc_id", "row_no", "text_sha256", "h")
     # Written: a join of two plain exchanges is one that adaptive execution can split where a group is hot.
     groups = common.written(
@@ -124,12 +131,12 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, bits_per_row: int, k: i
     return alone.unionByName(judged)
 
 
-def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = BITS_PER_ROW, k: int = 1, max_bits: int = MAX_BITS) -> DataFrame:
+def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = BITS_PER_ROW, k: int = 2, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
     return _judged(docs, id_col, text_col, bits_per_row, k, max_bits).drop("h")
 
 
-def filtered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = BITS_PER_ROW, k: int = 1, max_bits: int = MAX_BITS) -> DataFrame:
+def filtered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = BITS_PER_ROW, k: int = 2, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows that stay, with all their columns. Texts without a copy don't shuffle."""
     judged = _judged(docs, id_col, text_col, bits_per_row, k, max_bits)
     repeated = common.written(judged.filter("group_size > 1 and kept").select("h", "doc_id", "text_sha256"), "exact-repeated")

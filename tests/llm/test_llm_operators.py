@@ -61,8 +61,11 @@ def test_exact(spark, docs):
     # Small filters, in ranges, change nothing.
     assert exact_dedup.filter_bits(10**9, 16, 1 << 20) == 1 << 20
     key = lambda rows: sorted(map(str, rows))
-    assert key(exact_dedup.decisions(docs, max_bits=1 << 10).collect()) == key(exact_dedup.decisions(docs, k=2).collect())
+    assert key(exact_dedup.decisions(docs, max_bits=1 << 10).collect()) == key(exact_dedup.decisions(docs, k=1).collect()) == key(exact_dedup.decisions(docs, k=3).collect())
     assert sorted(normal(r["text"]) for r in exact_dedup.filtered(docs, max_bits=1 << 10).collect()) == sorted(groups)
+    # No two ranges' filters are in one plan: what is read was written with the verdict.
+    plan = exact_dedup.decisions(docs, max_bits=1 << 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bitmap" not in plan and "bitmap" in exact_dedup.decisions(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert exact_dedup.decisions(docs.limit(0)).count() == exact_dedup.filtered(docs.limit(0)).count() == 0
 
 
