@@ -35,16 +35,20 @@ def cameras(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
 def poses(spark: SparkSession, path: str, strict: bool = True, images: DataFrame | None = None) -> DataFrame:
     """A pose file (white space between POSE_COLUMNS, the first line its header) -> image_id, path, side (the path's first
     part), timestamp_ns (from the image's name), q, m (camera to world, 16 numbers), by path. index holds the image's path,
-    which may have blanks; strict: it begins with left/ or right/. images (path): the image files that there must be."""
+    which may have blanks; strict: it begins with left/ or right/. images (path): the image files that there must be.
+    Not strict: any first line is a header (and so are lines that repeat it), a path has no blanks, and fields after the
+    twelfth are ignored; lines of fewer, or with other text for a number, raise."""
     raw = spark.read.text(path)
     first = raw.first()
     if strict and (first is None or first[0].split() != POSE_COLUMNS):
         raise ValueError("the header differs")
     lines = raw.select(F.trim("value").alias("line")).filter("line <> ''")
-    rows = lines.filter(~F.rlike("line", F.lit(r"^index\s+x\s")))
-    part = rows.select("line", F.regexp_extract("line", r"^(.*?)((?:\s+[-+0-9.eE]+){11})$", 1).alias("path"), F.split(F.trim(F.regexp_extract("line", r"^(.*?)((?:\s+[-+0-9.eE]+){11})$", 2)), r"\s+").alias("f"))
     if strict:
-        require_none(part.filter(F.size("f") != 11).select("line"), "lines don't have 12 fields")
+        rows, form = lines.filter(~F.rlike("line", F.lit(r"^index\s+x\s"))), r"^(.*?)((?:\s+[-+0-9.eE]+){11})$"
+    else:
+        rows, form = lines.filter(F.col("line") != (first[0].strip(" ") if first else "")), r"^(\S+)((?:\s+[-+0-9.eE]+){11})(?:\s.*)?$"
+    part = rows.select("line", F.regexp_extract("line", form, 1).alias("path"), F.split(F.trim(F.regexp_extract("line", form, 2)), r"\s+").alias("f"))
+    require_none(part.filter(F.size("f") != 11).select("line"), "lines don't have 12 fields")
     n = lambda i: F.try_element_at("f", F.lit(i + 1)).cast("double")
     q = F.struct(n(6).alias("x"), n(7).alias("y"), n(8).alias("z"), n(9).alias("w"))
     out = part.select(

@@ -105,6 +105,13 @@ def test_capture_files(spark, tmp_path):
     (tmp_path / "pose.txt").write_text("\n".join([" ".join(capture.POSE_COLUMNS), line("left/扫 描/100.jpg", 1), line("right/扫 描/150.jpg", -2)]))
     got = capture.poses(spark, str(tmp_path / "pose.txt")).orderBy("side").collect()
     assert [(r["path"], r["side"], r["timestamp_ns"], r["m"][3]) for r in got] == [("left/扫 描/100.jpg", "left", 100, 1.0), ("right/扫 描/150.jpg", "right", 150, 1.0)]
+    loose = lambda *lines: capture.poses(spark, str(tmp_path / "loose.txt"), strict=False) if (tmp_path / "loose.txt").write_text("\n".join(["any header", *lines])) else None
+    got = loose(line("left/100.jpg", 1) + " 7 8 more", line("right\\150.jpg", -2)).orderBy("side").collect()
+    assert [(r["path"], r["side"], r["timestamp_ns"], r["m"][3]) for r in got] == [("left/100.jpg", "left", 100, 1.0), ("right/150.jpg", "right", 150, 1.0)]
+    with pytest.raises(ValueError):
+        loose("left/100.jpg 1 2 3 0 0 0 0 0 0 1")
+    with pytest.raises(ValueError):
+        loose("left/100.jpg 1 2 3 0 0 0 0 0 0 one 5")
     pairs = spark.createDataFrame([("b", "c"), ("a", "b")], "a string, b string")
     capture.write_pair_list(pairs, str(tmp_path / "pairs"))
     assert sorted(map(tuple, capture.pair_list(spark, str(tmp_path / "pairs")).collect())) == [("a", "b"), ("b", "c")]
