@@ -19,6 +19,46 @@ def cropped(pixels: DataFrame, left: int, top: int, width: int, height: int, fac
     return kept.withColumn("px", F.floor(x / factor).cast("int")).withColumn("py", F.floor(y / factor).cast("int"))
 
 
+def resized(pixels: DataFrame, size: tuple[int, int], to: tuple[int, int]) -> DataFrame:
+    """Pixels (px, py, ...) of images of size (width, height) as images of size `to`: each pixel shows the one that its centre
+    falls on, so masks and depths keep their values. One explode, no join."""
+    out = pixels
+    for axis, n, wanted in (("px", size[0], to[0]), ("py", size[1], to[1])):
+        first = lambda at, n=n, wanted=wanted: F.ceil((2 * wanted * at - n) / (2 * n))
+        shown = out.withColumn("__a", first(F.col(axis))).withColumn("__z", first(F.col(axis) + 1) - 1).filter("__z >= __a")
+        out = shown.withColumn(axis, F.explode(F.sequence(F.col("__a").cast("int"), F.col("__z").cast("int")))).drop("__a", "__z")
+    return out
+
+
+def kernel_weights(n: int, to: int, lobes: int = 3) -> list[tuple[int, int, float]]:
+    """(source, target, weight) of a side of n pixels resampled to `to` by a windowed sinc of so many lobes, stretched where
+    the side shrinks; each target's weights add up to 1. Some 2 * lobes * max(n, to) entries."""
+    import numpy as np
+
+    stretch, out = max(n / to, 1.0), []
+    for i in range(to):
+        centre = (i + 0.5) * n / to
+        near = np.arange(max(0, int(centre - lobes * stretch)), min(n, int(centre + lobes * stretch) + 1))
+        t = (near + 0.5 - centre) / stretch
+        w = np.where(np.abs(t) < lobes, np.sinc(t) * np.sinc(t / lobes), 0.0)
+        out += [(int(x), i, float(v)) for x, v in zip(near, w / w.sum(), strict=True) if abs(v) > 1e-12]
+    return out
+
+
+def resampled(pixels: DataFrame, by: Sequence[str], values: Sequence[str], size: tuple[int, int], to: tuple[int, int], top: float | None = 255.0) -> DataFrame:
+    """Pixels (*by, px, py, *values) of images of size (width, height), resampled to size `to` by a Lanczos kernel: along rows,
+    then along columns, each a join with the side's weights (some entries a pixel of a side, the same for all images) and a
+    sum that tasks begin. Missing pixels count as 0. With `top`, values are whole levels from 0 to it after each pass (halves
+    up, as in 8-bit images); None leaves them as they are."""
+    spark, out = pixels.sparkSession, pixels
+    for axis, other, n, wanted in (("px", "py", size[0], to[0]), ("py", "px", size[1], to[1])):
+        weights = spark.createDataFrame(kernel_weights(n, wanted), f"{axis} int, __to int, __w double")
+        level = lambda v: v if top is None else F.greatest(F.lit(0.0), F.least(F.lit(top), F.floor(F.round(v, 9) + 0.5).cast("double")))
+        out = out.join(weights, axis).groupBy(*by, other, F.col("__to").alias("__at")).agg(*[level(F.sum(F.col(v) * F.col("__w"))).alias(v) for v in values])
+        out = out.withColumnRenamed("__at", axis)
+    return out.select(*by, "px", "py", *values)
+
+
 def supervised(valid: Column, static: Column, dynamic: Column, depth: Column, confidence: Column) -> Column:
     """Whether a pixel's depth is used: in the image circle, static, not dynamic, with a finite depth and confidence."""
     ok = ~F.isnan(depth) & (F.abs(depth) != float("inf")) & (depth > 0) & (confidence > 0)

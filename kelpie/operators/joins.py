@@ -84,14 +84,6 @@ def _by_rounds(rest: DataFrame, by: Sequence[str]) -> DataFrame:
     return out.select(*by, "l_id", "r_id", "l_t", "r_t", "dt")
 
 
-def _checkpointed(df: DataFrame) -> bool:
-    """Whether a checkpoint folder is set. Rounds are few; without one their plans just grow."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None and (at := spark.conf.get("spark.checkpoint.dir", None)):
-        spark.sparkContext.setCheckpointDir(at)
-    return spark.sparkContext.getCheckpointDir() is not None
-
-
 def rig_frames(left: DataFrame, right: DataFrame, tolerance: int) -> tuple[DataFrame, DataFrame]:
     """(pairs with a stable id, floor-mean time and signed delta; the rows of neither pair, with their side)."""
     pairs = tolerance_pairs(left, right, tolerance)
@@ -131,6 +123,10 @@ def _cells(axes: Sequence[str], size: float) -> list[Column]:
     return [F.floor(F.col(x) / F.lit(float(size))).alias(f"c_{i}") for i, x in enumerate(axes)]
 
 
+def _keys(axes: Sequence[str]) -> list[str]:
+    return [f"c_{i}" for i in range(len(axes))]
+
+
 def _shifts(n: int) -> Column:
     steps = [()]
     for _ in range(n):
@@ -138,24 +134,100 @@ def _shifts(n: int) -> Column:
     return F.array(*[F.struct(*[F.lit(d).alias(f"d_{i}") for i, d in enumerate(s)]) for s in steps])
 
 
-def within_radius(a: DataFrame, b: DataFrame, axes: Sequence[str], radius: float, ident: str = "id") -> DataFrame:
-    """(a_id, b_id, distance) with distance <= radius: grid cells of the radius, b in its neighbour cells too."""
-    left = a.select(F.col(ident).alias("a_id"), *[F.col(x).alias(f"a_{x}") for x in axes], *_cells(axes, radius))
-    right = b.select(F.col(ident).alias("b_id"), *[F.col(x).alias(f"b_{x}") for x in axes], *_cells(axes, radius), F.explode(_shifts(len(axes))).alias("s"))
-    keys = [f"c_{i}" for i in range(len(axes))]
-    right = right.withColumns({k: F.col(k) + F.col(f"s.d_{i}") for i, k in enumerate(keys)}).drop("s")
+def within_radius(a: DataFrame, b: DataFrame, axes: Sequence[str], radius: float, ident: str = "id", carry: Sequence[str] = ()) -> DataFrame:
+    """(a_id, b_id, distance, and a_c, b_c of each column c of carry) with distance <= radius: grid cells of the radius, a
+    in its neighbour cells too. A column named id is carried as the ident only."""
+    side = lambda p: [F.col(ident).alias(f"{p}_id"), *[F.col(x).alias(f"{p}_{x}") for x in dict.fromkeys((*axes, *carry)) if x != "id"]]
+    left = a.select(*side("a"), *_cells(axes, radius), F.explode(_shifts(len(axes))).alias("s"))
+    right = b.select(*side("b"), *_cells(axes, radius))
+    keys = _keys(axes)
+    left = left.withColumns({k: F.col(k) + F.col(f"s.d_{i}") for i, k in enumerate(keys)}).drop("s")
     d = F.sqrt(sum((F.pow(F.col(f"a_{x}") - F.col(f"b_{x}"), 2) for x in axes), F.lit(0.0)))
-    return left.join(right, keys).withColumn("distance", d).filter(F.col("distance") <= radius).select("a_id", "b_id", "distance")
+    near = left.join(right, keys).withColumn("distance", d).filter(F.col("distance") <= radius)
+    return near.select("a_id", "b_id", "distance", *[f"{p}_{c}" for c in carry if c != "id" for p in "ab"])
+
 
+#: A cell with more rows than this is dense: searches that start in it start in smaller cells.
+DENSE = 256
+#: Sizes that one job counts.
+HALVINGS = 4
+
+
+def _halved(axes: Sequence[str], size: float, times: range) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(i).alias("halvings"), *_cells(axes, size / 2**i)) for i in times])).alias("c")
+
+
+def _dense_cells(base: DataFrame, axes: Sequence[str], size: float, most: int) -> tuple[DataFrame | None, int]:
+    """((halvings, cell) of the cells with over `most` rows, how many sizes have such): size, size / 2, ... while there are
+    any, and no further than doubles tell places apart. HALVINGS sizes are counted at once, in tasks first, then only rows
+    of cells that are still dense go on."""
+    from .scratch import written
 
-def radius_top_k(df: DataFrame, axes: Sequence[str], radius: float, k: int, ident: str = "id", pos: str = "pos", min_gap: int = 0) -> DataFrame:
+    keys, rows, out, n = _keys(axes), base.select(*axes), None, 0
+    widest = base.agg(F.max(F.greatest(*[F.abs(F.col(x).cast("double")) for x in axes]))).first()[0]
+    least = widest / 2**52 if widest is not None and math.isfinite(widest) else size
+    while size / 2**n > least:
+        full = rows.select(_halved(axes, size, range(n, n + HALVINGS))).select("c.*").groupBy("halvings", *keys).count().filter(F.col("count") > most)
+        full = written(full.drop("count"), "dense-cells")
+        deepest = full.agg(F.max("halvings")).first()[0]
+        if deepest is None:
+            break
+        out = full if out is None else out.unionByName(full)
+        if deepest < n + HALVINGS - 1:
+            return out, deepest + 1
+        inside = rows.select(*axes, *_cells(axes, size / 2**deepest)).join(full.filter(F.col("halvings") == deepest).select(*keys), keys, "left_semi")
+        rows, n = written(inside.select(*axes), "dense-rows"), n + HALVINGS
+    return out, n
+
+
+def _ringed(queries: DataFrame, base: DataFrame, axes: Sequence[str], k: int, start: float, last: float, tie: str, spare: int = 0, fits: Column | None = None, dense: int = DENSE) -> DataFrame:
+    """queries, base (id, tie, *axes) -> (a_id, b_id, distance, rank): for each query the k base rows that fit, by
+    (distance, tie), no further than last. Rings: a query is done when k rows are within the radius searched; the others go on with twice the radius.
+
+    A query starts at `start`, or, in a dense cell, at the size of the largest cell around it that isn't dense. A cell that
+    isn't dense holds `most` rows at most, and in a dense one k rows are found two rings further at the latest, so a cloud
+    searched against itself makes candidates in proportion to its rows, however unevenly they lie. (Queries of another table
+    that crowd where base rows don't are left to adaptive execution.) Of base rows at the very
+    same place only the first k + spare by tie can be among anyone's k: of a crowded base the others go beforehand. `spare`
+    is how many ties of a place may not fit a query."""
+    from .scratch import written
+
+    keys, most, n = _keys(axes), max(dense, 4 * (k + spare)), 0
+    crowded = base.select(*_cells(axes, start)).groupBy(*keys).count().filter(F.col("count") > most)
+    rest = queries.withColumn("__from", F.lit(0))
+    if crowded.limit(1).count():
+        of_place = Window.partitionBy(*axes).orderBy(tie)
+        base = written(base.withColumn("__n", F.dense_rank().over(of_place)).filter(F.col("__n") <= k + spare).drop("__n"), "nearest-base")
+        cells, n = _dense_cells(base, axes, start, most)
+    if n:
+        inside = queries.select("id", _halved(axes, start, range(n))).select("id", "c.*").join(cells, ["halvings", *keys], "left_semi")
+        rest = queries.join(inside.groupBy("id").agg((F.max("halvings") + 1).alias("__from")), "id", "left")
+        rest = written(rest.withColumn("__from", F.coalesce("__from", F.lit(0))), "nearest-queries")
+    out, w = None, Window.partitionBy("a_id").orderBy("distance", f"b_{tie}")
+    while True:
+        radius = min(start / 2**n if n >= 0 else start * 2**-n, last)
+        near = within_radius(rest.filter(F.col("__from") >= n), base, axes, radius, "id", [tie])
+        near = near if fits is None else near.filter(fits)
+        near = near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        if radius < last:
+            near = near.withColumn("__k", F.count("*").over(Window.partitionBy("a_id"))).filter(F.col("__k") == k).drop("__k")
+        found = written(near, "nearest-found")
+        out = found if out is None else out.unionByName(found)
+        if radius >= last:
+            return out
+        rest = written(rest.join(found.select(F.col("a_id").alias("id")).distinct(), "id", "left_anti"), "nearest-rest")
+        finest = rest.agg(F.max("__from")).first()[0]
+        if finest is None:
+            return out
+        n = min(n - 1, finest)  # sizes at which no query searches are passed over
+
+
+def radius_top_k(df: DataFrame, axes: Sequence[str], radius: float, k: int, ident: str = "id", pos: str = "pos", min_gap: int = 0, dense: int = DENSE) -> DataFrame:
     """For each row its k nearest within radius and at least min_gap places away, by (distance, place): a_id, b_id,
-    distance, rank."""
-    near = within_radius(df, df, axes, radius, ident).filter("a_id <> b_id")
-    at = df.select(F.col(ident).alias("a_id"), F.col(pos).alias("a_pos")), df.select(F.col(ident).alias("b_id"), F.col(pos).alias("b_pos"))
-    near = near.join(at[0], "a_id").join(at[1], "b_id").filter(F.abs(F.col("a_pos") - F.col("b_pos")) >= min_gap)
-    w = Window.partitionBy("a_id").orderBy("distance", "b_pos")
-    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("a_id", "b_id", "distance", "rank")
+    distance, rank. Rows in dense cells search smaller radii first (see _ringed)."""
+    rows = df.select(F.col(ident).alias("id"), F.col(pos).alias("place"), *axes)
+    fits = (F.col("a_id") != F.col("b_id")) & (F.abs(F.col("a_place") - F.col("b_place")) >= min_gap)
+    return _ringed(rows, rows, axes, k, radius, radius, "place", 2 * min_gap + 1, fits, dense).select("a_id", "b_id", "distance", "rank")
 
 
 def canonical_edges(edges: DataFrame) -> DataFrame:
@@ -169,10 +241,10 @@ def reason_counts(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def nearest(queries: DataFrame, base: DataFrame, axes: Sequence[str], k: int = 1, ident: str = "id", start: float | None = None) -> DataFrame:
-    """The k nearest base rows of each query (q_id, b_id, distance, rank), ties by id. Grid search in rings: a query is
-    done when its k-th distance is within the radius searched; the others go on with twice the radius, so no cross join
-    is needed and distant queries cost a few rounds."""
+def nearest(queries: DataFrame, base: DataFrame, axes: Sequence[str], k: int = 1, ident: str = "id", start: float | None = None, dense: int = DENSE) -> DataFrame:
+    """The k nearest base rows of each query (q_id, b_id, distance, rank), ties by id. A grid search in rings, from about
+    the mean distance on (or from start), closer where base rows lie denser (see _ringed): no cross join is needed and
+    distant queries cost a few rounds."""
     n = base.count()
     if not n:
         raise ValueError("no base rows")
@@ -181,19 +253,8 @@ def nearest(queries: DataFrame, base: DataFrame, axes: Sequence[str], k: int = 1
     radius = start or max((volume * max(1, k) / n) ** (1 / len(axes)), 1e-9)
     far = queries.agg(*[F.max(F.abs(x)).alias(x) for x in axes]).first()
     reach = 2 * sum((far[x] or 0.0) + abs(spread[x]) for x in axes) + max(base.agg(*[F.max(F.abs(x)).alias(x) for x in axes]).first())
-    rest, out, wanted = queries, None, min(k, n)
-    w = Window.partitionBy("a_id").orderBy("distance", "b_id")
-    while True:
-        near = within_radius(rest, base, axes, radius, ident).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= wanted)
-        full = near.groupBy("a_id").count().filter(F.col("count") == wanted).select("a_id") if radius < 4 * reach else near.select("a_id").distinct()
-        found = near.join(full, "a_id")
-        found = found.checkpoint() if _checkpointed(found) else found
-        out = found if out is None else out.unionByName(found)
-        rest = rest.join(found.select(F.col("a_id").alias(ident)).distinct(), ident, "left_anti")
-        rest = rest.checkpoint() if _checkpointed(rest) else rest
-        if not rest.limit(1).count() or radius >= 4 * reach:
-            return out.select(F.col("a_id").alias("q_id"), "b_id", "distance", "rank")
-        radius *= 2
+    rows = [d.select(F.col(ident).alias("id"), *axes) for d in (queries, base)]
+    return _ringed(*rows, axes, min(k, n), radius, max(4 * reach, radius), "id", 0, None, dense).select(F.col("a_id").alias("q_id"), "b_id", "distance", "rank")
 
 
 def leakage(val: DataFrame, train: DataFrame, axes: Sequence[str], threshold: float, ident: str = "id") -> DataFrame:

@@ -167,6 +167,12 @@ def nearest_five(spark, d):
     return joins.nearest(p, p, ["x", "y", "z"], 5, "idx").select("q_id", "b_id", r6("distance").alias("distance"), "rank")
 
 
+def uneven_neighbours(spark, d):
+    """The three nearest points of a cloud that is much denser at its middle, dense cells halved; the twin compares all."""
+    p = points(spark, d).select("idx", *[(F.col(a) * F.col(a) * F.col(a)).alias(a) for a in "xyz"])
+    return joins.nearest(p, p, ["x", "y", "z"], 3, "idx", dense=32).select("q_id", "b_id", F.round("distance", 9).alias("distance"), "rank")
+
+
 def local_covariance(spark, d):
     out = joins.local_moments(points(spark, d), ["x", "y", "z"], 16, "idx")
     return out.select("idx", "n", *[r6(c).alias(c) for c in ("mean_x", "mean_y", "mean_z", "m_xx", "m_xy", "m_xz", "m_yy", "m_yz", "m_zz")])
@@ -240,6 +246,9 @@ SELECT DISTINCT label, (px + dx)::int AS px, (py + dy)::int AS py FROM p, s WHER
 SELECT q_id, b_id, round(distance, 6) AS distance, distance < 0.08::double AS leak FROM n WHERE r = 1""",
     "nearest_five": f"""WITH {POINTS}, n AS (SELECT a.idx AS q_id, b.idx AS b_id, {_DIST} AS distance, row_number() OVER (PARTITION BY a.idx ORDER BY {_DIST}, b.idx) AS rank FROM pts a, pts b)
 SELECT q_id, b_id, round(distance, 6) AS distance, rank FROM n WHERE rank <= 5""",
+    "uneven_neighbours": f"""WITH {POINTS}, p AS (SELECT idx, {", ".join(f"{a}*{a}*{a} AS {a}" for a in "xyz")} FROM pts),
+n AS (SELECT a.idx AS q_id, b.idx AS b_id, {_DIST} AS distance, row_number() OVER (PARTITION BY a.idx ORDER BY {_DIST}, b.idx) AS rank FROM p a, p b)
+SELECT q_id, b_id, round(distance, 9) AS distance, rank FROM n WHERE rank <= 3""",
     "local_covariance": f"""WITH {POINTS}, {_NEAR}
 SELECT q_id AS idx, count(*) AS n, {", ".join(f"round(avg({a}), 6) AS mean_{a}" for a in "xyz")}, {", ".join(f"round(covar_samp({a}, {b}), 6) AS m_{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))} FROM n WHERE rank <= 16 GROUP BY q_id""",
     "local_normals": f"""WITH {POINTS}, {_NEAR}, m AS (SELECT q_id AS idx, {", ".join(f"covar_samp({a}, {b}) AS {a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))} FROM n WHERE rank <= 16 GROUP BY q_id),
@@ -256,7 +265,7 @@ SELECT idx, round(w[1] / g, 5) AS nx, round(w[2] / g, 5) AS ny, round(w[3] / g,
 QUERIES = [
     voxel_representative, voxel_boundary, voxel_merge, voxel_coverage, voxel_search, point_bounds, fisheye_projection, fisheye_round_trip, fisheye_mask,
     pose_round_trip, rotation_between, slerp_halfway, depth_buffer, dense_depth, mask_dilation, radius_edges, match_graph, match_reasons, split_leakage,
-    nearest_five, local_covariance, local_normals, pair_distance_median,
+    nearest_five, uneven_neighbours, local_covariance, local_normals, pair_distance_median,
 ]
 
 

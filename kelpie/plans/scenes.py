@@ -247,3 +247,45 @@ g AS (SELECT DISTINCT image, px + dx AS px, py + dy AS py FROM m, (VALUES (0, 0)
 SELECT image, count(*) AS pixels, sum(px)::bigint AS sum_px, sum(py)::bigint AS sum_py FROM g GROUP BY image""",
 }
 QUERIES += [segmented_pixels]
+
+
+def _shades(spark, d):
+    """lineitem as whole grey images of 8 x 51: the greatest price of a pixel, in levels."""
+    c = F.col
+    lines = table(spark, d, "lineitem").select((c("l_suppkey") % 20).alias("image"), c("l_linenumber").cast("int").alias("px"), F.floor("l_quantity").cast("int").alias("py"), (F.floor("l_extendedprice") % 256).cast("double").alias("shade"))
+    return joins.dense_grid(lines.groupBy("image", "px", "py").agg(F.max("shade").alias("shade")), "image", 8, 51, ["shade"])
+
+
+def _by_column(pixels):
+    return pixels.groupBy("image", "px").agg(F.count("*").alias("pixels"), F.sum("shade").cast("bigint").alias("shade"), F.sum(F.col("shade") * F.col("py")).cast("bigint").alias("place"))
+
+
+def resized_images(spark, d):
+    """Images at half as many rows and thrice as many columns, each pixel the nearest."""
+    return _by_column(images.resized(_shades(spark, d), (8, 51), (24, 25)))
+
+
+def resampled_images(spark, d):
+    """Images reduced by a Lanczos kernel."""
+    return _by_column(images.resampled(_shades(spark, d), ["image"], ["shade"], (8, 51), (5, 20)))
+
+
+_SHADES = """s AS (SELECT l_suppkey % 20 AS image, l_linenumber AS px, floor(l_quantity)::int AS py, max(floor(l_extendedprice)::bigint % 256)::double AS shade FROM lineitem GROUP BY ALL),
+i AS (SELECT image, px, py, coalesce(shade, 0) AS shade FROM (SELECT DISTINCT image FROM s) CROSS JOIN (SELECT unnest(range(8)) AS px) CROSS JOIN (SELECT unnest(range(51)) AS py) LEFT JOIN s USING (image, px, py))"""
+_COLUMNS = "SELECT image, px, count(*) AS pixels, sum(shade)::bigint AS shade, sum(shade * py)::bigint AS place FROM {} GROUP BY image, px"
+
+
+def _kernel(axis, n, to):
+    return f"""t{axis} AS (SELECT x, j, (x + 0.5::double - (j + 0.5::double) * {n} / {to}) / greatest(1::double, {n} / {to}::double) AS t FROM (SELECT unnest(range({n})) AS x), (SELECT unnest(range({to})) AS j)),
+w{axis} AS (SELECT x AS p{axis}, j, w / sum(w) OVER (PARTITION BY j) AS w FROM (SELECT x, j, CASE WHEN t = 0 THEN 1 ELSE 3 * sin(pi() * t) * sin(pi() * t / 3) / pow(pi() * t, 2) END AS w FROM t{axis} WHERE abs(t) < 3))"""
+
+
+_LEVEL = "greatest(0, least(255, floor(round(sum(shade * w), 9) + 0.5::double))) AS shade"
+SQL |= {
+    "resized_images": f"""WITH {_SHADES}, z AS (SELECT image, x AS px, y AS py, shade FROM (SELECT unnest(range(24)) AS x) CROSS JOIN (SELECT unnest(range(25)) AS y) JOIN i ON i.px = floor((x + 0.5::double) * 8 / 24) AND i.py = floor((y + 0.5::double) * 51 / 25))
+{_COLUMNS.format("z")}""",
+    "resampled_images": f"""WITH {_SHADES}, {_kernel("x", 8, 5)}, {_kernel("y", 51, 20)},
+a AS (SELECT image, j AS px, py, {_LEVEL} FROM i JOIN wx USING (px) GROUP BY ALL), z AS (SELECT image, px, j AS py, {_LEVEL} FROM a JOIN wy USING (py) GROUP BY ALL)
+{_COLUMNS.format("z")}""",
+}
+QUERIES += [resized_images, resampled_images]

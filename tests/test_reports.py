@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,49 @@ def test_images(spark):
         images.cropped(p, 0, 0, 15, 8, 2)
 
 
+@pytest.mark.parametrize("to", [(5, 4), (13, 9), (7, 11), (30, 3), (1, 1)])
+def test_resizes(spark, to):
+    w, h = 13, 9
+    img = np.random.default_rng(3).integers(0, 256, (h, w)).astype(float)
+    p = spark.createDataFrame([("i", x, y, float(img[y, x])) for y in range(h) for x in range(w)], "image string, px int, py int, v double")
+
+    def grid(rows):
+        out = np.full((to[1], to[0]), -1.0)
+        for r in rows.collect():
+            assert out[r.py, r.px] == -1
+            out[r.py, r.px] = r.v
+        return out
+
+    at = lambda n, m: ((2 * np.arange(m) + 1) * n) // (2 * m)
+    assert (grid(images.resized(p, (w, h), to)) == img[np.ix_(at(h, to[1]), at(w, to[0]))]).all()
+
+    def kernel(n, m):
+        out = np.zeros((m, n))
+        for i, x, v in ((i, x, v) for x, i, v in images.kernel_weights(n, m)):
+            out[i, x] = v
+        return out
+
+    levels = lambda v: np.clip(np.floor(np.round(v, 9) + 0.5), 0, 255)
+    got = grid(images.resampled(p, ["image"], ["v"], (w, h), to))
+    assert (got == levels(kernel(h, to[1]) @ levels(img @ kernel(w, to[0]).T))).all()
+    free = grid(images.resampled(p, ["image"], ["v"], (w, h), to, None))
+    assert np.allclose(free, kernel(h, to[1]) @ img @ kernel(w, to[0]).T)
+    if to == (w, h):
+        assert (got == img).all()  # a size of its own changes nothing
+
+
+def test_kernel_weights():
+    """Constant sides stay constant; by hand: two pixels to one see each other's halves of one stretched lobe."""
+    for n, to in ((10, 3), (3, 10), (1, 4), (51, 20)):
+        sums = np.zeros(to)
+        for _, i, v in images.kernel_weights(n, to):
+            sums[i] += v
+        assert np.allclose(sums, 1)
+    assert images.kernel_weights(2, 1) == [(0, 0, 0.5), (1, 0, 0.5)]
+    same = images.kernel_weights(4, 4)
+    assert [(x, i) for x, i, _ in same] == [(i, i) for i in range(4)] and np.allclose([v for *_, v in same], 1)
+
+
 def test_refinement_and_repair(spark):
     losses = spark.createDataFrame([(1.0, 0.9)], "before double, after double")
     moves = spark.createDataFrame([(0.1, 3.0)], "metres double, degrees double")
