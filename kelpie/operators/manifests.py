@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, scalar
-from .integrity import duplicates, key_set_difference, require_none
+from .integrity import duplicates, key_set_difference, require_none, unsafe_path
 
 #: The frame that a model is trained in, and the parameters of a camera that each solver stage leaves alone.
 IDENTITY = [[1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0], [0.0, 0.0, 0.0, 1.0]]
@@ -72,6 +74,58 @@ def verify_pose_set(images: DataFrame, counts: dict, curve: DataFrame, preserved
         raise ValueError("the baseline wasn't preserved")
 
 
+#: Each kind of manifest's signature, where its records are, and what of them is unique, a relative path, a
+#: SHA-256, or a decision.
+SIGNATURES = {"dataset": "manifest_sha256", "mask": "mask_manifest_sha256", "depth": "depth_manifest_sha256", "person": "person_mask_manifest_sha256", "review": "person_mask_review_sha256"}
+LISTS = {"mask": "images", "depth": "images", "person": "images", "review": "samples"}
+UNIQUE = {"mask": ["image_id", "combined_mask_path"], "depth": ["image_id", "path"], "person": ["image_id", "person_mask_path"], "review": ["image_id"]}
+PATHS = {"person": ["person_mask_path", "source_image_path"]}
+HASHES = {"person": ["person_mask_sha256", "source_image_sha256"]}
+DECISIONS = {"review": ["status"]}
+#: What a person-mask manifest says of its segmenter.
+SEGMENTER = {"runtime", "version", "architecture", "weights", "weights_sha256", "person_class_index"}
+
+
+def record_violations(records: DataFrame, kind: str, by: list[str] | None = None) -> DataFrame:
+    """(*by, field, value, problem), each once, of the records of many manifests (by) of a kind: values that must be unique in
+    their manifest and are repeated, missing or empty, unsafe_path, invalid_hash, invalid_status (neither PASS nor FAIL). A null is an
+    empty text, a column that isn't there is null everywhere. One explode and one sum that tasks begin, so a manifest may hold
+    any number of records."""
+    by, c = by or [], F.col
+    text = lambda n: F.coalesce(F.col(n).cast("string"), F.lit("")) if n in records.columns else F.lit("")
+    fields = dict.fromkeys(n for rules in (UNIQUE, PATHS, HASHES, DECISIONS) for n in rules.get(kind, []))
+    seen = records.select(*by, F.explode(F.array(*[F.struct(F.lit(n).alias("field"), text(n).alias("value")) for n in fields])).alias("f")).select(*by, "f.*")
+    seen = seen.groupBy(*by, "field", "value").agg(F.count("*").alias("n"))
+    one_of = lambda rules: c("field").isin(*rules.get(kind, [""]))
+    problems = F.array(
+        F.when(one_of(UNIQUE) & (c("value") == ""), "missing"), F.when(one_of(UNIQUE) & (c("value") != "") & (c("n") > 1), "repeated"),
+        F.when(one_of(PATHS) & (unsafe_path(c("value")) | c("value").isin(".", "./")), "unsafe_path"), F.when(one_of(HASHES) & ~F.rlike("value", F.lit("^[0-9a-fA-F]{64}$")), "invalid_hash"),
+        F.when(one_of(DECISIONS) & ~c("value").isin("PASS", "FAIL"), "invalid_status"),
+    )
+    return seen.select(*by, "field", "value", F.explode(F.filter(problems, lambda p: p.isNotNull())).alias("problem"))
+
+
+def verify_manifest(spark: SparkSession, manifest: dict, kind: str) -> None:
+    """A manifest's signature, that it lists something, its records, and of person masks the segmenter's fields and weights'
+    hash. The manifest is one file, so it is on the driver."""
+    scalar.verify(manifest, SIGNATURES[kind])
+    if kind == "person":
+        model = manifest.get("model_identity") or {}
+        if lacking := SEGMENTER - set(model):
+            raise ValueError(f"the segmenter lacks {sorted(lacking)}")
+        if not re.fullmatch("[0-9a-fA-F]{64}", str(model["weights_sha256"])):
+            raise ValueError("the weights' hash isn't a SHA-256")
+    if kind not in LISTS:
+        return
+    records = manifest.get(LISTS[kind]) or []
+    if not records:
+        raise ValueError(f"the {kind} manifest lists nothing")
+    fields = list(dict.fromkeys(n for rules in (UNIQUE, PATHS, HASHES, DECISIONS) for n in rules.get(kind, [])))
+    rows = [tuple(None if r.get(n) is None else str(r[n]) for n in fields) for r in records]
+    table = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in fields))
+    require_none(record_violations(table, kind), f"the {kind} manifest's records are invalid")
+
+
 def image_masks(images: DataFrame, templates: DataFrame) -> DataFrame:
     """images (image_id, camera), templates (camera, path, sha256): each image with its camera's one mask, and by how many
     images that is shared. Cameras without a template, or with two, are errors."""

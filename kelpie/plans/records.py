@@ -137,3 +137,28 @@ m AS (SELECT t.g, t.px, t.py, sum(k * a) / sum(k) AS mx, sum(k * b) / sum(k) AS
 SELECT g AS l_returnflag, round(avg((2 * mx * my + 0.0001::double) * (2 * (xy - mx * my) + 0.0009::double) / ((mx * mx + my * my + 0.0001::double) * (xx - mx * mx + yy - my * my + 0.0009::double))), 6) AS ssim, count(*) AS n FROM m GROUP BY g""",
 }
 QUERIES = [unbound_manifests, pose_set_problems, stage_audits, decided_documents, model_cameras, model_places, pair_files, strided_cloud, window_similarity]
+
+
+def record_problems(spark, d):
+    """Lines as records of their suppliers' person-mask manifests; some repeat, lack a path, leave the folder or have no hash."""
+    c = F.col
+    key, name = c("l_orderkey") % 997, F.concat(F.lit("m/"), (c("l_orderkey") * 8 + c("l_linenumber")).cast("string"))
+    made = table(spark, d, "lineitem").select(
+        "l_suppkey", key.alias("image_id"), F.when(c("l_partkey") % 23 != 0, name).alias("person_mask_path"),
+        F.when(c("l_partkey") % 29 == 0, F.concat(F.lit("a/../"), name)).when(c("l_partkey") % 31 == 0, F.concat(F.lit("/"), name)).otherwise(name).alias("source_image_path"),
+        F.sha2(name, 256).alias("person_mask_sha256"), F.when(c("l_partkey") % 37 == 0, F.md5(name)).otherwise(F.sha2(name, 256)).alias("source_image_sha256"),
+    )
+    out = manifests.record_violations(made, "person", ["l_suppkey"])
+    return out.groupBy("l_suppkey", "field", "problem").agg(F.count("*").alias("n"), F.min("value").alias("first"))
+
+
+SQL["record_problems"] = """WITH l AS (SELECT *, 'm/' || (l_orderkey * 8 + l_linenumber) AS name FROM lineitem),
+r AS (SELECT l_suppkey, (l_orderkey % 997)::varchar AS image_id, CASE WHEN l_partkey % 23 <> 0 THEN name ELSE '' END AS mask,
+  CASE WHEN l_partkey % 29 = 0 THEN 'a/../' || name WHEN l_partkey % 31 = 0 THEN '/' || name ELSE name END AS source, CASE WHEN l_partkey % 37 = 0 THEN md5(name) ELSE sha256(name) END AS hash FROM l),
+p AS (SELECT l_suppkey, 'image_id' AS field, image_id AS value, 'repeated' AS problem FROM r GROUP BY ALL HAVING count(*) > 1
+  UNION ALL SELECT l_suppkey, 'person_mask_path', mask, CASE WHEN mask = '' THEN 'missing' ELSE 'repeated' END FROM r GROUP BY ALL HAVING mask = '' OR count(*) > 1
+  UNION ALL SELECT DISTINCT l_suppkey, 'person_mask_path', mask, 'unsafe_path' FROM r WHERE mask = ''
+  UNION ALL SELECT DISTINCT l_suppkey, 'source_image_path', source, 'unsafe_path' FROM r WHERE source LIKE '/%' OR source LIKE '%/../%'
+  UNION ALL SELECT DISTINCT l_suppkey, 'source_image_sha256', hash, 'invalid_hash' FROM r WHERE length(hash) <> 64)
+SELECT l_suppkey, field, problem, count(*) AS n, min(value) AS first FROM p GROUP BY ALL"""
+QUERIES += [record_problems]

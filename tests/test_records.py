@@ -119,3 +119,37 @@ def test_digest_and_running_sums(spark):
     assert stats.array_digest(p.repartition(7)) == want and stats.array_digest(p.limit(0)) == hashlib.sha256().hexdigest()
     got = windows.running_before(p.repartition(7), ["idx"], "red").orderBy("idx").collect()
     assert [r["before"] for r in got] == [0, *np.cumsum(rgb[:, 0])[:-1].tolist()] and {r["__total"] for r in got} == {int(rgb[:, 0].sum())}
+
+
+def test_manifest_verifiers(spark):
+    h = "a" * 64
+    person = lambda i, **own: {"image_id": f"i{i}", "person_mask_path": f"m/{i}.png", "source_image_path": "s/0.jpg", "person_mask_sha256": h, "source_image_sha256": h} | own
+    model = {"model_identity": dict.fromkeys(manifests.SEGMENTER, "x") | {"weights_sha256": h}}
+    check = lambda kind, rows, more=model: manifests.verify_manifest(spark, scalar.signed({manifests.LISTS[kind]: rows} | more, manifests.SIGNATURES[kind]), kind)
+    check("person", [person(0), person(1)])  # images may share a source
+    check("mask", [{"image_id": 1, "combined_mask_path": "a"}, {"image_id": 2, "combined_mask_path": "b"}])
+    check("depth", [{"image_id": "1", "path": "a"}])
+    check("review", [{"image_id": "1", "status": "PASS"}, {"image_id": "2", "status": "FAIL"}])
+    manifests.verify_manifest(spark, scalar.signed({"images": []}, "manifest_sha256"), "dataset")
+    bad = [
+        ("mask", [{"image_id": 1, "combined_mask_path": "a"}, {"image_id": 2, "combined_mask_path": "a"}]), ("mask", [{"image_id": 1}]), ("mask", []), ("depth", [{"path": "a"}]),
+        ("depth", [{"image_id": "1", "path": "a"}, {"image_id": "1", "path": "b"}]), ("review", [{"image_id": "1", "status": "MAYBE"}]), ("review", [{"image_id": "1", "status": None}]),
+        *[("person", [person(0), person(1, **own)]) for own in ({"image_id": "i0"}, {"person_mask_path": "m/0.png"}, {"source_image_path": "../s"}, {"source_image_path": "."}, {"person_mask_path": "c:\\m"}, {"source_image_sha256": h[1:]}, {"person_mask_sha256": "g" + h[1:]})],
+    ]
+    for kind, rows in bad:
+        with pytest.raises(ValueError):
+            check(kind, rows)
+    with pytest.raises(ValueError):
+        manifests.verify_manifest(spark, {"images": [person(0)], "person_mask_manifest_sha256": h} | model, "person")
+    for more in ({}, {"model_identity": {"weights_sha256": h}}, {"model_identity": model["model_identity"] | {"weights_sha256": h[1:]}}):
+        with pytest.raises(ValueError):
+            check("person", [person(0)], more)
+
+
+def test_record_violations_by_manifest(spark):
+    rows = spark.createDataFrame([("a", "1", "p"), ("a", "2", "p"), ("b", "1", "p"), ("b", None, "q"), ("b", "", "r")], "m string, image_id string, path string")
+    got = {tuple(r) for r in manifests.record_violations(rows, "depth", ["m"]).collect()}
+    assert got == {("a", "path", "p", "repeated"), ("b", "image_id", "", "missing")}
+    assert manifests.record_violations(rows.limit(0), "depth", ["m"]).count() == 0
+    lacking = {(r.m, r.field) for r in manifests.record_violations(rows, "mask", ["m"]).collect() if r.problem == "missing"}
+    assert lacking == {("a", "combined_mask_path"), ("b", "combined_mask_path"), ("b", "image_id")}
