@@ -207,7 +207,7 @@ def url_paths(spark, d):
 
 
 def size_texts(spark, d):
-    n = F.col("n_chars") * 37
+    n = F.col("n_chars").cast("decimal(19,0)") * 37  # a long text's cube is beyond 64 bits
     return table(spark, d, "documents").select("doc_id", scalar.size_text(n).alias("size"), scalar.size_text(n * n * n).alias("cube"))
 
 
