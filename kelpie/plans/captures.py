@@ -43,7 +43,7 @@ def transforms_file(spark, d):
 def model_text(spark, d):
     """Posed images as a reconstruction's text and back."""
     folder = scratch_path(spark, "model")
-    exports.write_model_text(_frames(spark, d), folder)
+    exports.write_model_parts(_frames(spark, d), folder)
     back = capture.model_images(spark, f"{folder}/images.txt")
     turned = F.abs(F.col("qw") * F.col("qw") + F.col("qx") * F.col("qx") + F.col("qy") * F.col("qy") + F.col("qz") * F.col("qz") - 1) < 1e-9
     return back.select("image_id", "name", r6("qw").alias("qw"), *[r6(c).alias(c) for c in ("tx", "ty", "tz")], turned.alias("is_unit"))

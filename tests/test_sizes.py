@@ -1,6 +1,9 @@
 """Queries on tables larger or longer than the driver's smallest ones."""
 
-from kelpie.plans import audits
+from pyspark.sql import functions as F
+
+from kelpie.plans import audits, captures
+from kelpie.sources import capture, exports
 
 
 def test_size_texts_of_long_documents(spark, tmp_path):
@@ -9,3 +12,30 @@ def test_size_texts_of_long_documents(spark, tmp_path):
     got = {r["doc_id"]: (r["size"], r["cube"]) for r in audits.size_texts(spark, str(tmp_path)).collect()}
     cube = lambda n: f"{(37 * n) ** 3 / 1024**4:.1f}TB"
     assert got == {1: ("370.0B", "48.3MB"), 2: ("4.5MB", cube(128_657)), 3: ("1.7GB", cube(50_000_000))}
+
+
+def _embeddings(spark, path, n):
+    e = F.array(*[(F.sin((F.col("id") + 1) * (i + 1)) / 2).cast("float") for i in range(8)])
+    spark.range(n).select(F.col("id").alias("vec_id"), e.alias("embedding"), (F.col("id") % 10).cast("int").alias("label")).write.parquet(str(path / "embeddings.parquet"))
+    return str(path)
+
+
+def test_exports_of_many_frames(spark, tmp_path):
+    """More frames than one file of the driver's may hold."""
+    n = 100_001
+    d = _embeddings(spark, tmp_path, n)
+    images = captures.model_text(spark, d).agg(F.count("*"), F.count_distinct("image_id"), F.max("image_id"), F.count_distinct("name")).first()
+    assert tuple(images) == (n, n, n, n)
+    assert tuple(captures.transforms_file(spark, d).agg(F.count("*"), F.count_distinct("path")).first()) == (n, n)
+
+
+def test_transforms_in_parts(spark, tmp_path):
+    """The same frames as from one file, in files of two; none of none."""
+    m = F.array(*[F.lit(1.0) + F.col("id") if i == 3 else F.lit(float(i % 5 == 0)) for i in range(16)])
+    f = spark.range(7).select(F.concat(F.lit("a/"), "id").alias("path"), m.alias("m"), *[F.lit(1.5).alias(c) for c in exports.INTRINSICS])
+    exports.write_transforms(f, str(tmp_path / "one.json"))
+    exports.write_transforms_parts(f, str(tmp_path / "parts"), part=2)
+    read = lambda p: sorted((r["file_path"], list(r["m"])) for r in capture.transforms(spark, str(tmp_path / p)).collect())
+    assert read("parts") == read("one.json") and len(list((tmp_path / "parts").glob("transforms-*.json"))) >= 4
+    exports.write_transforms_parts(f.limit(0), str(tmp_path / "none"))
+    assert read("none") == []
