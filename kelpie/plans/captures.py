@@ -33,9 +33,9 @@ def pose_text(spark, d):
 
 
 def transforms_file(spark, d):
-    """Posed images as transforms.json and back."""
-    path = scratch_path(spark, "transforms") + ".json"
-    exports.write_transforms(_frames(spark, d), path)
+    """Posed images as files like transforms.json and back."""
+    path = scratch_path(spark, "transforms")
+    exports.write_transforms_parts(_frames(spark, d), path)
     back = capture.transforms(spark, path)
     return back.select(F.col("file_path").alias("path"), *[r6(F.col("m")[i]).alias(f"m{i}") for i in (0, 1, 3, 6, 7)])
 
