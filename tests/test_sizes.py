@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from kelpie.operators import manifests, windows
 from kelpie.plans import audits, captures
 from kelpie.sources import capture, exports
 
@@ -39,3 +40,25 @@ def test_transforms_in_parts(spark, tmp_path):
     assert read("parts") == read("one.json") and len(list((tmp_path / "parts").glob("transforms-*.json"))) >= 4
     exports.write_transforms_parts(f.limit(0), str(tmp_path / "none"))
     assert read("none") == []
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_values_around_are_kept_up_row_by_row(spark):
+    """A frame up to the end of its part is added up anew for every row: the square of the part."""
+    rows = spark.createDataFrame([(t, v) for t, v in ((1, None), (2, 7), (4, None), (5, 9), (6, None))], "t int, v int")
+    out = windows.known_around(rows, [], "t", F.col("v"), "lo", "hi")
+    assert [(r["lo"], r["hi"]) for r in out.orderBy("t").collect()] == [(None, 7), (7, 7), (7, 9), (9, 9), (9, None)]
+    by = windows.known_around(rows, ["v"], "t", F.col("v"), "lo", "hi")
+    assert "unboundedfollowing" not in _plan(by)
+
+
+def test_lawful_values_stay_in_their_tasks(spark):
+    """Values that need not be unique are judged before rows are grouped."""
+    rows = spark.createDataFrame([(i, f"p{i}", f"../{i}" if i == 3 else f"s{i}", "a" * 64, "b" * (64 - (i == 5))) for i in range(9)], "image_id int, person_mask_path string, source_image_path string, person_mask_sha256 string, source_image_sha256 string")
+    found = manifests.record_violations(rows, "person")
+    assert {(r["field"], r["value"], r["problem"]) for r in found.collect()} == {("source_image_path", "../3", "unsafe_path"), ("source_image_sha256", "b" * 63, "invalid_hash")}
+    plan = _plan(found)
+    assert "rlike" in plan[plan.index("aggregate") :]
