@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,18 +91,21 @@ SEGMENTER = {"runtime", "version", "architecture", "weights", "weights_sha256",
 def record_violations(records: DataFrame, kind: str, by: list[str] | None = None) -> DataFrame:
     """(*by, field, value, problem), each once, of the records of many manifests (by) of a kind: values that must be unique in
     their manifest and are repeated, missing or empty, unsafe_path, invalid_hash, invalid_status (neither PASS nor FAIL). A null is an
-    empty text, a column that isn't there is null everywhere. One explode and one sum that tasks begin, so a manifest may hold
-    any number of records."""
+    empty text, a column that isn't there is null everywhere. Values that must be unique are counted, of the others only those
+    that break a rule leave their task, so a manifest may hold any number of records."""
     by, c = by or [], F.col
     text = lambda n: F.coalesce(F.col(n).cast("string"), F.lit("")) if n in records.columns else F.lit("")
     fields = dict.fromkeys(n for rules in (UNIQUE, PATHS, HASHES, DECISIONS) for n in rules.get(kind, []))
-    seen = records.select(*by, F.explode(F.array(*[F.struct(F.lit(n).alias("field"), text(n).alias("value")) for n in fields])).alias("f")).select(*by, "f.*")
-    seen = seen.groupBy(*by, "field", "value").agg(F.count("*").alias("n"))
     one_of = lambda rules: c("field").isin(*rules.get(kind, [""]))
+    rules = [
+        (one_of(PATHS) & (unsafe_path(c("value")) | c("value").isin(".", "./")), "unsafe_path"), (one_of(HASHES) & ~F.rlike("value", F.lit("^[0-9a-fA-F]{64}$")), "invalid_hash"),
+        (one_of(DECISIONS) & ~c("value").isin("PASS", "FAIL"), "invalid_status"),
+    ]
+    seen = records.select(*by, F.explode(F.array(*[F.struct(F.lit(n).alias("field"), text(n).alias("value")) for n in fields])).alias("f")).select(*by, "f.*")
+    seen = seen.filter(one_of(UNIQUE) | reduce(or_, [broken for broken, _ in rules])).groupBy(*by, "field", "value").agg(F.count("*").alias("n"))
     problems = F.array(
         F.when(one_of(UNIQUE) & (c("value") == ""), "missing"), F.when(one_of(UNIQUE) & (c("value") != "") & (c("n") > 1), "repeated"),
-        F.when(one_of(PATHS) & (unsafe_path(c("value")) | c("value").isin(".", "./")), "unsafe_path"), F.when(one_of(HASHES) & ~F.rlike("value", F.lit("^[0-9a-fA-F]{64}$")), "invalid_hash"),
-        F.when(one_of(DECISIONS) & ~c("value").isin("PASS", "FAIL"), "invalid_status"),
+        *[F.when(broken, problem) for broken, problem in rules],
     )
     return seen.select(*by, "field", "value", F.explode(F.filter(problems, lambda p: p.isNotNull())).alias("problem"))
 
