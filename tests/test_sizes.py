@@ -1,8 +1,11 @@
 """Queries on tables larger or longer than the driver's smallest ones."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from kelpie.operators import manifests, windows
+from kelpie.operators import joins, manifests, windows
 from kelpie.plans import audits, captures
 from kelpie.sources import capture, exports
 
@@ -62,3 +65,34 @@ def test_lawful_values_stay_in_their_tasks(spark):
     assert {(r["field"], r["value"], r["problem"]) for r in found.collect()} == {("source_image_path", "../3", "unsafe_path"), ("source_image_sha256", "b" * 63, "invalid_hash")}
     plan = _plan(found)
     assert "rlike" in plan[plan.index("aggregate") :]
+
+
+@pytest.mark.parametrize("chain", [1_000_000, 40])
+def test_pairs_of_one_long_chain(spark, chain):
+    """Times without a gap over the tolerance, many equal: the greedy choice, and no row travels once for each candidate."""
+    rng = random.Random(5)
+    left, right = ([(i, rng.randrange(20_000) // k) for i in range(n)] for n, k in ((900, 1), (700, 2)))
+    left += [(900 + i, 5000) for i in range(20)]
+    right += [(900 + i, 5000 + i % 2) for i in range(30)]
+    want, ls, rs = set(), set(), set()
+    for _, _, _, i, j in sorted((abs(a - b), a, b, i, j) for i, a in left for j, b in right if abs(a - b) <= 60):
+        if i not in ls and j not in rs:
+            want, ls, rs = want | {(i, j)}, ls | {i}, rs | {j}
+    df = lambda rows: spark.createDataFrame(rows, "id long, t long")
+    got = joins.tolerance_pairs(df(left), df(right), 60, chain=chain).collect()
+    assert {(r["l_id"], r["r_id"]) for r in got} == want and len(got) == len(want)
+
+
+def test_choices_near_a_range_end_wait():
+    """Whatever lies beyond the ends, the pairs that a range settles are those of all rows."""
+    rng = random.Random(11)
+    for _ in range(400):
+        rows = sorted((rng.randrange(300), rng.randrange(2)) for _ in range(rng.randrange(4, 120)))
+        t, side = [r[0] for r in rows], [r[1] for r in rows]
+        whole, rest = joins._greedy(t, side, 25, None, None)
+        assert not rest
+        inside = [i for i, x in enumerate(t) if 100 <= x < 200]
+        some, left = joins._greedy([t[i] for i in inside], [side[i] for i in inside], 25, 99, 200)
+        settled, waits = {(inside[i], inside[j]) for i, j in some}, {inside[i] for i in left}
+        assert settled <= set(whole)
+        assert all((i, j) in settled or not {i, j} & (set(inside) - waits) for i, j in whole)
