@@ -1,5 +1,6 @@
 """Queries on tables larger or longer than the driver's smallest ones."""
 
+import math
 import random
 
 import pytest
@@ -96,3 +97,17 @@ def test_choices_near_a_range_end_wait():
         settled, waits = {(inside[i], inside[j]) for i, j in some}, {inside[i] for i in left}
         assert settled <= set(whole)
         assert all((i, j) in settled or not {i, j} & (set(inside) - waits) for i, j in whole)
+
+
+def test_neighbours_are_dealt_by_queries(spark, monkeypatch):
+    """A join of neighbours takes tasks by its queries, not by the bytes that it reads."""
+    monkeypatch.setattr(joins, "QUERIES", 16)
+    seen, within = [], joins.within_radius
+    monkeypatch.setattr(joins, "within_radius", lambda *a: (seen.append(a[-1]), within(*a))[1])
+    rng = random.Random(3)
+    rows = [(i, rng.random(), rng.random()) for i in range(100)]
+    got = {(r["q_id"], r["rank"]): r["b_id"] for r in joins.nearest(*[spark.createDataFrame(rows, "id int, x double, y double")] * 2, ["x", "y"], 2).collect()}
+    assert seen[0] == 7
+    for i, x, y in rows:
+        near = sorted((math.hypot(x - u, y - v), j) for j, u, v in rows)[:2]
+        assert [got[i, 1], got[i, 2]] == [j for _, j in near]
