@@ -11,9 +11,8 @@ a table of DF_BINS hashed bins, which bounds what tasks hold; bins that words sh
 3. A group of up to WINDOW texts (and WINDOW_BYTES) meets in one task, its texts travelling once, and the weighted Jaccard
    similarity of every pair of it is computed. Pairs of THRESHOLD and more are links; links make classes.
 4. A larger group is dealt into blocks of half a window, and each pair of blocks meets in one task, so every pair of texts
-   is compared. So it goes with every group that is large by bytes alone, and with any of up to PASSES + 1 blocks (some
-   2,800 texts or 22 MB); with exact=True with all groups, at a cost that grows with the square of the group.
-5. A group of yet more texts is sorted by its samples PASSES times, each time beginning with another band's, and cut into
+   is compared, at a cost that grows with the square of the group; no task holds more than two blocks.
+5. Only with exact=False, a group of over PASSES + 1 blocks (some 2,800 texts or 22 MB) is sorted by its samples PASSES times, each time beginning with another band's, and cut into
    windows of WINDOW texts: texts that share more first samples than most meet, as if by keys that are as long as the group
    is large. Every pair of a window is compared. Work is in proportion to the group, however alike or unlike its texts are;
    a pair at the threshold may be missed by all passes, but a class hangs together by all of its links (see the README for
@@ -404,9 +403,9 @@ def _hashes(text) -> tuple:
     return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, exact: bool = True) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class), class_size, kept (one row of each class), h1 and h2 (the text's
-    hashes). With exact, every pair of every group is compared, however large the group is."""
+    hashes). Every pair of every group is compared, however large the group is; without exact, larger groups go by passes."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = common.written(docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), *_hashes(text)), "near-rows")
     texts = docs.select(*_hashes(text), text.alias("text"))
