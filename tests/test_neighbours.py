@@ -1,5 +1,8 @@
 """Nearest rows and radius neighbours of clouds whose density varies, against brute force."""
 
+import math
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -66,3 +69,29 @@ def test_nearest_of_few_and_equal_rows(spark):
     assert {(r.q_id, r.b_id, r["rank"]) for r in got} == {(i, j, j + 1) for i in range(40) for j in (0, 1)}
     assert joins.nearest(one.limit(0), one, ["x", "y"], 1).count() == 0
     assert joins.radius_top_k(one.limit(0).selectExpr("*", "id AS pos"), ["x", "y"], 1.0, 2).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["spread", "lattice", "two places", "one place", "pair", "none"])
+def test_median_of_all_pairs(spark, monkeypatch, kind):
+    """The exact median and number of pairs from tiles and leaves, and most pairs of rows are never compared."""
+    rng = random.Random(2)
+    make = {"spread": lambda i: [rng.gauss(0, 1) for _ in range(3)], "lattice": lambda i: [i % 7, i % 5, i % 3], "two places": lambda i: [i % 2, 0, 0], "one place": lambda i: [1, 2, 3], "pair": lambda i: [i, 0, 0], "none": lambda i: [0, 0, 0]}[kind]
+    places = [[float(v) for v in make(i)] for i in range({"pair": 2, "none": 0}.get(kind, 1200))]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(places)] + [(-1, math.nan, 0.0, 0.0), (-2, None, 0.0, 0.0)], "id int, x double, y double, z double")
+    d = sorted(x for i, a in enumerate(places) for b in places[:i] if (x := math.sqrt((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2)) > 1e-9)
+    want = None if not d else (d[(len(d) - 1) // 2] + d[len(d) // 2]) / 2
+    for few in (100_000, 10):
+        monkeypatch.setattr(joins, "FEW", few)
+        got = joins.median_pair_distance(df, ["x", "y", "z"], block=500).first()
+        assert got["pairs"] == len(d) and (got["median_distance"] == want or abs(got["median_distance"] - want) < 1e-15)
+
+
+def test_far_leaves_are_counted_whole():
+    """Bounds hold the distances of their leaves, and tell the side of the median for many."""
+    at = np.random.default_rng(1).normal(size=(16_384, 3))
+    at = at[joins._leaf_order(at)]
+    least, most, n, distances = joins._leaf_distances(at, None)
+    assert n.sum() == 16_384 * 16_383 // 2 and n[(least <= 2.17) & (most >= 2.17)].sum() < 0.65 * n.sum()
+    for i in range(0, len(n), 5000):
+        d = next(distances(np.array([i])))
+        assert np.count_nonzero(~np.isnan(d)) == n[i] and least[i] <= np.nanmin(d) and np.nanmax(d) <= most[i]
