@@ -275,6 +275,30 @@ def test_language_model(spark, docs):
     assert ngram_lm.scored(docs.limit(3), empty).count() == 3 and ngram_lm.scored(docs.limit(0), model).count() == 0
 
 
+def test_language_model_asks_each_shard_for_many_texts_at_once(spark, tmp_path):
+    """However few rows an Arrow batch has: as model files grow in number, so would look-ups of every batch in each."""
+    docs = spark.createDataFrame([(i, f"some w{i} words w{i % 7}" if i % 9 else None) for i in range(400)], "doc_id long, text string").repartition(2)
+    model = ngram_lm.train(docs)
+    want = sorted(map(tuple, ngram_lm.scored(docs, model).collect()))
+
+    class Noted(ngram_lm.Model):
+        def scores(self, raw):
+            (tmp_path / __import__("uuid").uuid4().hex).touch()
+            return super().scores(raw)
+
+    noted = Noted.__new__(Noted)
+    noted.__dict__.update(model.__dict__)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10")
+        got = sorted(map(tuple, ngram_lm.scored(docs, noted).collect()))
+    finally:
+        spark.conf.set(key, before)
+    assert got == want and len(got) == 400
+    assert 1 <= len(list(tmp_path.iterdir())) <= 2
+
+
 def near_rows():
     rng = random.Random(6)
     rows = []
