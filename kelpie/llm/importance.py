@@ -1,7 +1,8 @@
 """Importance resampling towards a target's distribution of hashed n-grams, over a dictionary of integer word ids.
 
 1. Words. Tasks cut texts of about CHUNK_BYTES into lower-cased words, and emit for each such chunk its distinct words
-   with their ids, its distinct n-grams as tuples of ids with their counts, and every document as counts of those tuples. A word's id is a
+   with their ids, its distinct n-grams as tuples of ids with their counts, and every document as counts of those tuples,
+   all in rows of at most PIECE of each, so that no row, and no batch of rows, is large. A word's id is a
    seeded 64-bit hash; the dictionary (id, word) of the whole corpus, a group-by of the chunks' words, shows whether two
    words share one, and then all is done anew with another seed: the ids that are used are distinct.
 2. Tuples. The chunks' counts are added by tuple, over documents and target. Each distinct tuple gets its words back
@@ -39,13 +40,18 @@ LEAST_WORDS = 20
 PERCENT = 10
 DRAW_SEED = "2024"
 CHUNK_BYTES = 16 << 20
+#: A chunk's rows have so many of its words, tuples, documents and counts each; so many rows leave a task at a time. Row
+#: groups are small, as a task reads the rows of one at once.
+PIECE = 1 << 13
+PIECES = 8
+SMALL_GROUPS = {"parquet.block.size": str(16 << 20)}
 
 #: ASCII digits and letters, the latter lower-cased, and all bytes of longer characters; the rest parts words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 CHUNK = (
-    "part int, no int, words array<string>, word_ids array<bigint>, grams array<array<bigint>>, gram_counts array<bigint>, "
-    "doc_ids array<bigint>, n_words array<bigint>, n_features array<bigint>, kinds array<int>, at array<int>, times array<int>"
+    "chunk bigint, seq int, words array<string>, word_ids array<bigint>, grams array<array<bigint>>, gram_counts array<bigint>, "
+    "doc_ids array<bigint>, n_words array<bigint>, n_features array<bigint>, kinds array<int>, bags binary"
 )
 
 
@@ -54,22 +60,30 @@ def word_ids(words: list[bytes], seed: int) -> np.ndarray:
     return spans.mix(spans.word_hashes(buf, bounds[:-1], bounds[1:]) + spans.mix(np.uint64([seed + 1]))).view(np.int64)
 
 
-def _lists(flat, sizes: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype("i4")), pa.array(flat))
+def _lists(flat, bounds: np.ndarray) -> pa.ListArray:
+    """The lists between bounds."""
+    return pa.ListArray.from_arrays(pa.array((bounds - bounds[0]).astype("i4")), flat.slice(bounds[0], bounds[-1] - bounds[0]))
 
 
-def chunk(doc_ids: list, texts: list[bytes], gram: int, seed: int) -> dict:
-    """The row of one chunk: see CHUNK; a document's tuples are the next kinds[i] of at (which tuple) and times."""
-    known: dict[bytes, int] = {}
-    cut = [t.translate(FOLD).split() for t in texts]
-    ids = np.array([known.setdefault(w, len(known)) for own in cut for w in own], np.int64)
-    n_words = np.array([len(own) for own in cut], np.int64)
-    doc = np.repeat(np.arange(len(cut)), n_words)
+def packed_bags(at: np.ndarray, times: np.ndarray) -> bytes:
+    """Differences of at, and times, byte by byte of all numbers, as most high bytes are zeros."""
+    return np.stack([np.diff(at, prepend=0), times]).astype("<i4").view("u1").reshape(2, -1, 4).transpose(0, 2, 1).tobytes()
+
+
+def unpacked_bags(bags: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, times = np.ascontiguousarray(np.frombuffer(bags, "u1").reshape(2, 4, -1).transpose(0, 2, 1)).view("<i4").reshape(2, -1)
+    return np.cumsum(steps, dtype=np.int64), times
+
+
+def chunk(doc_ids: pa.Array, ids: np.ndarray, n_words: np.ndarray, words: list[bytes], named: np.ndarray, gram: int) -> dict:
+    """The columns of one chunk, from its documents' words as places in words, whose ids are named. A document's tuples
+    are the next kinds[i] of at (which tuple) and times."""
+    doc = np.repeat(np.arange(len(n_words)), n_words)
     place, n = ids, len(ids)  # the number of the tuple, among those of its order, that begins at each word
-    every, parts, docs_of, shift = [np.arange(len(known))[:, None]], [ids], [doc], len(known)
+    every, parts, docs_of, shift = [np.arange(len(words))[:, None]], [ids], [doc], len(words)
     for m in range(2, gram + 1):
         starts = np.flatnonzero(doc[: max(0, n - m + 1)] == doc[m - 1 :])
-        found, first, inverse = np.unique(place[starts] * len(known) + ids[starts + m - 1], return_index=True, return_inverse=True)
+        found, first, inverse = np.unique(place[starts] * len(words) + ids[starts + m - 1], return_index=True, return_inverse=True)
         first = starts[first]
         every.append(np.concatenate([every[-1][place[first]], ids[first + m - 1][:, None]], axis=1))
         place = np.full(n, -1)
@@ -78,42 +92,59 @@ def chunk(doc_ids: list, texts: list[bytes], gram: int, seed: int) -> dict:
         docs_of.append(doc[starts])
         shift += len(found)
     at, of = np.concatenate(parts), np.concatenate(docs_of)
-    n_features = np.bincount(of, minlength=len(cut))
+    n_features = np.bincount(of, minlength=len(n_words))
     bag, times = np.unique(of * max(1, shift) + at, return_counts=True)
     of, at = bag // max(1, shift), bag % max(1, shift)
-    named = word_ids(list(known), seed) if known else np.zeros(0, np.int64)
     sizes = np.concatenate([np.full(len(t), i + 1) for i, t in enumerate(every)])
     return {
-        "words": pa.array(list(known), pa.binary()).cast(pa.string()), "word_ids": named,
-        "grams": _lists(np.concatenate([named[t].ravel() for t in every]), sizes), "gram_counts": np.bincount(at, weights=times, minlength=shift).astype(np.int64),
-        "doc_ids": pa.array(doc_ids, pa.int64()), "n_words": n_words, "n_features": n_features.astype(np.int64),
-        "kinds": np.bincount(of, minlength=len(cut)).astype("i4"), "at": at.astype("i4"), "times": times.astype("i4"),
+        "words": pa.array(words, pa.binary()).cast(pa.string()), "word_ids": pa.array(named),
+        "grams": _lists(pa.array(np.concatenate([named[t].ravel() for t in every])), np.cumsum([0, *sizes])),
+        "gram_counts": pa.array(np.bincount(at, weights=times, minlength=shift).astype(np.int64)),
+        "doc_ids": doc_ids, "n_words": pa.array(n_words), "n_features": pa.array(n_features.astype(np.int64)),
+        "kinds": pa.array(np.bincount(of, minlength=len(n_words)).astype("i4")), "at": at, "times": times,
     }
 
 
+def pieces(number: int, columns: dict, size: int):
+    """Batches of CHUNK rows, each with the next `size` of every column, so that no row is large."""
+    columns = dict(columns)
+    at, times = columns.pop("at"), columns.pop("times")
+    rows = -(-max(1, len(at), *map(len, columns.values())) // size)
+    for a in range(0, rows, PIECES):
+        seq = np.arange(a, min(rows, a + PIECES) + 1)
+        lists = {k: _lists(v, np.minimum(seq * size, len(v))) for k, v in columns.items()}
+        bags = [packed_bags(at[i * size : (i + 1) * size], times[i * size : (i + 1) * size]) for i in seq[:-1].tolist()]
+        yield common.batch(chunk=np.full(len(bags), number), seq=seq[:-1].astype("i4"), **lists, bags=pa.array(bags, pa.binary()))
+
+
 def chunks(docs: DataFrame, id_col: str | None, text_col: str, gram: int, seed: int) -> DataFrame:
     """CHUNK rows of all documents."""
     doc_id = F.col(id_col).cast("bigint") if id_col else F.lit(None).cast("bigint")
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def work(batches):
-        part, no, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
+        number = TaskContext.get().partitionId() << 32
+        known, doc_ids, ids, n_words, held = {}, [], [], [], 0
 
         def out():
-            row = chunk(ids, texts, gram, seed)
-            arrays = {k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in row.items()}
-            one = {k: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for k, v in arrays.items()}
-            return common.batch(part=np.array([part], "i4"), no=np.array([no], "i4"), **one)
-
-        for b in common.text_slices(batches, CHUNK_BYTES):
-            ids += b.column("doc_id").to_pylist()
-            texts += (raw := common.raw_texts(b))
+            words = list(known)
+            named = word_ids(words, seed) if words else np.zeros(0, np.int64)
+            return pieces(number, chunk(pa.concat_arrays(doc_ids), np.concatenate(ids).astype(np.int64), np.concatenate(n_words), words, named, gram), PIECE)
+
+        # Slice by slice, as words that stand alone take some five times their text.
+        for b in common.text_slices(batches, max(1, CHUNK_BYTES // 16)):
+            raw = common.raw_texts(b)
+            cut = [t.translate(FOLD).split() for t in raw]
+            doc_ids.append(b.column("doc_id"))
+            ids.append(np.array([known.setdefault(w, len(known)) for own in cut for w in own], np.int32))
+            n_words.append(np.array([len(own) for own in cut], np.int64))
             held += sum(map(len, raw))
+            del cut, raw
             if held >= CHUNK_BYTES:
-                yield out()
-                no, ids, texts, held = no + 1, [], [], 0
-        if ids:
-            yield out()
+                yield from out()
+                number, known, doc_ids, ids, n_words, held = number + 1, {}, [], [], [], 0
+        if doc_ids:
+            yield from out()
 
     return rows.mapInArrow(work, CHUNK)
 
@@ -158,8 +189,8 @@ def gains_of(grams: DataFrame, buckets: int) -> DataFrame:
 def weights(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, n_words, n_features and weight of every document."""
     for seed in count():
-        own = common.written(chunks(docs, id_col, text_col, gram, seed), "importance-chunks")
-        aim = common.written(chunks(target, None, text_col, gram, seed), "importance-target")
+        own = common.written(chunks(docs, id_col, text_col, gram, seed), "importance-chunks", **SMALL_GROUPS)
+        aim = common.written(chunks(target, None, text_col, gram, seed), "importance-target", **SMALL_GROUPS)
         words = common.written(dictionary(own, aim), "importance-words")
         if words.filter("word <> other").isEmpty():
             break
@@ -167,25 +198,29 @@ def weights(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col
     grams = common.written(hashed(tuples, words, gram, buckets), "importance-grams")
     gains = common.written(gains_of(grams, buckets), "importance-gains")
     by_tuple = grams.filter("s > 0").join(F.broadcast(gains), "bucket").select("tuple", "gain")
-    wanted = own.select("part", "no", F.posexplode("grams").alias("k", "tuple"))
+    wanted = own.select("chunk", "seq", F.posexplode("grams").alias("k", "tuple"))
     # Place and gain in one number: gains are some thousands.
-    packed = wanted.join(by_tuple, "tuple").select("part", "no", F.shiftleft(F.col("k").cast("bigint"), 32).bitwiseOR(F.col("gain").bitwiseAND(0xFFFFFFFF)).alias("g"))
-    per_chunk = packed.groupBy("part", "no").agg(F.collect_list("g").alias("gains"))
-    bags = own.select("part", "no", "doc_ids", "n_words", "n_features", "kinds", "at", "times").join(per_chunk, ["part", "no"], "left")
-
-    def weigh(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                flat = lambda x: b.column(x).slice(i, 1).flatten()  # noqa: B023,E731
-                g, kinds, features = (flat(x).to_numpy() for x in ("gains", "kinds", "n_features"))
-                gain = np.zeros(len(g), np.int64)
-                gain[g >> 32] = (g & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
-                sums = np.concatenate([[0], np.cumsum(gain[flat("at").to_numpy()] * flat("times").to_numpy())])
-                ends = np.cumsum(kinds, dtype=np.int64)
-                weight = (sums[ends] - sums[ends - kinds]) // np.maximum(features, 1)
-                yield common.batch(doc_id=flat("doc_ids"), n_words=flat("n_words"), n_features=features, weight=weight)
-
-    return bags.mapInArrow(weigh, "doc_id bigint, n_words bigint, n_features bigint, weight bigint")
+    place = F.col("seq").cast("bigint") * PIECE + F.col("k")
+    gained = wanted.join(by_tuple, "tuple").select(F.col("chunk").alias("of"), F.shiftleft(place, 32).bitwiseOR(F.col("gain").bitwiseAND(0xFFFFFFFF)).alias("g"))
+    bags = own.select("chunk", "seq", "doc_ids", "n_words", "n_features", "kinds", "bags")
+
+    def weigh(bags: pa.Table, gained: pa.Table) -> pa.Table:
+        """One chunk's documents."""
+        bags, g = bags.sort_by("seq"), gained.column("g").to_numpy()
+        flat = {k: pa.chunked_array([x.flatten() for x in bags.column(k).chunks]) for k in ("doc_ids", "n_words", "n_features", "kinds")}
+        gain = np.zeros(len(g), np.int64)
+        gain[g >> 32] = (g & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
+        own = [np.zeros(1, np.int64)]
+        for row in bags.column("bags"):
+            at, times = unpacked_bags(row.as_buffer())
+            own.append(gain[at] * times)
+        sums = np.cumsum(np.concatenate(own))
+        kinds, features = flat["kinds"].to_numpy(), flat["n_features"].to_numpy()
+        ends = np.cumsum(kinds, dtype=np.int64)
+        weight = (sums[ends] - sums[ends - kinds]) // np.maximum(features, 1)
+        return pa.table({"doc_id": flat["doc_ids"], "n_words": flat["n_words"], "n_features": flat["n_features"], "weight": weight})
+
+    return bags.groupBy("chunk").cogroup(gained.groupBy("of")).applyInArrow(weigh, "doc_id bigint, n_words bigint, n_features bigint, weight bigint")
 
 
 def drawn(weighed: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, seed: str = DRAW_SEED) -> DataFrame:

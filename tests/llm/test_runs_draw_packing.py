@@ -139,6 +139,24 @@ def test_weights(spark, monkeypatch, gram, size):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, slow_weights(rows, target, gram, 97)))
 
 
+def test_rows_of_chunks_are_small(spark):
+    """However many words, documents or tuples a chunk has: executors read many rows at a time."""
+    rows = [(1, " ".join(f"w{i}" for i in range(40_000))), *((i, f"w{i}") for i in range(2, 30_000))]
+    found = importance.chunks(make(spark, rows).coalesce(1), "doc_id", "text", 1, 0)
+    sizes = [F.size(c).alias(c) for c, kind in found.dtypes if kind.startswith("array")]
+    got = found.select(*sizes).groupBy().agg(*[F.max(c).alias(f"{c}_most") for c in found.columns if c in {"words", "grams", "doc_ids"}], F.sum("words"), F.sum("doc_ids")).first()
+    assert max(got[:3]) <= 10_000 and tuple(got[3:]) == (40_000, len(rows))
+
+
+@pytest.mark.parametrize("gram", [1, 2])
+def test_weights_of_chunks_in_many_rows(spark, monkeypatch, gram):
+    monkeypatch.setattr(importance, "PIECE", 7)
+    rows, target = draw_rows(), ["alpha beta gamma w1 w2", None]
+    aim = spark.createDataFrame([(t,) for t in target], "text string")
+    got = importance.weights(make(spark, rows).repartition(2), aim, gram=gram, buckets=97)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, slow_weights(rows, target, gram, 97)))
+
+
 def test_words_of_one_id(spark, monkeypatch):
     """Where a seed gives two words one id, another is taken."""
     plain = importance.word_ids
